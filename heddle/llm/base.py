@@ -99,7 +99,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.zeros((n, *h.shape[1:]), np.uint64)
     for i, p in enumerate(powers(k, 0xD6E8FEB86659FD93)):
         out += h[i : i + n] * p
     return mixed(out)

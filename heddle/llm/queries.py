@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import sharding
+from heddle.llm import decontaminate, licenses, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,5 +20,38 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that windows of all benchmark items cover."""
+    out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents."""
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_decontamination, op4_secrets, op8_licenses)}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 SQL: dict[str, str] = {}
+SQL["op2_decontamination"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS} AS w FROM benchmark),
+iw AS MATERIALIZED (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[a : a + least(10, len(w)) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, CAST(len(w) - least(10, len(w)) + 2 AS BIGINT))) AS a FROM i WHERE len(w) > 0)),
+dw AS (SELECT row, a, n, array_to_string(w[a : a + n - 1], ' ') AS g
+  FROM (SELECT row, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS a FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+hits AS MATERIALIZED (SELECT row, a, n, item FROM dw JOIN iw USING (n, g)),
+words AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(a, a + n)) AS p FROM (SELECT DISTINCT row, a, n FROM hits)) GROUP BY row),
+items AS (SELECT row, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)
+"""

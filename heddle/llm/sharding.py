@@ -32,10 +32,13 @@ def range_of(key: Column, splitters: list[str]) -> Column:
     return F.aggregate(F.lit(steps), F.lit(0), step)
 
 
-def _sample(rows: DataFrame, n: int, seed: int) -> list[tuple[str, int]]:
-    """n keys, drawn without replacement with chances in proportion to size (exponential races), in key order."""
+def _sample(rows: DataFrame, n: int, seed: int) -> list[str]:
+    """About n keys, drawn with chances in proportion to size, in key order: races of exponential times, up to a time at which n are expected."""
+    total = rows.agg(F.sum("size").alias("total")).first()["total"]
+    if not total:
+        return []
     u = (F.abs(F.xxhash64("key", F.lit(seed)) % F.lit(1 << 52)) + 1) / F.lit(float(1 << 52) + 2)
-    drawn = rows.select("key", (-F.log(u) / F.col("size")).alias("race")).orderBy("race").limit(n)
+    drawn = rows.filter(-F.log(u) / F.col("size") < F.lit(n / total)).select("key")
     return sorted(r["key"] for r in drawn.collect())
 
 
