@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, decontaminate, licenses, secrets, sharding, simhash
+from heddle.llm import bpe, decontaminate, licenses, secrets, sharding, simhash, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,17 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_bpe, op4_secrets, op5_simhash, op8_licenses)}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives, read back and merged into one index."""
+    return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every vector whose id is divisible by 20."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), 20, 20)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_bpe, op4_secrets, op5_simhash, op7_warc, op8_licenses, op10_topk)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -72,3 +82,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)
 """
+SQL["op7_warc"] = """
+WITH p AS (SELECT row_number() OVER () AS row, page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT *, strlen(h) AS n, first_value(page_id) OVER w AS first_id, first_value(row) OVER w AS first_row FROM p
+  WINDOW w AS (PARTITION BY h ORDER BY page_id NULLS LAST, row))
+SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
+  CASE WHEN n >= 100 AND row <> first_row THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND row <> first_row THEN first_id END AS refers_to
+FROM q
+"""
+SQL["op10_topk"] = """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
