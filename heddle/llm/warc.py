@@ -7,6 +7,7 @@ tasks, which merge their pieces of the runs by a tree of losers.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -41,14 +42,12 @@ def url_key(url: str | None) -> str:
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages as a written table: row, page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, refers_row."""
-    payload = F.coalesce(F.col(html_col), F.lit(""))
-    rows = written(
-        pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumns(
-            {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)}
-        ),
-        "pages",
-    )
+    """Pages as row, page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, refers_row.
+
+    pages is read twice and must give the same rows in the same partitions both times, as tables do.
+    """
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
+    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row"))
     equal = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1")
     rows = rows.join(equal.select("payload_digest", "first"), "payload_digest", "left")
@@ -65,8 +64,8 @@ def _urn(page, row):
     return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes with_revisits' rows as WARC/1.1 files of about ARCHIVE_BYTES each."""
+def write_archives(pages: DataFrame, path: str, records: int) -> None:
+    """Writes with_revisits' rows as gzipped WARC/1.1 files of so many records at most."""
     date = F.date_format(F.timestamp_seconds(F.lit(_EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     revisit = F.col("record_type") == "revisit"
     body = F.when(revisit, _HTTP).otherwise(F.concat(F.lit(_HTTP), "payload"))
@@ -83,9 +82,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
-    total = pages.agg(F.sum("payload_bytes").alias("n")).first()["n"] or 0
     record = F.concat(F.concat_ws(_CRLF, *fields), F.lit(_CRLF * 2), body, F.lit(_CRLF)).alias("value")
-    pages.repartition(max(1, -(-total // ARCHIVE_BYTES)), "row").select(record).write.option("lineSep", _CRLF).text(path)
+    pages.select(record).write.option("lineSep", _CRLF).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def records_of(data: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
@@ -122,7 +120,7 @@ def _runs(id_type: pa.DataType):
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 run, path = [], path.as_py()
-                for offset, length, fields, block in records_of(content.as_py()):
+                for offset, length, fields, block in records_of(gzip.decompress(content.as_py())):
                     digest, size = fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["warc-payload-length"])
                     if fields["warc-type"] == "response":
                         payload = bytes(block).split(b"\r\n\r\n", 1)[1]
@@ -212,10 +210,11 @@ def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
 
     One row for each row of pages: page_id, payload_bytes, payload_digest, record_type, refers_to, and the capture's
     place (run, urlkey, ts, offset, length, range_no, range_pos). A null html is an empty payload, a null url has an
-    empty host. Of repeated rows with the same page_id and payload one is the response and the others refer to that
+    empty host; places are in the unzipped archive. Of repeated rows with the same page_id and payload one is the response and the others refer to that
     page_id. A null page_id counts as larger than any other. Other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    write_archives(with_revisits(pages, id_col, url_col, html_col), path)
+    mean = pages.agg(F.avg(F.octet_length(html_col)).alias("mean")).first()["mean"] or 0
+    write_archives(with_revisits(pages, id_col, url_col, html_col), path, max(1, int(ARCHIVE_BYTES / (mean + 500))))
     return merged_index(capture_runs(spark, path, pages.schema[id_col].dataType.simpleString()))

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 
@@ -32,7 +33,7 @@ def test_round_trip(spark, tmp_path):
     keys = [(r.urlkey, r.ts, r.run, r.offset) for r in sorted(out, key=lambda r: (r.range_no, r.range_pos))]
     assert keys == sorted(keys)
     files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")]
-    assert sum(len(list(records_of(p.read_bytes()))) for p in files) == len(rows)
+    assert sum(len(list(records_of(gzip.decompress(p.read_bytes())))) for p in files) == len(rows)
 
 
 def test_repeated_rows_and_empty(spark):
