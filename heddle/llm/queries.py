@@ -65,7 +65,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without what 50 bytes or more repeat of documents with smaller ids."""
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("starts", "ends")
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), stable=True).drop("starts", "ends")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,12 +93,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)
 """
 SQL["op7_warc"] = """
-WITH p AS (SELECT row_number() OVER () AS row, page_id, coalesce(html, '') AS h FROM pages),
-q AS (SELECT *, strlen(h) AS n, first_value(page_id) OVER w AS first_id, first_value(row) OVER w AS first_row FROM p
-  WINDOW w AS (PARTITION BY h ORDER BY page_id NULLS LAST, row))
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT *, strlen(h) AS n, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
 SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
-  CASE WHEN n >= 100 AND row <> first_row THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= 100 AND row <> first_row THEN first_id END AS refers_to
+  CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM q
 """
 SQL["op10_topk"] = """

@@ -15,7 +15,7 @@ from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.base import new_path, written
@@ -42,26 +42,21 @@ def url_key(url: str | None) -> str:
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages as row, page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, refers_row.
-
-    pages is read twice and must give the same rows in the same partitions both times, as tables do.
-    """
+    """Pages as row, page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to; row only makes record ids distinct."""
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row"))
-    equal = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(equal.select("payload_digest", "first"), "payload_digest", "left")
-    again = F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))
+    equal = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    rows = rows.join(equal, "payload_digest", "left")
+    again = F.col("n").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return rows.select(
         "row", "page_id", "url", "payload", "payload_bytes", "payload_digest",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("first.page_id")).alias("refers_to"),
-        F.when(again, F.col("first.row")).alias("refers_row"),
+        F.when(again, F.col("first")).alias("refers_to"),
     )
 
 
-def _urn(page, row):
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(">"))
+def _urn(page: str, *more: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), *more, F.lit(">"))
 
 
 def write_archives(pages: DataFrame, path: str, records: int) -> None:
@@ -73,12 +68,12 @@ def write_archives(pages: DataFrame, path: str, records: int) -> None:
     fields = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), "record_type"),
-        F.concat(F.lit("WARC-Record-ID: "), _urn(F.col("page_id"), F.col("row"))),
+        F.concat(F.lit("WARC-Record-ID: "), _urn("page_id", F.col("row").cast("string"))),
         F.concat(F.lit("WARC-Date: "), date),
         F.concat(F.lit("WARC-Target-URI: "), uri),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), "payload_digest"),
         F.concat(F.lit("WARC-Payload-Length: "), F.col("payload_bytes").cast("string")),
-        F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _urn(F.col("refers_to"), F.col("refers_row")))),
+        F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _urn("refers_to"))),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
@@ -210,8 +205,8 @@ def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
 
     One row for each row of pages: page_id, payload_bytes, payload_digest, record_type, refers_to, and the capture's
     place (run, urlkey, ts, offset, length, range_no, range_pos). A null html is an empty payload, a null url has an
-    empty host; places are in the unzipped archive. Of repeated rows with the same page_id and payload one is the response and the others refer to that
-    page_id. A null page_id counts as larger than any other. Other columns are ignored; an empty table gives no rows.
+    empty host; places are in the unzipped archive. Repeated rows with the smallest page_id of their payload are all responses. A null page_id counts as
+    larger than any other. Other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")

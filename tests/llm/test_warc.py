@@ -39,7 +39,7 @@ def test_round_trip(spark, tmp_path):
 def test_repeated_rows_and_empty(spark):
     rows = [(4, "u", "z" * 200, "", 0)] * 6 + [(9, "u", "z" * 200, "", 0)]
     out = sorted((r.page_id, r.record_type, r.refers_to) for r in archive(spark.createDataFrame(rows, PAGE)).collect() if r.record_type == "revisit")
-    assert out == [(4, "revisit", 4)] * 5 + [(9, "revisit", 4)]
+    assert out == [(9, "revisit", 4)]
     assert archive(spark.createDataFrame([], PAGE)).collect() == []
 
 
