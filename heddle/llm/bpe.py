@@ -212,7 +212,7 @@ def tokenizer(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def _encode(path: str, id_type: pa.DataType, full: bool):
+def _encode(path: str, id_type: pa.DataType, full: bool, digests: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
@@ -223,18 +223,21 @@ def _encode(path: str, id_type: pa.DataType, full: bool):
                 if full:
                     ids.append(np.frombuffer(a, "<u4").astype(np.int32))
                     texts.append(b)
-                else:
+                if digests:
                     ids_sha.append(hashlib.sha256(a).hexdigest())
                     text_sha.append(hashlib.sha256(b.encode()).hexdigest())
-            own = [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] if full else [pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["ids", "decoded"] if full else ["ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(id_type), pa.array(n, pa.int64()), *own], names=["doc_id", "n_tokens", *names])
+            cols = {"doc_id": batch.column("doc_id").cast(id_type), "n_tokens": pa.array(n, pa.int64())}
+            if digests:
+                cols |= {"ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+            if full:
+                cols |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return encode
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, n_tokens, and ids and decoded, or with digests ids_sha256 and decoded_sha256.
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True, digests: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, n_tokens, with digests ids_sha256 and decoded_sha256, with full ids and decoded.
 
     path: the tokenizer file, on every executor. A null text counts as empty: no tokens. Repeated documents are
     separate rows; other columns are ignored; texts are encoded whole, and nothing is shuffled.
@@ -242,5 +245,5 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     id_type = docs.schema[id_col].dataType.simpleString()
     arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    own = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return rows.mapInArrow(_encode(path, arrow_id, not digests), f"doc_id {id_type}, n_tokens long, {own}")
+    own = ", ids_sha256 string, decoded_sha256 string" * digests + ", ids array<int>, decoded string" * full
+    return rows.mapInArrow(_encode(path, arrow_id, full, digests), f"doc_id {id_type}, n_tokens long{own}")

@@ -173,32 +173,49 @@ def _summed(id_type: pa.DataType):
     return summed
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, starts, ends, items.
-
-    starts and ends are the hit runs of words (end exclusive), items the ids, as strings, of the items found there.
-    A null text has no words, and so has an empty one; an item without words is never found; a null item id is
-    written as 'null'; an item id that occurs on several rows counts once. With no items nothing is hit. Repeated
-    documents are separate rows, and other columns are ignored. Texts are worked through whole, in slabs.
-    """
-    spark = docs.sparkSession
+def _found(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """Hit runs and items of rows (row, doc_id, text), as _FOUND."""
+    spark = rows.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text"))
     pieces = written(items.mapInArrow(_pieces, "item string, words binary"), "pieces")
     total = pieces.agg(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // (8 * BLOCK_WORDS)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if blocks > 1:
         rows = written(rows, "docs")
-    id_type = docs.schema[id_col].dataType.simpleString()
-    arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
+    id_type = rows.schema["doc_id"].dataType.simpleString()
     found = None
     for b in range(blocks):
         own = pieces.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(_Index([(r["item"], bytes(r["words"])) for r in own.collect()]))
-        part = rows.mapInArrow(_scan(index, arrow_id), _FOUND.format(id=id_type))
+        part = rows.mapInArrow(_scan(index, _arrow(id_type)), _FOUND.format(id=id_type))
         found = part if found is None else found.unionAll(part)
     if blocks > 1:
         lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")]
         found = found.groupBy("row", "doc_id", "n_words").agg(*lists)
+    return found
+
+
+def _arrow(id_type: str) -> pa.DataType:
+    return pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, starts, ends, items.
+
+    starts and ends are the hit runs of words (end exclusive), items the ids, as strings, of the items found there.
+    A null text has no words, and so has an empty one; an item without words is never found; a null item id is
+    written as 'null'; an item id that occurs on several rows counts once. With no items nothing is hit. Repeated
+    documents are separate rows, and other columns are ignored. Texts are worked through whole, in slabs.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, starts array<int>, ends array<int>, items array<string>"
-    return found.drop("row").mapInArrow(_summed(arrow_id), schema)
+    return _found(rows, benchmark, item_col, item_text_col).drop("row").mapInArrow(_summed(_arrow(id_type)), schema)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of an item occurs. docs must be a table: its rows are numbered twice."""
+    row = F.monotonically_increasing_id()
+    found = _found(docs.select(row.alias("row"), F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), benchmark, item_col, item_text_col)
+    hit = written(found.filter(F.size("starts") > 0).select(F.col("row").alias("__row")), "hit")
+    return docs.withColumn("__row", row).join(hit, "__row", "left_anti").drop("__row")

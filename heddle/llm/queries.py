@@ -35,7 +35,7 @@ def word_bpe_path() -> str:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded, as digests."""
-    return bpe.encode_documents(_table(spark, sf_dir, "documents"), word_bpe_path(), digests=True)
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), word_bpe_path(), full=False, digests=True)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

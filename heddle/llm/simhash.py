@@ -63,10 +63,10 @@ def _fingerprints(shingle: int):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, __fp) for each row of docs; __fp is the fingerprint as a signed 64-bit number. A null text has no words."""
+    """(row, doc_id, __fp) for each row of docs; row is a number of the row, __fp is the fingerprint as a signed 64-bit number. A null text has no words."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, __fp long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
+    return rows.mapInArrow(_fingerprints(shingle), f"row long, doc_id {kind}, __fp long")
 
 
 def _forest(fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +138,17 @@ def linked_fingerprints(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return rows.mapInArrow(_links(bits), "u long, v long")
 
 
+def _components(rows: DataFrame, bits: int) -> DataFrame:
+    """(__fp, first) for the distinct fingerprints of rows (row, doc_id, __fp); first: the component's first row, by id and then by row number."""
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    least = rows.groupBy("__fp").agg(F.min(order).alias("least"))
+    roots = components(linked_fingerprints(least.select("__fp"), bits))
+    found = least.join(roots, least["__fp"] == roots["node"], "left").select("__fp", "least", F.coalesce("root", "__fp").alias("root"))
+    found = written(found, "roots")
+    least = found.groupBy("root").agg(F.min("least").alias("first"))
+    return found.join(least, "root").select("__fp", "first")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -147,10 +158,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are ignored. Copies meet as one fingerprint before anything is compared.
     """
     rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    least = rows.groupBy("__fp").agg(F.min("doc_id").alias("least"))
-    roots = components(linked_fingerprints(least.select("__fp"), bits))
-    found = least.join(roots, least["__fp"] == roots["node"], "left").select("__fp", "least", F.coalesce("root", "__fp").alias("root"))
-    found = written(found, "roots")
-    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = found.join(least, "root").select("__fp", "component_id")
-    return rows.join(found, "__fp").select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _components(rows, bits)
+    return rows.join(found, "__fp").select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """The first row of each component of near_duplicates, by id, with all its columns. docs must be a table: its rows are numbered twice."""
+    rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    kept = _components(rows, bits).select(F.col("first.row").alias("__row")).distinct()
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
