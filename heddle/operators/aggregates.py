@@ -75,7 +75,7 @@ def sessions_by_origin(sessions: DataFrame) -> DataFrame:
 
 def means_over_messages(messages: DataFrame) -> DataFrame:
     """Mean messages and prompts of sessions that have messages."""
-    prompt = (F.col("role") == "user") & (F.col("kind") == "text") & (F.trim(F.coalesce("content", F.lit(""))) != "")
+    prompt = (F.col("role") == "user") & (F.col("kind") == "text") & F.col("content").rlike(r"\S")
     own = messages.groupBy("session_id").agg(F.count("*").alias("m"), F.count_if(prompt).alias("p"))
     return own.agg(F.bround(F.avg("m"), 4).alias("messages_per_session"), F.bround(F.avg("p"), 4).alias("prompts_per_session"), F.count("*").alias("sessions"))
 
@@ -100,7 +100,7 @@ def median_duration(sessions: DataFrame) -> DataFrame:
 
 def inferred_outcomes(messages: DataFrame) -> DataFrame:
     """Sessions by what the last non-blank assistant text suggests; both kinds of markers or none: unclassified."""
-    last = messages.filter((F.col("role") == "assistant") & (F.trim("content") != "")).groupBy("session_id").agg(F.max_by("content", "seq").alias("text"))
+    last = messages.filter((F.col("role") == "assistant") & F.col("content").rlike(r"\S")).groupBy("session_id").agg(F.max_by("content", "seq").alias("text"))
     good, bad = whole_word(F.col("text"), SUCCESS_MARKERS), whole_word(F.col("text"), FAILURE_MARKERS)
     return last.groupBy(F.when(good & ~bad, "success").when(bad & ~good, "failure").otherwise("unclassified").alias("outcome")).agg(F.count("*").alias("n"))
 

@@ -27,7 +27,7 @@ class Fixtures:
 
     @property
     def sessions(self) -> DataFrame:
-        prompt = (F.col("role") == "user") & (F.col("kind") == "text") & (F.trim(F.coalesce("content", F.lit(""))) != "")
+        prompt = (F.col("role") == "user") & (F.col("kind") == "text") & F.col("content").rlike(r"\S")
         own = self.messages.groupBy("conv_id", F.col("session_id").alias("id")).agg(
             F.min("timestamp").alias("created"), F.max("timestamp").alias("updated"), F.count("*").cast("int").alias("messages_count"), F.count_if(prompt).cast("int").alias("prompt_count"),
             F.sum(F.when(F.col("role").isin("user", "assistant"), F.length("content"))).cast("long").alias("total_tokens"),

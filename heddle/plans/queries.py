@@ -100,7 +100,7 @@ for _by, _key in (("day", "CAST(CAST(coalesce(updated, created) AS DATE) AS VARC
 
 
 @query("G02_digest_totals", f"""+ d AS (SELECT CAST(CAST(coalesce(updated, created) AS DATE) AS VARCHAR) AS key, count(*) AS s, sum(messages_count) AS m, sum(prompt_count) AS p FROM fx_sessions WHERE {_VISIBLE} AND {_WINDOW} GROUP BY 1)
-  SELECT CAST(sum(s) AS BIGINT) AS sessions, CAST(sum(m) AS BIGINT) AS messages, CAST(sum(p) AS BIGINT) AS prompts, (SELECT key FROM d ORDER BY s DESC, key LIMIT 1) AS busiest_day FROM d""")
+  SELECT CAST(coalesce(sum(s), 0) AS BIGINT) AS sessions, CAST(coalesce(sum(m), 0) AS BIGINT) AS messages, CAST(coalesce(sum(p), 0) AS BIGINT) AS prompts, (SELECT key FROM d ORDER BY s DESC, key LIMIT 1) AS busiest_day FROM d""")
 def _(fx):
     return G.digest_totals(S.visible(fx.sessions, fx.deleted, fx.ignored), _SINCE, _UNTIL)
 
@@ -391,7 +391,7 @@ def _(fx):
 
 @query("C04_message_counts", "SELECT session_id, count(*) AS messages, count(*) FILTER (role = 'user' AND kind = 'text' AND trim(content) <> '') AS prompts, count(*) FILTER (role = 'assistant') AS answers FROM fx_messages GROUP BY 1")
 def _(fx):
-    prompt = O.is_prompt() & (F.trim("content") != "")
+    prompt = O.is_prompt() & F.col("content").rlike(r"\S")
     return fx.messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.count_if(prompt).alias("prompts"), F.count_if(F.col("role") == "assistant").alias("answers"))
 
 
@@ -564,3 +564,101 @@ def _(fx):
 @query("I12_event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, name, count(*) AS n, sum(duration_ms) AS total FROM fx_tool_events GROUP BY 1, 2")
 def _(fx):
     return fx.tool_events.groupBy(F.window("ts", "1 hour").alias("w"), "name").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total")).select(F.col("w.start").alias("start"), "name", "n", "total")
+
+
+# --- analytics and exports
+
+
+@query("P03_masked_uuids", "SELECT event_id, 'id [uuid] ' || event_type AS masked FROM events")
+def _(fx):
+    u = F.md5(F.col("event_id").cast("string"))
+    own = F.concat_ws("-", F.substring(u, 1, 8), F.substring(u, 9, 4), F.substring(u, 13, 4), F.substring(u, 17, 4), F.substring(u, 21, 12))
+    return fx.table("events").select("event_id", C.masked_uuids(F.concat(F.lit("id "), own, F.lit(" "), "event_type")).alias("masked"))
+
+
+@query("P07_rules", r"""+ s AS (SELECT session_id, seq, unnest(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM fx_messages WHERE role = 'assistant'),
+  c AS (SELECT trim(sentence) AS sentence, session_id, CAST(list_sum(list_transform(['must', 'should', 'avoid', 'do not', 'never', 'always', 'best practice', 'recommend', 'prefer'], lambda w: CASE WHEN contains(lower(sentence), w) THEN 1 ELSE 0 END)) AS INTEGER) AS score FROM s)
+  SELECT sentence, max(score) AS score, count(DISTINCT session_id) AS sessions FROM c WHERE length(sentence) BETWEEN 20 AND 180 AND score > 0 GROUP BY 1""")
+def _(fx):
+    from heddle.operators import analytics
+
+    return analytics.rules(fx.messages, 1_000_000)
+
+
+@query("P04_W05_W06_compressed_blocks", """+ t AS (SELECT session_id, seq, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'tool' END AS role, trim(content) AS c FROM fx_messages),
+  e AS (SELECT *, CASE role WHEN 'user' THEN 3000 WHEN 'assistant' THEN 2000 ELSE 600 END AS m, CASE role WHEN 'user' THEN 2000 WHEN 'assistant' THEN 1400 ELSE 300 END AS h, CASE role WHEN 'user' THEN 1000 WHEN 'assistant' THEN 600 ELSE 200 END AS z FROM t),
+  l AS (SELECT session_id, seq, role, role || ': ' || CASE WHEN length(c) > m THEN left(c, h) || chr(10) || '[+' || (length(c) - h - z) || ' chars elided]' || chr(10) || right(c, z) ELSE c END AS line FROM e),
+  b AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM l)
+  SELECT session_id, block, min(seq) AS first_seq, max(seq) AS last_seq, CAST(length(string_agg(line, chr(10) ORDER BY seq)) AS INTEGER) AS chars, sha256(string_agg(line, chr(10) ORDER BY seq)) AS text FROM b GROUP BY 1, 2""")
+def _(fx):
+    from heddle.operators import analytics
+
+    return analytics.compressed(fx.messages).withColumn("text", F.sha2("text", 256))
+
+
+@query("P06_citations", "SELECT session_id AS id, [CAST(max(seq) + 1 AS INTEGER)] AS wrong FROM fx_messages GROUP BY 1")
+def _(fx):
+    from heddle.operators import analytics
+
+    own = fx.messages.groupBy("session_id").agg(F.array(F.min("seq"), F.max("seq"), F.max("seq") + 1).alias("cites")).select(F.col("session_id").alias("id"), "session_id", "cites")
+    return analytics.uncited(own, fx.messages)
+
+
+@query("K04_markdown", """+ b AS (SELECT session_id, string_agg('## ' || upper(left(role, 1)) || substr(role, 2) || ' · ' || strftime(timestamp, '%Y-%m-%d %H:%M') || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY seq) AS body FROM fx_messages GROUP BY 1)
+  SELECT id, sha256('# ' || title || chr(10) || chr(10) || '- Tool: ' || tool || chr(10) || '- Project: ' || coalesce(project, 'Unassigned') || chr(10) || '- Messages: ' || messages_count || chr(10) || chr(10) || body || chr(10)) AS text FROM fx_sessions JOIN b ON session_id = id""")
+def _(fx):
+    from heddle.operators import sinks
+
+    return sinks.markdown(fx.sessions, fx.messages).withColumn("text", F.sha2("text", 256))
+
+
+@query("K06_changed_exports", """SELECT id, title FROM fx_sessions WHERE conv_id % 3 <> 0""")
+def _(fx):
+    from heddle.operators import sinks
+
+    manifest = sinks.fingerprints(fx.sessions.filter("conv_id % 3 = 0")).unionByName(sinks.fingerprints(fx.sessions.filter("conv_id % 3 = 1").withColumn("title", F.lit("old"))))
+    return sinks.to_export(fx.sessions, manifest).select("id", "title")
+
+
+@query("K07_handoff", "+ r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS k FROM fx_messages) SELECT session_id, sha256(string_agg(upper(role) || ': ' || content, chr(10) || chr(10) ORDER BY seq)) AS body FROM r WHERE k <= 3 GROUP BY 1")
+def _(fx):
+    from heddle.operators import sinks
+
+    return sinks.handoff(fx.messages, 3).withColumn("body", F.sha2("body", 256))
+
+
+@query("P01_K08_redacted")
+def _(fx):
+    from heddle.operators import sinks
+
+    return sinks.redacted_copy(fx.messages).select("session_id", "seq", "redactions", F.sha2("content", 256).alias("sha"))
+
+
+@query("X17_visible_text")
+def _(fx):
+    from heddle.functions.html import visible_text
+
+    return fx.table("pages").select("page_id", F.sha2(visible_text(F.col("html")), 256).alias("sha"))
+
+
+@query("C12_keywords")
+def _(fx):
+    own = fx.messages.filter("seq < 20").groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), " ").alias("t"))
+    return fx.sessions.join(own, F.col("id") == F.col("session_id")).select("id", F.array_join(C.keywords(F.col("title"), F.col("t")), ",").alias("keywords"))
+
+
+@query("C08_titles", "SELECT id, 'x' AS shape FROM fx_sessions")
+def _(fx):
+    title = C.inferred_title(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("tool"), F.col("created"), F.col("id"))
+    return fx.sessions.select("id", F.when(title.rlike(r"^[A-Z][A-Za-z ]+ \d{4}-\d{2}-\d{2} • .{7,8}$"), "x").otherwise(title).alias("shape"))
+
+
+@query("P09_context_text")
+def _(fx):
+    from pyspark.sql import Window
+
+    from heddle.operators import analytics
+
+    own = M.context(fx.memory, fx.feedback, "src4", 40)
+    order = [F.asc("tier"), F.desc("weight"), F.desc("updated"), F.asc("kind_rank"), F.asc("id")]
+    return analytics.context_text(own.withColumn("place", F.row_number().over(Window.orderBy(*order))), 2000)

@@ -1,0 +1,231 @@
+"""Sources that are not JSON lines: JSON trees, SQLite stores, Markdown logs, MessagePack, replay logs, memory files."""
+
+from __future__ import annotations
+
+import json
+import os
+import sqlite3
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from heddle.sources.jsonl import files, first_of
+
+#: What the store readers give for each message.
+MESSAGE = "file string, session_id string, seq int, role string, content string, timestamp string"
+
+
+def binary(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select(F.col("path").alias("file"), "content")
+
+
+# The queries that each SQLite store answers, and the columns they may lack.
+STORES = {
+    "goose": ("sessions.db", "SELECT session_id, role, content_json AS content, created_timestamp AS timestamp FROM messages ORDER BY session_id, timestamp"),
+    "hermes": ("state.db", "SELECT session_id, role, content, timestamp FROM messages ORDER BY session_id, timestamp"),
+    "crush": ("crush.db", "SELECT session_id, role, parts AS content, created_at AS timestamp FROM messages ORDER BY session_id, created_at"),
+    "opencode": ("opencode.db", "SELECT session_id, json_extract(data, '$.role') AS role, json_extract(data, '$.text') AS content, time_created AS timestamp FROM message ORDER BY session_id, time_created"),
+    "opencode-v2": ("opencode.db", "SELECT session_id, type AS role, json_extract(data, '$.text') AS content, time_created AS timestamp FROM session_message ORDER BY session_id, time_created"),
+    "zed": ("threads.db", "SELECT id AS session_id, 'user' AS role, data AS content, updated_at AS timestamp FROM threads ORDER BY id"),
+    "cursor": ("state.vscdb", "SELECT key AS session_id, 'user' AS role, value AS content, NULL AS timestamp FROM cursorDiskKV WHERE key LIKE 'bubbleId:%' ORDER BY key"),
+}
+
+
+def decoded(value) -> str | None:
+    """A stored value as text: bytes as UTF-8 (zstd unpacked), hex of UTF-8 as that text."""
+    if isinstance(value, bytes):
+        if value[:4] == b"\x28\xb5\x2f\xfd":
+            import zstandard
+
+            value = zstandard.ZstdDecompressor().decompressobj().decompress(value)
+        return value.decode("utf-8", "replace")
+    if isinstance(value, str) and len(value) > 8 and len(value) % 2 == 0 and all(c in "0123456789abcdef" for c in value[:64]):
+        try:
+            return bytes.fromhex(value).decode()
+        except ValueError:
+            return value
+    return None if value is None else str(value)
+
+
+def sqlite_rows(spark: SparkSession, path: str, glob: str, sql: str) -> DataFrame:
+    """Rows of a query over each SQLite file below path; a store without the table or columns gives none.
+
+    The files are read as binaries and opened from memory, so they can lie in any store that Spark reads.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content in zip(batch["file"], batch["content"], strict=True):
+                con = sqlite3.connect(":memory:")
+                con.deserialize(bytes(content))
+                try:
+                    rows = con.execute(sql).fetchall()
+                except sqlite3.Error:
+                    rows = []
+                con.close()
+                own = pd.DataFrame(rows, columns=["session_id", "role", "content", "timestamp"])
+                for c in own.columns:
+                    own[c] = own[c].map(decoded)
+                own.insert(0, "file", file)
+                own.insert(2, "seq", own.groupby("session_id").cumcount().astype("int32"))
+                yield own
+
+    return binary(spark, path, glob).mapInPandas(work, MESSAGE)
+
+
+def store(spark: SparkSession, path: str, tool: str) -> DataFrame:
+    return sqlite_rows(spark, path, *STORES[tool])
+
+
+def json_tree(spark: SparkSession, path: str, glob: str, items: str, role: tuple[str, ...], text: tuple[str, ...], time: tuple[str, ...], roles: dict[str, str]) -> DataFrame:
+    """Messages of JSON documents that hold a list of records; items is the list's path."""
+    own = files(spark, path, glob).select("file", F.posexplode(F.from_json(F.coalesce(F.get_json_object("value", items), F.lit("[]")), "array<string>")).alias("seq", "item"))
+    kind = first_of(F.col("item"), role)
+    mapped = F.coalesce(*(F.when(kind == k, v) for k, v in roles.items()), kind)
+    stem = F.regexp_extract("file", r"([^/]+?)(\.json)?$", 1)
+    return own.select("file", stem.alias("session_id"), "seq", mapped.alias("role"), first_of(F.col("item"), text).alias("content"), first_of(F.col("item"), time).alias("timestamp")).filter("content is not null")
+
+
+def cline(spark: SparkSession, path: str) -> DataFrame:
+    return json_tree(spark, path, "api_conversation_history.json", "$", ("$.role",), ("$.content[0].text", "$.content"), ("$.ts",), {})
+
+
+def vscode(spark: SparkSession, path: str) -> DataFrame:
+    """Each request is a prompt and its answer."""
+    asked = json_tree(spark, path, "*.json", "$.requests", ("$.none",), ("$.message.text",), ("$.timestamp",), {}).withColumns({"role": F.lit("user"), "seq": F.col("seq") * 2})
+    told = json_tree(spark, path, "*.json", "$.requests", ("$.none",), ("$.response[0].value", "$.response"), ("$.timestamp",), {}).withColumns({"role": F.lit("assistant"), "seq": F.col("seq") * 2 + 1})
+    return asked.unionByName(told)
+
+
+def aider(spark: SparkSession, path: str) -> DataFrame:
+    """Markdown chat logs: a header starts a session, lines after '#### ' are prompts, others answers; runs of one role are one message.
+
+    Spark's readers pass over names that begin with a dot, so the logs are expected under names without it.
+    """
+    rows = files(spark, path, "*.chat.history.md").select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    head = F.col("text").startswith("# aider chat started at ")
+    w = Window.partitionBy("file").orderBy("line")
+    rows = rows.withColumns({"n": F.sum(head.cast("int")).over(w), "start": F.when(head, F.regexp_extract("text", r"started at (.*)$", 1))}).withColumn("start", F.last("start", True).over(w)).filter("n > 0")
+    role = F.when(F.col("text").startswith("####"), "user").when(~F.col("text").rlike(r"\S"), None).when(F.col("text").startswith(">"), "tool").otherwise("assistant")
+    rows = rows.filter(~head).withColumn("role", role)
+    own = Window.partitionBy("file", "n").orderBy("line")
+    rows = rows.withColumn("role", F.last("role", True).over(own)).filter("role is not null")
+    rows = rows.withColumn("seq", F.sum((~F.col("role").eqNullSafe(F.lag("role").over(own))).cast("int")).over(own))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", F.regexp_replace("text", r"^(####|>) ?", "").alias("t")))), lambda x: x["t"]), "\n")
+    out = rows.groupBy("file", "n", "start", "role", "seq").agg(F.regexp_replace(text, r"^\s+|\s+$", "").alias("content"))
+    id_ = F.concat(F.lit("aider-"), F.substring(F.sha1(F.concat_ws("|", F.regexp_replace("file", r"/[^/]+$", ""), "start")), 1, 16))
+    return out.filter("content <> ''").select("file", id_.alias("session_id"), (F.col("seq") - 1).cast("int").alias("seq"), "role", "content", F.col("start").alias("timestamp"))
+
+
+def unpack(data: bytes) -> list:
+    """The objects of a MessagePack stream."""
+    at = 0
+
+    def take(fmt: str):
+        nonlocal at
+        size = struct.calcsize(">" + fmt)
+        (value,) = struct.unpack_from(">" + fmt, data, at)
+        at += size
+        return value
+
+    def raw(n: int) -> bytes:
+        nonlocal at
+        at += n
+        return data[at - n : at]
+
+    sized = {0xC4: "B", 0xC5: "H", 0xC6: "I", 0xD9: "B", 0xDA: "H", 0xDB: "I", 0xDC: "H", 0xDD: "I", 0xDE: "H", 0xDF: "I", 0xC7: "B", 0xC8: "H", 0xC9: "I"}
+    numbers = {0xCA: "f", 0xCB: "d", 0xCC: "B", 0xCD: "H", 0xCE: "I", 0xCF: "Q", 0xD0: "b", 0xD1: "h", 0xD2: "i", 0xD3: "q"}
+
+    def one():
+        b = take("B")
+        if b < 0x80 or b >= 0xE0:
+            return b if b < 0x80 else b - 256
+        if b < 0xC0:
+            kind, n = ("map" if b < 0x90 else "list" if b < 0xA0 else "text"), b & (0x1F if b >= 0xA0 else 0x0F)
+        elif b in (0xC0, 0xC2, 0xC3):
+            return {0xC0: None, 0xC2: False, 0xC3: True}[b]
+        elif b in numbers:
+            return take(numbers[b])
+        elif 0xD4 <= b <= 0xD8:
+            kind, n = "ext", 1 << (b - 0xD4)
+        else:
+            n = take(sized[b])
+            kind = "bytes" if b <= 0xC6 else "ext" if b <= 0xC9 else "text" if b <= 0xDB else "list" if b <= 0xDD else "map"
+        if kind == "ext":
+            take("b")
+            return raw(n)
+        if kind == "map":
+            return {str(one()): one() for _ in range(n)}
+        return [one() for _ in range(n)] if kind == "list" else raw(n).decode("utf-8", "replace") if kind == "text" else raw(n)
+
+    out = []
+    while at < len(data):
+        out.append(one())
+    return out
+
+
+def messagepack(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(file, n, record): the records of MessagePack files as JSON text."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content in zip(batch["file"], batch["content"], strict=True):
+                records = [json.dumps(r, ensure_ascii=False, default=lambda b: b.hex()) for r in unpack(bytes(content))]
+                yield pd.DataFrame({"file": file, "n": range(len(records)), "record": records})
+
+    return binary(spark, path, glob).mapInPandas(work, "file string, n int, record string")
+
+
+def replayed(events: DataFrame) -> DataFrame:
+    """Events (file, line, value) of an editable log, folded in order: set, update, remove and reorder messages; a rewind cuts the end.
+
+    A fold over one file's events, which later ones can undo, so no window expresses it.
+    """
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        order: list[str] = []
+        held: dict[str, dict] = {}
+        for value in group.sort_values("line")["value"]:
+            try:
+                e = json.loads(value)
+            except ValueError:
+                continue
+            if not isinstance(e, dict):
+                continue
+            if e.get("removeIds"):
+                gone = set(map(str, e["removeIds"]))
+                order = [i for i in order if i not in gone]
+            elif e.get("orderIds"):
+                known = [str(i) for i in e["orderIds"] if str(i) in held]
+                order = known + [i for i in order if i not in set(known)]
+            elif e.get("rewindTo") is not None:
+                at = str(e["rewindTo"])
+                order = order[: order.index(at) + 1] if at in order else order
+            elif e.get("updates") and str(e.get("id")) in held:
+                held[str(e["id"])] |= e["updates"]
+            elif e.get("id") is not None and ("content" in e or "text" in e):
+                i = str(e["id"])
+                order += [] if i in order else [i]
+                held[i] = e
+        rows = [(held[i].get("type"), held[i].get("content") or held[i].get("text"), held[i].get("timestamp")) for i in order]
+        out = pd.DataFrame(rows, columns=["role", "content", "timestamp"])
+        out["role"] = out["role"].replace({"gemini": "assistant"})
+        out.insert(0, "file", group["file"].iloc[0])
+        out.insert(1, "session_id", os.path.splitext(os.path.basename(group["file"].iloc[0]))[0])
+        out.insert(2, "seq", range(len(out)))
+        return out
+
+    return events.select("file", "line", "value").groupBy("file").applyInPandas(fold, MESSAGE)
+
+
+def memory_files(spark: SparkSession, path: str) -> DataFrame:
+    """Markdown notes with front matter as memory entries: title, kind, body."""
+    own = files(spark, path, "*.md")
+    front = F.regexp_extract("value", r"(?s)\A---\s*\n(.*?)\n---\s*\n", 1)
+    field_ = lambda name: F.nullif(F.trim(F.regexp_extract(front, rf"(?m)^{name}:\s*[\"']?(.*?)[\"']?\s*$", 1)), F.lit(""))
+    body = F.regexp_replace(F.regexp_replace("value", r"(?s)\A---\s*\n.*?\n---\s*\n", ""), r"\A\s+|\s+\z", "")
+    stem = F.regexp_extract("file", r"([^/]+?)(\.md)?$", 1)
+    return own.select("file", F.coalesce(field_("name"), field_("title"), stem).alias("title"), F.coalesce(field_("kind"), F.lit("note")).alias("kind"), body.alias("body"))
