@@ -67,7 +67,7 @@ class _Texts:
         self.edge = np.concatenate(([0], np.cumsum(size)))
         self.which = np.array(use, np.int64)
         self.data = np.frombuffer(b"".join(texts[i] for i in use), np.uint8)
-        parts, step = [], 4 << 20
+        parts, step = [], 1 << 20
         a = 0
         while a < len(use):  # some documents at a time, for small temporaries
             b = max(a + 1, int(np.searchsorted(self.edge, self.edge[a] + step, "right")) - 1)
@@ -81,6 +81,16 @@ class _Texts:
         self.id = np.array([ids[i] for i in use], np.int64)[self.doc] if use else none
 
 
+def _pressed(*columns: np.ndarray) -> bytes:
+    """Arrays one after the other, compressed, behind their size."""
+    raw = b"".join(c.tobytes() for c in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpressed(packed: bytes, at: int = 0) -> bytes:
+    return pa.decompress(packed[at + 8 :], int.from_bytes(packed[at : at + 8], "little"), codec="zstd", asbytes=True)
+
+
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
@@ -110,7 +120,7 @@ def _anchors(buckets: int):
                 for k, part in _slices(_bucket(h, buckets)):
                     out[0].append(k)
                     out[1].append(b)
-                    out[2].append(h[part].tobytes() + lo[part].tobytes() + hi[part].tobytes())
+                    out[2].append(_pressed(h[part], lo[part], hi[part] - lo[part]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["bucket", "batch", "packed"])
 
     return work
@@ -122,11 +132,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own += batch.column("batch").to_pylist()
         packed += batch.column("packed").to_pylist()
-    parts = [np.frombuffer(p, np.uint64).reshape(3, -1) for p in packed]
+    parts = [np.frombuffer(_unpressed(p), np.uint64).reshape(3, -1) for p in packed]
     if not parts:
         return
     h, lo, hi = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    lo, hi = lo.view(np.int64), hi.view(np.int64)
+    lo, hi = lo.view(np.int64), (lo + hi).view(np.int64)
     order = np.argsort(h, kind="stable")
     first = np.flatnonzero(np.diff(h[order], prepend=h[order][:1] - np.uint64(1)))
     more = np.minimum.reduceat(lo[order], first) < np.maximum.reduceat(hi[order], first)
@@ -140,8 +150,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["batch", "hashes"])
 
 
-#: One run of windows as it travels: hash, id, row, place in the text, windows, first byte in the packed bytes, anchor less start.
-_RUN = np.dtype([("hash", "<u8"), ("id", "<i8"), ("row", "<i8"), ("start", "<i4"), ("count", "<i2"), ("anchor", "<i2")])
+#: One run of windows as it travels: id, row, place in the text, windows, anchor less start.
+_RUN = np.dtype([("id", "<i8"), ("row", "<i8"), ("start", "<i4"), ("count", "<i2"), ("anchor", "<i2")])
 _HIT = np.dtype([("row", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
@@ -163,7 +173,7 @@ def _windows(buckets: int):
             own = np.flatnonzero(np.isin(t.hash, wanted))
             run = np.zeros(len(own), _RUN)
             doc = t.doc[own]
-            run["hash"], run["id"], run["row"] = t.hash[own], t.id[own], rows[t.which[doc]] if len(own) else 0
+            run["id"], run["row"] = t.id[own], rows[t.which[doc]] if len(own) else 0
             run["start"], run["count"], run["anchor"] = t.start[own] - t.edge[doc], t.count[own], t.anchor[own] - t.start[own]
             size = t.count[own] + LENGTH - 1
             raw = t.data.tobytes()
@@ -180,12 +190,14 @@ def _windows(buckets: int):
                 out[1].append(b)
                 out[2].append(b"\0" + again.tobytes())
             go = np.flatnonzero(first)
-            go = go[np.argsort(_bucket(run["hash"][go], buckets), kind="stable")]
-            for k, part in _slices(_bucket(run["hash"][go], buckets)):
+            key = _bucket(t.hash[own], buckets)
+            go = go[np.argsort(key[go], kind="stable")]
+            for k, part in _slices(key[go]):
                 i = go[part]
                 out[0].append(k)
                 out[1].append(b)
-                out[2].append(b"\1" + np.int64(len(i)).tobytes() + run[i].tobytes() + _gathered(t.data, t.start[own[i]], size[i]).tobytes())
+                columns = [np.ascontiguousarray(run[c][i]) for c in _RUN.names]
+                out[2].append(b"\1" + _pressed(np.int64(len(i)), *columns, _gathered(t.data, t.start[own[i]], size[i])))
         return pa.table({"bucket": pa.array(out[0], pa.int32()), "batch": pa.array(out[1], pa.int64()), "packed": pa.array(out[2], pa.binary())})
 
     return work
@@ -242,12 +254,17 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if p[0] == 0:
                 out.append((b, p[1:]))
                 continue
-            n = int(np.frombuffer(p, "<i8", 1, 1)[0])
-            runs.append(np.frombuffer(p, _RUN, n, 9))
-            raw.append(p[9 + n * _RUN.itemsize :])
-            where += [b] * n
+            p = _unpressed(p, 1)
+            n, at = int.from_bytes(p[:8], "little"), 8
+            run = np.zeros(n, _RUN)
+            for c in _RUN.names:
+                run[c] = np.frombuffer(p, _RUN[c], n, at)
+                at += n * _RUN[c].itemsize
+            runs.append(run)
+            raw.append(p[at:])
+            where.append(np.full(n, b))
     if runs:
-        run, data, where = np.concatenate(runs), np.frombuffer(b"".join(raw), np.uint8), np.array(where)
+        run, data, where = np.concatenate(runs), np.frombuffer(b"".join(raw), np.uint8), np.concatenate(where)
         size = run["count"].astype(np.int64) + LENGTH - 1
         base = np.cumsum(size) - size
         hits = []
