@@ -129,7 +129,7 @@ def first_sentence(text: Column) -> Column:
 
 def timestamp_of(text: Column) -> Column:
     """ISO times with blank or T, Z or offset, any fraction; seconds or milliseconds since 1970; else 1970."""
-    number = F.expr("try_cast(_x as double)") if isinstance(text, str) else F.try_to_number(F.regexp_extract(text, r"^(\d{1,16})(\.\d+)?$", 1), F.lit("9999999999999999")).cast("double")
+    number = F.try_to_number(F.regexp_extract(text, r"^(\d{1,16})(\.\d+)?$", 1), F.lit("9999999999999999")).cast("double")
     seconds = F.when(number > 1e12, number / 1000).otherwise(number)
     iso = F.regexp_replace(F.regexp_replace(text, r"(\.\d{6})\d+", "$1"), "T", " ")
     return F.coalesce(F.timestamp_seconds(seconds), F.try_to_timestamp(iso), F.timestamp_seconds(F.lit(0)))

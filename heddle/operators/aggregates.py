@@ -43,8 +43,8 @@ def daily_series(sessions: DataFrame, first: str, last: str) -> DataFrame:
     days = spark.sql(f"SELECT explode(sequence(date'{first}', date'{last}', interval 1 day)) AS day")  # as many rows as days
     counts = sessions.groupBy(F.to_date(F.coalesce("updated", "created")).alias("day")).agg(F.count("*").alias("n"))
     out = days.join(counts, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("sessions"))
-    peak = out.agg(F.greatest(F.max("sessions"), F.lit(1)).alias("peak"))
-    return out.join(F.broadcast(peak)).select("day", "sessions", (F.col("sessions") / F.col("peak")).alias("share"))
+    peak = F.greatest(F.max("sessions").over(Window.partitionBy()), F.lit(1))  # as many rows as days
+    return out.select("day", "sessions", (F.col("sessions") / peak).alias("share"))
 
 
 def token_costs(sessions: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
     def register(f: Callable[[Fixtures], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
         if sql:
-            SQL[name] = f"WITH {CTE.strip()}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().lstrip('+')}"
+            SQL[name] = f"WITH {'RECURSIVE ' if 'UNION ALL SELECT m.session_id' in sql else ''}{CTE.strip()}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().lstrip('+')}"
         return f
 
     return register
@@ -375,7 +375,9 @@ def _(fx):
     return O.capped(fx.tool_events, "session_id", [F.asc("event_id")], 2, 100).select("session_id", "event_id")
 
 
-@query("W07_P05_chunks")
+@query("W07_P05_chunks", """+ r AS (SELECT session_id, seq AS block, 1 AS chunk, length(content) AS size FROM fx_messages WHERE seq = 0
+  UNION ALL SELECT m.session_id, m.seq, CASE WHEN r.size + length(m.content) > 1500 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.size + length(m.content) > 1500 THEN length(m.content) ELSE r.size + length(m.content) END
+  FROM r JOIN fx_messages m ON m.session_id = r.session_id AND m.seq = r.block + 1) SELECT session_id, block, chunk FROM r""")
 def _(fx):
     return O.chunks(fx.messages.select("session_id", F.col("seq").alias("block"), F.length("content").alias("chars")), "session_id", 1500)
 
