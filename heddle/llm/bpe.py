@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a task's memory of encodings holds, and the longest word that goes there.
-MEMO_WORDS, MEMO_LENGTH = 500_000, 48
+MEMO_WORDS, MEMO_LENGTH = 150_000, 48
 #: Pairs of tokens whose compatibility a task remembers.
-MEMO_PAIRS = 2_000_000
+MEMO_PAIRS = 300_000
 #: Shift that marks a word's last symbol.
 _LAST = 0x4000
 _END = "</w>"
@@ -212,7 +212,7 @@ def tokenizer(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def _encode(path: str, id_type: pa.DataType, full: bool, digests: bool):
+def _encode(path: str, id_type: pa.DataType, full: bool, digests: bool, decoded: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
@@ -222,6 +222,7 @@ def _encode(path: str, id_type: pa.DataType, full: bool, digests: bool):
                 n.append(len(a) // 4)
                 if full:
                     ids.append(np.frombuffer(a, "<u4").astype(np.int32))
+                if decoded:
                     texts.append(b)
                 if digests:
                     ids_sha.append(hashlib.sha256(a).hexdigest())
@@ -230,20 +231,23 @@ def _encode(path: str, id_type: pa.DataType, full: bool, digests: bool):
             if digests:
                 cols |= {"ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
             if full:
-                cols |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
+                cols["ids"] = pa.array(ids, pa.list_(pa.int32()))
+            if decoded:
+                cols["decoded"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return encode
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True, digests: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, n_tokens, with digests ids_sha256 and decoded_sha256, with full ids and decoded.
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True, digests: bool = False, decoded: bool | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, n_tokens, with digests ids_sha256 and decoded_sha256, with full ids, with decoded (by default as full) the decoded text.
 
     path: the tokenizer file, on every executor. A null text counts as empty: no tokens. Repeated documents are
     separate rows; other columns are ignored; texts are encoded whole, and nothing is shuffled.
     """
+    decoded = full if decoded is None else decoded
     id_type = docs.schema[id_col].dataType.simpleString()
     arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    own = ", ids_sha256 string, decoded_sha256 string" * digests + ", ids array<int>, decoded string" * full
-    return rows.mapInArrow(_encode(path, arrow_id, full, digests), f"doc_id {id_type}, n_tokens long{own}")
+    own = ", ids_sha256 string, decoded_sha256 string" * digests + ", ids array<int>" * full + ", decoded string" * decoded
+    return rows.mapInArrow(_encode(path, arrow_id, full, digests, decoded), f"doc_id {id_type}, n_tokens long{own}")

@@ -30,7 +30,7 @@ EPOCHS = 100
 #: Score from which a text is predicted toxic, and the numbers that hold out a third of all rows.
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 3, 1
 #: Windows that one step of the recurrence works on.
-_MANY = 4096
+_MANY = 2048
 
 
 def word_inputs(data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -220,16 +220,16 @@ def train(texts: list[bytes], labels: list[int], seed: int = 1) -> Network:
     steps = min(STEPS, -(-EPOCHS * min(n) * 2 // BATCH))
     for step in range(steps):
         rows = np.concatenate([rng.choice(c, BATCH // 2) for c in by])
-        parts = [examples[i] for i in rows]
-        x, mask = np.concatenate([p.inputs(net, prior[i]) for i, p in zip(rows, parts, strict=True)]), np.concatenate([p.mask for p in parts])
+        drawn = [examples[i] for i in rows]
+        x, mask = np.concatenate([p.inputs(net, prior[i]) for i, p in zip(rows, drawn, strict=True)]), np.concatenate([p.mask for p in drawn])
         score = net.logits(*net.inputs(x), mask)
-        edge = np.concatenate(([0], np.cumsum([len(p.at) for p in parts])))
+        edge = np.concatenate(([0], np.cumsum([len(p.at) for p in drawn])))
         worst = np.array([a + int(score[a:b].argmax()) for a, b in zip(edge, edge[1:], strict=False)])
         want = np.array([labels[i] for i in rows], np.float32)
         g, dx, _ = net.gradients(x[worst], mask[worst], want)
         rate = RATE * (1 - 0.8 * step / steps)
         word_rows, word_grads, char_rows, char_grads = [], [], [], []
-        for j, (i, p) in enumerate(zip(rows, parts, strict=True)):
+        for j, (i, p) in enumerate(zip(rows, drawn, strict=True)):
             at = p.at[worst[j] - edge[j]][p.mask[worst[j] - edge[j]]]
             one, two, grams, first = p.slots
             d = dx[j][: len(at)]
