@@ -32,7 +32,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids."""
-    return bpe.encode_documents(docs, word_bpe_path(), full=True, digests=True).drop("decoded")
+    return bpe.encode_documents(docs, word_bpe_path(), full=True, digests=True, decoded=False)
 
 
 STAGES = [
