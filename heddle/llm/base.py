@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step works on; a single longer text makes a longer step.
@@ -119,6 +120,13 @@ def slabs(texts: list[bytes | None]) -> Iterator[tuple[int, int, bytes, np.ndarr
         first = last
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller pieces, so that results of a piece are on their way before the next is worked on."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def member(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which values are in the sorted table, and at which index (where they are)."""
     if not len(table):

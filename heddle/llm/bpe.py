@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.base import parts
+
 #: Words that a task's memory of encodings holds, and the longest word that goes there.
-MEMO_WORDS, MEMO_LENGTH = 150_000, 48
+MEMO_WORDS, MEMO_LENGTH = 300_000, 48
 #: Pairs of tokens whose compatibility a task remembers.
 MEMO_PAIRS = 300_000
 #: Shift that marks a word's last symbol.
@@ -86,7 +88,6 @@ class WordBpe:
         self._cut = regex.compile("|".join(map(regex.escape, self.special))).split if self.special else None
         self._special = regex.compile("|".join(map(regex.escape, self.special))).findall if self.special else None
         self._ids = _Memo(lambda w: np.array(self.encode_word(w), "<u4").tobytes(), MEMO_WORDS)
-        self._dec = _Memo(lambda w: " ".join(self.token[i] for i in np.frombuffer(self._word_ids(w), "<u4").tolist()), MEMO_WORDS)
 
     @staticmethod
     def _symbols(token: str) -> str:
@@ -173,27 +174,23 @@ class WordBpe:
         text = text.replace("Σ", "σ")  # lower case by single characters: no final sigma
         return self._split(text.lower())
 
-    def _coded(self, words: list[str]) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and their tokens joined by spaces."""
+    def _coded(self, words: list[str]) -> bytes:
+        """Ids of words as little-endian unsigned 32-bit integers."""
         if words and max(map(len, words)) > MEMO_LENGTH:
-            ids = b"".join(map(self._word_ids, words))
-            return ids, self.decode(np.frombuffer(ids, "<u4").tolist())
-        return b"".join(map(self._ids.__getitem__, words)), " ".join(map(self._dec.__getitem__, words))
+            return b"".join(map(self._word_ids, words))
+        return b"".join(map(self._ids.__getitem__, words))
 
     def encode_decode(self, text: str | None) -> tuple[bytes, str]:
         """(ids as little-endian unsigned 32-bit integers, what they decode to) of a whole text; null counts as empty."""
         text = text or ""
         if not self.special or not any(s in text for s in self.special):
-            return self._coded(self._pieces(text))
-        ids, out = [], []
-        for part, mark in zip(self._cut(text), [*self._special(text), None], strict=True):
-            a, b = self._coded(self._pieces(part))
-            ids.append(a)
-            out += [b] if b else []
-            if mark:
-                ids.append(np.array([self.special[mark]], "<u4").tobytes())
-                out.append(mark)
-        return b"".join(ids), " ".join(out)
+            ids = self._coded(self._pieces(text))
+        else:
+            parts_ = []
+            for part, mark in zip(self._cut(text), [*self._special(text), None], strict=True):
+                parts_ += [self._coded(self._pieces(part)), np.array([self.special[mark]] if mark else [], "<u4").tobytes()]
+            ids = b"".join(parts_)
+        return ids, self.decode(np.frombuffer(ids, "<u4").tolist())
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_decode(text)[0], "<u4").tolist()
@@ -215,7 +212,7 @@ def tokenizer(path: str) -> WordBpe:
 def _encode(path: str, id_type: pa.DataType, full: bool, digests: bool, decoded: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for batch in batches:
+        for batch in parts(batches):
             n, ids_sha, text_sha, ids, texts = [], [], [], [], []
             for text in batch.column("text"):
                 a, b = bpe.encode_decode(text.as_py())

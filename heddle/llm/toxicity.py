@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.base import member, mixed, slabs, words_of
+from heddle.llm.base import member, mixed, parts, slabs, words_of
 
 #: Words of a window and from one window's start to the next.
 WINDOW, STRIDE = 32, 24
@@ -325,7 +325,7 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scored(net, columns: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             score, where = scores(net.value, batch.column("__text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score), pa.array(where)], names=[*columns, "__score", "__worst"])
 
