@@ -160,10 +160,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     found = _components(rows, bits)
     return rows.join(found, "__fp").select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
-
-
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The first row of each component of near_duplicates, by id, with all its columns. docs must be a table: its rows are numbered twice."""
-    rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    kept = _components(rows, bits).select(F.col("first.row").alias("__row")).distinct()
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
