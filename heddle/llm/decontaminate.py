@@ -214,8 +214,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, in which no window of an item occurs. docs must be a table: its rows are numbered twice."""
-    row = F.monotonically_increasing_id()
-    found = _found(docs.select(row.alias("row"), F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), benchmark, item_col, item_text_col)
+    """The rows of docs, with all their columns, in which no window of an item occurs. Rows are numbered once, in a written table."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = _found(rows.select(F.col("__row").alias("row"), F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), benchmark, item_col, item_text_col)
     hit = written(found.filter(F.size("starts") > 0).select(F.col("row").alias("__row")), "hit")
-    return docs.withColumn("__row", row).join(hit, "__row", "left_anti").drop("__row")
+    return rows.join(hit, "__row", "left_anti").drop("__row")

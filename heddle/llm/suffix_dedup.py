@@ -97,7 +97,7 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 def _slices(key: np.ndarray) -> Iterator[tuple[int, slice]]:
     cut = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else []
-    for a, b in zip(cut, [*cut[1:], len(key)], strict=True):
+    for a, b in zip(cut, [*cut[1:], len(key)][: len(cut)], strict=True):
         yield int(key[a]), slice(int(a), int(b))
 
 
@@ -318,18 +318,17 @@ def _removed(left: pa.Table, right: pa.Table) -> pa.Table:
     )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed spans (starts, ends).
 
     Texts count as UTF-8 bytes; a byte goes if LENGTH bytes around it also start in a document with a smaller id, as
     the texts came in. A null text counts as empty. Rows with a null id are left whole and take nothing from others.
-    Rows with equal ids take nothing from each other. Other columns are ignored. docs is read more than once;
-    stable says that it gives the same rows in the same partitions each time, as tables do, else it is written first.
+    Rows with equal ids take nothing from each other. Other columns are ignored. Rows are numbered once, in
+    a written table: a scan that is planned again may be cut into other partitions and would number them otherwise.
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if not stable:
-        rows = written(rows, "docs")
+    rows = written(rows, "docs")
     stats = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     per = int(min(BATCH_ROWS, max(1, BATCH_BYTES * stats["n"] // max(1, stats["bytes"] or 0)))) if stats["n"] else 1
     rows = rows.withColumn("batch", F.floor(F.col("row") / per))
