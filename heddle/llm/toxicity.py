@@ -7,7 +7,6 @@ window a score; a text's score is that of its worst window, in training as well.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +20,8 @@ from heddle.llm.base import member, mixed, parts, slabs, words_of
 WINDOW, STRIDE = 32, 24
 #: Sizes: hashed word and trigram vectors, their length, the states of each direction.
 WORDS, CHARS, DIM, HIDDEN = 1 << 18, 1 << 12, 12, 12
-#: Documented bounds of training: labelled rows of each class, windows of each row; then its steps and rows in a step.
-ROWS_PER_CLASS, WINDOWS_PER_ROW, STEPS, BATCH = 2000, 10, 240, 48
+#: Documented bound of training: labelled rows of each class, read whole; then its steps and rows in a step.
+ROWS_PER_CLASS, STEPS, BATCH = 2000, 240, 48
 #: Step size, the trigram vectors' share of it, and the training texts that must hold a word for it to get a vector.
 RATE, CHAR_RATE, COMMON = 0.08, 0.1, 3
 #: Most times that training goes through the rarer class.
@@ -158,19 +157,16 @@ class Network:
 class _Example:
     """A training text: its words' slots, and which words stand in its windows."""
 
-    def __init__(self, text: bytes, rng: np.random.Generator):
+    def __init__(self, text: bytes):
         self.hashes, s, e = words_of(text)
         self.slots = word_inputs(text, s, e, self.hashes)
-        starts = windows_of(len(s))
-        starts = np.sort(rng.choice(starts, min(len(starts), WINDOWS_PER_ROW), replace=False))
-        at = starts[:, None] + np.arange(WINDOW)[None, :]
+        at = windows_of(len(s))[:, None] + np.arange(WINDOW)[None, :]
         self.mask = at < len(s)
         self.at = np.where(self.mask, at, len(s))
 
     def inputs(self, net: Network, prior: np.ndarray) -> np.ndarray:
-        """Inputs of the windows, (windows, WINDOW, DIM); prior: what to add to each word's input."""
-        x = net.embed(*self.slots) + prior
-        return np.concatenate([x, np.zeros((1, DIM), np.float32)])[self.at]
+        """Inputs of the words and of the place behind them; prior: what to add to each word's input."""
+        return np.concatenate([net.embed(*self.slots) + prior, np.zeros((1, DIM), np.float32)])
 
 
 def _log_odds(toxic: np.ndarray, clean: np.ndarray, n: tuple[int, int]) -> np.ndarray:
@@ -190,7 +186,7 @@ def _add_rows(param: np.ndarray, square: np.ndarray, rows: np.ndarray, grads: np
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = 1) -> Network:
-    """A network fitted to labelled texts: in each step as many of either class, each by its worst window of a few drawn ones.
+    """A network fitted to labelled texts: in each step as many of either class, each by its worst window of all as the network then is.
 
     Words that fewer than COMMON of the texts hold keep a zero vector: they would only tell single texts apart. The
     others start from their log odds along a fixed direction; while training, a text's own count is left out of them.
@@ -201,8 +197,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 1) -> Network:
         net.p["u"][:] = 0
         net.p["c"][:] = 0 if not len(labels) else (-3 if len(by[0]) else 3)
         return net
-    examples = [_Example(t, rng) for t in texts]
-    distinct = [np.unique(x.hashes) for x in examples]
+    distinct = [np.unique(words_of(t)[0]) for t in texts]
     seen, counts = np.unique(np.concatenate(distinct), return_counts=True)
     common = seen[counts >= COMMON]
     held = np.zeros((2, len(common)), np.int64)
@@ -211,29 +206,30 @@ def train(texts: list[bytes], labels: list[int], seed: int = 1) -> Network:
     n = (len(by[0]), len(by[1]))
     odds = [_log_odds(held[1], held[0] - 1, n), _log_odds(held[1] - 1, held[0], n)]
     along = (rng.normal(size=DIM) * DIM**-0.5).astype(np.float32)
-    known, prior = [], []
-    for label, x in zip(labels, examples, strict=True):
-        own, at = member(x.hashes, common)
-        known.append(own)
-        prior.append((np.where(own, odds[label][at] if len(common) else 0, 0)[:, None] * along).astype(np.float32))
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     steps = min(STEPS, -(-EPOCHS * min(n) * 2 // BATCH))
     for step in range(steps):
         rows = np.concatenate([rng.choice(c, BATCH // 2) for c in by])
-        drawn = [examples[i] for i in rows]
-        x, mask = np.concatenate([p.inputs(net, prior[i]) for i, p in zip(rows, drawn, strict=True)]), np.concatenate([p.mask for p in drawn])
-        score = net.logits(*net.inputs(x), mask)
+        drawn, known, x = [_Example(texts[i]) for i in rows], [], []  # made anew, as the slots of all texts take much more than the texts
+        for i, p in zip(rows, drawn, strict=True):
+            own, at = member(p.hashes, common)
+            known.append(own)
+            x.append(p.inputs(net, (np.where(own, odds[labels[i]][at] if len(common) else 0, 0)[:, None] * along).astype(np.float32)))
+        base = np.cumsum([0, *(len(y) for y in x[:-1])])
+        x, mask, at = np.concatenate(x), np.concatenate([p.mask for p in drawn]), np.concatenate([p.at + b for b, p in zip(base, drawn, strict=True)])
+        xw = net.inputs(x)
+        score = np.concatenate([net.logits(*(y[at[a : a + _MANY]] for y in xw), mask[a : a + _MANY]) for a in range(0, len(at), _MANY)])
         edge = np.concatenate(([0], np.cumsum([len(p.at) for p in drawn])))
         worst = np.array([a + int(score[a:b].argmax()) for a, b in zip(edge, edge[1:], strict=False)])
         want = np.array([labels[i] for i in rows], np.float32)
-        g, dx, _ = net.gradients(x[worst], mask[worst], want)
+        g, dx, _ = net.gradients(x[at[worst]], mask[worst], want)
         rate = RATE * (1 - 0.8 * step / steps)
         word_rows, word_grads, char_rows, char_grads = [], [], [], []
-        for j, (i, p) in enumerate(zip(rows, drawn, strict=True)):
+        for j, p in enumerate(drawn):
             at = p.at[worst[j] - edge[j]][p.mask[worst[j] - edge[j]]]
             one, two, grams, first = p.slots
             d = dx[j][: len(at)]
-            own = known[i][at] if len(at) else np.zeros(0, bool)
+            own = known[j][at] if len(at) else np.zeros(0, bool)
             word_rows += [one[at][own], two[at][own]]
             word_grads += [d[own], d[own]]
             size = np.diff(np.append(first, len(grams)))[at]
@@ -302,27 +298,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return train([], [])
     share = F.coalesce(*(F.when(F.col("label") == c, min(1.0, ROWS_PER_CLASS / n)) for c, n in counts.items()))
     own = own.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
-    # about 2 ROWS_PER_CLASS rows by construction
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id").mapInArrow(_drawn, "id string, label int, text binary").collect()
+    # about 2 ROWS_PER_CLASS rows by construction, with their whole texts
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).join(F.broadcast(own), "id").select(F.col("id").cast("string"), F.col("label").cast("int"), "text").collect()
     rows = sorted({(r["id"], r["label"], bytes(r["text"])) for r in rows})
     return train([r[2] for r in rows], [r[1] for r in rows], seed)
 
 
-def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each training text the words of WINDOWS_PER_ROW windows, drawn by its own checksum; short texts whole."""
-    for batch in batches:
-        texts = []
-        for t in batch.column("text").cast(pa.binary()).to_pylist():
-            t = t or b""
-            _, s, e = words_of(t)
-            starts = windows_of(len(s))
-            if len(starts) > WINDOWS_PER_ROW:
-                starts = np.sort(np.random.default_rng(zlib.crc32(t)).choice(starts, WINDOWS_PER_ROW, replace=False))
-                t = b" ".join(t[s[a] : e[a + WINDOW - 1]] for a in starts)
-            texts.append(t)
-        yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label").cast(pa.int32()), pa.array(texts, pa.binary())], names=["id", "label", "text"])
-
-
 def _scored(net, columns: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):

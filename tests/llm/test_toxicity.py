@@ -83,3 +83,17 @@ def test_filter_keeps_columns_and_no_labels(spark):
     none = spark.createDataFrame([], LABEL)
     assert len(set(r.score for r in T.score_toxicity(frame, none).collect())) == 1
     assert T.score_toxicity(frame.limit(0), none).collect() == []
+
+
+def test_one_passage_of_a_long_text_is_learnt(spark):
+    rng = random.Random(7)
+    docs, labels = [], []
+    for i in range(240):
+        w = [f"w{rng.randrange(400)}" for _ in range(1500)]
+        if i % 2:
+            at = rng.randrange(1490)
+            w[at : at + 6] = rng.choices(["GRUFF", "snark", "öde"], k=6)
+        docs.append((i, " ".join(w), "x", 1))
+        labels.append((i, 1, i % 2))
+    out = T.score_toxicity(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL)).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in out if r.held_out]) > 0.9
