@@ -1,7 +1,7 @@
 """Secret scans with structural confirmation.
 
-Three base patterns report what they match. Runs of base64 or hex are candidates only: they are decoded, and
-reported if the bytes parse as a private key (DER with nested lengths that fit, or an OpenSSH key) or if the text is a
+Three base patterns report what they match. Runs of base64 or hex are candidates only: they are decoded
+(base64 from each place where a key can begin, over line ends that may be escaped or indented), and reported if the bytes parse as a private key (DER with nested lengths that fit, or an OpenSSH key) or if the text is a
 signed token whose header decodes to JSON that names an algorithm.
 """
 
@@ -31,7 +31,11 @@ _RANK = {k: i for i, k in enumerate(KINDS)}
 
 #: Shortest runs that are candidates for decoding.
 HEX_RUN, BASE64_RUN = 24, 40
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: A line's end inside a run, as it is or escaped, and what indents the lines.
+_BREAK = re.compile(r"[\x20\t]*(?:\r?\n|\\+r\\+n|\\+n)[\x20\t]*")
+_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{40,}}(?:{_BREAK.pattern}[A-Za-z0-9+/_-]+)*={{0,2}}")
+#: How a DER sequence and an OpenSSH key begin in base64.
+_HEADER = re.compile("M[A-I]|b3BlbnNzaC1rZXktdjEA")
 _HEXES = re.compile(r"[0-9A-Fa-f]{64,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[A-Za-z0-9_-]{7,})\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _OPENSSH = b"openssh-key-v1\0"
@@ -98,20 +102,40 @@ def _decoded64(run: str) -> bytes:
         return b""
 
 
-def _confirmed(run: str, data: bytes, per: float) -> tuple[str, int] | None:
-    """(kind, characters) if the decoded bytes are a private key; per: characters of the run for each byte."""
-    if data.startswith(_OPENSSH):
-        return "openssh", len(run)
-    n = private_key_length(data)
-    if not n:
-        return None
-    need, used, at = -(-n * per // 1), 0, 0
-    while at < len(run) and used < need:
-        used += run[at] not in "\r\n"
-        at += 1
-    while at < len(run) and run[at] == "=":
-        at += 1
-    return "key", at
+def _outer_length(data: bytes) -> int:
+    """Bytes that a private key with such a header takes; 0 if the header is another."""
+    if len(data) < 2 or data[0] != 0x30:
+        return 0
+    n, at = data[1], 2
+    if n >= 0x80:
+        at += n & 0x7F
+        n = int.from_bytes(data[2:at], "big")
+    return at + n if data[at : at + 3] in (b"\x02\x01\0", b"\x02\x01\1") else 0
+
+
+def _keys64(run: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the private keys that begin anywhere in a run of base64."""
+    base, to = [], 0  # the places of the run's characters, without the line ends
+    for m in _BREAK.finditer(run):
+        base.append(np.arange(to, m.start()))
+        to = m.end()
+    place = np.concatenate([*base, np.arange(to, len(run.rstrip("=")))])
+    text = "".join(run[p[0] : p[-1] + 1] for p in base if len(p)) + run[to:].rstrip("=")
+    done = 0
+    for m in _HEADER.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        if m[0] != "b3BlbnNzaC1rZXktdjEA":
+            n = _outer_length(_decoded64(text[at : at + 16]))
+            done_at = at - (-4 * n // 3)
+            if not n or done_at > len(text) or private_key_length(_decoded64(text[at:done_at])) != n:
+                continue
+            done, kind = done_at, "key"
+        else:
+            done, kind = len(text), "openssh"
+        end = len(run) if done == len(text) else int(place[done - 1]) + 1
+        yield int(place[at]), end, kind
 
 
 def spans_of(text: str, hexes: bool = True, runs: bool = True) -> list[tuple[int, int, str]]:
@@ -125,14 +149,14 @@ def spans_of(text: str, hexes: bool = True, runs: bool = True) -> list[tuple[int
     if hexes:
         out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
         for m in _HEXES.finditer(text):
-            found = _confirmed(m[0], bytes.fromhex(m[0][: len(m[0]) // 2 * 2]), 2)
-            if found:
-                out.append((m.start(), m.start() + found[1], found[0]))
+            data = bytes.fromhex(m[0][: len(m[0]) // 2 * 2])
+            if data.startswith(_OPENSSH):
+                out.append((m.start(), m.end(), "openssh"))
+            elif n := private_key_length(data):
+                out.append((m.start(), m.start() + 2 * n, "key"))
     if runs:
         for m in _BASE64.finditer(text):
-            found = _confirmed(m[0], _decoded64(m[0]), 4 / 3)
-            if found:
-                out.append((m.start(), m.start() + found[1], found[0]))
+            out += [(m.start() + a, m.start() + b, kind) for a, b, kind in _keys64(m[0])]
     if "." in text and "ey" in text:
         for m in _TOKEN.finditer(text):
             try:

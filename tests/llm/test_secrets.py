@@ -69,3 +69,22 @@ def test_masking_keeps_rows_and_columns(spark):
     out = mask_secrets(spark.createDataFrame(docs, DOC), mark="#")
     assert out.columns == ["doc_id", "text", "spans", "__x"]
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a # b", "s", 1), *docs[1:]], key=str)
+
+
+def test_keys_in_json_in_yaml_and_behind_other_characters():
+    key = rsa_key()
+    b64 = base64.b64encode(key).decode()
+    lines = [b64[i : i + 64] for i in range(0, len(b64), 64)]
+    ssh = base64.b64encode(b"openssh-key-v1\0" + b"none" * 40).decode()
+    for end in ("\n", "\r\n"):
+        pem = f"-----BEGIN PRIVATE KEY-----{end}{end.join(lines)}{end}-----END PRIVATE KEY-----{end}"
+        for text in (json.dumps({"k": pem}), json.dumps(json.dumps({"k": pem})), "k: |\n" + "".join(f"    {x}" for x in pem.splitlines(True)), pem.replace("\n", "\n\t"), "Q" * 70 + "\n" + pem):
+            (start, stop, kind), *more = spans_of(text)
+            assert kind == "key" and not more and text[start:].startswith("MI") and text[:stop].endswith(lines[-1])
+    assert spans_of(f"x{b64}") == [(1, 1 + len(b64), "key")]
+    assert spans_of(f"Ab/{b64.rstrip('=')}9{b64}")[0] == (3, 3 + len(b64.rstrip("=")), "key") and len(spans_of(f"Ab/{b64.rstrip('=')}9{b64}")) == 2
+    ec = base64.b64encode(element(0x30, element(2, b"\1") + element(4, bytes(range(32))))).decode()
+    assert spans_of(f"xy{ec}") == [(2, 2 + len(ec), "key")]
+    text = json.dumps({"k": "-----BEGIN-----\n" + ssh[:70] + "\n" + ssh[70:]})
+    assert [(text[a:b].startswith("b3Bl"), k) for a, b, k in spans_of(text)] == [(True, "openssh")]
+    assert spans_of("MIIE" * 5000 + "MHcC" * 5000) == []
