@@ -2,7 +2,8 @@
 
 Rolling word k-gram hashes of the documents are joined to the places where the license templates have them. A hit
 votes for the diagonal (place in the document less place in the template); votes are counted by document, template
-and diagonal, neighbouring diagonals are merged, and a merged span holds if its votes cover enough of the template.
+and diagonal, neighbouring diagonals are merged, and a merged span holds if its votes cover enough of the template, and on
+one diagonal the words that decide between licenses.
 """
 
 from __future__ import annotations
@@ -38,6 +39,12 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
+#: Names and versions that decide between licenses: where a template has one, a span must have it whole, word after word.
+DECIDING = (
+    "the mit license", "apache license version 2 0", "gnu general public license version 3", "gnu general public license version 2", "gnu general public license",
+    "gnu lesser general public license", "cc by 4 0", "cc by nc 4 0", "cc by sa 4 0", "creative commons attribution 4 0", "mozilla public license v 2 0", "free and unencumbered software",
+)
+
 
 def _hashes(text: str) -> np.ndarray:
     return words_of(text.encode())[0]
@@ -52,6 +59,16 @@ def template_grams(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[i
     return out
 
 
+def deciding_places(text: str) -> list[int]:
+    """Places of the grams of the first deciding words that a template has."""
+    h = _hashes(text)
+    for own in map(_hashes, DECIDING):
+        for at in range(len(h) - len(own) + 1):
+            if (h[at : at + len(own)] == own).all():
+                return list(range(at, at + len(own) - K + 1))
+    return []
+
+
 def _scan(wanted: np.ndarray, id_type: pa.DataType):
     phrases = [(label, len(_hashes(p)), grams(_hashes(p), len(_hashes(p)))[0]) for p, label in PHRASES.items()]
 
@@ -113,12 +130,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     templates = F.broadcast(spark.createDataFrame(table, "gram long, template int, place int, label string, words int"))
     votes = seen.select("row", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("row", F.col("x.at").alias("at"), F.col("x.gram").alias("gram")).join(templates, "gram")
     lines = votes.groupBy("row", "template", "label", "words", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"))
+    must = F.create_map(*(c for t, (_, text) in enumerate(TEMPLATES) for c in (F.lit(t), F.array(*map(F.lit, deciding_places(text))).cast("array<int>"))))
+    lines = lines.withColumn("decided", F.size(F.array_except(must[F.col("template")], F.col("places").cast("array<int>"))) == 0)
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > MERGE, F.lit(True))
     lines = lines.withColumn("run", F.sum(apart.cast("int")).over(order))
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_set("places")), lambda p: F.sequence(p, p + K - 1)))))
-    spans = lines.groupBy("row", "template", "label", "words", "run").agg(covered.alias("covered"), F.min("first").alias("first"), (F.max("last") + K).alias("end"))
-    spans = spans.withColumn("cover", F.col("covered") / F.col("words")).filter(F.col("cover") >= COVER)
+    spans = lines.groupBy("row", "template", "label", "words", "run").agg(covered.alias("covered"), F.min("first").alias("first"), (F.max("last") + K).alias("end"), F.bool_or("decided").alias("decided"))
+    spans = spans.withColumn("cover", F.col("covered") / F.col("words")).filter((F.col("cover") >= COVER) & F.col("decided"))
     best = spans.groupBy("row").agg(F.collect_set("label").alias("own"), F.max("cover").alias("best"), F.sort_array(F.collect_list(F.struct("first", "end", "label", "cover"))).alias("spans"))
     out = seen.drop("at", "gram").join(best, "row", "left")
     none = F.array().cast("array<string>")

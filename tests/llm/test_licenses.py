@@ -47,3 +47,17 @@ def test_templates_are_found_where_they_stand(spark):
 
 def test_empty(spark):
     assert scan_licenses(spark.createDataFrame([], DOC)).collect() == []
+
+
+def test_labels_are_exactly_those_of_the_notice(spark):
+    notices = [(t, {label}) for label, t in TEMPLATES]
+    gpl = "licensed under the GNU {}General Public License{}"
+    notices += [(gpl.format("", ", version 1"), set()), (gpl.format("", ""), set()), (gpl.format("Affero ", ", version 3"), set())]
+    notices += [(gpl.format("Lesser ", f", version {v}"), {"lgpl"}) for v in ("2.1", "3")] + [(gpl.format("", ", version 2 or later"), {"gpl-2.0"})]
+    notices += [("subject to the terms of the Mozilla Public License, v. 1.1", set()), ("Licensed under the Apache License, Version 1.1", set()), ("licensed under CC BY-NC-SA 4.0", set()), ("licensed under CC BY 3.0", set())]
+    notices += [(TEMPLATES[5][1].replace("GNU", "GNU Lesser"), set())]
+    docs = [(i, f"before it {t} after it", 0, "") for i, (t, _) in enumerate(notices)]
+    for r in scan_licenses(spark.createDataFrame(docs, DOC)).collect():
+        t, want = notices[r.doc_id]
+        assert {s.label for s in r.spans or []} == want, t
+        assert set(r.labels.split(",")) - {""} == want | set(base(t)[4].split(",")) - {""}, t
