@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from heddle.llm.base import member, mixed, parts, slabs, words_of
 
-#: Words of a window and from one window's start to the next.
-WINDOW, STRIDE = 32, 24
+#: Words of a window and from one window's start to the next: what has up to half a window's words is whole in one.
+WINDOW, STRIDE = 32, 16
 #: Sizes: hashed word and trigram vectors, their length, the states of each direction.
 WORDS, CHARS, DIM, HIDDEN = 1 << 18, 1 << 12, 12, 12
 #: Documented bound of training: labelled rows of each class, read whole; then its steps and rows in a step.

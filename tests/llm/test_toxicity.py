@@ -97,3 +97,10 @@ def test_one_passage_of_a_long_text_is_learnt(spark):
         labels.append((i, 1, i % 2))
     out = T.score_toxicity(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL)).collect()
     assert np.mean([r.predicted == r.doc_id % 2 for r in out if r.held_out]) > 0.9
+
+
+def test_short_passages_are_whole_in_a_window():
+    for n in (33, 100, 257):
+        starts = T.windows_of(n)
+        for size in range(1, 17):
+            assert all(((starts <= at) & (at + size <= starts + T.WINDOW)).any() for at in range(n - size + 1))
