@@ -288,9 +288,9 @@ def held_out(id_: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 1) -> Network:
-    """A network fitted to at most about ROWS_PER_CLASS labelled rows of either class, none of them held out.
+    """A network fitted to at most ROWS_PER_CLASS labelled rows of either class, none of them held out.
 
-    The rows are drawn by a hash of the id, so the sample depends on the ids alone.
+    Labels are drawn by a hash of the id, and where the drawn ids have more distinct rows, those by a hash of the row.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
     counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -298,8 +298,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return train([], [])
     share = F.coalesce(*(F.when(F.col("label") == c, min(1.0, ROWS_PER_CLASS / n)) for c, n in counts.items()))
     own = own.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
-    # about 2 ROWS_PER_CLASS rows by construction, with their whole texts
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).join(F.broadcast(own), "id").select(F.col("id").cast("string"), F.col("label").cast("int"), "text").collect()
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(own), "id").select(F.col("id").cast("string"), F.col("label").cast("int"), "text").distinct()
+    # an id may have many rows: at most ROWS_PER_CLASS of each class come to the driver, with their whole texts
+    drawn = [rows.filter(F.col("label") == c).orderBy(F.xxhash64("id", "text", F.lit(seed)), "id", "text").limit(ROWS_PER_CLASS) for c in (0, 1)]
+    rows = drawn[0].unionAll(drawn[1]).collect()
     rows = sorted({(r["id"], r["label"], bytes(r["text"])) for r in rows})
     return train([r[2] for r in rows], [r[1] for r in rows], seed)
 

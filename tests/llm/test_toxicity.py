@@ -104,3 +104,15 @@ def test_short_passages_are_whole_in_a_window():
         starts = T.windows_of(n)
         for size in range(1, 17):
             assert all(((starts <= at) & (at + size <= starts + T.WINDOW)).any() for at in range(n - size + 1))
+
+
+def test_an_id_with_many_rows_does_not_go_to_the_driver_whole(spark, monkeypatch):
+    monkeypatch.setattr(T, "ROWS_PER_CLASS", 8)
+    got = []
+    monkeypatch.setattr(T, "train", lambda texts, labels, seed=1: got.append((texts, labels)))
+    own = [i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1][:4]
+    docs = [(own[0], f"text {k % 100}", "", 1) for k in range(300)] + [(i, f"other {i}", "", 1) for i in own[1:]]
+    labels = [(i, 1, int(i == own[0])) for i in own]
+    T.fit(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL))
+    (texts, kinds), = got
+    assert sum(kinds) == 8 and len(kinds) == 8 + 3 and len(set(texts)) == len(texts)
