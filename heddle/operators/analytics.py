@@ -14,15 +14,16 @@ RULE_WORDS = ("must", "should", "avoid", "do not", "never", "always", "best prac
 CUTS = {"user": (3000, 2000, 1000), "assistant": (2000, 1400, 600), "tool": (600, 300, 200)}
 
 
-def rules(messages: DataFrame, most: int = RULES) -> DataFrame:
-    """(sentence, score, sessions): sentences of assistants that state rules, the best first, then those seen first."""
+def rules(messages: DataFrame, most: int | None = RULES) -> DataFrame:
+    """(sentence, score, sessions): sentences of assistants that state rules, the best first, then those seen first; most: None is all of them."""
     parts = F.split("content", r"(?<=[.!?])\s+")
     rows = messages.filter("role = 'assistant'").select("session_id", "seq", F.posexplode(parts).alias("n", "sentence")).withColumn("sentence", F.trim("sentence"))
     low = F.lower("sentence")
     score = sum((low.contains(w).cast("int") for w in RULE_WORDS), F.lit(0))
     rows = rows.filter(F.length("sentence").between(*RULE_CHARS)).withColumn("score", score).filter("score > 0")
     own = rows.groupBy("sentence").agg(F.max("score").alias("score"), F.min(F.struct("session_id", "seq", "n")).alias("first"), F.count_distinct("session_id").alias("sessions"))
-    return own.orderBy(F.desc("score"), "first").limit(most).select("sentence", "score", "sessions")
+    own = own.orderBy(F.desc("score"), "first")
+    return (own if most is None else own.limit(most)).select("sentence", "score", "sessions")
 
 
 def recommendations(messages: DataFrame, sessions: DataFrame) -> DataFrame:

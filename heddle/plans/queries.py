@@ -584,7 +584,7 @@ def _(fx):
 def _(fx):
     from heddle.operators import analytics
 
-    return analytics.rules(fx.messages, 1_000_000)
+    return analytics.rules(fx.messages, None)
 
 
 @query("P04_W05_W06_compressed_blocks", """+ t AS (SELECT session_id, seq, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'tool' END AS role, trim(content) AS c FROM fx_messages),

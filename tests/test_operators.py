@@ -154,3 +154,10 @@ def test_job_states(spark):
     at = lambda n: datetime(2026, 1, 1, 0, n)
     log = spark.createDataFrame([("j", 1, "pending", at(0)), ("j", 1, "complete", at(1)), ("j", 1, "failed", at(2)), ("j", 2, "pending", at(0)), ("k", 1, "complete", at(0))], "job_id string, chunk int, status string, at timestamp")
     assert sorted(tuple(r) for r in I.job_states(log).collect()) == [("j", 2, 1, "running", 2), ("k", 1, 1, "complete", None)]
+
+
+def test_the_rules_query_has_no_limit(spark):
+    from heddle.plans.queries import QUERIES
+
+    plan = QUERIES["P07_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Aggregate" in plan
