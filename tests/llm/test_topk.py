@@ -43,3 +43,30 @@ def test_large_components_stay_exact(spark):
     rows = [(i, [1e6 + i * 7.0, -1e6 + i]) for i in range(60)]
     out = T.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert sorted(map(tuple, out)) == brute(rows)
+
+
+@pytest.mark.parametrize("scale", [3e6, 6e6])
+def test_scores_beyond_doubles_are_exact(spark, scale):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in scale * rng.normal(size=4)]) for i in range(90)]
+    out = T.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    expected = brute(rows)
+    assert max(abs(s) for *_, s in expected) > 2**53
+    assert sorted(map(tuple, out)) == expected
+
+
+def test_products_of_any_size():
+    big = np.array([[2**40, 3], [-(2**62), 2**62], [5, -7]], np.int64)
+    exact = [[int(a) * int(c) + int(b) * int(d) for c, d in big.tolist()] for a, b in big.tolist()]
+    held = [[max(-(2**63) + 1, min(2**63 - 1, s)) for s in row] for row in exact]
+    assert T.products(big, big).tolist() == held
+    small = np.array([[2**30, 1]], np.int64)
+    assert T.products(small, small).tolist() == [[2**60 + 1]]
+
+
+def test_components_that_no_integer_holds(spark):
+    rows = [(i, [1e30 * (1 if i % 2 else -1), 1.0]) for i in range(41)]
+    out = T.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in sorted(out)] == [
+        (q, k + 1, i, 2**63 - 1) for q in (0, 20, 40) for k, i in enumerate([x for x in range(0, 41, 2) if x != q][:3])
+    ]
