@@ -23,11 +23,13 @@ _MASK = (1 << 64) - 1
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir, or on one machine one of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="heddle-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -44,6 +46,23 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forgotten(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores behind it as it takes to clash with none, case aside."""
+    have, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def powers(n: int, base: int = _ODD) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     out = np.full(max(n, 1), np.uint64(base | 1), np.uint64)

@@ -1,8 +1,9 @@
 """Secret scans with structural confirmation.
 
 Three base patterns report what they match. Runs of base64 or hex are candidates only: they are decoded
-(base64 from each place where a key can begin, over line ends that may be escaped or indented), and reported if the bytes parse as a private key (DER with nested lengths that fit, or an OpenSSH key) or if the text is a
-signed token whose header decodes to JSON that names an algorithm.
+(base64 from each place where a key can begin, over line ends that may be escaped or indented), and reported if the
+bytes parse as a private key (DER or OpenSSH, all nested lengths of which fit) or if the text is a signed token whose
+header decodes to JSON that names an algorithm.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from heddle.llm.base import slabs
+from heddle.llm.base import free_names, slabs
 
 #: The base patterns, in the order in which kinds are listed, and the least lengths of what they report.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -73,6 +74,60 @@ def _der(data: bytes, at: int = 0) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= len(data) else None
 
 
+def _inner_key(data: bytes) -> bool:
+    """Whether the octets inside a PKCS#8 key are one element, whole: a sequence that begins with a version number, or octets."""
+    own = _der(data)
+    if own is None or own[2] != len(data):
+        return False
+    first = _der(data[: own[2]], own[1])
+    return own[0] == 0x04 and own[2] > own[1] or own[0] == 0x30 and first is not None and first[0] == 0x02 and first[2] <= own[2]
+
+
+class _More(Exception):
+    """Parsing needs so many bytes."""
+
+
+def openssh_length(data: bytes, limit: int | None = None) -> int:
+    """Bytes that an OpenSSH private key at the start of data takes; 0 if there is none. limit: how many there are where data has only the first of them."""
+    limit = len(data) if limit is None else limit
+
+    def part(at: int, size: int) -> int:
+        if at + size > limit:
+            raise ValueError
+        if at + size > len(data):
+            raise _More(at + size)
+        return at + size
+
+    def string(at: int) -> tuple[int, int]:
+        start = part(at, 4)
+        return start, part(start, int.from_bytes(data[at:start], "big"))
+
+    try:
+        if not data.startswith(_OPENSSH):
+            return 0
+        at, names = len(_OPENSSH), []
+        for _ in range(3):  # cipher, key derivation and its options
+            start, at = string(at)
+            names.append(data[start:at])
+        if not all(re.fullmatch(rb"[a-z0-9@.-]+", n) for n in names[:2]):
+            return 0
+        count = int.from_bytes(data[at : (after := part(at, 4))], "big")
+        at = after
+        if not 1 <= count <= 64:
+            return 0
+        for _ in range(count):
+            start, at = string(at)
+            kind_at, kind_end = string(start)
+            if kind_end > at or not re.fullmatch(rb"[A-Za-z0-9@.-]+", data[kind_at:kind_end]):
+                return 0
+        start, at = string(at)
+        if at - start < 8 or (at - start) % 8 or (names[0] == b"none" and data[start : start + 4] != data[start + 4 : start + 8]):
+            return 0
+        return at
+    except ValueError:
+        return 0
+
+
 def private_key_length(data: bytes) -> int:
     """Bytes that a DER private key (PKCS#1, PKCS#8 or SEC 1) at the start of data takes; 0 if there is none."""
     outer = _der(data)
@@ -89,7 +144,7 @@ def private_key_length(data: bytes) -> int:
     if not parts or parts[0][0] != 0x02 or parts[0][1] not in (b"\0", b"\1"):
         return 0
     rsa = tags[:9] == [0x02] * 9 and len(parts[1][1]) >= 16
-    pkcs8 = tags[:3] == [0x02, 0x30, 0x04] and (x := _der(parts[1][1])) is not None and x[0] == 0x06
+    pkcs8 = tags[:3] == [0x02, 0x30, 0x04] and (x := _der(parts[1][1])) is not None and x[0] == 0x06 and _inner_key(parts[2][1])
     ec = tags[:2] == [0x02, 0x04] and parts[0][1] == b"\1" and 16 <= len(parts[1][1]) <= 66
     return outer[2] if rsa or pkcs8 or ec else 0
 
@@ -113,6 +168,16 @@ def _outer_length(data: bytes) -> int:
     return at + n if data[at : at + 3] in (b"\x02\x01\0", b"\x02\x01\1") else 0
 
 
+def _openssh64(text: str, at: int) -> int:
+    """Bytes that an OpenSSH key takes whose base64 begins at that place; only as much of the run is decoded as its lengths ask for."""
+    need, limit = 64, (len(text) - at) * 3 // 4
+    while True:
+        try:
+            return openssh_length(_decoded64(text[at : at + -(-need // 3) * 4])[:limit], limit)
+        except _More as more:
+            need = more.args[0]
+
+
 def _keys64(run: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of the private keys that begin anywhere in a run of base64."""
     base, to = [], 0  # the places of the run's characters, without the line ends
@@ -133,7 +198,11 @@ def _keys64(run: str) -> Iterator[tuple[int, int, str]]:
                 continue
             done, kind = done_at, "key"
         else:
-            done, kind = len(text), "openssh"
+            n = _openssh64(text, at)
+            done_at = at - (-4 * n // 3)
+            if not n:
+                continue
+            done, kind = done_at, "openssh"
         end = len(run) if done == len(text) else int(place[done - 1]) + 1
         yield int(place[at]), end, kind
 
@@ -150,8 +219,8 @@ def spans_of(text: str, hexes: bool = True, runs: bool = True) -> list[tuple[int
         out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
         for m in _HEXES.finditer(text):
             data = bytes.fromhex(m[0][: len(m[0]) // 2 * 2])
-            if data.startswith(_OPENSSH):
-                out.append((m.start(), m.end(), "openssh"))
+            if n := openssh_length(data):
+                out.append((m.start(), m.start() + 2 * n, "openssh"))
             elif n := private_key_length(data):
                 out.append((m.start(), m.start() + 2 * n, "key"))
     if runs:
@@ -168,11 +237,11 @@ def spans_of(text: str, hexes: bool = True, runs: bool = True) -> list[tuple[int
     return sorted(out, key=lambda s: (s[0], _RANK[s[2]], s[1]))
 
 
-def _scan(columns: list[str], keep: bool, masked: bool, mark: str):
+def _scan(own_text: str, own_clean: str, columns: list[str], keep: bool, masked: bool, mark: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column("__text").cast(pa.binary()).to_pylist()
-            texts = batch.column("__text").to_pylist()
+            raw = batch.column(own_text).cast(pa.binary()).to_pylist()
+            texts = batch.column(own_text).to_pylist()
             counts = {k: [] for k in ("assign", "access", "hex")}
             digests, spans, clean = [], [], []
             for first, last, data, offsets in slabs(raw):
@@ -191,7 +260,7 @@ def _scan(columns: list[str], keep: bool, masked: bool, mark: str):
             own = [pa.array(counts[k], pa.int64()) for k in counts] + [pa.array(digests, pa.string()), pa.array(spans, pa.string())]
             names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
             if masked:
-                own, names = [pa.array(clean, pa.string())], ["__clean"]
+                own, names = [pa.array(clean, pa.string())], [own_clean]
             kept = [batch.column(c) for c in columns] if keep else []
             yield pa.RecordBatch.from_arrays([*kept, *own], names=[*(columns if keep else []), *names])
 
@@ -219,12 +288,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(_scan(["doc_id"], True, False, ""), f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(_scan("__text", "", ["doc_id"], True, False, ""), f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with each maximal run of overlapping spans in the text replaced by mark; all rows and columns stay, null texts too."""
-    rows = docs.withColumn("__text", F.col(text_col))
-    schema = StructType([*docs.schema.fields, StructField("__clean", StringType())])
-    out = rows.mapInArrow(_scan(docs.columns, True, True, mark), schema)
-    return out.select(*(F.col("__clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    """docs with each maximal run of overlapping spans in the text replaced by mark.
+
+    All rows and columns stay, repeated rows and columns of any name too; null and empty texts stay as they are; an empty
+    table gives an empty one.
+    """
+    own_text, own_clean = free_names(docs.columns, "__text", "__clean")
+    rows = docs.withColumn(own_text, F.col(text_col))
+    schema = StructType([*docs.schema.fields, StructField(own_clean, StringType())])
+    out = rows.mapInArrow(_scan(own_text, own_clean, docs.columns, True, True, mark), schema)
+    return out.select(*(F.col(own_clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from heddle.llm.base import new_path, written
 
-#: Equal payloads of so many bytes or more become revisits; payload bytes of one archive; index rows of one range.
-REVISIT_BYTES, ARCHIVE_BYTES, RANGE_ROWS = 100, 32 << 20, 1_000_000
+#: Equal payloads of so many bytes or more become revisits; payload bytes of one archive; index rows of one range; payloads
+#: that hold this share of the pages or more are common (so there are at most as many of them as the share's inverse).
+REVISIT_BYTES, ARCHIVE_BYTES, RANGE_ROWS, COMMON = 100, 32 << 20, 200_000, 1 / 1000
 _CRLF = "\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Seconds of the first capture's time where pages have no time of their own, which then follows the id.
@@ -42,38 +43,56 @@ def url_key(url: str | None) -> str:
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages as row, page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to; row only makes record ids distinct."""
+    """Pages as row, page_id, url, payload, payload_bytes, payload_digest, repeats, record_type, refers_to.
+
+    row only makes record ids distinct; repeats tells whether the payload has revisits. Common payloads meet their first
+    page through a broadcast of bounded size, the others through a join in which no digest has many pages.
+    """
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
+    total = pages.count()
     equal = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(equal, "payload_digest", "left")
-    again = F.col("n").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    equal = written(equal, "equal")
+    common = F.col("n") >= F.lit(max(2.0, total * COMMON))
+    hot = equal.filter(common).select("payload_digest", F.col("first").alias("hot_first"), F.lit(True).alias("hot"))
+    cold = equal.filter(~common).select(F.col("payload_digest").alias("key"), "first", F.lit(True).alias("cold"))
+    rows = rows.join(F.broadcast(hot), "payload_digest", "left")  # 1 / COMMON rows at most
+    key = F.when(F.col("hot"), F.concat(F.lit("row "), F.col("row").cast("string"))).otherwise(F.col("payload_digest"))
+    rows = rows.withColumn("key", key).join(cold, "key", "left")
+    first, repeats = F.when(F.col("hot"), F.col("hot_first")).otherwise(F.col("first")), F.coalesce("hot", "cold", F.lit(False))
+    again = repeats & ~first.eqNullSafe(F.col("page_id"))
     return rows.select(
-        "row", "page_id", "url", "payload", "payload_bytes", "payload_digest",
+        "row", "page_id", "url", "payload", "payload_bytes", "payload_digest", repeats.alias("repeats"),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("first")).alias("refers_to"),
+        F.when(again, first).alias("refers_to"),
     )
 
 
-def _urn(page: str, *more: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), *more, F.lit(">"))
+def _urn(page: str, tail: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), tail, F.lit(">"))
 
 
 def write_archives(pages: DataFrame, path: str, records: int) -> None:
-    """Writes with_revisits' rows as gzipped WARC/1.1 files of so many records at most."""
+    """Writes with_revisits' rows as gzipped WARC/1.1 files of so many records at most.
+
+    A response that revisits refer to has its page id and the start of its digest as record id, so that a revisit can name
+    it; all other records have a row number as well. (Repeated rows of that page and payload share the id.)
+    """
     date = F.date_format(F.timestamp_seconds(F.lit(_EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     revisit = F.col("record_type") == "revisit"
+    digest = F.substring("payload_digest", 1, 16)
+    own = F.when(F.col("repeats") & ~revisit, digest).otherwise(F.concat_ws("-", digest, F.col("row").cast("string")))
     body = F.when(revisit, _HTTP).otherwise(F.concat(F.lit(_HTTP), "payload"))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     fields = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), "record_type"),
-        F.concat(F.lit("WARC-Record-ID: "), _urn("page_id", F.col("row").cast("string"))),
+        F.concat(F.lit("WARC-Record-ID: "), _urn("page_id", own)),
         F.concat(F.lit("WARC-Date: "), date),
         F.concat(F.lit("WARC-Target-URI: "), uri),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), "payload_digest"),
         F.concat(F.lit("WARC-Payload-Length: "), F.col("payload_bytes").cast("string")),
-        F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _urn("refers_to"))),
+        F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _urn("refers_to", digest))),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
@@ -174,18 +193,15 @@ class LoserTree:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges one range: its pieces of the runs come one after the other, each sorted."""
     parts = list(batches)
     if not parts:
         return
     table = pa.Table.from_batches(parts)
-    keys = list(zip(*(table.column(c).to_pylist() for c in ("urlkey", "ts", "run", "offset")), range(table.num_rows), strict=True))
     runs: dict[str, list] = {}
-    for key in keys:
+    for key in zip(*(table.column(c).to_pylist() for c in ("urlkey", "ts", "run", "offset")), range(table.num_rows), strict=True):
         runs.setdefault(key[2], []).append(key)
-    for run in runs.values():
-        if any(a > b for a, b in zip(run, run[1:], strict=False)):
-            run.sort()  # a fetched run may come in pieces
-    order = [key[4] for key in LoserTree([runs[r] for r in sorted(runs)])]
+    order = [key[4] for key in LoserTree(list(runs.values()))]
     at = TaskContext.get().partitionId()
     out = table.take(pa.array(order, pa.int64()))
     out = out.append_column("range_no", pa.array([at] * len(order), pa.int32())).append_column("range_pos", pa.array(range(len(order)), pa.int64()))
@@ -193,11 +209,16 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merged_index(runs: DataFrame) -> DataFrame:
-    """runs as capture histories: range_no and range_pos number the captures in order of URL key, time, archive and offset."""
+    """runs as capture histories: range_no and range_pos number the captures in order of URL key, time, archive and offset.
+
+    Ranges hold about RANGE_ROWS captures, however many there are; Spark's external sort lays each range's pieces of the
+    runs one after the other.
+    """
     runs = written(runs, "runs")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema) + ", range_no int, range_pos long"
     ranges = max(1, -(-runs.count() // RANGE_ROWS), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return runs.repartitionByRange(ranges, "urlkey", "ts", "run", "offset").mapInArrow(_merged, schema)
+    ranged = runs.repartitionByRange(ranges, "urlkey", "ts", "run", "offset").sortWithinPartitions("run", "urlkey", "ts", "offset")
+    return ranged.mapInArrow(_merged, schema)
 
 
 def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

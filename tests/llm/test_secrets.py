@@ -20,6 +20,13 @@ def rsa_key():
     return element(0x30, element(2, b"\0") + b"".join(number(k) for k in (64, 3, 64, 32, 32, 32, 32, 32)))
 
 
+def openssh_key(cipher=b"none", size=64):
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    private = b"abcdabcd" + bytes(range(size))
+    public = string(b"ssh-ed25519") + string(bytes(32))
+    return b"openssh-key-v1\0" + string(cipher) + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(public) + string(private)
+
+
 def brute(text):
     """The base kinds by the plain patterns, matches that fail the length dropped."""
     out = []
@@ -55,8 +62,18 @@ def test_structures_are_confirmed():
     wrong = bytearray(key)
     wrong[6] ^= 1
     assert spans_of(base64.b64encode(bytes(wrong[:-9])).decode()) == []
-    ssh = base64.b64encode(b"openssh-key-v1\0" + b"none" * 20).decode()
-    assert spans_of(ssh)[0][2] == "openssh"
+    ssh = base64.b64encode(openssh_key()).decode()
+    assert spans_of(ssh + " end") == [(0, len(ssh), "openssh")]
+    assert spans_of(openssh_key().hex() + "00" * 9)[-1] == (0, 2 * len(openssh_key()), "openssh")
+    for fake in (b"openssh-key-v1\0" + b"none" * 20, b"openssh-key-v1\0 followed by much prose, as no key would be", openssh_key()[:-8], openssh_key(size=60), openssh_key().replace(b"abcdabcd", b"abcdabce")):
+        assert spans_of(base64.b64encode(fake).decode()) == []
+    assert spans_of(base64.b64encode(openssh_key(b"aes256-ctr").replace(b"abcdabcd", b"abcdabce")).decode())[0][2] == "openssh"
+    algorithm = element(0x30, element(6, bytes([43, 101, 112])))
+    inner = element(4, bytes(range(32)))
+    pkcs8 = lambda octets: base64.b64encode(element(0x30, element(2, b"\0") + algorithm + element(4, octets))).decode()
+    assert spans_of(pkcs8(inner)) == [(0, len(pkcs8(inner).rstrip("=")), "key")] or spans_of(pkcs8(inner)) == [(0, len(pkcs8(inner)), "key")]
+    assert spans_of(pkcs8(rsa_key()))[0][2] == "key"
+    assert spans_of(pkcs8(inner[:-1])) == [] and spans_of(pkcs8(b"no element of any kind, only words")) == []
     url = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     jwt = f"{url({'alg': 'HS256', 'typ': 'JWT'})}.{url({'sub': 1})}.c2lnbmF0dXJl"
     assert spans_of(f"use {jwt} now") == [(4, 4 + len(jwt), "token")]
@@ -64,6 +81,12 @@ def test_structures_are_confirmed():
     assert spans_of("plain words of no length, and 123456 numbers " * 50) == []
 
 
+def test_masking_keeps_columns_with_names_of_its_own(spark):
+    docs = spark.createDataFrame([(1, "a token = abcdef1 b", "mine", "also")], "doc_id long, text string, __text string, __CLEAN string")
+    out = mask_secrets(docs, mark="#")
+    assert out.columns == docs.columns and list(map(tuple, out.collect())) == [(1, "a # b", "mine", "also")]
+
+
 def test_masking_keeps_rows_and_columns(spark):
     docs = [(1, "a token = abcdef1 b", "s", 1), (2, None, "s", 2), (3, "clean", None, None), (3, "clean", None, None)]
     out = mask_secrets(spark.createDataFrame(docs, DOC), mark="#")
@@ -75,7 +98,7 @@ def test_keys_in_json_in_yaml_and_behind_other_characters():
     key = rsa_key()
     b64 = base64.b64encode(key).decode()
     lines = [b64[i : i + 64] for i in range(0, len(b64), 64)]
-    ssh = base64.b64encode(b"openssh-key-v1\0" + b"none" * 40).decode()
+    ssh = base64.b64encode(openssh_key(size=96)).decode()
     for end in ("\n", "\r\n"):
         pem = f"-----BEGIN PRIVATE KEY-----{end}{end.join(lines)}{end}-----END PRIVATE KEY-----{end}"
         for text in (json.dumps({"k": pem}), json.dumps(json.dumps({"k": pem})), "k: |\n" + "".join(f"    {x}" for x in pem.splitlines(True)), pem.replace("\n", "\n\t"), "Q" * 70 + "\n" + pem):

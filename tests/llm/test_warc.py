@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 
+from heddle.llm import warc
 from heddle.llm.warc import LoserTree, archive, records_of, url_key
 
 PAGE = "page_id long, url string, html string, run string, payload int"
@@ -36,6 +37,32 @@ def test_round_trip(spark, tmp_path):
     assert sum(len(list(records_of(gzip.decompress(p.read_bytes())))) for p in files) == len(rows)
 
 
+def records(path):
+    return [(fields, bytes(block)) for p in path.iterdir() if p.name.startswith("part-") for _, _, fields, block in records_of(gzip.decompress(p.read_bytes()))]
+
+
+def test_revisits_name_a_record(spark, tmp_path, monkeypatch):
+    for share, folder in ((1 / 1000, "hot"), (2.0, "cold")):
+        monkeypatch.setattr(warc, "COMMON", share)
+        rows = [(i, f"u{i}", "x" * (100 + i % 4), "", 0) for i in range(40)] + [(99, "u", "short", "", 0)]
+        archive(spark.createDataFrame(rows, PAGE).repartition(3), str(tmp_path / folder)).collect()
+        found = records(tmp_path / folder)
+        ids = [f["warc-record-id"] for f, _ in found]
+        responses = {f["warc-record-id"] for f, _ in found if f["warc-type"] == "response"}
+        assert len(set(ids)) == len(rows) and len(responses) == 5
+        assert {f["warc-refers-to"] for f, _ in found if f["warc-type"] == "revisit"} <= responses
+
+
+def test_many_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 20)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 9000)
+    rows = [(i, f"http://h{i % 17}.org/{i % 5}", "y" * (i * 37 % 900), "", 0) for i in range(300)]
+    out = archive(spark.createDataFrame(rows, PAGE).repartition(4), str(tmp_path / "w")).collect()
+    assert len({r.range_no for r in out}) > 8 and len({r.run for r in out}) > 8
+    keys = [(r.urlkey, r.ts, r.run, r.offset) for r in sorted(out, key=lambda r: (r.range_no, r.range_pos))]
+    assert keys == sorted(keys) and len(keys) == 300
+
+
 def test_repeated_rows_and_empty(spark):
     rows = [(4, "u", "z" * 200, "", 0)] * 6 + [(9, "u", "z" * 200, "", 0)]
     out = sorted((r.page_id, r.record_type, r.refers_to) for r in archive(spark.createDataFrame(rows, PAGE)).collect() if r.record_type == "revisit")
