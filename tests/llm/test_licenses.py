@@ -1,7 +1,7 @@
 import random
 import re
 
-from heddle.llm.licenses import PHRASES, TEMPLATES, scan_licenses
+from heddle.llm.licenses import PHRASES, TEMPLATES, scan_licenses, stretches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -61,3 +61,36 @@ def test_labels_are_exactly_those_of_the_notice(spark):
         t, want = notices[r.doc_id]
         assert {s.label for s in r.spans or []} == want, t
         assert set(r.labels.split(",")) - {""} == want | set(base(t)[4].split(",")) - {""}, t
+
+
+def brute_stretches(doc, template):
+    """The best cover of a run of the template's grams that follow one another in the document, both growing, on diagonals at most 2 from the first."""
+    grams = lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    hits = [(a, p) for a, x in enumerate(grams(doc)) for p, y in enumerate(grams(template)) if x == y]
+    best = 0.0
+    for a0, p0 in hits:
+        reach = {(a0, p0): 3}
+        for a, p in sorted(hits):
+            steps = [c + min(3, p - q) for (b, q), c in reach.items() if b < a and q < p]
+            if steps and abs((a - p) - (a0 - p0)) <= 2:
+                reach[a, p] = max(steps)
+        best = max(best, max(reach.values()) / len(template))
+    return best
+
+
+def test_stretches_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        template = [rng.choice("abcdefghijkl") for _ in range(rng.randint(6, 14))]
+        doc = [rng.choice("abcdefghijkl") for _ in range(5)] + [w for w in template if rng.random() < 0.97 for _ in range(1 + (rng.random() < 0.05))] + [rng.choice("abc")] * 3
+        hits = [(a, p) for a in range(len(doc) - 2) for p in range(len(template) - 2) if doc[a : a + 3] == template[p : p + 3]]
+        found = stretches(hits, len(template), [])
+        assert bool(found) == (brute_stretches(doc, template) >= 0.8), (doc, template)
+
+
+def test_chained_pieces_are_no_notice(spark):
+    docs = [(1, "licensed under cc under cc by cc by 4 by 4 0", 0, ""), (2, "x licensed under CC BY 4.0 and again licensed under CC BY 4.0", 0, ""), (3, "licensed under the " + "the mit license " * 5, 0, "")]
+    rows = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(docs, DOC)).collect()}
+    assert rows[1].labels == "cc-by" and rows[1].score == 0.5
+    assert [(s["first"], s.end, s.label) for s in rows[2].spans] == [(1, 7, "cc-by-4.0"), (9, 15, "cc-by-4.0")]
+    assert not rows[3].spans
