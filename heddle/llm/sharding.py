@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from heddle.llm.base import written
 
-#: Key ranges for each shard, sampled keys for each range, and the share of the mean above which a range is cut again.
-RANGES_PER_SHARD, SAMPLES_PER_RANGE, OVERFULL = 8, 32, 2.0
+#: Key ranges for each shard at least, rows of a range (on average) at most, sampled keys for each range, and the share of the mean above which a range is cut again.
+RANGES_PER_SHARD, RANGE_ROWS, SAMPLES_PER_RANGE, OVERFULL = 8, 1 << 20, 32, 2.0
 #: How often overfull ranges are cut again at most; keys are distinct, so each time shrinks them by a large factor.
 ROUNDS = 8
 
@@ -22,7 +22,7 @@ def range_of(key: Column, splitters: list[str]) -> Column:
     """How many of the sorted splitters are at or below key: a binary search over a literal array."""
     if not splitters:
         return F.lit(0)
-    n, table = len(splitters), F.lit(splitters)
+    n, table = len(splitters), F.split(F.lit(",".join(splitters)), ",")  # one literal, however many splitters
     steps = [1 << b for b in reversed(range(n.bit_length()))]
 
     def step(at: Column, by: Column) -> Column:
@@ -64,7 +64,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
         F.concat(*(F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(text), F.xxhash64("doc_id", F.monotonically_increasing_id())))).alias("key"),
     )
     rows = written(rows, "rows")
-    ranges = n_shards * RANGES_PER_SHARD
+    ranges = max(n_shards * RANGES_PER_SHARD, -(-rows.count() // RANGE_ROWS))
     splitters = _quantiles(_sample(rows, ranges * SAMPLES_PER_RANGE, 1), ranges)
     for turn in range(ROUNDS):
         sums = {r["r"]: (r["bytes"], r["n"], r["keys"]) for r in rows.groupBy(range_of(F.col("key"), splitters).alias("r")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), (F.min("key") != F.max("key")).alias("keys")).collect()}
@@ -86,11 +86,12 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
         b, n, _ = sums.get(r, (0, 0, False))
         n_rows, n_bytes = n_rows + n, n_bytes + b
     order = Window.partitionBy("r").orderBy("key")
-    at = F.element_at(F.lit(before_bytes), F.col("r") + 1) + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+    at = F.element_at(longs(before_bytes), F.col("r") + 1) + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("r", range_of(F.col("key"), splitters)).withColumns(
         {
             "shard": F.least(F.lit(n_shards - 1), F.floor((2 * at - F.col("size")) * n_shards / F.lit(2 * max(n_bytes, 1)))).cast("int"),
-            "place": F.element_at(F.lit(before_rows), F.col("r") + 1).cast("long") + F.row_number().over(order) - 1,
+            "place": F.element_at(longs(before_rows), F.col("r") + 1) + F.row_number().over(order) - 1,
         }
     )
     placed = written(placed.select("doc_id", "size", "text_crc32", "shard", "place"), "placed")

@@ -2,8 +2,9 @@
 
 Fingerprints that differ in few bits agree on several blocks of bits; rows are grouped by each choice of agreeing
 blocks. Within a group each fingerprint has a table of Hamming distances to many reference fingerprints; two
-fingerprints at most r bits apart have distances to each reference that differ by r at most, so pairs whose largest
-difference is larger are discarded, and what survives is verified. A group gives a spanning forest of its links, not
+fingerprints at most r bits apart have distances to each reference that differ by r at most. So a group is sorted by
+the distance that spreads most, only neighbours within r are paired, pairs whose largest difference of any coordinate
+is larger are discarded, and what survives is verified. A group gives a spanning forest of its links, not
 the links; groups are cut into chunks, and pairs of chunks go to different tasks.
 """
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from heddle.llm.base import mixed, written
 from heddle.llm.components import components
 
-#: Words of a shingle, differing bits of a link, bit blocks (two more than the bits), references, rows of a chunk.
-SHINGLE, BITS, BLOCKS, PIVOTS, CHUNK = 3, 3, 5, 16, 1024
+#: Words of a shingle, differing bits of a link, references, rows of a chunk.
+SHINGLE, BITS, PIVOTS, CHUNK = 3, 3, 16, 1024
 _SEED = 42
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Shingles counted at a time.
@@ -73,17 +74,21 @@ def _forest(fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, n
     """Links (of row numbers) that connect what is connected within each group; group numbers are in runs."""
     refs = pivots(PIVOTS)
     table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
-    size = np.diff(np.append(np.flatnonzero(np.diff(group, prepend=group[0] - 1)), len(group)))
-    left, right = [], []
-    run = np.repeat(size, size)
-    place = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
-    for d in range(1, int(size.max())):
-        i = np.flatnonzero(place + d < run)
-        for p in range(PIVOTS):
-            i = i[np.abs(table[i, p] - table[i + d, p]) <= bits]
-        i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= bits]
-        left.append(i)
-        right.append(i + d)
+    table = table[:, np.argsort(-table.std(0), kind="stable")]  # the pivot that tells most goes first
+    run = np.cumsum(np.diff(group, prepend=group[0]) != 0)
+    by = np.lexsort((table[:, 0], run))
+    own, table, stop = fp[by], table[by], np.searchsorted(run, run, "right")
+    left, right, i, d = [], [], np.arange(len(fp)), 0
+    while len(i):
+        d += 1
+        i = i[i + d < stop[i]]
+        i = i[table[i + d, 0] - table[i, 0] <= bits]  # sorted by it: what is too far now stays too far
+        j = i
+        for p in range(1, PIVOTS):
+            j = j[np.abs(table[j, p] - table[j + d, p]) <= bits]
+        j = j[np.bitwise_count(own[j] ^ own[j + d]) <= bits]
+        left.append(by[j])
+        right.append(by[j + d])
     none = np.zeros(0, np.int64)
     left, right = np.concatenate([*left, none]), np.concatenate([*right, none])
     label = np.arange(len(fp))
@@ -96,8 +101,8 @@ def _forest(fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, n
         if (new == label).all():
             break
         label = new
-    own = np.flatnonzero(label != np.arange(len(fp)))
-    return own, label[own]
+    linked = np.flatnonzero(label != np.arange(len(fp)))
+    return linked, label[linked]
 
 
 def _links(bits: int):

@@ -7,8 +7,9 @@ its least K-gram hash, at a place that the window's bytes alone decide. So equal
     of them, in the order of ids, get sorted (a suffix array), are scanned against the levels so far (all of smaller
     ids) and become a level; levels of like size merge;
  3. each document gets its matches back.
-Documents travel in batches of bounded size. Within a batch equal anchors and equal windows are counted once, so copies
-and common passages don't pile up in one task.
+Documents travel in batches cut by running bytes. Within a batch equal anchors and equal windows are counted once, so
+copies don't pile up in one task; windows around anchors that many batches share (HOT) go out one by one, by a hash of
+their own bytes, so a common anchor doesn't either. Partitions grow in number with the bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,11 @@ from heddle.llm.base import mixed, powers, written
 
 #: Bytes of a passage and of an anchor's K-gram (a power of two).
 LENGTH, K = 50, 16
-#: Aimed-at bytes and most rows of a batch of documents; suffixes of one batch of the index.
-BATCH_BYTES, BATCH_ROWS, SUFFIXES = 8 << 20, 4096, 1 << 15
+#: Bytes from which a batch of documents is full and most rows of it; suffixes of one batch of the index; bytes of
+#: documents for each partition; batches from which on an anchor is hot.
+BATCH_BYTES, BATCH_ROWS, SUFFIXES, PARTITION_BYTES, HOT = 8 << 20, 4096, 1 << 15, 32 << 20, 4096
+#: Bytes that are looked at for anchors at a time.
+_PIECE = 1 << 20
 _PLACES = LENGTH - K + 1
 _LOW = np.uint64((1 << 28) - 1)
 
@@ -67,14 +73,12 @@ class _Texts:
         self.edge = np.concatenate(([0], np.cumsum(size)))
         self.which = np.array(use, np.int64)
         self.data = np.frombuffer(b"".join(texts[i] for i in use), np.uint8)
-        parts, step = [], 1 << 20
-        a = 0
-        while a < len(use):  # some documents at a time, for small temporaries
-            b = max(a + 1, int(np.searchsorted(self.edge, self.edge[a] + step, "right")) - 1)
-            lo, hi = self.edge[a], self.edge[b]
-            s, n, p, h = runs_of(self.data[lo:hi], np.repeat(self.edge[a + 1 : b + 1] - lo, size[a:b]))
+        parts = []
+        for lo in range(0, len(self.data), _PIECE):  # windows that start in a piece, for small temporaries
+            hi = min(len(self.data), lo + _PIECE + LENGTH - 1)
+            end = self.edge[np.searchsorted(self.edge, np.arange(lo, hi), "right")]
+            s, n, p, h = runs_of(self.data[lo:hi], end - lo)
             parts.append((s + lo, n, p + lo, h))
-            a = b
         none = np.zeros(0, np.int64)
         self.start, self.count, self.anchor, self.hash = (np.concatenate([*x, none.astype(t)]) for x, t in zip(zip(*parts, strict=True) if parts else [[]] * 4, (np.int64, np.int64, np.int64, np.uint64), strict=True))
         self.doc = np.searchsorted(self.edge, self.start, "right") - 1
@@ -101,6 +105,23 @@ def _slices(key: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(key[a]), slice(int(a), int(b))
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with a number and its batch: a batch ends where its bytes or rows are full, so a long text makes no batch of many."""
+    base = TaskContext.get().partitionId() << 33
+    row, number, held, rows = base, base, 0, 0
+    for batch in batches:
+        numbers = []
+        for n in pc.binary_length(batch.column("text").cast(pa.binary())).to_pylist():
+            n = n or 0
+            if rows and (held + n > BATCH_BYTES or rows >= BATCH_ROWS):
+                number, held, rows = number + 1, 0, 0
+            held, rows = held + n, rows + 1
+            numbers.append(number)
+        own = pa.array(np.arange(row, row + batch.num_rows, dtype=np.int64))
+        row += batch.num_rows
+        yield pa.RecordBatch.from_arrays([own, pa.array(numbers, pa.int64()), batch.column("doc_id"), batch.column("text")], names=["row", "batch", "doc_id", "text"])
+
+
 def _anchors(buckets: int):
     """Of each batch of documents its distinct anchor hashes with the least and largest id, packed by bucket."""
 
@@ -127,7 +148,7 @@ def _anchors(buckets: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Back to each batch of documents: those of its anchor hashes that more than one id has."""
+    """Back to each batch of documents: those of its anchor hashes that more than one id has, and which of them are hot."""
     own, packed = [], []
     for batch in batches:
         own += batch.column("batch").to_pylist()
@@ -141,13 +162,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = np.flatnonzero(np.diff(h[order], prepend=h[order][:1] - np.uint64(1)))
     more = np.minimum.reduceat(lo[order], first) < np.maximum.reduceat(hi[order], first)
     keep = np.zeros(len(h), bool)
-    keep[order] = np.repeat(more, np.diff(np.append(first, len(h))))
+    times = np.diff(np.append(first, len(h)))
+    keep[order] = np.repeat(more, times)
+    hot = np.zeros(len(h), bool)
+    hot[order] = np.repeat(times >= HOT, times)
     at = np.repeat(np.array(own), [p.shape[1] for p in parts])[keep]
-    h = h[keep]
+    h, hot = h[keep], hot[keep]
     order = np.argsort(at, kind="stable")
-    at, h = at[order], h[order]
-    found = [(b, h[part].tobytes()) for b, part in _slices(at)]
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["batch", "hashes"])
+    at, h, hot = at[order], h[order], hot[order]
+    found = [(b, h[part].tobytes(), h[part][hot[part]].tobytes()) for b, part in _slices(at)]
+    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), *(pa.array([x[k] for x in found], pa.binary()) for k in (1, 2))], names=["batch", "hashes", "hot"])
 
 
 #: One run of windows as it travels: id, row, place in the text, windows, anchor less start.
@@ -170,17 +194,23 @@ def _windows(buckets: int):
             b = left.column("batch")[0].as_py()
             t = _Texts(texts, ids)
             wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("hashes").to_pylist()]))
+            hot = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("hot").to_pylist()]))
             own = np.flatnonzero(np.isin(t.hash, wanted))
+            many = np.isin(t.hash[own], hot)
+            times = np.where(many, t.count[own], 1)  # runs at hot anchors become single windows
+            own, many = np.repeat(own, times), np.repeat(many, times)
+            step = np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
+            begin, count = t.start[own] + step, np.where(many, 1, t.count[own])
             run = np.zeros(len(own), _RUN)
             doc = t.doc[own]
             run["id"], run["row"] = t.id[own], rows[t.which[doc]] if len(own) else 0
-            run["start"], run["count"], run["anchor"] = t.start[own] - t.edge[doc], t.count[own], t.anchor[own] - t.start[own]
-            size = t.count[own] + LENGTH - 1
+            run["start"], run["count"], run["anchor"] = begin - t.edge[doc], count, t.anchor[own] - begin
+            size = count + LENGTH - 1
             raw = t.data.tobytes()
             seen: dict[tuple, int] = {}
             first = np.zeros(len(own), bool)
             for i in np.argsort(run["id"], kind="stable").tolist():  # the least id of equal runs goes on
-                at = int(t.start[own[i]])
+                at = int(begin[i])
                 least = seen.setdefault((int(run["anchor"][i]), raw[at : at + int(size[i])]), int(run["id"][i]))
                 first[i] = least == run["id"][i]
             again = np.zeros(int((~first).sum()), _HIT)
@@ -190,21 +220,26 @@ def _windows(buckets: int):
                 out[1].append(b)
                 out[2].append(b"\0" + again.tobytes())
             go = np.flatnonzero(first)
-            key = _bucket(t.hash[own], buckets)
+            meet = t.hash[own]
+            for at in range(0, len(meet), _PIECE):
+                i = at + np.flatnonzero(many[at : at + _PIECE])
+                window = t.data[begin[i][:, None] + np.arange(LENGTH)[None, :]].astype(np.uint64) + np.uint64(1)
+                meet[i] = mixed((window * powers(LENGTH)).sum(1, dtype=np.uint64))
+            key = _bucket(meet, buckets)
             go = go[np.argsort(key[go], kind="stable")]
             for k, part in _slices(key[go]):
                 i = go[part]
                 out[0].append(k)
                 out[1].append(b)
                 columns = [np.ascontiguousarray(run[c][i]) for c in _RUN.names]
-                out[2].append(b"\1" + _pressed(np.int64(len(i)), *columns, _gathered(t.data, t.start[own[i]], size[i])))
+                out[2].append(b"\1" + _pressed(np.int64(len(i)), *columns, _gathered(t.data, begin[i], size[i])))
         return pa.table({"bucket": pa.array(out[0], pa.int32()), "batch": pa.array(out[1], pa.int64()), "packed": pa.array(out[2], pa.binary())})
 
     return work
 
 
 class SuffixIndex:
-    """Levels of sorted suffixes (their first LENGTH bytes); each new batch is matched, sorted in, and merged with levels of its size."""
+    """Levels of sorted suffixes (their first LENGTH bytes); each new batch is scanned against them, becomes a level, and is merged with levels of its size."""
 
     def __init__(self):
         self.levels: list[np.ndarray] = []
@@ -213,9 +248,7 @@ class SuffixIndex:
         """Which of the sorted, distinct suffixes earlier batches have; then the new ones become a level."""
         found = np.zeros(len(suffixes), bool)
         for level in self.levels:
-            at = np.searchsorted(level, suffixes)
-            at[at == len(level)] = 0
-            found |= level[at] == suffixes
+            found |= _merge_scanned(level, suffixes)
         new = suffixes[~found]
         if len(new):
             self.levels.append(new)
@@ -227,6 +260,17 @@ class SuffixIndex:
         return found
 
 
+def _merge_scanned(level: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """Which suffixes the level has: both are sorted and distinct, so in their merge a suffix stands right behind its equal."""
+    both = np.concatenate([level, suffixes])
+    order = np.argsort(both, kind="stable")  # merges the two sorted runs, the level's first among equals
+    both = both[order]
+    again = order[1:][both[1:] == both[:-1]]
+    found = np.zeros(len(suffixes), bool)
+    found[again - len(level)] = True
+    return found
+
+
 def _matched(data: np.ndarray, at: np.ndarray, id_: np.ndarray) -> np.ndarray:
     """Which of the suffixes at these places of data also belong to a smaller id."""
     hit, index = np.zeros(len(at), bool), SuffixIndex()
@@ -323,21 +367,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts count as UTF-8 bytes; a byte goes if LENGTH bytes around it also start in a document with a smaller id, as
     the texts came in. A null text counts as empty. Rows with a null id are left whole and take nothing from others.
-    Rows with equal ids take nothing from each other. Other columns are ignored. Rows are numbered once, in
-    a written table: a scan that is planned again may be cut into other partitions and would number them otherwise.
+    Rows with equal ids take nothing from each other. Other columns are ignored; an empty table gives no rows. Rows are
+    numbered once, in a written table: a scan that is planned again may be cut into other partitions and would number
+    them otherwise.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(rows, "docs")
-    stats = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    per = int(min(BATCH_ROWS, max(1, BATCH_BYTES * stats["n"] // max(1, stats["bytes"] or 0)))) if stats["n"] else 1
-    rows = rows.withColumn("batch", F.floor(F.col("row") / per))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = written(rows.mapInArrow(_numbered, "row long, batch long, doc_id long, text string"), "docs")
+    total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
+    buckets = 4 * partitions
     packed = "bucket int, batch long, packed binary"
-    anchors = rows.mapInArrow(_anchors(buckets), packed).repartition("bucket")
-    shared = written(anchors.mapInArrow(_shared, "batch long, hashes binary"), "anchors")
-    by_batch = rows.groupBy("batch")
-    windows = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(_windows(buckets), packed).repartition("bucket")
+    anchors = rows.mapInArrow(_anchors(buckets), packed).repartition(partitions, "bucket")
+    shared = written(anchors.mapInArrow(_shared, "batch long, hashes binary, hot binary"), "anchors")
+    by_batch = rows.repartition(partitions, "batch").groupBy("batch")
+    windows = by_batch.cogroup(shared.repartition(partitions, "batch").groupBy("batch")).applyInArrow(_windows(buckets), packed).repartition(partitions, "bucket")
     hits = windows.mapInArrow(_matches, "batch long, hits binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
-    return by_batch.cogroup(hits.groupBy("batch")).applyInArrow(_removed, schema)
+    return by_batch.cogroup(hits.repartition(partitions, "batch").groupBy("batch")).applyInArrow(_removed, schema)

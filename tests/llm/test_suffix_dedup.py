@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from heddle.llm import suffix_dedup as S
@@ -53,6 +55,30 @@ def test_against_brute_force(spark, monkeypatch, small):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == brute(rows)
 
 
+def test_hot_anchors_long_texts_and_pieces(spark):
+    """The same rows through the tasks' functions: every anchor hot, batches of few bytes, texts cut at many places."""
+    rows = corpus(2, 120)
+    with pytest.MonkeyPatch.context() as patch:
+        for name, n in (("HOT", 1), ("BATCH_BYTES", 900), ("_PIECE", 64)):
+            patch.setattr(S, name, n)
+        columns = {"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}
+        patch.setattr(S, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("U", (), {"partitionId": lambda self: 0})())}))
+        table = pa.Table.from_batches(S._numbered(iter([pa.RecordBatch.from_pydict(columns)])))
+        numbers = table.column("batch").to_pylist()
+        assert len(set(numbers)) > 20 and numbers == sorted(numbers)
+        anchors = pa.Table.from_batches(S._anchors(1)(iter(table.to_batches())))
+        shared = pa.Table.from_batches(S._shared(iter(anchors.to_batches())))
+        of = lambda t, b: t.filter(pc.equal(t.column("batch"), b))
+        windows = [S._windows(3)(of(table, b), of(shared, b)) for b in dict.fromkeys(numbers)]
+        found = []
+        for k in range(3):
+            own = pa.concat_tables([w.filter(pc.equal(w.column("bucket"), k)) for w in windows])
+            found.append(pa.Table.from_batches(S._matches(iter(own.to_batches()))))
+        hits = pa.concat_tables(found)
+        out = pa.concat_tables([S._removed(of(table, b), of(hits, b)) for b in dict.fromkeys(numbers)]).to_pylist()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out), key=str) == brute(rows)
+
+
 def test_levels_grow_geometrically():
     rng = np.random.default_rng(1)
     index, seen = S.SuffixIndex(), set()
