@@ -6,8 +6,9 @@ documents are looked up among those of the items, and each hit is extended: the
 the items' windows. Items shorter than a window can't be winnowed; their whole word sequence is looked up at each
 place instead.
 
-The items go to the tasks in blocks of bounded size (BLOCK_WORDS words); with more than one block the documents are
-read once for each block and the findings of all blocks are put together by document.
+Items of BLOCK_WORDS words in all at most go to the tasks as one broadcast. Beyond that, kept hashes of documents and
+items meet in a join (salted, as one hash may stand in a third of the documents), and a document's text meets the
+items that share a kept hash with it, to be extended there; nothing of the items passes the driver.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.base import grams, member, slabs, words_of, written
+from heddle.llm.base import free_names, grams, member, mixed, parts, slabs, words_of, written
 
-#: Words of a window, words of a hashed gram, words of items that one broadcast holds, words of one piece of an item.
-WINDOW, K, BLOCK_WORDS, PIECE_WORDS = 10, 5, 1_000_000, 200_000
+#: Words of a window, words of a hashed gram, words of items that one broadcast holds, words of one piece of an item, ways that a
+#: hash is salted, pieces of items that a text meets at a time.
+WINDOW, K, BLOCK_WORDS, PIECE_WORDS, SALTS, TOGETHER = 10, 5, 1_000_000, 200_000, 16, 16
 
 
 def winnowed(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,39 +121,92 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _FOUND = "row long, doc_id {id}, n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
+def _runs_and_items(ix: _Index, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
+    """Of each text: words, starts and ends of the hit runs, items found."""
+    for first, last, data, offsets in slabs(texts):
+        h, at, _ = words_of(data)
+        owner = np.searchsorted(offsets, at, "right") - 1
+        edge = np.searchsorted(owner, np.arange(last - first + 1))
+        depth, found = np.zeros(len(h) + 1, np.int64), {}
+        for n, s, keys, lookup in ix.hits(h, owner):
+            np.add.at(depth, s, 1)
+            np.add.at(depth, s + n, -1)
+            own = owner[s]
+            cut = np.flatnonzero(np.diff(own)) + 1
+            for d, k in zip(own[np.concatenate(([0], cut))] if len(own) else [], np.split(keys, cut), strict=False):
+                found.setdefault(int(d), set()).update(lookup.items_of(np.unique(k)))
+        hit = np.cumsum(depth)[:-1] > 0
+        for d in range(last - first):
+            s, e = _runs(hit[edge[d] : edge[d + 1]]) if d in found else ((), ())
+            yield int(edge[d + 1] - edge[d]), s, e, list(found.get(d, ()))
+
+
+def _lists(found: list[tuple]) -> list[pa.Array]:
+    n_words, starts, ends, items = zip(*found, strict=True) if found else [()] * 4
+    return [pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+
+
 def _scan(index, id_type: pa.DataType):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: _Index = index.value
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            n_words, starts, ends, items = [], [], [], []
-            for first, last, data, offsets in slabs(texts):
-                h, at, _ = words_of(data)
-                owner = np.searchsorted(offsets, at, "right") - 1
-                edge = np.searchsorted(owner, np.arange(last - first + 1))
-                depth, found = np.zeros(len(h) + 1, np.int64), {}
-                for n, s, keys, lookup in ix.hits(h, owner):
-                    np.add.at(depth, s, 1)
-                    np.add.at(depth, s + n, -1)
-                    own = owner[s]
-                    cut = np.flatnonzero(np.diff(own)) + 1
-                    for d, k in zip(own[np.concatenate(([0], cut))] if len(own) else [], np.split(keys, cut), strict=False):
-                        found.setdefault(int(d), set()).update(lookup.items_of(np.unique(k)))
-                hit = np.cumsum(depth)[:-1] > 0
-                for d in range(last - first):
-                    s, e = _runs(hit[edge[d] : edge[d + 1]]) if d in found else ((), ())
-                    n_words.append(int(edge[d + 1] - edge[d]))
-                    starts.append(s)
-                    ends.append(e)
-                    items.append(list(found.get(d, ())))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id").cast(id_type), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                names=["row", "doc_id", "n_words", "starts", "ends", "items"],
-            )
+            found = list(_runs_and_items(index.value, batch.column("text").cast(pa.binary()).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id").cast(id_type), *_lists(found)], names=["row", "doc_id", "n_words", "starts", "ends", "items"])
 
     return scan
 
 
+def _marks(h: np.ndarray, short: list[int]) -> np.ndarray:
+    """What a text or an item meets by: its kept hashes, and the hashes of all its runs of as many words as short items have."""
+    own = [winnowed(h, np.zeros(len(h), np.int64))[1], *(mixed(grams(h, n) + np.uint64(n)) for n in short)]
+    return np.unique(np.concatenate(own))
+
+
+def _marked(short: list[int], id_type: pa.DataType):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            words = [words_of(t or b"")[0] for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            marks = pa.array([_marks(h, short).view(np.int64) for h in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id").cast(id_type), pa.array([len(h) for h in words], pa.int64()), marks], names=["row", "doc_id", "n_words", "marks"])
+
+    return work
+
+
+def _marked_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [np.frombuffer(w, "<u8") for w in batch.column("words").to_pylist()]
+        marks = [_marks(h, [len(h)] if len(h) < WINDOW else []).view(np.int64) for h in words]
+        yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(marks, pa.list_(pa.int64()))], names=["piece", "marks"])
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text against the pieces that it met."""
+    for batch in batches:
+        found = []
+        for text, pieces in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("pieces").to_pylist(), strict=True):
+            found += _runs_and_items(_Index([(p["item"], p["words"]) for p in pieces]), [text])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *_lists(found)[1:]], names=["row", "starts", "ends", "items"])
+
+
+def _joined(rows: DataFrame, pieces: DataFrame, id_type: str) -> DataFrame:
+    """Hit runs and items, as _FOUND, by a join of the kept hashes."""
+    rows = written(rows, "docs")
+    pieces = written(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    n = (F.octet_length("words") / 8).cast("int")
+    short = sorted(r["n"] for r in pieces.filter(n < WINDOW).select(n.alias("n")).distinct().collect())  # WINDOW - 1 numbers at most
+    marked = written(rows.mapInArrow(_marked(short, _arrow(id_type)), f"row long, doc_id {id_type}, n_words long, marks array<long>"), "marks")
+    of_items = pieces.mapInArrow(_marked_pieces, "piece long, marks array<long>").select("piece", F.explode("marks").alias("mark"))
+    of_items = of_items.select("piece", "mark", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    of_docs = marked.select("row", F.explode("marks").alias("mark")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    met = of_docs.join(of_items, ["mark", "salt"]).select("row", "piece").distinct()
+    met = met.join(pieces, "piece").select("row", "piece", F.struct("item", "words").alias("own"))
+    place = F.floor((F.row_number().over(Window.partitionBy("row").orderBy("piece")) - 1) / TOGETHER)
+    met = met.withColumn("some", place).groupBy("row", "some").agg(F.collect_list("own").alias("pieces"))
+    found = met.join(rows.select("row", "text"), "row").select("row", "text", "pieces").mapInArrow(_extended, "row long, starts array<int>, ends array<int>, items array<string>")
+    found = found.groupBy("row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return marked.drop("marks").join(found, "row", "left").select("row", "doc_id", "n_words", none("starts", "int"), none("ends", "int"), none("items", "string"))
+
+
 def _summed(id_type: pa.DataType):
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,21 +233,12 @@ def _found(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col:
     spark = rows.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text"))
     pieces = written(items.mapInArrow(_pieces, "item string, words binary"), "pieces")
-    total = pieces.agg(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // (8 * BLOCK_WORDS)))
-    if blocks > 1:
-        rows = written(rows, "docs")
+    total = pieces.agg(F.sum(F.octet_length("words").cast("long")).alias("n")).first()["n"] or 0
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    found = None
-    for b in range(blocks):
-        own = pieces.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(_Index([(r["item"], bytes(r["words"])) for r in own.collect()]))
-        part = rows.mapInArrow(_scan(index, _arrow(id_type)), _FOUND.format(id=id_type))
-        found = part if found is None else found.unionAll(part)
-    if blocks > 1:
-        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")]
-        found = found.groupBy("row", "doc_id", "n_words").agg(*lists)
-    return found
+    if total > 8 * BLOCK_WORDS:
+        return _joined(rows, pieces, id_type)
+    index = spark.sparkContext.broadcast(_Index([(r["item"], bytes(r["words"])) for r in pieces.collect()]))  # BLOCK_WORDS words at most
+    return rows.mapInArrow(_scan(index, _arrow(id_type)), _FOUND.format(id=id_type))
 
 
 def _arrow(id_type: str) -> pa.DataType:
@@ -214,8 +260,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, in which no window of an item occurs. Rows are numbered once, in a written table."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = _found(rows.select(F.col("__row").alias("row"), F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), benchmark, item_col, item_text_col)
-    hit = written(found.filter(F.size("starts") > 0).select(F.col("row").alias("__row")), "hit")
-    return rows.join(hit, "__row", "left_anti").drop("__row")
+    """The rows of docs, with all their columns, in which no window of an item occurs.
+
+    Rows are numbered once, in a written table. Null and empty texts have no words and stay; repeated rows stay or go
+    together; columns of any name stay; an empty table gives an empty one, and without items all rows stay.
+    """
+    (number,) = free_names(docs.columns, "__row")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = _found(rows.select(F.col(number).alias("row"), F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), benchmark, item_col, item_text_col)
+    hit = written(found.filter(F.size("starts") > 0).select(F.col("row").alias(number)), "hit")
+    return rows.join(hit, number, "left_anti").drop(number).select(*(F.col(f"`{c}`") for c in docs.columns))

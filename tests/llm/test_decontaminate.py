@@ -64,6 +64,19 @@ def test_against_brute_force(spark, monkeypatch, blocks):
     assert run(spark, docs, items) == brute(docs, items)
 
 
+@pytest.mark.parametrize("blocks", [False, True])
+def test_filter_keeps_columns_of_any_name(spark, monkeypatch, blocks):
+    if blocks:
+        monkeypatch.setattr(D, "BLOCK_WORDS", 60)
+    docs, items = case(6)
+    frame = spark.createDataFrame([(*d, k, "x") for k, d in enumerate(docs)], "doc_id long, text string, items string, __row long, row string")
+    out = D.without_contaminated(frame, spark.createDataFrame(items, ITEM))
+    assert out.columns == frame.columns
+    assert sorted(r["__row"] for r in out.collect()) == [k for k, d in enumerate(docs) if not brute([d], items)[0][2]]
+    assert D.without_contaminated(frame.limit(0), spark.createDataFrame(items, ITEM)).collect() == []
+    assert D.without_contaminated(frame, spark.createDataFrame([], ITEM)).count() == len(docs)
+
+
 def test_empty_tables(spark):
     docs, items = case(4)
     assert run(spark, [], items) == []
