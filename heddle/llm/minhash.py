@@ -1,9 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: banded minima find candidates, the shingles verify them.
+"""What the near-duplicates stage compares texts by: their sets of word shingles, and banded minima of them.
 
-Texts whose minima agree in a whole band meet, and what meets hangs together in clusters. Every pair of a cluster is
-then compared by all its shingles, so nothing is linked that isn't similar; a similar pair is lost only if its minima
-agree in no band and no chain of others brings the two into one cluster. Clusters are cut into chunks, and pairs of
-chunks go to different tasks; a task gives a spanning forest of its links.
+Sets whose minima agree in a whole band meet, besides those whose SimHash fingerprints link; what meets hangs together in
+clusters. Every pair of a cluster is then compared by all its shingles, so nothing is linked that isn't similar; a similar
+pair is lost only if it meets in no way and no chain of others brings the two into one cluster. Clusters are cut into
+chunks, and pairs of chunks go to different tasks; a task gives a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -55,13 +55,24 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return mixed(mixed(band.sum(1, dtype=np.uint64)) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def _marks(shingle: int):
+def signs_of(own: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingle hashes: bit i is set if it is set in more than half of them; of none: 0."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(own), _STEP):
+        counts += np.unpackbits(own[at : at + _STEP].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(own), bitorder="little").view("<u8")[0])
+
+
+def marks(shingle: int):
+    """Of each text (row, doc_id, __text): a digest, the size, the fingerprint and the band keys of its set of shingles."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), shingle) for t in batch.column("__text").cast(pa.binary())]
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), digests, pa.array([len(s) for s in sets], pa.int64()), keys], names=["row", "doc_id", "digest", "size", "keys"])
+            signs = pa.array(np.array([signs_of(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), digests, pa.array([len(s) for s in sets], pa.int64()), signs, keys], names=["row", "doc_id", "digest", "size", "signs", "keys"])
 
     return work
 
@@ -119,11 +130,15 @@ def _links(similarity: float):
     return work
 
 
-def similar_sets(sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between rows of sets (row, size, keys) that connect what is similar; texts (row, __text) has their texts."""
+def similar_sets(sets: DataFrame, texts: DataFrame, candidates: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between rows of sets (row, size, keys) that connect what is similar; texts (row, __text) has their texts.
+
+    Candidates are pairs (u, v) that the caller found, and what shares a band's key with another; all pairs of what hangs
+    together so are compared by their shingles.
+    """
     keyed = sets.select(F.col("row").alias("v"), F.explode("keys").alias("key"))
     meet = keyed.groupBy("key").agg(F.min("v").alias("u"), F.count("*").alias("n")).filter("n > 1").select("key", "u")
-    found = components(keyed.join(meet, "key").select("u", "v"))
+    found = components(keyed.join(meet, "key").select("u", "v").unionAll(candidates.select("u", "v")))
     members = found.select(F.col("node").alias("row"), "root").unionAll(found.select(F.col("root").alias("row"), "root").distinct())
     members = written(members.join(sets.select("row", "size"), "row"), "clusters")
     chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / VOLUME)).cast("int")
@@ -133,23 +148,3 @@ def similar_sets(sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE, simi
     units = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("root", F.least(own, j), F.greatest(own, j)))
     rows = rows.select("row", "shingles", F.explode(units).alias("unit")).repartition("unit").sortWithinPartitions("unit", "row")
     return rows.mapInArrow(_links(similarity), "u long, v long")
-
-
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The first row, by id, of each group that links of at least that similarity connect, with all its columns.
-
-    Similarity is the share of common ones among the distinct shingles of two texts; words are parted by white space and
-    A-Z lower-cased. Texts without words are copies of each other, null texts too; a null id comes last. Rows are
-    numbered once, in a written table. Texts with equal shingles meet as one set before anything is compared.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    texts = rows.select(F.col("__row").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
-    marks = texts.mapInArrow(_marks(shingle), f"row long, doc_id {kind}, digest binary, size long, keys array<long>")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    least = marks.groupBy("digest").agg(F.min(order).alias("least"), F.min_by(F.struct("size", "keys"), order).alias("own"))
-    sets = written(least.select(F.col("least.row").alias("row"), "least", "own.size", "own.keys"), "sets")
-    roots = components(similar_sets(sets, texts.drop("doc_id"), shingle, similarity))
-    found = sets.select("row", "least").join(roots, sets["row"] == roots["node"], "left").select(F.coalesce("root", "row").alias("root"), "least")
-    kept = found.groupBy("root").agg(F.min("least").alias("first"))
-    return rows.join(kept.select(F.col("first.row").alias("__row")), "__row", "left_semi").drop("__row")

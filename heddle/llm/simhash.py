@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.base import mixed, written
+from heddle.llm import minhash
+from heddle.llm.base import free_names, mixed, written
 from heddle.llm.components import components
 
 #: Words of a shingle, differing bits of a link, references, rows of a chunk.
@@ -165,3 +166,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     found = _components(rows, bits)
     return rows.join(found, "__fp").select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = minhash.SHINGLE, similarity: float = minhash.SIMILARITY, bits: int = BITS) -> DataFrame:
+    """The first row, by id, of each group that links of at least that similarity connect, with all its columns.
+
+    Similarity is the share of common ones among the distinct shingles of two texts; words are parted by white space and
+    A-Z lower-cased. Pairs of fingerprints of the shingle sets at most so many bits apart are candidates, found by their
+    pivot distances, and so is what shares a band of minima (some ten of 64 bits differ at a similarity of 0.8, and
+    blocks for that many bits are too short to group by); all candidates are verified by their shingles. Texts without words
+    are copies of each other, null texts too; a null id comes last; of repeated rows one stays; columns of any name stay;
+    an empty table gives an empty one. Rows are numbered once, in a written table. Texts with equal shingles meet as one
+    set before anything is compared.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    (number,) = free_names(docs.columns, "__row")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    texts = rows.select(F.col(number).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
+    marks = texts.mapInArrow(minhash.marks(shingle), f"row long, doc_id {kind}, digest binary, size long, signs long, keys array<long>")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    least = marks.groupBy("digest").agg(F.min(order).alias("least"), F.min_by(F.struct("size", "signs", "keys"), order).alias("own"))
+    sets = written(least.select(F.col("least.row").alias("row"), "least", "own.size", "own.signs", "own.keys"), "sets")
+    by_signs = sets.groupBy(F.col("signs").alias("__fp")).agg(F.min("row").alias("first"))
+    near = linked_fingerprints(by_signs.select("__fp"), bits)
+    of = lambda name: by_signs.select(F.col("__fp").alias(name), F.col("first").alias(f"row_{name}"))
+    near = near.join(of("u"), "u").join(of("v"), "v").select(F.col("row_u").alias("u"), F.col("row_v").alias("v"))
+    same = sets.join(by_signs, sets["signs"] == by_signs["__fp"]).filter("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v"))
+    roots = components(minhash.similar_sets(sets, texts.drop("doc_id"), near.unionAll(same), shingle, similarity))
+    found = sets.select("row", "least").join(roots, sets["row"] == roots["node"], "left").select(F.coalesce("root", "row").alias("root"), "least")
+    kept = found.groupBy("root").agg(F.min("least").alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias(number)), number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from heddle.llm.base import member, mixed, parts, slabs, words_of
+from heddle.llm.base import free_names, member, mixed, parts, slabs, words_of
 
 #: Words of a window and from one window's start to the next: what has up to half a window's words is whole in one.
 WINDOW, STRIDE = 32, 16
@@ -202,7 +203,8 @@ def train(texts: list[bytes], labels: list[int], seed: int = 1) -> Network:
     common = seen[counts >= COMMON]
     held = np.zeros((2, len(common)), np.int64)
     for label, own in zip(labels, distinct, strict=True):
-        held[label, np.searchsorted(common, own[np.isin(own, common)])] += 1
+        known, at = member(own, common)
+        held[label, at[known]] += 1
     n = (len(by[0]), len(by[1]))
     odds = [_log_odds(held[1], held[0] - 1, n), _log_odds(held[1] - 1, held[0], n)]
     along = (rng.normal(size=DIM) * DIM**-0.5).astype(np.float32)
@@ -290,9 +292,11 @@ def held_out(id_: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 1) -> Network:
     """A network fitted to at most ROWS_PER_CLASS labelled rows of either class, none of them held out.
 
-    Labels are drawn by a hash of the id, and where the drawn ids have more distinct rows, those by a hash of the row.
+    Labels are drawn by a hash of the id, and where the drawn ids have more distinct rows, those by a hash of the row. An id
+    that is labelled both 0 and 1 is left out.
     """
-    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
+    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    own = own.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
     counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return train([], [])
@@ -307,19 +311,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([r[2] for r in rows], [r[1] for r in rows], seed)
 
 
-def _scored(net, columns: list[str]):
+def _scored(net, columns: list[str], text: str, own: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            score, where = scores(net.value, batch.column("__text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score), pa.array(where)], names=[*columns, "__score", "__worst"])
+            score, where = scores(net.value, batch.column(text).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score), pa.array(where)], names=[*columns, *own])
 
     return work
 
 
-def _with_scores(docs: DataFrame, net: Network, text_col: str) -> DataFrame:
-    rows = docs.withColumn("__text", F.col(text_col))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double, __worst long"
-    return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(net), docs.columns), schema)
+def _with_scores(docs: DataFrame, net: Network, text_col: str) -> tuple[DataFrame, str, str]:
+    """docs with the score and the worst window's first word, and the names of these two columns."""
+    text, score, worst = free_names(docs.columns, "__text", "__score", "__worst")
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType()), StructField(worst, LongType())])
+    rows = docs.withColumn(text, F.col(text_col))
+    return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(net), docs.columns, text, [score, worst]), schema), score, worst
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,15 +333,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     score is between 0 and 1, predicted is 1 from THRESHOLD on, worst_word the first word of the worst window. Null
     and empty texts are scored as a window without words. A null id counts as not held out. Labels other than 0 and 1
-    are left out; without labels of both classes every text gets the same score. Repeated rows are separate rows;
-    other columns are ignored.
+    are left out, and so are ids labelled both; without labels of both classes every text gets the same score. Repeated
+    rows are separate rows; other columns are ignored; an empty table gives no rows.
     """
     net = fit(docs, labels, id_col, text_col)
-    out = _with_scores(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), net, "text")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"), F.col("__worst").alias("worst_word"))
+    out, score, worst = _with_scores(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), net, "text")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= THRESHOLD).cast("int").alias("predicted"), F.col(worst).alias("worst_word"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below THRESHOLD."""
-    out = _with_scores(docs, fit(docs, labels, id_col, text_col), text_col)
-    return out.filter(F.col("__score") < THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs, with all their columns, whose score is below THRESHOLD.
+
+    Null and empty texts are scored as a window without words; repeated rows stay or go together; columns of any name
+    stay; an empty table gives an empty one. Without labels of both classes all rows get one score.
+    """
+    out, score, _ = _with_scores(docs, fit(docs, labels, id_col, text_col), text_col)
+    return out.filter(F.col(score) < THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline as P
 from heddle.llm import minhash as M
+from heddle.llm.simhash import without_near_duplicates
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -62,4 +63,11 @@ def test_pairs_at_the_bound_share_a_band():
 
 
 def test_empty(spark):
-    assert M.without_near_duplicates(spark.createDataFrame([], DOC)).collect() == []
+    assert without_near_duplicates(spark.createDataFrame([], DOC)).collect() == []
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, f"text {i // 2} of its own", "mine", i, "k") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __row string, row long, __text string")
+    out = without_near_duplicates(frame)
+    assert out.columns == frame.columns and sorted(map(tuple, out.collect())) == rows[::2]

@@ -6,8 +6,8 @@ from tokenizers import Tokenizer
 
 from heddle.llm.queries import word_bpe_path
 from tests.llm.test_decontaminate import brute as brute_hits
+from tests.llm.test_minhash import brute as brute_first
 from tests.llm.test_secrets import brute as brute_secrets
-from tests.llm.test_simhash import brute as brute_components
 from tests.llm.test_toxicity import corpus
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -32,10 +32,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     toxic = {i for i in range(300) if i % 4 == 0}
     kept = {r[0] for r in held["toxicity"]}
     assert len(kept & toxic) < 10 and len(kept - toxic) > 0.95 * (len(rows) - 76)
-    want = {}
-    for r, (i, _, c) in zip(sorted(held["toxicity"], key=str), sorted(brute_components(held["toxicity"]), key=str), strict=False):
-        want.setdefault(c, []).append((i, r))
-    assert sorted(r[0] for r in held["near duplicates"]) == sorted(want)
+    assert sorted((r[0] for r in held["near duplicates"]), key=str) == brute_first(held["toxicity"])
     clean = sorted(i for i, _, n, *_ in brute_hits(held["near duplicates"], [(1, item)]) if not n)
     assert sorted(r[0] for r in held["decontamination"]) == clean and 1001 not in clean
     masked = {r[0]: r for r in held["secrets"]}

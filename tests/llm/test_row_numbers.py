@@ -2,7 +2,7 @@
 
 import pytest
 
-from heddle.llm import decontaminate, minhash, queries, suffix_dedup
+from heddle.llm import decontaminate, queries, simhash, suffix_dedup
 from tests.llm.test_suffix_dedup import brute, corpus
 
 SPLITS = {"spark.sql.files.openCostInBytes": ("1g", "1"), "spark.sql.files.maxPartitionBytes": ("1g", "100g"), "spark.sql.files.minPartitionNum": ("1", "1")}
@@ -48,8 +48,8 @@ def test_stages_of_the_pipeline(spark, replanned, tmp_path):
     replanned(decontaminate, "hit")
     docs, items = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame([(1, item)], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.without_contaminated(docs, items).collect()) == [i for i in range(60) if i % 5]
-    replanned(minhash, "sets")
+    replanned(simhash, "sets")
     first = {}
     for i, t, _ in rows:
         first.setdefault(t, i)
-    assert sorted(r.doc_id for r in minhash.without_near_duplicates(docs).collect()) == sorted(first.values())
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(docs).collect()) == sorted(first.values())

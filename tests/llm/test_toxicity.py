@@ -85,6 +85,24 @@ def test_filter_keeps_columns_and_no_labels(spark):
     assert T.score_toxicity(frame.limit(0), none).collect() == []
 
 
+def test_filter_keeps_columns_with_names_of_its_own_and_empty_tables(spark):
+    docs, labels = corpus(200)
+    frame = spark.createDataFrame([(i, t, "mine", i * 2, [1.5]) for i, t, *_ in docs], "doc_id long, text string, __text string, __Score long, __worst array<double>")
+    held = spark.createDataFrame(labels, LABEL)
+    kept = T.without_toxic(frame, held)
+    assert kept.columns == frame.columns and {(r["__text"], r["__Score"] - 2 * r.doc_id, tuple(r["__worst"])) for r in kept.collect()} == {("mine", 0, (1.5,))}
+    assert T.without_toxic(frame.limit(0), held).collect() == []
+
+
+def test_ids_with_both_labels_are_left_out(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(T, "train", lambda texts, labels, seed=1: got.append(sorted(zip(texts, labels, strict=True))))
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:4]
+    labels = [(i, 1, k % 2) for k, i in enumerate(ids)] + [(ids[0], 1, 1), (ids[1], 0, 1)]
+    T.fit(spark.createDataFrame([(i, f"t{i}", "", 1) for i in ids], DOC), spark.createDataFrame(labels, LABEL))
+    assert got == [sorted((f"t{i}".encode(), k % 2) for k, i in enumerate(ids) if k)]
+
+
 def test_one_passage_of_a_long_text_is_learnt(spark):
     rng = random.Random(7)
     docs, labels = [], []
