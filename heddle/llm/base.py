@@ -40,9 +40,9 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there and its rows are fixed from then on."""
+    """df as a table in the shared folder, compressed well: its lineage ends there and its rows are fixed from then on."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,7 @@ from heddle.llm.base import mixed, powers, written
 LENGTH, K = 50, 16
 #: Bytes from which a batch of documents is full and most rows of it; suffixes of one batch of the index; bytes of
 #: documents for each partition; batches from which on an anchor is hot.
-BATCH_BYTES, BATCH_ROWS, SUFFIXES, PARTITION_BYTES, HOT = 8 << 20, 4096, 1 << 15, 32 << 20, 4096
+BATCH_BYTES, BATCH_ROWS, SUFFIXES, PARTITION_BYTES, HOT = 4 << 20, 4096, 1 << 15, 16 << 20, 4096
 #: Bytes that are looked at for anchors at a time.
 _PIECE = 1 << 20
 _PLACES = LENGTH - K + 1
@@ -375,7 +375,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(rows.mapInArrow(_numbered, "row long, batch long, doc_id long, text string"), "docs")
     total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
+    partitions = max(1, -(-total // PARTITION_BYTES))
     buckets = 4 * partitions
     packed = "bucket int, batch long, packed binary"
     anchors = rows.mapInArrow(_anchors(buckets), packed).repartition(partitions, "bucket")
