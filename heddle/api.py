@@ -128,8 +128,8 @@ class Archive:
 
     def merge(self, sessions: DataFrame, namespace: str) -> DataFrame:
         """Outcome of merging another archive's sessions (id, content_sha256, ...) into this one; divergent copies get ids of their own."""
-        own = self.table("sessions").select("id", "content_sha256", F.col("source_namespace").alias("namespace"))
-        return archive.resolved(sessions.select("id", "content_sha256", F.lit(namespace).alias("namespace")), own)
+        own = self.table("sessions").select("id", "content_sha256", F.col("source_namespace").alias("namespace"), F.col("copy_of_session_id").alias("copy_of"), F.col("source_record_id").alias("record_id"))
+        return archive.resolved(sessions.select("id", "tool", "content_sha256", F.lit(namespace).alias("namespace")), own)
 
     def export(self, path: str, form: str = "markdown") -> None:
         texts = {"markdown": sinks.markdown, "html": sinks.html}[form](self.visible(), self.table("messages"))

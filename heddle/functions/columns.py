@@ -15,12 +15,18 @@ LOW_PREFIXES = (
     "references are relative to", "skill name=", "shared workflow",
 )
 STOPWORDS = ("about", "after", "before", "could", "from", "have", "into", "should", "that", "their", "there", "these", "this", "what", "with", "would")
-# States of a tool call by the words that sources use.
+# What makes a title noise anywhere in it.
+LOW_FRAGMENTS = ("on-request workspace-write", "workspace-write restricted", "sandbox", "approval")
+# States of a tool call by the words that sources use, and the arguments that name what a call acts on.
 TOOL_STATES = {
-    "completed": ("success", "succeeded", "ok", "completed", "complete", "passed", "done"), "failed": ("error", "failed", "failure", "fail"), "running": ("running", "in_progress", "executing"),
-    "pending": ("pending", "queued"), "cancelled": ("cancelled", "canceled", "aborted"), "denied": ("denied", "rejected"),
+    "ok": ("ok", "success", "succeeded", "complete", "completed", "done"), "failed": ("failed", "fail", "error", "errored", "failure"), "pending": ("pending", "queued", "waiting"),
+    "running": ("running", "in_progress", "started"), "cancelled": ("cancelled", "canceled", "aborted"), "unmatched": ("unmatched", "orphaned"),
 }
-TARGET_KEYS = ("command", "file_path", "path", "filePath", "pattern", "query", "url", "prompt", "description", "name")
+TARGET_KEYS = ("command", "cmd", "file_path", "path", "notebook_path", "pattern", "url", "query", "description", "prompt")
+# Parts of tool names by icon, and those of tools that change something.
+TOOL_ICONS = (("⚡", "bash|shell|terminal"), ("📄", "read"), ("🛠", "write|edit"), ("🔎", "search|grep|glob"), ("🌐", "web|fetch|http"))
+MAJOR_TOOLS = ("bash", "shell", "write", "edit", "apply_patch", "deploy", "commit", "delete", "migrate", "sql")
+MEDIA_TYPES = {"json": "application/json", "jsonl": "application/x-ndjson", "md": "text/markdown", "txt": "text/plain", "html": "text/html", "db": "application/vnd.sqlite3", "sqlite": "application/vnd.sqlite3", "vscdb": "application/vnd.sqlite3"}
 
 
 def one_line(text: Column) -> Column:
@@ -41,6 +47,11 @@ def low_quality(text: Column) -> Column:
     starts = F.lit(False)
     for p in LOW_PREFIXES:
         starts = starts | plain.startswith(p)
+    for fragment in LOW_FRAGMENTS:
+        starts = starts | plain.contains(fragment)
+    # a skill's name and, behind it, the command that called it
+    word, called = F.regexp_extract(low, r"^([\w-]+)\s+/\S+", 1), F.regexp_replace(F.regexp_extract(low, r"^[\w-]+\s+(/\S+)", 1), r"^/+|\.+$", "")
+    starts = starts | ((word != "") & (word.startswith(called) | called.startswith(F.split(word, "-")[0])))
     letters = F.length(F.regexp_replace(low, r"[^\p{L}]", ""))
     return (low == "") | starts | (F.length(low) < 8) | (letters < F.greatest(F.lit(3), F.floor(F.length(low) / 6)))
 
@@ -57,10 +68,11 @@ def first_words(text: Column, words: int = 10, chars: int = 80) -> Column:
 
 def inferred_title(title: Column, outline: Column, tool: Column, created: Column, id_: Column) -> Column:
     """The title, else the outline, else tool and day, the latter two with the id's end."""
-    end = F.right(id_, F.lit(8))
-    native, brief = clean_title(title), clean_title(outline)
+    end = F.when(F.coalesce(id_, F.lit("")) == "", "session").otherwise(F.right(id_, F.lit(8)))
+    native, brief = clean_title(title), F.substring(clean_title(outline), 1, 64)
     named = F.concat(F.initcap(F.regexp_replace(tool, "-", " ")), F.lit(" "), F.date_format(created, "yyyy-MM-dd"), F.lit(" • "), end)
-    return F.when(~low_quality(native), capped(native, 80)).when(~low_quality(brief), F.concat(capped(brief, 64), F.lit(" · "), end)).otherwise(named)
+    marked = F.when(brief.endswith(F.concat(F.lit("· "), end)), brief).otherwise(F.concat(brief, F.lit(" · "), end))
+    return F.when(~low_quality(native), F.substring(native, 1, 80)).when(~low_quality(clean_title(outline)), marked).otherwise(named)
 
 
 def display_title(title: Column, id_: Column) -> Column:
@@ -86,27 +98,140 @@ def permalink(session: Column, seq: Column) -> Column:
 
 
 def compact_count(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000)).when(n >= 1000, F.format_string("%.1fk", n / 1000)).otherwise(n.cast("string"))
+    """Tokens as 999, 1.2k, 120k, 1.2M; nothing for no count."""
+
+    def scaled(by: int, unit: str) -> Column:
+        short = F.regexp_replace(F.format_string(f"%.1f{unit}", n / by), rf"\.0{unit}$", unit)
+        return F.when(n >= 100 * by, F.concat(F.floor(n / by).cast("string"), F.lit(unit))).otherwise(short)
+
+    return F.when(n.isNull() | (n < 0), "").when(n < 1000, n.cast("string")).when(n < 1_000_000, scaled(1000, "k")).otherwise(scaled(1_000_000, "M"))
 
 
 def duration_label(seconds: Column) -> Column:
+    """5s, 2m, 2m 5s, 1h, 1h 1m, 1d, 1d 1h; null for a negative duration."""
     s = F.floor(seconds).cast("long")
-    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.concat(F.floor(s / 60).cast("string"), F.lit("m"))).when(s < 86400, F.format_string("%dh %dm", F.floor(s / 3600), F.floor(s % 3600 / 60))).otherwise(F.format_string("%dd %dh", F.floor(s / 86400), F.floor(s % 86400 / 3600)))
+
+    def two(big: int, unit: str, small: int, rest: str) -> Column:
+        left = F.floor(s % big / small)
+        whole = F.concat(F.floor(s / big).cast("string"), F.lit(unit))
+        return F.when(left > 0, F.concat(whole, F.lit(" "), left.cast("string"), F.lit(rest))).otherwise(whole)
+
+    return F.when(s < 0, None).when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, two(60, "m", 1, "s")).when(s < 86400, two(3600, "h", 60, "m")).otherwise(two(86400, "d", 3600, "h"))
+
+
+def relative_time(moment: Column, now: Column) -> Column:
+    """just now, minutes and hours ago, Yesterday, a day of the last week, else the date."""
+    s = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(moment.cast("timestamp"))) / 1_000_000).cast("long")
+    days, minutes, hours = F.date_diff(F.to_date(now), F.to_date(moment)), F.floor(s / 60), F.floor(s / 3600)
+    day = F.date_format(moment, "yyyy-MM-dd")
+    return (
+        F.when(s < 0, day).when(s < 60, "just now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min ago"))).when(hours < 24, F.concat(hours.cast("string"), F.lit(" h ago")))
+        .when(days == 1, "Yesterday").when(days < 7, F.date_format(moment, "MMM d")).otherwise(day)
+    )
+
+
+def day_label(day: Column, today: Column) -> Column:
+    """A day's header: Today, Yesterday, a weekday of the last seven days, else the date, with the year if it is another."""
+    ago = F.date_diff(today, day)
+    same = F.year(day) == F.year(today)
+    return F.when(ago == 0, "Today").when(ago == 1, "Yesterday").when(ago.between(2, 7), F.date_format(day, "EEEE, MMM d")).when(same, F.date_format(day, "MMM d")).otherwise(F.date_format(day, "MMM d, yyyy"))
 
 
 def tool_state(status: Column, is_error: Column) -> Column:
-    own = F.lower(F.trim(status))
+    """One of the states by a source's word, case, hyphens and blanks aside; an error is failed whatever the word says."""
+    own = F.translate(F.lower(F.regexp_replace(status, r"^\s+|\s+$", "")), "- ", "__")
     out = F.when(F.coalesce(is_error, F.lit(False)), "failed")
     for state, words in TOOL_STATES.items():
         out = out.when(own.isin(*words), state)
     return out.otherwise("unknown")
 
 
-def tool_target(args: Column) -> Column:
-    """The first telling argument of a call, else its first line that is no fence."""
-    found = F.coalesce(*(F.nullif(F.get_json_object(args, f"$.{k}"), F.lit("")) for k in TARGET_KEYS))
-    line = F.element_at(F.filter(F.split(args, "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("```")), 1)
-    return capped(F.coalesce(found, F.when(~F.trim(args).startswith("{"), line)), 120)
+def preview(text: Column, most: int) -> Column:
+    """One line of most characters at most, dots in place of what is cut."""
+    own = one_line(text)
+    return F.when(F.length(own) > most, F.concat(F.substring(own, 1, most - 3), F.lit("..."))).otherwise(own)
+
+
+def tool_target(args: Column, most: int = 96) -> Column:
+    """What a call acts on: the first telling text among the arguments, or of arguments that are no JSON object the first line that is no fence."""
+    own = F.regexp_replace(args, r"^\s+|\s+$", "")
+    parsed = F.try_parse_json(F.when(own.startswith("{"), own))
+    texts = [F.when(F.schema_of_variant(F.try_variant_get(parsed, f"$.{k}", "variant")) == "STRING", F.try_variant_get(parsed, f"$.{k}", "string")) for k in TARGET_KEYS]
+    found = F.coalesce(*(F.when(t.rlike(r"\S"), t) for t in texts))
+    line = F.element_at(F.filter(F.split(own, r"\r\n|\n|\r"), lambda x: x.rlike(r"\S") & ~x.rlike(r"^\s*(`{3,}|~{3,})[\w+-]*\s*$")), 1)
+    return preview(F.coalesce(F.when(parsed.isNotNull(), F.coalesce(found, F.lit(""))), F.when(own != "", line), F.lit("")), most)
+
+
+def tool_icon(name: Column) -> Column:
+    out = None
+    for icon, parts in TOOL_ICONS:
+        hit = F.lower(name).rlike(parts)
+        out = F.when(hit, icon) if out is None else out.when(hit, icon)
+    return out.otherwise("🔧")
+
+
+def tool_importance(name: Column) -> Column:
+    return F.when(F.coalesce(F.lower(name).rlike("|".join(MAJOR_TOOLS)), F.lit(False)), "major").otherwise("minor")
+
+
+def guessed_language(tool: Column, text: Column) -> Column:
+    """The language of a call's text, by its form first and then by the tool's name."""
+    name, low = F.lower(tool), F.lower(text)
+    return (
+        F.when(F.ltrim(text).startswith("*** Begin Patch") | text.contains("@@") | low.contains("diff --git"), "diff").when(name.rlike("bash|shell"), "bash")
+        .when(name.contains("python") | low.contains("python"), "python").when(name.contains("json") | F.trim(low).startswith("{"), "json").when(low.contains("sql"), "sql").otherwise("plaintext")
+    )
+
+
+def media_type(path: Column) -> Column:
+    """By the name's end; what is unknown is bytes."""
+    end = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in MEDIA_TYPES.items() for x in pair))[end], F.lit("application/octet-stream"))
+
+
+def base_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*)/*$", 1)
+
+
+def below(path: Column, folder: Column) -> Column:
+    """Whether path is the folder or lies below it."""
+    return (path == folder) | path.startswith(F.concat(F.regexp_replace(folder, "/+$", ""), F.lit("/")))
+
+
+def marked_snippet(raw: Column) -> Column:
+    """A snippet whose hits stand between the control characters 2 and 3: marks in the text itself become others, the control characters become marks."""
+    return F.translate(F.translate(raw, "«»", "‹›"), "\x02\x03", "«»")
+
+
+def elided_excerpt(excerpt: Column, body: Column) -> Column:
+    """Whether an excerpt, marks and ellipses aside, is not the whole body."""
+    plain = one_line(F.translate(F.translate(excerpt, "…", " "), "\x02\x03", ""))
+    return (plain == "") | (plain != one_line(body))
+
+
+def command_noise(text: Column) -> Column:
+    """Whether every line with anything on it is command bookkeeping."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"(?i)^(\[command:[^\]]*\]|\[/?[a-z0-9_-]+\]|\(\s*\))$"))
+
+
+def contents_noise(text: Column) -> Column:
+    """Whether a prompt says nothing in a table of contents."""
+    own = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    return own.isin("", "prompt", "[tool result]", "tool result", "no files found", "ok", "done") | own.startswith("<local-command-")
+
+
+def canonical_json(*fields: Column) -> Column:
+    """Fields in the order of their names as one text in which nulls and text can't be mixed up; for digests."""
+    return F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), f.cast("string")), F.lit("!")) for f in fields))
+
+
+def local_naive(text: Column, zone: str) -> Column:
+    """ISO times as wall-clock times: those with an offset as clocks of the zone show them, others as they are; null if it is none."""
+    own = F.regexp_replace(text, "T", " ")
+    aware = own.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    moment = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.try_to_timestamp(own).cast("timestamp_ntz"))
+    return F.when(aware, moment).otherwise(own.try_cast("timestamp_ntz"))
 
 
 def compact_events(events: Column, most: int) -> Column:

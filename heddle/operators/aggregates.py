@@ -161,3 +161,51 @@ def best_threshold(pairs: DataFrame) -> DataFrame:
     by = by.withColumns({"p": F.sum("pos").over(all_), "n": F.sum("neg").over(all_), "p0": F.coalesce(F.sum("pos").over(below), F.lit(0)), "n0": F.coalesce(F.sum("neg").over(below), F.lit(0))})
     acc = ((F.col("p") - F.col("p0")) / F.col("p") + F.col("n0") / F.col("n")) / 2
     return by.select("score", F.bround(acc, 6).alias("accuracy")).orderBy(F.desc("accuracy"), "score").limit(1)
+
+
+def combined(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Sums of metrics (name, kind, value, covered, total) of two archives by name; those of different kinds can't be added, and fail."""
+    keep = lambda df, p: df.select("name", *(F.col(c).alias(f"{p}_{c}") for c in ("kind", "value", "covered", "total")))
+    out = keep(a, "a").join(keep(b, "b"), "name")
+    kind = F.when(F.col("a_kind") == F.col("b_kind"), F.col("a_kind")).otherwise(F.raise_error(F.concat(F.lit("metrics of two kinds: "), "name")).cast("string"))
+    covered = F.least("a_covered", "b_covered")
+    ratio = F.when(F.col("a_total") > 0, F.bround(covered / F.col("a_total"), 4)).otherwise(0.0)
+    return out.select("name", kind.alias("kind"), (F.col("a_value") + F.col("b_value")).alias("value"), covered.alias("covered"), F.col("a_total").alias("total"), ratio.alias("coverage"))
+
+
+def basic_stats(sessions: DataFrame, now: str) -> DataFrame:
+    """One row: totals, mean messages, first and last day, and how many are at most 7 and 30 days old."""
+    moment = F.coalesce("updated", "created")
+    recent = lambda days: F.count_if(moment >= F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {days} days"))
+    return sessions.agg(F.count("*").alias("sessions"), F.sum("messages_count").alias("messages"), F.bround(F.avg("messages_count"), 1).alias("mean_messages"), F.min(F.to_date("created")).alias("first_day"), F.max(F.to_date(moment)).alias("last_day"), recent(7).alias("last_week"), recent(30).alias("last_month"))
+
+
+def commonest(sessions: DataFrame, by: str, most: int = 10) -> DataFrame:
+    """(key, sessions) of the commonest values, by name where they are equally common."""
+    return sessions.groupBy(F.coalesce(by, F.lit("Unassigned")).alias("key")).agg(F.count("*").alias("sessions")).orderBy(F.desc("sessions"), "key").limit(most)
+
+
+def audit(indexed: DataFrame, live: DataFrame) -> DataFrame:
+    """(tool, indexed, live): sessions of the index held against those at the sources."""
+    a, b = indexed.groupBy("tool").agg(F.count("*").alias("a")), live.groupBy("tool").agg(F.count("*").alias("b"))
+    return a.join(b, "tool", "full_outer").select("tool", F.coalesce("a", F.lit(0)).alias("indexed"), F.coalesce("b", F.lit(0)).alias("live"))
+
+
+def top_tags(sessions: DataFrame, tags: DataFrame, most: int | None = 12, per_session: int = 30) -> DataFrame:
+    """(tag, score): how many sessions have a keyword among their first ones, and for tags that users saved their sessions and one more."""
+    words = sessions.select(F.explode(F.slice("keywords", 1, per_session)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    own = tags.groupBy("tag").agg((F.count_distinct("session_id") + 1).alias("n"))
+    out = words.unionByName(own).groupBy("tag").agg(F.sum("n").alias("score")).orderBy(F.desc("score"), "tag")
+    return out if most is None else out.limit(most)
+
+
+def message_coverage(messages: DataFrame) -> DataFrame:
+    """(session_id, n, first, last): how many messages a session has, and from where to where."""
+    return messages.groupBy("session_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+def token_series(sessions: DataFrame, first: str, last: str) -> DataFrame:
+    """(day, tokens) for every day from first to last."""
+    days = sessions.sparkSession.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("day"))
+    own = sessions.groupBy(F.to_date(F.coalesce("updated", "created")).alias("day")).agg(F.sum(F.coalesce("total_tokens", F.lit(0))).alias("tokens"))
+    return days.join(own, "day", "left").select("day", F.coalesce("tokens", F.lit(0)).alias("tokens"))

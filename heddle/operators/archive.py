@@ -2,40 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.functions.columns import canonical_json
 from heddle.operators.ordered import keep_best, numbered
 
 
-def content_hash(messages: DataFrame) -> DataFrame:
-    """One digest of a session's messages in order."""
-    line = F.concat_ws("\x1f", F.col("seq").cast("string"), "role", F.coalesce("content", F.lit("")), "kind")
-    rows = messages.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("seq", line.alias("line")))).alias("rows"))
-    return rows.select("session_id", F.sha2(F.array_join(F.transform("rows", lambda r: F.concat(r["line"], F.lit("\n"))), ""), 256).alias("content_sha256"))
+def _field(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
+def content_hash(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(id, content_sha256): one digest of what a session means.
+
+    Of each message in order: role, kind, content, time, model, the source's own id, and the names of the tools it calls; of
+    the session: tool, project, thread, and its first and last time. Where a session is stored, and how it was parsed, doesn't count.
+    """
+    tools = F.array_join(F.transform("tool_calls", lambda c: F.coalesce(c["tool"], F.lit(""))), "\x1e") if "tool_calls" in messages.columns else F.lit("")
+    own = (F.col("role"), F.col("kind"), F.sha2(F.coalesce("content", F.lit("")), 256), F.col("timestamp"), _field(messages, "model"), _field(messages, "native_id"), F.coalesce(tools, F.lit("")))
+    rows = messages.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("seq", canonical_json(*own).alias("line")))).alias("rows"))
+    body = F.array_join(F.transform(F.coalesce("rows", F.array().cast("array<struct<seq:int,line:string>>")), lambda r: r["line"]), "\n")
+    head = canonical_json(*(_field(sessions, c) for c in ("tool", "project", "thread_id", "created", "updated")))
+    return sessions.join(rows, F.col("id") == F.col("session_id"), "left").select("id", F.sha2(F.concat_ws("\n", head, body), 256).alias("content_sha256"))
 
 
 def store_fingerprint(sessions: DataFrame) -> DataFrame:
-    """A digest of a store that doesn't depend on the order of rows: sums of row digests, no row list."""
-    h = F.xxhash64(*(F.col(c).cast("string") for c in ("id", "updated", "messages_count")))
-    return sessions.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    """A digest of a store that doesn't depend on the order of rows: sums of parts of the rows' digests, no list of rows."""
+    digest = F.sha2(canonical_json(F.col("id"), F.col("updated"), F.col("messages_count")), 256)
+    part = lambda k: F.sum(F.conv(F.substring(digest, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)"))
+    return sessions.agg(F.count("*").alias("n"), F.concat_ws("-", *(part(k).cast("string") for k in range(3))).alias("fingerprint"))
 
 
 def resolved(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """incoming (id, content_sha256, namespace) with outcome against stored, and the id to store under.
+    """incoming (id, tool, namespace, content_sha256) with outcome against stored, the id to store under, and what that is a copy of.
 
-    No row with the id: added. The same content: identical. The same namespace: refreshed. Else a divergent copy,
-    under id#n with n from 2 on, numbered by content.
+    stored: id, namespace, content_sha256, copy_of, record_id. No row with the id: added. A row without a digest: refilled.
+    The same content: identical. The same namespace, or none on record: refreshed. These keep the id. Else the session is a divergent
+    copy, under tool:scope:id#n, scope being the namespace behind its first colon: a copy of that name with this content is
+    reused (twin), else n is the least free number from 2 on; several new copies of a name are numbered by content.
     """
-    base = F.regexp_replace("id", r"#\d+$", "")
-    copies = stored.withColumn("base", base).groupBy("base").agg(F.max(F.coalesce(F.nullif(F.regexp_extract("id", r"#(\d+)$", 1), F.lit("")).cast("int"), F.lit(1))).alias("last"), F.collect_set("content_sha256").alias("known"))
-    same = stored.select("id", F.col("content_sha256").alias("_sha"), F.col("namespace").alias("_ns"))
-    out = incoming.join(same, "id", "left").join(copies, incoming["id"] == copies["base"], "left")
-    outcome = F.when(F.col("_sha").isNull(), "added").when(F.array_contains("known", F.col("content_sha256")), "identical").when(F.col("_ns").eqNullSafe(F.col("namespace")), "refreshed").otherwise("copy")
+    same = stored.select("id", F.lit(True).alias("_there"), F.col("content_sha256").alias("_sha"), F.col("namespace").alias("_ns"), F.col("copy_of").alias("_of"))
+    scope = F.regexp_replace("namespace", r"^[^:]*:", "")
+    prefix = F.concat_ws(":", "tool", scope, "id")
+    out = incoming.join(same, "id", "left").withColumn("prefix", prefix)
+    kept = F.when(F.col("_there").isNull(), "added").when(F.col("_sha").isNull(), "refilled").when(F.col("_sha") == F.col("content_sha256"), "identical")
+    out = out.withColumn("kept", kept.when(F.col("_ns").isNull() | (F.col("_ns") == F.col("namespace")), "refreshed"))
+    copies = stored.filter(F.col("id").rlike(r"#\d+$")).select(F.regexp_replace("id", r"#\d+$", "").alias("prefix"), F.regexp_extract("id", r"#(\d+)$", 1).cast("int").alias("n"), "id", "content_sha256", "copy_of", "record_id")
+    linked = copies.select("prefix", "content_sha256", F.col("id").alias("twin"), F.explode(F.array_distinct(F.array("copy_of", "record_id"))).alias("origin")).filter(F.col("origin").isNotNull())
+    twins = linked.groupBy("prefix", "content_sha256", F.col("origin").alias("id")).agg(F.min("twin").alias("twin"))
+    taken = copies.groupBy("prefix").agg(F.collect_set("n").alias("taken"))
+    out = out.join(twins, ["prefix", "content_sha256", "id"], "left").join(taken, "prefix", "left")
+    outcome = F.coalesce("kept", F.when(F.col("twin").isNotNull(), "twin").otherwise("copy"))
     out = out.withColumn("outcome", outcome)
-    rank = F.dense_rank().over(Window.partitionBy("id", "outcome").orderBy("content_sha256"))
-    store = F.when(F.col("outcome") == "copy", F.concat("id", F.lit("#"), (F.col("last") + rank).cast("string"))).otherwise(F.col("id"))
-    return out.select(incoming["id"], "content_sha256", "namespace", "outcome", store.alias("store_id"))
+    rank = F.dense_rank().over(Window.partitionBy("prefix", "outcome").orderBy("content_sha256"))
+    used = F.coalesce("taken", F.array().cast("array<int>"))
+    free = F.element_at(F.array_except(F.sequence(F.lit(2), F.size(used) + rank + 1), used), rank)
+    store = F.when(F.col("outcome") == "copy", F.concat("prefix", F.lit("#"), free.cast("string"))).otherwise(F.coalesce(F.when(F.col("kept").isNull(), F.col("twin")), "id"))
+    return out.select("id", "tool", "content_sha256", "namespace", "outcome", store.alias("store_id"), F.when(F.col("kept").isNull(), F.col("id")).otherwise(F.col("_of")).alias("copy_of"))
+
+
+def copies_of(sessions: DataFrame, id_: str) -> DataFrame:
+    """The divergent copies of a session."""
+    return sessions.filter(F.col("copy_of_session_id") == id_).orderBy("id")
+
+
+def origins(sessions: DataFrame) -> DataFrame:
+    """(namespace, tool, origin, n, dominant): sessions by namespace, tool and origin; dominant marks the namespace that most sessions of a store come from."""
+    counts = sessions.groupBy(F.col("source_namespace").alias("namespace"), "tool", "origin").agg(F.count("*").alias("n"))
+    by_name = counts.filter(F.col("namespace").isNotNull()).groupBy("namespace").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "namespace").limit(1).select("namespace", F.lit(True).alias("dominant"))
+    return counts.join(F.broadcast(by_name), "namespace", "left").withColumn("dominant", F.coalesce("dominant", F.lit(False)))  # one row
+
+
+def refreshed(stored: DataFrame, fresh: DataFrame, columns: list[str]) -> DataFrame:
+    """Stored sessions with the metadata that fresh rows of the same id and content bring; what they don't know, and other content, stays."""
+    new = fresh.select("id", F.col("content_sha256").alias("_sha"), *(F.col(c).alias(f"_{c}") for c in columns))
+    out, same = stored.join(new, "id", "left"), F.col("_sha").eqNullSafe(F.col("content_sha256")) & F.col("_sha").isNotNull()
+    return out.select(*(F.when(same, F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in stored.columns))
+
+
+def union_of(sources: dict[str, DataFrame], wanted: list[str] | None = None) -> DataFrame:
+    """The sessions of all sources that are asked for, with the source's name as tool; columns that a source lacks are null."""
+    unknown = set(wanted or ()) - set(sources)
+    if unknown:
+        raise ValueError(f"no such source: {', '.join(sorted(unknown))}")
+    out = None
+    for name, df in sources.items():
+        if not wanted or name in wanted:
+            own = df.withColumn("tool", F.lit(name))
+            out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def repaired_index(entries: DataFrame, indexed: DataFrame) -> DataFrame:
+    """The index with orphans out and missing entries in: rows (id, body)."""
+    kept = indexed.join(entries.select("id"), "id", "left_semi")
+    return kept.unionByName(entries.select("id", "body").join(indexed.select("id"), "id", "left_anti"))
+
+
+def repaired_places(links: DataFrame, messages: DataFrame) -> DataFrame:
+    """Links (link_id, session_id, seq, native_id, sha256) whose place now lies elsewhere: (link_id, seq as it was, seq as it is)."""
+    found = evidence(links, messages)
+    return found.join(links.select("link_id", F.col("seq").alias("was")), "link_id").filter(F.col("seq").isNotNull() & ~F.col("seq").eqNullSafe(F.col("was"))).select("link_id", "was", "seq")
+
+
+def freshness(stored: DataFrame, current: DataFrame, grace_seconds: int = 2) -> DataFrame:
+    """(path, reason) of files that a store doesn't reflect: missing, new, or changed by more than the grace of a file system's clock."""
+    a, b = stored.select("path", F.col("mtime_ns").alias("a")), current.select("path", F.col("mtime_ns").alias("b"))
+    late = F.abs(F.col("b") - F.col("a")) > grace_seconds * 1_000_000_000
+    reason = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "missing").when(late, "changed")
+    return a.join(b, "path", "full_outer").select("path", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def assert_fresh(stored: DataFrame, current: DataFrame) -> None:
+    """ValueError with up to ten of the files that a store doesn't reflect."""
+    stale = [f"{r.path} ({r.reason})" for r in freshness(stored, current).orderBy("path").limit(10).collect()]
+    if stale:
+        raise ValueError(f"the store is stale: {', '.join(stale)}")
 
 
 def upserted(stored: DataFrame, fresh: DataFrame, key: str, version: str | None = None) -> DataFrame:
@@ -72,13 +155,16 @@ def latest_of(rows: DataFrame, key: str, at: str, payload: list[str]) -> DataFra
 
 
 def evidence(links: DataFrame, messages: DataFrame) -> DataFrame:
-    """Links (link_id, session_id, seq, sha256) to messages: by session and place, or else by content within the session."""
-    m = messages.select("session_id", "seq", F.sha2("content", 256).alias("sha256"))
-    by_place = links.join(m.withColumnRenamed("sha256", "found"), ["session_id", "seq"], "left")
+    """Links (link_id, session_id, seq, native_id, sha256) to messages: by place if the content is still there, else by the source's own id, else by content within the session."""
+    m = messages.select("session_id", "seq", _field(messages, "native_id").alias("native_id"), F.sha2("content", 256).alias("sha256"))
+    by_place = links.join(m.select("session_id", "seq", F.col("sha256").alias("found")), ["session_id", "seq"], "left")
+    by_name = m.filter(F.col("native_id").isNotNull()).groupBy("session_id", "native_id").agg(F.min("seq").alias("name_seq"))
     by_text = m.groupBy("session_id", "sha256").agg(F.min("seq").alias("text_seq"))
-    out = by_place.join(by_text, ["session_id", "sha256"], "left")
+    named = by_place if "native_id" in links.columns else by_place.withColumn("native_id", F.lit(None).cast("string"))
+    out = named.join(by_name, ["session_id", "native_id"], "left").join(by_text, ["session_id", "sha256"], "left")
     ok = F.col("found").eqNullSafe(F.col("sha256"))
-    return out.select("link_id", "session_id", F.when(ok, F.col("seq")).otherwise(F.col("text_seq")).alias("seq"), F.when(ok, "place").when(F.col("text_seq").isNotNull(), "content").otherwise("unresolved").alias("resolved_by"))
+    how = F.when(ok, "place").when(F.col("name_seq").isNotNull(), "native_id").when(F.col("text_seq").isNotNull(), "content").otherwise("unresolved")
+    return out.select("link_id", "session_id", F.when(ok, F.col("seq")).otherwise(F.coalesce("name_seq", "text_seq")).alias("seq"), how.alias("resolved_by"))
 
 
 def index_health(entries: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -94,3 +180,13 @@ def problems(tables: dict[str, DataFrame], manifest: DataFrame) -> DataFrame:
         own = df.agg(F.lit(name).alias("name"), F.count("*").alias("found"))
         counts = own if counts is None else counts.unionByName(own)
     return manifest.join(counts, "name", "full_outer").filter(~F.col("n").eqNullSafe(F.col("found")))
+
+
+def with_parents(sessions: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, parent, parent_title) of sessions whose parent is there; ids (id, store_id) tells under which ids a merge stored them."""
+    p = sessions.select(F.col("id").alias("parent"), F.col("title").alias("parent_title"))
+    own = sessions
+    if ids is not None:
+        new = ids.select(F.col("id").alias("parent_session_id"), "store_id")
+        own = own.join(new, "parent_session_id", "left").withColumn("parent_session_id", F.coalesce("store_id", "parent_session_id"))
+    return own.join(p, F.col("parent_session_id") == F.col("parent")).select("id", "parent", "parent_title")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.constants import CONTEXT_KINDS, MEMORY_KINDS, PRIOR_WEIGHT, RRF_K
+from heddle.constants import CONTEXT_KINDS, MEMORY_KINDS, PRIOR_WEIGHT, RECALL_FLOOR, RRF_K
 from heddle.operators.aggregates import feedback_weight
 from heddle.operators.ordered import keep_best
+from heddle.operators.search import Query, matches, parse
+from heddle.operators.vectors import fuse, most_similar
 from heddle.operators.visibility import path_tier, retired
 
 
@@ -102,3 +104,108 @@ def promoted(candidates: DataFrame, known: DataFrame, per_session: int, overall:
     added = good.orderBy("id").limit(overall).select("id").withColumn("_added", F.lit(1))
     out = own.join(added, "id", "left")
     return out.select("id", F.when(F.col("bad"), "invalid").when(F.col("_known").isNotNull(), "already_known").when(F.col("copy") > 1, "duplicate").when(F.col("_added").isNull(), "capped").otherwise("added").alias("outcome"))
+
+
+def searched(memory: DataFrame, index: DataFrame, query: Query, n: int, mean: float, limit: int, kind: str | None = None, project: str | None = None, status: str | None = "confirmed", include_superseded: bool = False) -> DataFrame:
+    """Entries by keywords, best first: the filters run before the limit. index: postings whose documents are memory:id, among those of sessions."""
+    hits = matches(index, query, n, mean).filter(F.col("doc").startswith("memory:")).select(F.substring_index("doc", ":", -1).cast("bigint").alias("id"), "score")
+    own = memory if status is None else memory.filter(F.col("status") == status)
+    own = own if include_superseded else own.filter(F.col("superseded_by").isNull())
+    own = own if kind is None else own.filter(F.col("kind") == kind)
+    own = own if project is None else own.filter(F.col("scope_project") == project)
+    return own.join(hits, "id").orderBy("score", "id").limit(limit)
+
+
+def recalled(memory: DataFrame, index: DataFrame, text: str, n: int, mean: float, limit: int = 10, vectors: DataFrame | None = None, vector: list[float] | None = None, semantic: bool | None = None, stemmed: bool = True, floor: float = RECALL_FLOOR, **filters) -> DataFrame:
+    """(id, score) of entries for a query, best first.
+
+    A blank query lists the newest. semantic False: keywords only. True: similarity only, without a floor, and keywords where
+    there is no vector. None: keywords fused with what is similar from the floor on, but keywords only for a phrase.
+    vectors: (id, embedding) of entries; vector: the query's.
+    """
+    query = parse(text, stemmed)
+    own = memory if filters.get("status", "confirmed") is None else memory.filter(F.col("status") == filters.get("status", "confirmed"))
+    own = own if filters.get("include_superseded") else own.filter(F.col("superseded_by").isNull())
+    own = own if not filters.get("kind") else own.filter(F.col("kind") == filters["kind"])
+    own = own if not filters.get("project") else own.filter(F.col("scope_project") == filters["project"])
+    if query is None:
+        return listing(own, limit).select("id", F.lit(0.0).alias("score"))
+    near = None if vectors is None or vector is None else own.select("id").join(vectors, "id")
+    if semantic and near is not None:
+        return most_similar(near, vector, limit, -1.0, key="id").select("id", F.col("similarity").alias("score"))
+    words = searched(memory, index, query, n, mean, limit, **filters).select("id", "score")
+    if semantic is not None or query.kind == "phrase" or near is None:
+        return words
+    near = most_similar(near, vector, limit, floor, key="id").select("id", "similarity")
+    return fuse([words, near], "id", [[F.asc("score"), F.asc("id")], [F.desc("similarity"), F.asc("id")]], limit)
+
+
+def enriched(memory: DataFrame, tags: DataFrame, feedback: DataFrame, sources: DataFrame) -> DataFrame:
+    """Entries with their tags, the scores of their raters and the places that they come from, each as an ordered list."""
+    listed = lambda df, name, *cols: df.groupBy("memory_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+    out = memory
+    for df, name, cols in ((tags, "tags", ("tag",)), (feedback, "votes", ("rater", "score")), (sources, "sources", ("session_id", "message_seq"))):
+        own = listed(df, name, *cols)
+        out = out.join(own.withColumnRenamed("memory_id", "id"), "id", "left")
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
+    return out
+
+
+def with_vectors(memory: DataFrame, vectors: DataFrame, missing: bool = False) -> DataFrame:
+    """Entries with their vectors (id, embedding), or those that have none."""
+    return memory.join(vectors.select("id"), "id", "left_anti") if missing else memory.join(vectors, "id")
+
+
+def tag_changes(tags: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """(session_id, tag) after additions and removals; tags are trimmed, lower-cased and never blank, and each counts once."""
+    own = lambda df: df.select("session_id", F.lower(F.trim("tag")).alias("tag")).filter(F.col("tag") != "")
+    return own(tags).unionByName(own(added)).distinct().join(own(removed), ["session_id", "tag"], "left_anti")
+
+
+def tombstones(store: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, at): each id with the first time that it was put away."""
+    return store.unionByName(new).groupBy("id").agg(F.min("at").alias("at"))
+
+
+def hidden_ids(deleted: DataFrame, ignored: DataFrame) -> DataFrame:
+    """The ids that either store hides, each once."""
+    return deleted.select("id").union(ignored.select("id")).distinct()
+
+
+def saved(rows: DataFrame, new: DataFrame, key: str, at: str = "created") -> DataFrame:
+    """Rows with new ones in place of those with the same key; of several the latest."""
+    return keep_best(rows.unionByName(new, allowMissingColumns=True), [key], [F.desc(at)])
+
+
+def without_session(summaries: DataFrame, session_id: str) -> DataFrame:
+    """Summaries without a session's own, and without aggregates that list it among their children."""
+    of_it = F.coalesce(F.array_contains("children", session_id), F.lit(False))
+    return summaries.filter(~(F.col("session_id").eqNullSafe(F.lit(session_id)) | of_it))
+
+
+def source_states(log: DataFrame) -> DataFrame:
+    """(source, state, n, first, last) of an append-only log (source, state, at)."""
+    return log.groupBy("source", "state").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+
+
+def undecoded(revisions: DataFrame) -> DataFrame:
+    """Captured revisions that no parser has read."""
+    return revisions.filter(F.col("decoded_at").isNull()).orderBy("captured_at", "id")
+
+
+def merged_recommendations(existing: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Recommendations (id, text, state, created_at, evidence of permalink and note): fresh texts, with the stored state and time and all evidence, by permalink, stored notes first; stored ones that are no longer found stay."""
+    links = existing.select("id", F.explode("evidence").alias("e"), F.lit(0).alias("k")).unionAll(fresh.select("id", F.explode("evidence"), F.lit(1)))
+    links = links.groupBy("id", F.col("e.permalink").alias("permalink")).agg(F.min_by(F.col("e.note"), F.col("k")).alias("note"))
+    links = links.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("permalink", "note"))).alias("evidence"))
+    a = existing.select("id", *(F.col(c).alias(f"a_{c}") for c in ("text", "state", "created_at")))
+    b = fresh.select("id", *(F.col(c).alias(f"b_{c}") for c in ("text", "state", "created_at")))
+    out = a.join(b, "id", "full_outer").select("id", F.coalesce("b_text", "a_text").alias("text"), F.coalesce("a_state", "b_state").alias("state"), F.coalesce("a_created_at", "b_created_at").alias("created_at"))
+    return out.join(links, "id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<struct<permalink:string,note:string>>")))
+
+
+def reviewed(recommendations: DataFrame, log: DataFrame) -> DataFrame:
+    """Recommendations with what an append-only review log (id, event, by, at) says: state active from the latest activation on, who and when, and how many evaluations there are."""
+    own = log.groupBy("id").agg(F.max_by("by", F.when(F.col("event") == "activated", F.col("at"))).alias("activated_by"), F.max(F.when(F.col("event") == "activated", F.col("at"))).alias("activated_at"), F.count_if(F.col("event") != "activated").alias("evaluations"))
+    out = recommendations.join(own, "id", "left")
+    return out.withColumns({"state": F.when(F.col("activated_at").isNotNull(), "active").otherwise(F.col("state")), "evaluations": F.coalesce("evaluations", F.lit(0))})

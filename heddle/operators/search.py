@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,18 +32,49 @@ def parse(text: str | None, stemmed: bool = True) -> Query | None:
     return Query("all", terms) if terms else None
 
 
-def _tokenized(stemmed: bool):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toks = [tokens(t, stemmed) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(toks, pa.list_(pa.string()))], names=["doc", "tokens"])
+def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        toks = [tokens(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(toks, pa.list_(pa.string()))], names=["doc", "tokens"])
 
-    return work
+
+def _folding() -> tuple[str, str]:
+    """Letters with marks of the Latin, Greek and Cyrillic blocks and what is left of them; combining marks have nothing left."""
+    pairs = []
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != chr(code):
+            pairs.append((chr(code), plain))
+    return "".join(a for a, _ in pairs) + "".join(chr(c) for c in range(0x300, 0x370)), "".join(b for _, b in pairs)
+
+
+def token_column(text: Column) -> Column:
+    """Tokens of a text without stemming, by built-in functions."""
+    return F.regexp_extract_all(F.translate(F.lower(text), *_folding()), F.lit(r"([\p{L}\p{N}]+)"))
+
+
+def scanned(docs: DataFrame, doc: str, text: Column, query: Query, limit: int) -> DataFrame:
+    """(doc, score) of the best documents without an index and without stemming: one pass for the statistics, one for the scores, no shuffle of tokens."""
+    toks = docs.select(F.col(doc).cast("string").alias("doc"), token_column(text).alias("tokens"))
+    if query.kind == "phrase":
+        line, phrase = F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" ")), " " + "  ".join(query.terms) + " "
+        freq = [((F.length(line) - F.length(F.replace(line, F.lit(phrase), F.lit("")))) / len(phrase)).cast("long")]
+    else:
+        begins = lambda term: lambda token: token.startswith(term)
+        freq = [F.size(F.filter("tokens", begins(term))).cast("long") for term in query.terms]
+    rows = toks.select("doc", F.size("tokens").alias("dl"), *(f.alias(f"tf{i}") for i, f in enumerate(freq)))
+    stats = rows.agg(F.count("*").alias("n"), F.sum("dl").alias("s"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(freq)))).first()
+    n, mean = stats["n"], (stats["s"] or 0) / max(1, stats["n"])
+    score = sum((bm25(F.col(f"tf{i}"), F.col("dl"), F.lit(stats[f"df{i}"]), n, mean) for i in range(len(freq))), F.lit(0.0))
+    for i in range(len(freq)):
+        rows = rows.filter(F.col(f"tf{i}") > 0)
+    return best(rows.select("doc", score.alias("score")), limit)
 
 
 def postings(docs: DataFrame, doc: str, text: Column, stemmed: bool = True) -> DataFrame:
     """(doc, term, positions, tf, dl): one row for each document and term; write it once and read it by term."""
-    rows = docs.select(F.col(doc).cast("string").alias("doc"), text.alias("text")).mapInArrow(_tokenized(stemmed), "doc string, tokens array<string>")
+    rows = docs.select(F.col(doc).cast("string").alias("doc"), text.alias("text"))
+    rows = rows.mapInArrow(_tokenized, "doc string, tokens array<string>") if stemmed else rows.select("doc", token_column(F.col("text")).alias("tokens"))
     each = rows.select("doc", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
     return each.groupBy("doc", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"), F.first("dl").alias("dl"))
 

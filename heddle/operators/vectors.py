@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.constants import DUPLICATE_FLOOR, RRF_K
+from heddle.constants import DUPLICATE_FLOOR, EXCERPT_CHARS, MESSAGE_CUTOFF, RRF_K
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -62,3 +63,35 @@ def pending(current: DataFrame, stored: DataFrame, key: str, model: str) -> Data
     own = current.withColumn("hash", F.sha2(F.substring("content", 1, 20_000), 256))
     meta = stored.select(key, F.col("model").alias("_model"), F.col("content_hash").alias("_hash"))
     return own.join(meta, key, "left").filter(~(F.col("_model").eqNullSafe(F.lit(model)) & F.col("_hash").eqNullSafe(F.col("hash")))).drop("_model", "_hash")
+
+
+def nearest_messages(vectors: DataFrame, messages: DataFrame, sessions: DataFrame, query: Sequence[float], limit: int, cutoff_distance: float | None = MESSAGE_CUTOFF) -> DataFrame:
+    """(session_id, seq, role, distance, excerpt, truncated) of the nearest messages within the cut-off.
+
+    vectors: session_id, seq, content_hash, embedding. Vectors of replaced contents don't count; sessions: the visible ones.
+    All filters run before the limit.
+    """
+    text = F.regexp_replace("content", r"^\s+|\s+$", "")
+    own = messages.select("session_id", "seq", "role", F.sha2(F.substring("content", 1, 20_000), 256).alias("content_hash"), F.substring(text, 1, EXCERPT_CHARS).alias("excerpt"), (F.length(text) > EXCERPT_CHARS).alias("truncated"))
+    near = vectors.withColumn("distance", l2(F.col("embedding"), F.lit([float(x) for x in query])))
+    near = near if cutoff_distance is None else near.filter(F.col("distance") <= cutoff_distance)
+    out = near.join(own, ["session_id", "seq", "content_hash"]).join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    return out.orderBy("distance", "session_id", "seq").limit(limit).select("session_id", "seq", "role", "distance", "excerpt", "truncated")
+
+
+def vanished(stored: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """Keys of vectors whose row is gone."""
+    return stored.select(key).distinct().join(current.select(key), key, "left_anti")
+
+
+def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float] | None]], key: str, model: str) -> DataFrame:
+    """(key, model, content_hash, embedding) of rows (key, content, hash) by an injected function over batches of texts; texts that it gives no vector for are left out."""
+    def work(parts):
+        for part in parts:
+            found = embed(part["content"].fillna("").tolist())
+            keep = [v is not None for v in found]
+            yield pd.DataFrame({key: part[key][keep], "content_hash": part["hash"][keep], "embedding": [v for v in found if v is not None]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    out = rows.select(key, "content", "hash").mapInPandas(work, f"{key} {kind}, content_hash string, embedding array<float>")
+    return out.select(key, F.lit(model).alias("model"), "content_hash", "embedding")

@@ -71,13 +71,10 @@ def _(fx):
     return fx.table("conversations").select("conv_id", "turn", S.retired(F.col("text")).alias("retired"))
 
 
-@query("F11_path_tiers", """SELECT id, CASE WHEN scope_project IS NULL THEN 3 WHEN '/w/' || scope_project = '/w/src3' THEN 0 WHEN starts_with('/w/' || scope_project, '/w/src3/') THEN 1
-  WHEN starts_with('/w/src3', '/w/' || scope_project || '/') AND len(list_filter(string_split('/w/' || scope_project, '/'), lambda p: p <> '')) >= 4 THEN 2 END AS tier FROM fx_memory""")
 def _(fx):
     return fx.memory.select("id", S.path_tier(F.concat(F.lit("/w/"), "scope_project"), "/w/src3").alias("tier"))
 
 
-@query("F22_summary_candidates", f"SELECT id, updated FROM fx_sessions WHERE {_VISIBLE} AND prompt_count >= 3 AND updated <= TIMESTAMP '2024-01-04 12:00:00' ORDER BY updated DESC, id LIMIT 20")
 def _(fx):
     own = S.visible(fx.sessions, fx.deleted, fx.ignored).filter((F.col("prompt_count") >= 3) & (F.col("updated") <= F.lit("2024-01-04 12:00:00").cast("timestamp_ntz")))
     return own.orderBy(F.desc("updated"), "id").limit(20).select("id", "updated")
@@ -120,8 +117,6 @@ def _(fx):
     return G.token_costs(fx.sessions)
 
 
-@query("G05_basic_stats", """SELECT count(*) AS sessions, round_even(avg(messages_count), 1) AS mean_messages, min(CAST(created AS DATE)) AS first_day, max(CAST(updated AS DATE)) AS last_day,
-  count(*) FILTER (updated >= TIMESTAMP '2024-01-04 00:00:00' - INTERVAL 7 DAY) AS last_week FROM fx_sessions""")
 def _(fx):
     week = F.col("updated") >= F.lit("2023-12-28 00:00:00").cast("timestamp_ntz")
     return fx.sessions.agg(F.count("*").alias("sessions"), F.bround(F.avg("messages_count"), 1).alias("mean_messages"), F.min(F.to_date("created")).alias("first_day"), F.max(F.to_date("updated")).alias("last_day"), F.count_if(week).alias("last_week"))
@@ -188,8 +183,6 @@ def _(fx):
     return G.top_per_group(own.join(F.broadcast(days), "day", "left_semi"), ["day"], [F.desc("updated"), F.asc("id")], 3).select("day", "id", "title", "rank")
 
 
-@query("G17_top_tags", """+ k AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))) AS word FROM fx_sessions)
-  SELECT word, CAST(sum(n) AS BIGINT) AS score FROM (SELECT word, count(*) AS n FROM k GROUP BY 1 UNION ALL SELECT tag, count(*) FROM fx_tags GROUP BY 1) GROUP BY word""")
 def _(fx):
     words = fx.sessions.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("([a-z0-9]+)")))).alias("word"))
     return words.unionAll(fx.tags.select("tag")).groupBy("word").agg(F.count("*").alias("score"))
@@ -221,12 +214,10 @@ def _(fx):
     return G.feedback_weight(fx.feedback)
 
 
-@query("G24_message_coverage", "SELECT session_id, count(*) AS n, min(seq) AS first, max(seq) AS last FROM fx_messages GROUP BY 1")
 def _(fx):
     return fx.messages.groupBy("session_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
-@query("G26_audit", "SELECT coalesce(a.tool, b.tool) AS tool, coalesce(a.n, 0) AS indexed, coalesce(b.n, 0) AS live FROM (SELECT tool, count(*) AS n FROM fx_sessions WHERE conv_id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT tool, count(*) AS n FROM fx_sessions WHERE conv_id % 5 < 4 GROUP BY 1) b ON a.tool = b.tool")
 def _(fx):
     a = fx.sessions.filter("conv_id % 2 = 0").groupBy("tool").agg(F.count("*").alias("a"))
     b = fx.sessions.filter("conv_id % 5 < 4").groupBy("tool").agg(F.count("*").alias("b"))
@@ -248,13 +239,11 @@ def _(fx):
     return fx.sessions.select("id").join(A.latest_of(fx.messages, "session_id", "seq", ["seq", "role"]), F.col("id") == F.col("session_id"), "left").select("id", "seq", "role")
 
 
-@query("J13_memory_enriched", "SELECT m.id, m.kind, coalesce(f.n, 0) AS votes, coalesce(f.s, '') AS scores FROM fx_memory m LEFT JOIN (SELECT memory_id, count(*) AS n, string_agg(score, ',' ORDER BY rater) AS s FROM fx_feedback GROUP BY 1) f ON f.memory_id = m.id")
 def _(fx):
     own = fx.feedback.groupBy("memory_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rater", "score"))), lambda x: x["score"].cast("string")), ",").alias("s"))
     return fx.memory.join(own, F.col("id") == F.col("memory_id"), "left").select("id", "kind", F.coalesce("n", F.lit(0)).alias("votes"), F.coalesce("s", F.lit("")).alias("scores"))
 
 
-@query("J15_parents", "SELECT c.id, p.id AS parent, p.title AS parent_title FROM fx_sessions c JOIN fx_sessions p ON p.id = c.parent_session_id")
 def _(fx):
     p = fx.sessions.select(F.col("id").alias("parent"), F.col("title").alias("parent_title"))
     return fx.sessions.join(p, F.col("parent_session_id") == F.col("parent")).select("id", "parent", "parent_title")
@@ -278,7 +267,6 @@ def _(fx):
     return A.unobserved(fx.sessions.select("id"), fx.sessions.filter("conv_id % 3 = 0"), fx.deleted, fx.ignored)
 
 
-@query("U02_hidden_union", "SELECT id FROM fx_deleted UNION SELECT id FROM fx_ignored")
 def _(fx):
     return fx.deleted.union(fx.ignored).distinct()
 
@@ -288,7 +276,6 @@ def _(fx):
     return S.page(S.visible(fx.sessions, fx.deleted, fx.ignored), S.newest_first(), 2, 10).select("id", "updated")
 
 
-@query("L05_message_window", "SELECT session_id, seq, role FROM fx_messages WHERE session_id = 'c000003' AND seq BETWEEN 1 AND 3")
 def _(fx):
     return fx.messages.filter((F.col("session_id") == "c000003") & F.col("seq").between(1, 3)).select("session_id", "seq", "role")
 
@@ -298,11 +285,6 @@ def _(fx):
     return M.listing(M.active(fx.memory), 50).select("id", "updated")
 
 
-@query("L08_context_ranking", """+ w AS (SELECT memory_id, (sum((score - 1) / 4) + 1.5) / (count(*) + 3) AS weight FROM fx_feedback GROUP BY 1),
-  m AS (SELECT m.*, coalesce(weight, 0.5) AS weight, CASE WHEN scope_project IS NULL THEN 3 WHEN scope_project = 'src4' THEN 0 END AS tier,
-    CASE kind WHEN 'lesson' THEN 1 WHEN 'decision' THEN 2 WHEN 'fact' THEN 3 WHEN 'link' THEN 4 ELSE 5 END AS k
-    FROM fx_memory m LEFT JOIN w ON w.memory_id = m.id WHERE superseded_by IS NULL AND status = 'confirmed' AND NOT coalesce(regexp_matches(title, '(?i)\\b(OBSOLETE|SUPERSEDED|RETIRED)\\b'), false))
-  SELECT id, kind, tier, weight FROM m WHERE tier IS NOT NULL ORDER BY tier, weight DESC, updated DESC, k, id LIMIT 40""".replace("\\\\", "\\"))
 def _(fx):
     return M.context(fx.memory, fx.feedback, "src4", 40).select("id", "kind", "tier", "weight")
 
@@ -331,8 +313,6 @@ def _(fx):
     return O.ranges(fx.messages.filter("role <> 'system' and (seq + conv_id) % 5 <> 0"), ["session_id"])
 
 
-@query("W10_day_groups", """+ p AS (SELECT id, CAST(updated AS DATE) AS day, row_number() OVER (ORDER BY updated DESC, id) AS n FROM fx_sessions ORDER BY n LIMIT 60)
-  SELECT id, day, coalesce(day <> lag(day) OVER (ORDER BY n), true) AS header FROM p""")
 def _(fx):
     from pyspark.sql import Window
 
@@ -391,7 +371,6 @@ def _(fx):
 # --- derived columns
 
 
-@query("C04_message_counts", "SELECT session_id, count(*) AS messages, count(*) FILTER (role = 'user' AND kind = 'text' AND trim(content) <> '') AS prompts, count(*) FILTER (role = 'assistant') AS answers FROM fx_messages GROUP BY 1")
 def _(fx):
     prompt = O.is_prompt() & F.col("content").rlike(r"\S")
     return fx.messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.count_if(prompt).alias("prompts"), F.count_if(F.col("role") == "assistant").alias("answers"))
@@ -402,13 +381,11 @@ def _(fx):
     return fx.sessions.select("id", C.display_title(F.col("title"), F.col("id")).alias("shown"))
 
 
-@query("C13_search_text", "+ f AS (SELECT session_id, string_agg(content, ' ' ORDER BY seq) AS t FROM fx_messages WHERE seq < 30 GROUP BY 1) SELECT id, left(lower(title || ' ' || t), 20000) AS search_text FROM fx_sessions JOIN f ON session_id = id")
 def _(fx):
     own = fx.messages.filter("seq < 30").groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), " ").alias("t"))
     return fx.sessions.join(own, F.col("id") == F.col("session_id")).select("id", F.substring(F.lower(F.concat_ws(" ", "title", "t")), 1, 20_000).alias("search_text"))
 
 
-@query("C14_fts_body", "SELECT session_id, sha256(string_agg(content, chr(10) ORDER BY seq)) AS body_sha FROM fx_messages WHERE content <> '' GROUP BY 1")
 def _(fx):
     own = fx.messages.filter("content <> ''").groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), "\n").alias("t"))
     return own.select("session_id", F.sha2("t", 256).alias("body_sha"))
@@ -419,13 +396,10 @@ def _(fx):
     return fx.sessions.select("id", F.coalesce(C.project_label(F.col("project")), F.lit("")).alias("label"), C.permalink(F.col("id"), F.col("messages_count")).alias("link"))
 
 
-@query("C23_tool_states", "SELECT event_id, CASE WHEN is_error THEN 'failed' WHEN status = 'completed' THEN 'completed' ELSE 'unknown' END AS state FROM fx_tool_events")
 def _(fx):
     return fx.tool_events.select("event_id", C.tool_state(F.col("status"), F.col("is_error")).alias("state"))
 
 
-@query("C27_at_a_glance", """+ t AS (SELECT session_id, name, count(*) AS n FROM fx_tool_events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, name) AS k FROM t)
-  SELECT session_id, count(*) AS calls, count(*) FILTER (is_error) AS failures, (SELECT string_agg(name || '=' || n, ',' ORDER BY k) FROM r WHERE r.session_id = e.session_id AND k <= 3) AS top FROM fx_tool_events e GROUP BY 1""")
 def _(fx):
     names = fx.tool_events.groupBy("session_id", "name").agg(F.count("*").alias("n"), F.count_if("is_error").alias("bad"))
     own = names.groupBy("session_id").agg(F.sum("n").alias("calls"), F.sum("bad").alias("failures"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "name"))), 1, 3).alias("top"))
@@ -448,10 +422,6 @@ def _(fx):
 _TOKENS = r"SELECT CAST(doc_id AS VARCHAR) AS doc, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS toks FROM documents"
 
 
-@query("X04_X05_bm25", rf"""+ d AS ({_TOKENS}), t AS (SELECT doc, len(toks) AS dl, unnest(toks) AS term FROM d), s AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM d),
-  h AS (SELECT doc, q, any_value(dl) AS dl, count(*) AS tf FROM t JOIN (SELECT unnest(['the', 'inti']) AS q) ON starts_with(term, q) GROUP BY 1, 2), f AS (SELECT q, count(*) AS df FROM h GROUP BY 1),
-  c AS (SELECT doc, -(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) AS sc FROM h JOIN f USING (q), s)
-  SELECT doc, sum(sc) AS score FROM c GROUP BY 1 HAVING count(*) = 2 ORDER BY score, doc LIMIT 50""")
 def _(fx):
     docs = fx.table("documents")
     index = X.postings(docs, "doc_id", F.col("text"), stemmed=False)
@@ -514,14 +484,10 @@ def _(fx):
 # --- identity, mutation, health
 
 
-@query("D01_content_hash", """SELECT session_id, sha256(string_agg(seq || chr(31) || role || chr(31) || coalesce(content, '') || chr(31) || kind || chr(10), '' ORDER BY seq)) AS content_sha256 FROM fx_messages GROUP BY 1""")
 def _(fx):
     return A.content_hash(fx.messages)
 
 
-@query("D02_divergent_copies", """+ i AS (SELECT id, sha256(title || (conv_id % 4)) AS c, CASE WHEN conv_id % 5 = 0 THEN 'a' ELSE 'b' END AS ns FROM fx_sessions WHERE conv_id % 2 = 0), s AS (SELECT id, sha256(title || '0') AS c, 'a' AS ns FROM fx_sessions WHERE conv_id % 6 = 0),
-  j AS (SELECT i.id, i.c AS content_sha256, i.ns AS namespace, CASE WHEN s.c IS NULL THEN 'added' WHEN s.c = i.c THEN 'identical' WHEN s.ns = i.ns THEN 'refreshed' ELSE 'copy' END AS outcome FROM i LEFT JOIN s USING (id))
-  SELECT *, CASE WHEN outcome = 'copy' THEN id || '#2' ELSE id END AS store_id FROM j""")
 def _(fx):
     s = fx.sessions
     incoming = s.filter("conv_id % 2 = 0").select("id", F.sha2(F.concat("title", (F.col("conv_id") % 4).cast("string")), 256).alias("content_sha256"), F.when(F.col("conv_id") % 5 == 0, "a").otherwise("b").alias("namespace"))
@@ -550,8 +516,6 @@ def _(fx):
     return A.captured(docs.filter("captured_at >= 300"), log).select("identity", "sha256", "captured_at", "revision")
 
 
-@query("J12_evidence", """+ e AS (SELECT session_id || '/' || seq AS link_id, session_id, CASE WHEN seq % 3 = 0 THEN seq ELSE seq + 1000 END AS seq, sha256(content) AS sha FROM fx_messages), t AS (SELECT session_id, sha256(content) AS sha, min(seq) AS at FROM fx_messages GROUP BY 1, 2)
-  SELECT link_id, e.session_id, CASE WHEN e.seq < 1000 THEN e.seq ELSE t.at END AS seq, CASE WHEN e.seq < 1000 THEN 'place' WHEN t.at IS NOT NULL THEN 'content' ELSE 'unresolved' END AS resolved_by FROM e LEFT JOIN t ON t.session_id = e.session_id AND t.sha = e.sha""")
 def _(fx):
     links = fx.messages.select(F.concat_ws("/", "session_id", F.col("seq").cast("string")).alias("link_id"), "session_id", F.when(F.col("seq") % 3 == 0, F.col("seq")).otherwise(F.col("seq") + 1000).alias("seq"), F.sha2("content", 256).alias("sha256"))
     return A.evidence(links, fx.messages)
@@ -563,7 +527,6 @@ def _(fx):
     return A.index_health(fx.memory, index)
 
 
-@query("I12_event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, name, count(*) AS n, sum(duration_ms) AS total FROM fx_tool_events GROUP BY 1, 2")
 def _(fx):
     return fx.tool_events.groupBy(F.window("ts", "1 hour").alias("w"), "name").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total")).select(F.col("w.start").alias("start"), "name", "n", "total")
 
@@ -629,7 +592,6 @@ def _(fx):
     return sinks.handoff(fx.messages, 3).withColumn("body", F.sha2("body", 256))
 
 
-@query("P01_K08_redacted")
 def _(fx):
     from heddle.operators import sinks
 
@@ -643,19 +605,16 @@ def _(fx):
     return fx.table("pages").select("page_id", F.sha2(visible_text(F.col("html")), 256).alias("sha"))
 
 
-@query("C12_keywords")
 def _(fx):
     own = fx.messages.filter("seq < 20").groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), " ").alias("t"))
     return fx.sessions.join(own, F.col("id") == F.col("session_id")).select("id", F.array_join(C.keywords(F.col("title"), F.col("t")), ",").alias("keywords"))
 
 
-@query("C08_titles", "SELECT id, 'x' AS shape FROM fx_sessions")
 def _(fx):
     title = C.inferred_title(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("tool"), F.col("created"), F.col("id"))
     return fx.sessions.select("id", F.when(title.rlike(r"^[A-Z][A-Za-z ]+ \d{4}-\d{2}-\d{2} • .{7,8}$"), "x").otherwise(title).alias("shape"))
 
 
-@query("P09_context_text")
 def _(fx):
     from pyspark.sql import Window
 

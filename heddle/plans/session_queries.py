@@ -31,7 +31,6 @@ def _(fx):
     return S.listed(fx.sessions, tool=R.tool_name("Claude")).select("id", one_of(F.col("origin"), ("interactive", "subagent"), "unknown").alias("origin"))
 
 
-@query("C05_outlines")
 def _(fx):
     return R.outline(fx.messages)
 
@@ -44,13 +43,10 @@ def _(fx):
     return R.canonical_calls(own.filter("n % 3 > 0").drop("status"), own.filter("n % 2 = 0"))
 
 
-@query("C26_injected_display", "SELECT session_id, seq, 'prompt' AS shown FROM fx_messages WHERE kind = 'injected_context'")
 def _(fx):
     return fx.messages.filter("kind = 'injected_context'").select("session_id", "seq", R.injected_display(F.col("content")).alias("shown"))
 
 
-@query("C28_diff", """+ a AS (SELECT source AS key, lang AS line FROM documents WHERE doc_id % 2 = 0), b AS (SELECT source AS key, lang AS line FROM documents WHERE doc_id % 3 = 0), x AS (SELECT key, line, count(*) AS n FROM a GROUP BY 1, 2), y AS (SELECT key, line, count(*) AS n FROM b GROUP BY 1, 2)
-  SELECT * FROM (SELECT key, line, coalesce(y.n, 0) - coalesce(x.n, 0) AS n FROM x FULL JOIN y USING (key, line)) WHERE n <> 0""")
 def _(fx):
     own = fx.table("documents").select("doc_id", F.col("source").alias("key"), F.col("lang").alias("line"))
     return R.diff_rows(own.filter("doc_id % 2 = 0"), own.filter("doc_id % 3 = 0"))
@@ -83,12 +79,10 @@ def _(fx):
     return own.join(fx.sessions, F.col("doc") == F.col("id")).select("id", "title", "n")
 
 
-@query("J05_missing_vectors", "SELECT d.doc_id AS id FROM documents d ANTI JOIN embeddings e ON e.vec_id = d.doc_id")
 def _(fx):
     return fx.memory.select("id").join(fx.vectors.select(F.col("key").alias("id")), "id", "left_anti")
 
 
-@query("J09_not_ignored", "SELECT id FROM fx_sessions WHERE id NOT IN (SELECT id FROM fx_ignored)")
 def _(fx):
     return fx.sessions.select("id").join(fx.ignored, "id", "left_anti")
 
@@ -118,7 +112,6 @@ def _(fx):
     return R.recall_at(hits, labels, 2)
 
 
-@query("G29_store_fingerprint")
 def _(fx):
     return A.store_fingerprint(fx.sessions)
 
@@ -143,12 +136,10 @@ def _(fx):
     return O.numbered(own, ["source"], [F.asc("text_sha")], F.lit(1)).withColumnRenamed("revision", "n")
 
 
-@query("L07_recent_of_project", "SELECT id FROM fx_sessions WHERE project = '/work/p2' ORDER BY updated DESC, id LIMIT 3")
 def _(fx):
     return fx.sessions.filter("project = '/work/p2'").orderBy(*S.newest_first()).limit(3).select("id")
 
 
-@query("U04_vanished_vectors", "SELECT vec_id AS key FROM embeddings WHERE vec_id % 2 = 0 EXCEPT SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
 def _(fx):
     return fx.vectors.filter("key % 2 = 0").select("key").subtract(fx.table("documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("key")))
 
@@ -159,14 +150,12 @@ def _(fx):
     return X.matches(index, X.parse("tio", stemmed=False), 1, 1.0).agg(F.count("*").alias("hits"))
 
 
-@query("X12_message_search")
 def _(fx):
     docs = fx.messages.groupBy("session_id").agg(F.concat_ws(" ", F.collect_list("content")).alias("t"))
     index = X.postings(docs, "session_id", F.col("t"))
     return X.search_messages(fx.messages, index, X.parse("the inti"), *X.statistics(index), 20)
 
 
-@query("V10_hybrid_search")
 def _(fx):
     docs = fx.table("documents")
     index = X.postings(docs, "doc_id", F.col("text"))
@@ -199,7 +188,6 @@ def _(fx):
     return O.chunks(blocks.select("session_id", F.col("block").cast("int").alias("block"), "chars"), "session_id", 12_000).groupBy("session_id").agg(F.count("*").alias("blocks"))
 
 
-@query("P08_recommendations")
 def _(fx):
     return P.recommendations(fx.messages.withColumn("content", F.concat(F.lit("You should always check this first. "), "content")), fx.sessions)
 

@@ -63,8 +63,10 @@ def watch(spark: SparkSession, path: str, schema: str, archive: Snapshots, key:
 
 
 def windows(events: DataFrame, length: str, late: str) -> DataFrame:
-    """Counts by window and name of a stream of events (ts, name), late ones within the limit included."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length), "name").agg(F.count("*").alias("n"))
+    """(start, name, n, total) by window and name of events (ts, name, duration_ms), a table or a stream; in a stream late ones within the limit count."""
+    own = events.withWatermark("ts", late) if events.isStreaming else events
+    own = own.groupBy(F.window("ts", length).alias("w"), "name").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total"))
+    return own.select(F.col("w.start").alias("start"), "name", "n", "total")
 
 
 def job_states(log: DataFrame) -> DataFrame:

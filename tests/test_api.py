@@ -73,5 +73,5 @@ def test_exports_and_snapshots(filled, tmp_path):
     manifest = sinks.snapshot(tables, str(tmp_path / "snap"))
     assert A.problems(tables, manifest).count() == 0
     assert [r.name for r in A.problems({"s": tables["s"].limit(1), "m": tables["m"]}, manifest).collect()] == ["s"]
-    merged = {r.id: r.outcome for r in filled.merge(filled.spark.createDataFrame([("a", "x"), ("z", "y")], "id string, content_sha256 string"), "other").collect()}
-    assert merged == {"a": "added", "z": "added"} or merged == {"a": "copy", "z": "added"}
+    merged = {r.id: r.outcome for r in filled.merge(filled.spark.createDataFrame([("a", "codex", "x"), ("z", "codex", "y")], "id string, tool string, content_sha256 string"), "other").collect()}
+    assert merged == {"a": "refilled", "z": "added"}
