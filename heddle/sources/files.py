@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.sources.jsonl import files, first_of
+from heddle.functions.columns import tool_target
+from heddle.sources import blocks
+from heddle.sources.blocks import flattened
+from heddle.sources.jsonl import files, first_of, lines
 
 #: What the store readers give for each message.
 MESSAGE = "file string, session_id string, seq int, role string, content string, timestamp string"
@@ -22,15 +25,19 @@ def binary(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select(F.col("path").alias("file"), "content")
 
 
-# The queries that each SQLite store answers, and the columns they may lack.
+# The queries that each SQLite store answers for messages, and for sessions (id, title, project, parent).
 STORES = {
-    "goose": ("sessions.db", "SELECT session_id, role, content_json AS content, created_timestamp AS timestamp FROM messages ORDER BY session_id, timestamp"),
-    "hermes": ("state.db", "SELECT session_id, role, content, timestamp FROM messages ORDER BY session_id, timestamp"),
-    "crush": ("crush.db", "SELECT session_id, role, parts AS content, created_at AS timestamp FROM messages ORDER BY session_id, created_at"),
-    "opencode": ("opencode.db", "SELECT session_id, json_extract(data, '$.role') AS role, json_extract(data, '$.text') AS content, time_created AS timestamp FROM message ORDER BY session_id, time_created"),
-    "opencode-v2": ("opencode.db", "SELECT session_id, type AS role, json_extract(data, '$.text') AS content, time_created AS timestamp FROM session_message ORDER BY session_id, time_created"),
-    "zed": ("threads.db", "SELECT id AS session_id, 'user' AS role, data AS content, updated_at AS timestamp FROM threads ORDER BY id"),
-    "cursor": ("state.vscdb", "SELECT key AS session_id, 'user' AS role, value AS content, NULL AS timestamp FROM cursorDiskKV WHERE key LIKE 'bubbleId:%' ORDER BY key"),
+    "goose": ("sessions.db", "SELECT session_id, role, content_json AS content, created_timestamp AS timestamp FROM messages ORDER BY session_id, timestamp, rowid"),
+    "hermes": ("state.db", "SELECT session_id, role, content, timestamp FROM messages ORDER BY session_id, timestamp, rowid"),
+    "crush": ("crush.db", "SELECT session_id, role, parts AS content, created_at AS timestamp FROM messages ORDER BY session_id, created_at, rowid"),
+    "opencode": ("opencode.db", "SELECT m.session_id, json_extract(m.data, '$.role') AS role, (SELECT json_group_array(json(p.data)) FROM (SELECT data FROM part WHERE message_id = m.id ORDER BY id) p) AS content, m.time_created AS timestamp FROM message m ORDER BY m.session_id, m.time_created, m.id"),
+    "opencode-v2": ("opencode.db", "SELECT session_id, type AS role, coalesce(json_extract(data, '$.text'), json_extract(data, '$.content')) AS content, time_created AS timestamp FROM session_message WHERE type IN ('user', 'assistant') ORDER BY session_id, time_created, id"),
+    "zed": ("threads.db", "SELECT id AS session_id, 'thread' AS role, data AS content, updated_at AS timestamp FROM threads ORDER BY id"),
+    "cursor": ("state.vscdb", "SELECT key AS session_id, 'bubble' AS role, value AS content, NULL AS timestamp FROM cursorDiskKV WHERE key LIKE 'bubbleId:%' OR key LIKE 'composerData:%' ORDER BY key"),
+}
+SESSIONS = {
+    "goose": "SELECT id, description, working_dir, NULL FROM sessions", "hermes": "SELECT id, title, cwd, parent_session_id FROM sessions", "crush": "SELECT id, title, NULL, parent_session_id FROM sessions",
+    "opencode": "SELECT id, title, directory, NULL FROM session", "zed": "SELECT id, summary, folder_paths, NULL FROM threads",
 }
 
 
@@ -50,36 +57,123 @@ def decoded(value) -> str | None:
     return None if value is None else str(value)
 
 
-def sqlite_rows(spark: SparkSession, path: str, glob: str, sql: str) -> DataFrame:
-    """Rows of a query over each SQLite file below path; a store without the table or columns gives none.
+def queried(spark: SparkSession, path: str, glob: str, sql: str, names: list[str]) -> DataFrame:
+    """file, place, the named columns as text, and problem: the rows of a query over each SQLite file below path.
 
-    The files are read as binaries and opened from memory, so they can lie in any store that Spark reads.
+    The files are read as binaries and opened from memory, so they can lie in any store that Spark reads. A file that
+    can't answer the query gives one row with the problem and nulls.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["file"], batch["content"], strict=True):
-                con = sqlite3.connect(":memory:")
-                con.deserialize(bytes(content))
+                con, problem = sqlite3.connect(":memory:"), None
                 try:
+                    con.deserialize(bytes(content))
                     rows = con.execute(sql).fetchall()
-                except sqlite3.Error:
-                    rows = []
+                except sqlite3.Error as e:
+                    rows, problem = [(None,) * len(names)], str(e)
                 con.close()
-                own = pd.DataFrame(rows, columns=["session_id", "role", "content", "timestamp"])
-                for c in own.columns:
-                    own[c] = own[c].map(decoded)
+                own = pd.DataFrame(rows, columns=names, dtype=object).map(decoded)
                 own.insert(0, "file", file)
-                own.insert(2, "seq", own.groupby("session_id").cumcount().astype("int32"))
+                own.insert(1, "place", range(len(own)))
+                own["problem"] = problem
                 yield own
 
-    return binary(spark, path, glob).mapInPandas(work, MESSAGE)
+    schema = ", ".join(f"{n} string" for n in names)
+    return binary(spark, path, glob).mapInPandas(work, f"file string, place int, {schema}, problem string")
+
+
+def sqlite_rows(spark: SparkSession, path: str, glob: str, sql: str) -> DataFrame:
+    """Messages that a query gives over each SQLite file below path, numbered by session in the query's order; files with problems give none (see problems)."""
+    own = queried(spark, path, glob, sql, ["session_id", "role", "content", "timestamp"]).filter(F.col("problem").isNull())
+    seq = F.row_number().over(Window.partitionBy("file", "session_id").orderBy("place")) - 1
+    return own.select("file", "session_id", seq.alias("seq"), "role", "content", "timestamp")
+
+
+def problems(spark: SparkSession, path: str, tool: str) -> DataFrame:
+    """(file, problem) of a tool's stores that can't be read."""
+    glob, sql = STORES[tool]
+    return queried(spark, path, glob, sql, ["session_id", "role", "content", "timestamp"]).filter(F.col("problem").isNotNull()).select("file", "problem")
 
 
 def store(spark: SparkSession, path: str, tool: str) -> DataFrame:
+    """A tool's messages as its store has them; where contents are lists of blocks, read has them as text."""
     return sqlite_rows(spark, path, *STORES[tool])
 
 
+def store_sessions(spark: SparkSession, path: str, tool: str) -> DataFrame:
+    """(file, id, title, project, parent_session_id, relation) of a tool's stores; a parent makes a session a child."""
+    own = queried(spark, path, STORES[tool][0], SESSIONS[tool], ["id", "title", "project", "parent_session_id"]).filter(F.col("problem").isNull())
+    project = F.element_at(F.split("project", "\n"), 1)
+    return own.select("file", "id", "title", project.alias("project"), "parent_session_id", F.when(F.coalesce("parent_session_id", F.lit("")) != "", "child").otherwise("none").alias("relation"))
+
+
+def goose(spark: SparkSession, path: str) -> DataFrame:
+    return flattened(store(spark, path, "goose").withColumnRenamed("content", "raw"), "raw", blocks.GOOSE)
+
+
+def crush(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of the stores that the registry (projects.json below path) lists, with the project; its data folders are absolute or below the project."""
+    listed = files(spark, path, "projects.json").select(F.explode(blocks.items(F.get_json_object("value", "$.projects"))).alias("p"))
+    project, folder = F.get_json_object("p", "$.path"), F.get_json_object("p", "$.data_dir")
+    where = F.concat(F.when(folder.startswith("/"), folder).otherwise(F.concat_ws("/", project, folder)), F.lit("/crush.db"))
+    listed = listed.select(project.alias("project"), where.alias("where")).dropDuplicates(["where"])
+    own = store(spark, path, "crush").withColumnRenamed("content", "raw").withColumn("where", F.regexp_replace("file", r"^[a-z]+:/+", "/"))
+    return flattened(own.join(listed, "where").drop("where"), "raw", blocks.CRUSH)
+
+
+def opencode(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of the JSON tree (message/<session>/msg_*.json with part/<message>/prt_*.json) and of the database; the database wins where a session is in both."""
+    head = files(spark, path, "msg_*.json").select("file", *(F.get_json_object("value", f"$.{k}").alias(n) for k, n in (("id", "message"), ("sessionID", "session_id"), ("role", "role"), ("time.created", "timestamp"))))
+    head = head.withColumn("session_id", F.coalesce("session_id", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)))
+    body = files(spark, path, "prt_*.json").select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("message"), F.regexp_extract("file", r"([^/]+)$", 1).alias("name"), "value")
+    body = body.groupBy("message").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "value"))), lambda x: x["value"]), ","), F.lit("]")).alias("raw"))
+    tree = head.join(body, "message").withColumn("seq", F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("timestamp").cast("double"), "message")) - 1)
+    tree = tree.select("file", "session_id", "seq", "role", "raw", "timestamp")
+    held = store(spark, path, "opencode").withColumnRenamed("content", "raw")
+    tree = tree.join(held.select("session_id").distinct(), "session_id", "left_anti")
+    return flattened(tree.unionByName(held), "raw", blocks.OPENCODE)
+
+
+def zed(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of threads: each is one JSON document (packed or not) with the messages of both sides, and the results of an agent's calls."""
+    own = store(spark, path, "zed").select("file", "session_id", "timestamp", F.posexplode(blocks.items(F.get_json_object("content", "$.messages"))).alias("seq", "m"))
+    user, agent = F.get_json_object("m", "$.User.content"), F.get_json_object("m", "$.Agent.content")
+    own = own.filter(user.isNotNull() | agent.isNotNull()).withColumns({"role": F.when(user.isNotNull(), "user").otherwise("assistant"), "raw": F.coalesce(user, agent)})
+    got = F.from_json(F.get_json_object("m", "$.Agent.tool_results"), "map<string,string>")
+    got = F.transform(F.array_sort(F.map_keys(got)), lambda k: F.struct(k.alias("id"), F.coalesce(F.get_json_object(got[k], "$.content.Text"), F.get_json_object(got[k], "$.content")).alias("output"), (F.coalesce(F.get_json_object(got[k], "$.is_error"), F.lit("false")) == "true").alias("is_error")))
+    own = flattened(own.withColumn("got", got).drop("m"), "raw", blocks.ZED)
+    return own.withColumn("results", F.coalesce("got", "results")).drop("got")
+
+
+def cursor(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of composers, in the order of their headers; a header of type 1 is the user's."""
+    own = queried(spark, path, *STORES["cursor"], ["session_id", "role", "content", "timestamp"]).filter(F.col("problem").isNull()).select("file", F.split("session_id", ":").alias("key"), "content")
+    heads = own.filter(F.col("key")[0] == "composerData").select("file", F.col("key")[1].alias("session_id"), F.posexplode(blocks.items(F.get_json_object("content", "$.fullConversationHeadersOnly"))).alias("seq", "h"))
+    heads = heads.select("file", "session_id", "seq", F.get_json_object("h", "$.bubbleId").alias("bubble"), F.when(F.get_json_object("h", "$.type") == "1", "user").otherwise("assistant").alias("role"))
+    said = own.filter(F.col("key")[0] == "bubbleId").select("file", F.col("key")[1].alias("session_id"), F.col("key")[2].alias("bubble"), "content")
+    thought = F.coalesce(F.get_json_object("content", "$.thinking.text"), F.get_json_object("content", "$.thinking"))
+    tool = F.get_json_object("content", "$.toolFormerData.name")
+    text = F.concat_ws("\n", F.nullif(F.get_json_object("content", "$.text"), F.lit("")), F.when(tool.isNotNull(), F.concat(F.lit("[Tool: "), tool, F.lit("] "), tool_target(F.get_json_object("content", "$.toolFormerData.params")))))
+    out = heads.join(said, ["file", "session_id", "bubble"]).select("file", "session_id", "seq", "role", text.alias("content"), F.get_json_object("content", "$.createdAt").alias("timestamp"), thought.alias("reasoning"))
+    return out.filter((F.col("content") != "") | F.col("reasoning").isNotNull())
+
+
+def kimi(spark: SparkSession, path: str) -> DataFrame:
+    """Messages below sessions/<md5 of the project>/<session>, with the project that the registry (kimi.json) has of that digest."""
+    listed = files(spark, path, "kimi.json").select(F.explode(blocks.items(F.get_json_object("value", "$.work_dirs"))).alias("p")).select(F.get_json_object("p", "$.path").alias("project")).distinct()
+    listed = listed.withColumn("digest", F.md5(F.col("project")))
+    rows = lines(spark, path, "context.jsonl").withColumns({"digest": F.regexp_extract("file", r"([^/]+)/[^/]+/[^/]+$", 1), "session_id": F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)})
+    rows = rows.withColumns({"role": F.get_json_object("value", "$.role"), "raw": F.get_json_object("value", "$.content"), "called": blocks.items(F.get_json_object("value", "$.tool_calls")), "answers": F.get_json_object("value", "$.tool_call_id")})
+    rows = rows.filter(F.col("role").isin("user", "assistant", "tool")).join(listed, "digest", "left")
+    out = flattened(rows.select("file", "session_id", F.col("line").alias("seq"), "role", "project", "raw", "called", "answers"), "raw", blocks.KIMI)
+    calls = F.transform("called", lambda c: F.struct(F.get_json_object(c, "$.id").alias("id"), F.get_json_object(c, "$.function.name").alias("tool"), F.get_json_object(c, "$.function.arguments").alias("input")))
+    bad = F.col("content").startswith("ERROR") | F.col("content").startswith("<system>ERROR")
+    results = F.array(F.struct(F.col("answers").alias("id"), F.col("content").alias("output"), bad.alias("is_error")))
+    return out.withColumns({"calls": F.coalesce(calls, "calls"), "results": F.when(F.col("answers").isNotNull(), results).otherwise(F.col("results"))}).drop("called", "answers")
+
+
 def json_tree(spark: SparkSession, path: str, glob: str, items: str, role: tuple[str, ...], text: tuple[str, ...], time: tuple[str, ...], roles: dict[str, str]) -> DataFrame:
     """Messages of JSON documents that hold a list of records; items is the list's path."""
     own = files(spark, path, glob).select("file", F.posexplode(F.from_json(F.coalesce(F.get_json_object("value", items), F.lit("[]")), "array<string>")).alias("seq", "item"))
@@ -90,14 +184,19 @@ def json_tree(spark: SparkSession, path: str, glob: str, items: str, role: tuple
 
 
 def cline(spark: SparkSession, path: str) -> DataFrame:
-    return json_tree(spark, path, "api_conversation_history.json", "$", ("$.role",), ("$.content[0].text", "$.content"), ("$.ts",), {})
+    """Messages of tasks (one folder each), all blocks of them."""
+    own = files(spark, path, "api_conversation_history.json").select("file", F.posexplode(blocks.items(F.col("value"))).alias("seq", "m"))
+    own = own.select("file", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("session_id"), "seq", F.get_json_object("m", "$.role").alias("role"), F.get_json_object("m", "$.content").alias("raw"), F.get_json_object("m", "$.ts").alias("timestamp"))
+    return flattened(own.filter(F.col("raw").isNotNull()), "raw", blocks.ANTHROPIC)
 
 
 def vscode(spark: SparkSession, path: str) -> DataFrame:
-    """Each request is a prompt and its answer."""
-    asked = json_tree(spark, path, "*.json", "$.requests", ("$.none",), ("$.message.text",), ("$.timestamp",), {}).withColumns({"role": F.lit("user"), "seq": F.col("seq") * 2})
-    told = json_tree(spark, path, "*.json", "$.requests", ("$.none",), ("$.response[0].value", "$.response"), ("$.timestamp",), {}).withColumns({"role": F.lit("assistant"), "seq": F.col("seq") * 2 + 1})
-    return asked.unionByName(told)
+    """Each request is a prompt and its answer, of which all parts count."""
+    own = files(spark, path, "*.json").select("file", F.regexp_extract("file", r"([^/]+?)(\.json)?$", 1).alias("session_id"), F.posexplode(blocks.items(F.get_json_object("value", "$.requests"))).alias("n", "r"))
+    time = F.get_json_object("r", "$.timestamp")
+    asked = own.select("file", "session_id", (F.col("n") * 2).alias("seq"), F.lit("user").alias("role"), F.get_json_object("r", "$.message.text").alias("raw"), time.alias("timestamp"))
+    told = own.select("file", "session_id", (F.col("n") * 2 + 1).alias("seq"), F.lit("assistant").alias("role"), F.get_json_object("r", "$.response").alias("raw"), time.alias("timestamp"))
+    return flattened(asked.unionByName(told).filter(F.col("raw").isNotNull()), "raw", blocks.RESPONSE)
 
 
 def aider(spark: SparkSession, path: str) -> DataFrame:

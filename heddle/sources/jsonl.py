@@ -36,6 +36,7 @@ class Format:
     native_id: tuple[str, ...] = ("$.uuid", "$.id")
     parent: tuple[str, ...] = ("$.parentUuid", "$.parentId")
     parser_version: int = 1
+    by_folder: bool = False  # a session is a folder rather than a file
 
 
 # Record kinds and keys of the formats.
@@ -46,8 +47,7 @@ FORMATS = {
     "factory-droid": Format("factory-droid", "*.jsonl", kind="$.message.role", session=("$.session_id", "$.sessionId"), titles=(("session_start", "$.title"),)),
     "command-code": Format("command-code", "*.jsonl", kind="$.message.role", tokens={"total": "$.message.usage.total"}, parser_version=1),
     "codex": Format("codex", "*.jsonl*", kind="$.payload.role", content=("$.payload.content",), session=("$.payload.id",), model=("$.payload.model",), project=("$.payload.cwd",), tokens={"session_total": "$.payload.info.total_token_usage.total_tokens"}),
-    "kimi": Format("kimi", "context.jsonl", kind="$.role", content=("$.content",), titles=(), tokens={}),
-    "antigravity": Format("antigravity", "transcript*.jsonl", roles={"USER_INPUT": "user", "PLANNER_RESPONSE": "assistant", "SYSTEM_MESSAGE": "system"}, content=("$.content",), time=("$.created_at",), native_id=("$.step_index",), parser_version=2),
+    "antigravity": Format("antigravity", "transcript*.jsonl", roles={"USER_INPUT": "user", "PLANNER_RESPONSE": "assistant", "SYSTEM_MESSAGE": "system"}, content=("$.content",), time=("$.created_at",), native_id=("$.step_index",), parser_version=2, by_folder=True),
     "cursor-agent": Format("cursor-agent", "*.jsonl", kind="$.role", content=("$.message.content", "$.content")),
     "pi": Format("pi", "*.jsonl", kind="$.message.role", content=("$.message.content",), native_id=("$.id",), parent=("$.parentId",), tokens={"total": "$.message.usage.totalTokens"}),
 }
@@ -84,12 +84,18 @@ def _text(block: Column) -> Column:
     return F.when(block["type"].isin("tool_use", "toolCall"), called).when(block["type"].isin("tool_result", "toolResult"), result).otherwise(block["text"])
 
 
+def subagent() -> Column:
+    """Whether a file is the transcript of a helper that the session of the folder above started."""
+    return F.col("file").rlike(r"/subagents/agent-[^/]+$")
+
+
 def messages(spark: SparkSession, path: str, fmt: Format) -> DataFrame:
     """One row for each message: file, session_id, seq, role, content, reasoning, tool_calls and the rest of the canonical columns."""
     value = F.col("value")
     rows = lines(spark, path, fmt.glob).withColumns({"kind_": F.get_json_object("value", fmt.kind), "raw": first_of(value, fmt.content), "sid": first_of(value, fmt.session)})
-    stem = F.regexp_extract("file", r"([^/]+?)(\.jsonl?(\.\w+)?)?$", 1)
-    rows = rows.withColumn("session_id", F.coalesce(F.first("sid", True).over(Window.partitionBy("file")), stem))
+    stem = F.regexp_extract("file", r"([^/]+)/[^/]+$" if fmt.by_folder else r"([^/]+?)(\.jsonl?(\.\w+)?)?$", 1)
+    named = F.first("sid", True).over(Window.partitionBy("file"))
+    rows = rows.withColumn("session_id", F.when(subagent(), F.concat_ws(":", named, stem)).otherwise(F.coalesce(named, stem)))
     rows = rows.filter(F.col("kind_").isin(*fmt.roles) & F.col("raw").isNotNull())
     blocks = F.when(F.col("raw").startswith("["), F.from_json("raw", _BLOCKS))
     calls = F.transform(F.filter("blocks", lambda b: b["type"].isin("tool_use", "toolCall")), lambda b: F.struct(b["id"].alias("id"), b["name"].alias("tool"), F.coalesce(b["input"], b["arguments"]).alias("input")))
@@ -131,6 +137,8 @@ def sessions(spark: SparkSession, path: str, fmt: Format) -> DataFrame:
     )
     out = out.join(meta, "file", "left").withColumns({"created": F.coalesce("created", "modified"), "updated": F.coalesce("updated", "modified"), "tool": F.lit(fmt.tool), "parser_version": F.lit(fmt.parser_version)})
     out = out.withColumn("title", C.inferred_title(F.col("native_title"), F.col("outline"), F.col("tool"), F.col("created"), F.col("session_id")))
+    child = F.col("session_id").rlike(":agent-[^:]+$")
+    out = out.withColumns({"origin": F.when(child, "subagent").otherwise("unknown"), "relation": F.when(child, "subagent").otherwise("none"), "parent_session_id": F.when(child, F.regexp_replace("session_id", ":agent-[^:]+$", ""))})
     newest = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("updated"), F.desc("file")))
     return out.withColumn("n", newest).filter("n = 1").drop("n", "modified").withColumnsRenamed({"session_id": "id", "file": "source_path"})
 
