@@ -54,10 +54,12 @@ class Archive:
         return self.table("messages").filter(F.col("session_id") == id_).orderBy("seq")
 
     def reindex(self) -> None:
-        """Postings of titles and bodies, written once."""
+        """Postings of the titles and bodies of sessions and memory entries, written once, in buckets of terms."""
         text = self.table("messages").groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), "\n").alias("body"))
         docs = self.table("sessions").join(text, F.col("id") == F.col("session_id"), "left")
-        self.store("postings").replace(search.postings(docs, "id", F.concat_ws("\n", "title", "body")))
+        docs = docs.select("id", F.concat_ws("\n", "title", "body").alias("text"))
+        entries = self.table("memory").select(F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("id"), F.concat_ws("\n", "title", "body").alias("text"))
+        self.store("postings").replace(search.postings(docs.unionByName(entries), "id", F.col("text")), "term")
 
     def search(self, text: str, limit: int = 20, offset: int = 0, vector: Sequence[float] | None = None, roles: list[str] | None = None, **filters) -> DataFrame:
         """(id, score) of sessions, best first; with a vector both ways of searching are fused; filters come before limits."""
@@ -81,6 +83,17 @@ class Archive:
         index = self.table("postings")
         return search.search_messages(self.table("messages").join(self.visible().select(F.col("id").alias("session_id")), "session_id", "left_semi"), index, search.parse(text), *search.statistics(index), limit)
 
+    def recall_text(self, text: str, vector: Sequence[float] | None = None, semantic: bool | None = None, limit: int = 10, **filters) -> DataFrame:
+        """(id, score) of memory entries by keywords, similarity or both (see memory.recalled); postings have entries as memory:id."""
+        index = self.table("postings")
+        near = self.table("vectors").filter("entity_type = 'memory'").select(F.col("entity_key").cast("bigint").alias("id"), "embedding")
+        return memory.recalled(self.table("memory"), index, text, *search.statistics(index), limit=limit, vectors=near, vector=vector, semantic=semantic, **filters)
+
+    def search_message_vectors(self, vector: Sequence[float], limit: int = 20) -> DataFrame:
+        own = self.table("vectors").filter("entity_type = 'message'").withColumn("_k", F.split("entity_key", "#m"))
+        own = own.select(F.col("_k")[0].alias("session_id"), F.col("_k")[1].cast("int").alias("seq"), "content_hash", "embedding")
+        return vectors.nearest_messages(own, self.table("messages"), self.visible(), vector, limit)
+
     def recall(self, vector: Sequence[float], limit: int = 10, **filters) -> DataFrame:
         """Memory entries by similarity, from the recall floor on."""
         own = memory.active(self.table("memory"), **filters)
@@ -127,13 +140,55 @@ class Archive:
         return checked.filter("reason is not null")
 
     def merge(self, sessions: DataFrame, namespace: str) -> DataFrame:
-        """Outcome of merging another archive's sessions (id, content_sha256, ...) into this one; divergent copies get ids of their own."""
+        """Outcome of merging another archive's sessions (id, tool, content_sha256, ...) into this one; divergent copies get ids of their own. Nothing is stored."""
         own = self.table("sessions").select("id", "content_sha256", F.col("source_namespace").alias("namespace"), F.col("copy_of_session_id").alias("copy_of"), F.col("source_record_id").alias("record_id"))
         return archive.resolved(sessions.select("id", "tool", "content_sha256", F.lit(namespace).alias("namespace")), own)
 
+    def bundle(self, path: str) -> DataFrame:
+        """Writes all tables of the archive below path; gives the manifest."""
+        return sinks.snapshot({name: self.table(name) for name in (*_TABLES, *_SMALL) if name != "postings"}, path)
+
+    def _opened(self, path: str) -> dict[str, DataFrame]:
+        tables, manifest = sinks.opened(self.spark, path)
+        bad = archive.problems(tables, manifest).collect()
+        if bad:
+            raise ValueError("the bundle is damaged: " + ", ".join(f"{r['name']} ({r['problem']})" for r in bad))
+        return tables
+
+    def restore(self, path: str) -> None:
+        """Puts a bundle's tables in place of this archive's, after they are held against the manifest."""
+        for name, df in self._opened(path).items():
+            self.store(name).replace(df)
+
+    def import_bundle(self, path: str, namespace: str) -> DataFrame:
+        """Merges a bundle of another archive into this one: sessions with their messages, memory, tags and hidden ids; gives (outcome, n)."""
+        own = self._opened(path)
+        sessions, messages, outcome = archive.merged(self.table("sessions"), self.table("messages"), own["sessions"], own["messages"], namespace)
+        report = outcome.groupBy("outcome").agg(F.count("*").alias("n")).collect()  # seven outcomes at most
+        stored = self.table("messages").join(messages.select("session_id").distinct(), "session_id", "left_anti").unionByName(messages)
+        self.store("messages").replace(stored)
+        memories = archive.merged_memory(self.table("memory"), own["memory"])
+        self.store("memory").upsert(schemas.with_defaults(memories, schemas.MEMORY), "id")
+        self.store("tags").replace(memory.tag_changes(self.table("tags"), own["tags"], self.table("tags").limit(0)))
+        for name in ("deleted", "ignored"):
+            self.store(name).replace(self.table(name).union(own[name]).distinct())
+        self.store("sessions").upsert(schemas.with_defaults(sessions, schemas.SESSIONS), "id")
+        return self.spark.createDataFrame([(r["outcome"], r["n"]) for r in report], "outcome string, n long")
+
+    def tag(self, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        """Adds and removes tags (session_id, tag)."""
+        own = self.table("tags")
+        self.store("tags").replace(memory.tag_changes(own, own.limit(0) if added is None else added, own.limit(0) if removed is None else removed))
+
+    def hide(self, ids: DataFrame, ignored: bool = False) -> None:
+        """Puts sessions (id) on the list of the deleted or of the ignored."""
+        name = "ignored" if ignored else "deleted"
+        self.store(name).replace(self.table(name).union(ids.select("id")).distinct())
+
     def export(self, path: str, form: str = "markdown") -> None:
         texts = {"markdown": sinks.markdown, "html": sinks.html}[form](self.visible(), self.table("messages"))
         sinks.write_texts(texts, path)
 
     def health(self) -> DataFrame:
-        return archive.index_health(self.table("sessions").select("id"), self.table("postings").select(F.col("doc").alias("id")).distinct())
+        entries = self.table("memory").select(F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("id"))
+        return archive.index_health(self.table("sessions").select("id").unionByName(entries), self.table("postings").select(F.col("doc").alias("id")).distinct())

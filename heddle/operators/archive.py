@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.columns import canonical_json
 from heddle.operators.ordered import keep_best, numbered
+from heddle.operators.sinks import described
 
 
 def _field(df: DataFrame, name: str) -> Column:
@@ -124,7 +125,7 @@ def assert_fresh(stored: DataFrame, current: DataFrame) -> None:
 def upserted(stored: DataFrame, fresh: DataFrame, key: str, version: str | None = None) -> DataFrame:
     """fresh rows replace stored ones of the same key, but never an older version a newer one."""
     both = stored.withColumn("_from", F.lit(0)).unionByName(fresh.withColumn("_from", F.lit(1)), allowMissingColumns=True)
-    order = ([F.desc(version)] if version else []) + [F.desc("_from")]
+    order = ([F.desc(version)] if version else []) + [F.desc("_from"), F.desc(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(fresh.columns)))))]  # the same row on every replay
     return keep_best(both, [key], order).drop("_from")
 
 
@@ -174,12 +175,47 @@ def index_health(entries: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def problems(tables: dict[str, DataFrame], manifest: DataFrame) -> DataFrame:
-    """Tables of a snapshot whose row count differs from the manifest (name, n)."""
-    counts = None
-    for name, df in tables.items():
-        own = df.agg(F.lit(name).alias("name"), F.count("*").alias("found"))
-        counts = own if counts is None else counts.unionByName(own)
-    return manifest.join(counts, "name", "full_outer").filter(~F.col("n").eqNullSafe(F.col("found")))
+    """(name, problem) of a snapshot's tables that differ from its manifest: missing, other fields, another count, other rows."""
+    found = described(tables).select("name", *(F.col(c).alias(f"_{c}") for c in ("n", "checksum", "fields")))
+    own = manifest.join(found, "name", "full_outer")
+    other = lambda c: ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    problem = F.when(F.col("_n").isNull(), "missing").when(F.col("n").isNull(), "not listed").when(other("fields"), "fields").when(other("n"), "count").when(other("checksum"), "content")
+    return own.select("name", problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
+def merged(sessions: DataFrame, messages: DataFrame, new_sessions: DataFrame, new_messages: DataFrame, namespace: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What merging another archive's sessions into this one changes: (sessions to store, messages to store, outcomes).
+
+    Outcomes are those of resolved. Identical ones and twins change nothing; the others are stored under their ids here, with
+    where they come from, and with their parents' ids here; the messages of a stored session replace those that it had.
+    """
+    own = sessions.select("id", F.col("source_namespace").alias("namespace"), "content_sha256", F.col("copy_of_session_id").alias("copy_of"), F.col("source_record_id").alias("record_id"))
+    outcome = resolved(new_sessions.select("id", "tool", F.lit(namespace).alias("namespace"), "content_sha256"), own)
+    ids = outcome.select(F.col("id").alias("_id"), "store_id", "copy_of", "outcome")
+    parents = ids.select(F.col("_id").alias("parent_session_id"), F.col("store_id").alias("_parent"))
+    out = new_sessions.join(ids.filter(~F.col("outcome").isin("identical", "twin")), F.col("id") == F.col("_id")).join(parents, "parent_session_id", "left")
+    changed = {"id": F.col("store_id"), "source_record_id": F.col("_id"), "source_namespace": F.lit(namespace), "copy_of_session_id": F.col("copy_of"), "parent_session_id": F.coalesce("_parent", "parent_session_id")}
+    out = out.select(*(changed.get(c, F.col(c)).alias(c) for c in new_sessions.columns), *(v.alias(k) for k, v in changed.items() if k not in new_sessions.columns))
+    moved = new_messages.join(ids.filter(~F.col("outcome").isin("identical", "twin")).select(F.col("_id").alias("session_id"), "store_id"), "session_id")
+    return out, moved.select(*(F.col("store_id").alias(c) if c == "session_id" else F.col(c) for c in new_messages.columns)), outcome
+
+
+def merged_memory(memory: DataFrame, new: DataFrame) -> DataFrame:
+    """New entries that this store lacks (by title, case aside, body, kind and scope), under the next free ids."""
+    key = [F.lower("title").alias("k1"), F.sha2("body", 256).alias("k2"), F.col("kind").alias("k3"), F.coalesce("scope_project", F.lit("")).alias("k4"), F.coalesce("scope_tool", F.lit("")).alias("k5")]
+    names = [f"k{i}" for i in range(1, 6)]
+    fresh = keep_best(new.select("*", *key), names, [F.asc("id")]).join(memory.select(*key).distinct(), names, "left_anti").drop(*names)
+    last = memory.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    return numbered_over(fresh, "id").join(F.broadcast(last)).withColumn("id", F.col("last") + F.col("place")).drop("last", "place")  # last is one row
+
+
+def numbered_over(rows: DataFrame, by: str) -> DataFrame:
+    """rows with place from 1 in the order of a key over all rows: by ranges of the key and sums of their counts, never in one task."""
+    own = rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id())
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(by))
+    own = own.withColumn("_within", within)
+    counts = own.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each partition
+    return own.join(F.broadcast(counts.select("_part", "_before")), "_part").withColumn("place", F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
 
 
 def with_parents(sessions: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions import columns as C
@@ -83,12 +83,32 @@ def payload(sessions: DataFrame) -> DataFrame:
     return sessions.select("id", F.to_json(F.struct(*cols)).alias("json"))
 
 
+def checksum(df: DataFrame) -> Column:
+    """An aggregate that is the same for the same rows in any order: sums of parts of their digests."""
+    digest = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns))), {"ignoreNullFields": "false"}), 256)
+    part = lambda k: F.coalesce(F.sum(F.conv(F.substring(digest, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return F.concat_ws("-", *(part(k).cast("string") for k in range(3)))
+
+
+def described(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n, checksum, fields) of tables."""
+    out = None
+    for name, df in tables.items():
+        own = df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), checksum(df).alias("checksum"), F.lit(df.schema.simpleString()).alias("fields"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Writes tables below path and returns their manifest (name, n), which is written last."""
-    manifest = None
+    """Writes tables below path, with a manifest (name, n, checksum, fields) of what can be read back, which is written last, and returns it."""
+    spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.parquet(f"{path}/{name}")
-        own = df.sparkSession.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"))
-        manifest = own if manifest is None else manifest.unionByName(own)
-    manifest.write.parquet(f"{path}/manifest")
-    return manifest.sparkSession.read.parquet(f"{path}/manifest")
+    described({name: spark.read.parquet(f"{path}/{name}") for name in tables}).coalesce(1).write.parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def opened(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables of a snapshot by name, and its manifest; a folder without a manifest is no snapshot, and fails."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    return {r["name"]: spark.read.parquet(f"{path}/{r['name']}") for r in manifest.select("name").collect()}, manifest  # one row for each table

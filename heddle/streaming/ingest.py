@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from heddle.operators.archive import upserted
 
@@ -19,44 +20,85 @@ def changed(listing: DataFrame, log: DataFrame, parser_version: int) -> DataFram
 
 
 class Snapshots:
-    """A table as immutable snapshot folders and a log that names the current one; a failed write changes nothing."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    """A table as immutable folders of key buckets, and a log whose last entry names the folder of each bucket.
+
+    An upsert writes the buckets that its keys fall into and no others. An entry is a file that only one writer can create
+    (a second one fails and may try again on the new state), and it is created after its data; a failed write changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _last(self) -> tuple[int, dict | None]:
+        fs, folder = self._file("log")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        names = [n for n in names if n.isdigit()]
+        if not names:
+            return 0, None
+        entry = self.spark.read.text(f"{self.path}/log/{max(names)}", wholetext=True).first()["value"]
+        return int(max(names)), json.loads(entry)
+
+    def _commit(self, version: int, entry: dict) -> None:
+        fs, path = self._file(f"log/{version:020d}")
+        try:
+            out = fs.create(path, False)
+        except Exception as e:  # the file system's own error tells whether another writer was first
+            if fs.exists(path):
+                raise RuntimeError(f"another writer has stored version {version} of {self.path}") from e
+            raise
+        try:
+            out.write(bytearray(json.dumps(entry).encode()))
+        finally:
+            out.close()
+
+    def _read(self, entry: dict, buckets: list[str] | None = None) -> DataFrame:
+        schema = StructType.fromJson(entry["schema"])
+        paths = [f"{self.path}/{folder}/_bucket={b}" for b, folder in entry["folders"].items() if buckets is None or b in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _written(self, df: DataFrame, key: str | None) -> dict[str, str]:
+        folder = f"v-{uuid.uuid4().hex}"
+        bucket = F.lit(0) if key is None else F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.buckets))
+        df.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        fs, path = self._file(folder)
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        return {n.removeprefix("_bucket="): folder for n in names if n.startswith("_bucket=")}
 
     def current(self) -> DataFrame | None:
-        try:
-            log = self.spark.read.json(f"{self.path}/log", schema="version long, folder string")
-            row = log.orderBy(F.desc("version")).first()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            row = None
-        return None if row is None else self.spark.read.parquet(f"{self.path}/{row['folder']}")
+        entry = self._last()[1]
+        return None if entry is None else self._read(entry)
 
     def version(self) -> int:
-        try:
-            return self.spark.read.json(f"{self.path}/log", schema="version long, folder string").agg(F.max("version")).first()[0] or 0
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return 0
+        return self._last()[0]
 
-    def replace(self, df: DataFrame) -> None:
-        folder, version = f"v-{uuid.uuid4().hex}", self.version() + 1
-        df.write.parquet(f"{self.path}/{folder}")
-        self.spark.createDataFrame([(json.dumps({"version": version, "folder": folder}),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/log")
+    def replace(self, df: DataFrame, key: str | None = None) -> None:
+        version = self._last()[0]
+        self._commit(version + 1, {"key": key, "buckets": self.buckets, "schema": df.schema.jsonValue(), "folders": self._written(df, key)})
 
     def upsert(self, fresh: DataFrame, key: str, version: str | None = None) -> None:
-        stored = self.current()
-        self.replace(fresh if stored is None else upserted(stored, fresh, key, version))
+        number, entry = self._last()
+        if entry is None or entry["key"] != key or entry["buckets"] != self.buckets:
+            stored = self._read(entry) if entry else fresh.limit(0)
+            folders, schema = self._written(upserted(stored, fresh, key, version), key), upserted(stored, fresh, key, version).schema
+        else:
+            hit = [str(r["b"]) for r in fresh.select(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.buckets)).alias("b")).distinct().collect()]  # as many as there are buckets
+            if not hit:
+                return
+            both = upserted(self._read(entry, hit), fresh, key, version)
+            schema = both.schema
+            folders = entry["folders"] | self._written(both, key)
+        self._commit(number + 1, {"key": key, "buckets": self.buckets, "schema": schema.jsonValue(), "folders": folders})
 
 
 def watch(spark: SparkSession, path: str, schema: str, archive: Snapshots, key: str, checkpoint: str, version: str | None = None) -> StreamingQuery:
     """Upserts the records of new JSON files below path; all that are there, then stops."""
 
     def each(batch: DataFrame, _: int) -> None:
-        archive.upsert(batch.dropDuplicates([key]) if version is None else batch, key, version)
+        archive.upsert(batch, key, version)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).json(path)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -72,6 +72,46 @@ def test_exports_and_snapshots(filled, tmp_path):
     tables = {"s": filled.table("sessions"), "m": filled.table("messages")}
     manifest = sinks.snapshot(tables, str(tmp_path / "snap"))
     assert A.problems(tables, manifest).count() == 0
-    assert [r.name for r in A.problems({"s": tables["s"].limit(1), "m": tables["m"]}, manifest).collect()] == ["s"]
+    assert [(r.name, r.problem) for r in A.problems({"s": tables["s"].limit(1), "m": tables["m"]}, manifest).collect()] == [("s", "count")]
+    assert [(r.name, r.problem) for r in A.problems({"s": tables["s"].withColumn("title", F.lit("x")), "m": tables["m"]}, manifest).collect()] == [("s", "content")]
+    assert sorted((r.name, r.problem) for r in A.problems({"s": tables["s"].drop("title"), "t": tables["m"]}, manifest).collect()) == [("m", "missing"), ("s", "fields"), ("t", "not listed")]
     merged = {r.id: r.outcome for r in filled.merge(filled.spark.createDataFrame([("a", "codex", "x"), ("z", "codex", "y")], "id string, tool string, content_sha256 string"), "other").collect()}
     assert merged == {"a": "refilled", "z": "added"}
+
+
+def test_bundles(filled, spark, tmp_path):
+    other = Archive(spark, str(tmp_path / "other"))
+    filled.bundle(str(tmp_path / "bundle"))
+    other.restore(str(tmp_path / "bundle"))
+    assert ids(other.list_sessions()) == ids(filled.list_sessions()) and other.table("messages").count() == filled.table("messages").count()
+    hashed = A.content_hash(other.table("messages"), other.table("sessions"))
+    other.store("sessions").replace(other.table("sessions").drop("content_sha256").join(hashed, "id").withColumn("source_namespace", F.lit("ns:one")))
+    # of the other archive: a as it is, b with other words, c below a new name, and a memory
+    changed = Archive(spark, str(tmp_path / "changed"))
+    changed.restore(str(tmp_path / "bundle"))
+    words = changed.table("messages").withColumn("content", F.when(F.col("session_id") == "b", "other words").otherwise(F.col("content")))
+    own = changed.table("sessions").withColumns({"id": F.when(F.col("id") == "c", "new").otherwise(F.col("id")), "parent_session_id": F.when(F.col("id") == "c", "b")}).filter("id <> 'd'")
+    changed.store("messages").replace(words.withColumn("session_id", F.when(F.col("session_id") == "c", "new").otherwise(F.col("session_id"))))
+    changed.store("sessions").replace(own.drop("content_sha256").join(A.content_hash(changed.table("messages"), own), "id"))
+    changed.add_memory(spark.createDataFrame([(1, "fact", "Only there", "body", "confirmed")], "id long, kind string, title string, body string, status string"))
+    changed.bundle(str(tmp_path / "second"))
+    other.add_memory(spark.createDataFrame([(7, "fact", "Only here", "body", "confirmed")], "id long, kind string, title string, body string, status string"))
+    report = {r.outcome: r.n for r in other.import_bundle(str(tmp_path / "second"), "ns:two").collect()}
+    assert report == {"identical": 1, "copy": 1, "added": 1}
+    stored = {r.id: (r.copy_of_session_id, r.parent_session_id) for r in other.table("sessions").collect()}
+    assert stored == {"a": (None, None), "b": (None, None), "c": (None, None), "d": (None, None), "new": (None, "codex:two:b#2"), "codex:two:b#2": ("b", None)}
+    assert [r.content for r in other.session("codex:two:b#2").collect()] == ["other words"] * 2 and [r.content for r in other.session("b").collect()] == ["write a parser", "done"]
+    assert sorted((r.title, r.id) for r in other.table("memory").collect())[-1] == ("Only there", 8)
+    assert {r.outcome: r.n for r in other.import_bundle(str(tmp_path / "second"), "ns:two").collect()} == {"identical": 2, "twin": 1}
+    (tmp_path / "second" / "manifest").rename(tmp_path / "second" / "hidden")
+    with pytest.raises(Exception, match="manifest"):
+        other.restore(str(tmp_path / "second"))
+
+
+def test_tags_and_hidden(filled):
+    filled.tag(added=filled.spark.createDataFrame([("a", " Mine ")], "session_id string, tag string"))
+    assert ids(filled.list_sessions(tag="mine")) == ["a"]
+    filled.tag(removed=filled.spark.createDataFrame([("a", "mine")], "session_id string, tag string"))
+    assert ids(filled.list_sessions(tag="mine")) == []
+    filled.hide(filled.spark.createDataFrame([("a",)], "id string"), ignored=True)
+    assert ids(filled.list_sessions()) == ["b"]

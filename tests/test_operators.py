@@ -150,6 +150,22 @@ def test_incremental_ingest(spark, tmp_path):
     assert [r.path for r in I.changed(listing, log, 3).collect()] == ["q"] and I.changed(listing, log, 4).count() == 2
 
 
+def test_only_one_writer_stores_a_version(spark, tmp_path):
+    one, two = (I.Snapshots(spark, str(tmp_path / "s"), buckets=4) for _ in range(2))
+    rows = lambda *ids: spark.createDataFrame([(i, f"t{i}") for i in ids], "id int, title string")
+    one.replace(rows(*range(40)), "id")
+    before = one._last()[1]["folders"]
+    one.upsert(rows(3), "id")
+    after = one._last()[1]["folders"]
+    assert len(before) == 4 and sum(before[b] != after[b] for b in before) == 1
+    number, entry = two._last()
+    one.upsert(rows(50), "id")
+    with pytest.raises(RuntimeError, match="another writer"):
+        two._commit(number + 1, entry)
+    assert sorted(r.id for r in two.current().collect()) == [*range(40), 50]
+    assert I.Snapshots(spark, str(tmp_path / "none")).current() is None
+
+
 def test_job_states(spark):
     at = lambda n: datetime(2026, 1, 1, 0, n)
     log = spark.createDataFrame([("j", 1, "pending", at(0)), ("j", 1, "complete", at(1)), ("j", 1, "failed", at(2)), ("j", 2, "pending", at(0)), ("k", 1, "complete", at(0))], "job_id string, chunk int, status string, at timestamp")
