@@ -209,3 +209,12 @@ def token_series(sessions: DataFrame, first: str, last: str) -> DataFrame:
     days = sessions.sparkSession.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("day"))
     own = sessions.groupBy(F.to_date(F.coalesce("updated", "created")).alias("day")).agg(F.sum(F.coalesce("total_tokens", F.lit(0))).alias("tokens"))
     return days.join(own, "day", "left").select("day", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
+def index_summary(sessions: DataFrame, shown: DataFrame) -> DataFrame:
+    """(part, key, n): how many sessions a listing shows and hides, and those shown by tool."""
+    total = sessions.agg(F.count("*").alias("total"))
+    one = shown.agg(F.count("*").alias("n"))
+    hidden = one.join(F.broadcast(total)).select(F.lit("hidden").alias("part"), F.lit("").alias("key"), (F.col("total") - F.col("n")).alias("n"))  # one row each
+    by_tool = shown.groupBy("tool").agg(F.count("*").alias("n")).select(F.lit("tool").alias("part"), F.col("tool").alias("key"), "n")
+    return one.select(F.lit("shown").alias("part"), F.lit("").alias("key"), "n").unionAll(hidden).unionAll(by_tool)

@@ -133,11 +133,11 @@ def in_scope(messages: DataFrame, query: Query, roles: list[str] | None = None,
     return found.select(F.col("x")[0].alias("session_id"), F.col("x")[1].cast("int").alias("seq"))
 
 
-def search_messages(messages: DataFrame, index: DataFrame, query: Query, n: int, mean: float, limit: int) -> DataFrame:
+def search_messages(messages: DataFrame, index: DataFrame, query: Query, n: int, mean: float, limit: int, stemmed: bool = True) -> DataFrame:
     """Messages of the best sessions, scored by statistics of those sessions' messages only: (session_id, seq, score)."""
     sessions = best(matches(index, query, n, mean), max(CANDIDATE_SESSIONS, 5 * limit)).select(F.col("doc").alias("session_id"))
     own = messages.join(F.broadcast(sessions), "session_id", "left_semi")  # a page of sessions at most
-    local = postings(own.withColumn("_doc", F.concat_ws("#m", "session_id", F.col("seq").cast("string"))), "_doc", F.col("content"))
+    local = postings(own.withColumn("_doc", F.concat_ws("#m", "session_id", F.col("seq").cast("string"))), "_doc", F.col("content"), stemmed)
     hits = best(matches(local, query, *statistics(local)), limit)
     return hits.select(F.split("doc", "#m")[0].alias("session_id"), F.split("doc", "#m")[1].cast("int").alias("seq"), "score").orderBy("score", "session_id", "seq")
 
@@ -176,13 +176,12 @@ def snippet(words: list[str], hits: set[int], size: int) -> str:
     return ("…" if start else "") + out + ("…" if start + size < len(words) else "")
 
 
-def with_snippets(rows: DataFrame, text: str, query: Query, size: int = 24) -> DataFrame:
-    """A page of rows with snippet: for the few rows that are shown."""
+def with_snippets(rows: DataFrame, text: str, query: Query, size: int = 24, stemmed: bool = True) -> DataFrame:
+    """A page of rows with snippet: for the few rows that are shown, in Arrow batches."""
     terms = query.terms
 
-    @F.udf("string")
-    def cut(value):
+    def cut(value: str | None) -> str:
         words = (value or "").split()
-        return snippet(words, {i for i, w in enumerate(words) if any(t.startswith(q) for t in tokens(w) for q in terms)}, size)
+        return snippet(words, {i for i, w in enumerate(words) if any(t.startswith(q) for t in tokens(w, stemmed) for q in terms)}, size)
 
-    return rows.withColumn("snippet", cut(F.col(text)))
+    return rows.withColumn("snippet", F.pandas_udf(lambda values: values.map(cut), "string")(F.col(text)))

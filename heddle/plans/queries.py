@@ -541,13 +541,16 @@ def _(fx):
     return fx.table("events").select("event_id", C.masked_uuids(F.concat(F.lit("id "), own, F.lit(" "), "event_type")).alias("masked"))
 
 
-@query("P07_rules", r"""+ s AS (SELECT session_id, seq, unnest(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM fx_messages WHERE role = 'assistant'),
+@query("P07_rules", r"""+ m AS (SELECT session_id, seq, content || ' You should always keep test ' || (conv_id % 7) || ' green. Short must. ' || CASE WHEN seq % 2 = 1 THEN 'Never push on day ' || (seq % 3) || ' of the release!' ELSE 'Plain words without a rule in them.' END AS content FROM fx_messages WHERE role = 'assistant'),
+  s AS (SELECT session_id, seq, unnest(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM m),
   c AS (SELECT trim(sentence) AS sentence, session_id, CAST(list_sum(list_transform(['must', 'should', 'avoid', 'do not', 'never', 'always', 'best practice', 'recommend', 'prefer'], lambda w: CASE WHEN contains(lower(sentence), w) THEN 1 ELSE 0 END)) AS INTEGER) AS score FROM s)
   SELECT sentence, max(score) AS score, count(DISTINCT session_id) AS sessions FROM c WHERE length(sentence) BETWEEN 20 AND 180 AND score > 0 GROUP BY 1""")
 def _(fx):
     from heddle.operators import analytics
 
-    return analytics.rules(fx.messages, None)
+    more = F.when(F.col("seq") % 2 == 1, F.concat(F.lit("Never push on day "), (F.col("seq") % 3).cast("string"), F.lit(" of the release!"))).otherwise("Plain words without a rule in them.")
+    text = F.concat("content", F.lit(" You should always keep test "), (F.col("conv_id") % 7).cast("string"), F.lit(" green. Short must. "), more)
+    return analytics.rules(fx.messages.withColumn("content", text), None)
 
 
 @query("P04_W05_W06_compressed_blocks", """+ t AS (SELECT session_id, seq, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'tool' END AS role, trim(content) AS c FROM fx_messages),
