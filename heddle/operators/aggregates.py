@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.constants import FAILED_STATUSES, FAILURE_MARKERS, OK_STATUSES, PRIOR_VOTES, PRIOR_WEIGHT, SUCCESS_MARKERS
+from heddle.operators.ordered import with_sums_before
 from heddle.operators.visibility import whole_word, within
 
 
@@ -157,9 +158,9 @@ def best_threshold(pairs: DataFrame) -> DataFrame:
     Candidates are the scores themselves; running counts over sorted scores replace comparing all pairs.
     """
     by = pairs.groupBy("score").agg(F.count_if(F.col("related")).alias("pos"), F.count_if(~F.col("related")).alias("neg"))
-    all_, below = Window.partitionBy(), Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)  # one row for each distinct score
-    by = by.withColumns({"p": F.sum("pos").over(all_), "n": F.sum("neg").over(all_), "p0": F.coalesce(F.sum("pos").over(below), F.lit(0)), "n0": F.coalesce(F.sum("neg").over(below), F.lit(0))})
-    acc = ((F.col("p") - F.col("p0")) / F.col("p") + F.col("n0") / F.col("n")) / 2
+    total = by.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    by = with_sums_before(by, "score", ["pos", "neg"]).join(F.broadcast(total))  # one row
+    acc = ((F.col("p") - F.col("pos_before")) / F.col("p") + F.col("neg_before") / F.col("n")) / 2
     return by.select("score", F.bround(acc, 6).alias("accuracy")).orderBy(F.desc("accuracy"), "score").limit(1)
 
 

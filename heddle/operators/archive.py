@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.columns import canonical_json
-from heddle.operators.ordered import keep_best, numbered
+from heddle.operators.ordered import keep_best, numbered, with_sums_before
 from heddle.operators.sinks import described
 
 
@@ -206,16 +206,8 @@ def merged_memory(memory: DataFrame, new: DataFrame) -> DataFrame:
     names = [f"k{i}" for i in range(1, 6)]
     fresh = keep_best(new.select("*", *key), names, [F.asc("id")]).join(memory.select(*key).distinct(), names, "left_anti").drop(*names)
     last = memory.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    return numbered_over(fresh, "id").join(F.broadcast(last)).withColumn("id", F.col("last") + F.col("place")).drop("last", "place")  # last is one row
-
-
-def numbered_over(rows: DataFrame, by: str) -> DataFrame:
-    """rows with place from 1 in the order of a key over all rows: by ranges of the key and sums of their counts, never in one task."""
-    own = rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(by))
-    own = own.withColumn("_within", within)
-    counts = own.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each partition
-    return own.join(F.broadcast(counts.select("_part", "_before")), "_part").withColumn("place", F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+    numbered_ = with_sums_before(fresh.withColumn("one", F.lit(1)), "id", ["one"]).join(F.broadcast(last))  # last is one row
+    return numbered_.withColumn("id", F.col("last") + F.col("one_before") + 1).drop("last", "one", "one_before")
 
 
 def with_parents(sessions: DataFrame, ids: DataFrame | None = None) -> DataFrame:

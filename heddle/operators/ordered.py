@@ -107,3 +107,20 @@ def paired(calls: DataFrame, results: DataFrame, keys: list[str], by: str = "seq
     """Calls with results: the n-th result of a key belongs to its n-th call; calls without one stay."""
     number = lambda df: df.withColumn("n", F.row_number().over(in_order(*keys, by=by)))
     return number(calls).join(number(results).select(*keys, "n", F.col(by).alias("result_at")), [*keys, "n"], "left")
+
+
+def with_sums_before(rows: DataFrame, by: str, columns: list[str], parts: int = 64) -> DataFrame:
+    """rows with, for each of the columns, its sum over all rows before them in the order of a number, as column_before.
+
+    Quantiles of the number (parts of them) cut the order into ranges: sums of ranges, and running sums within a range, never
+    all rows in one task. Rows with the same number have to be in one range, and are ordered within it as they come.
+    """
+    cuts = rows.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)]).alias("c")).first()["c"] or []
+    cuts = sorted(set(cuts))
+    own = rows.withColumn("_part", F.size(F.filter(F.lit(cuts), lambda c: c < F.col(by))) if cuts else F.lit(0))
+    totals = own.groupBy("_part").agg(*(F.sum(c).alias(f"_{c}") for c in columns))  # as many rows as parts
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns))
+    within = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    out = own.join(F.broadcast(totals), "_part")
+    return out.withColumns({f"{c}_before": F.col(f"_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns}).drop("_part", *(f"_{c}" for c in columns))

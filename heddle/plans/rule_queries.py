@@ -13,6 +13,7 @@ from heddle.operators import archive as A
 from heddle.operators import memory as M
 from heddle.operators import search as X
 from heddle.operators import sessions as R
+from heddle.operators import sinks
 from heddle.operators import vectors as V
 from heddle.operators import visibility as S
 from heddle.plans.queries import query
@@ -585,3 +586,34 @@ def _(fx):
 def _(fx):
     path = F.concat(F.when(F.col("event_id") % 2 == 0, "/w/a/").otherwise("/w/ab/"), F.lit("f"), F.col("event_id").cast("string"), F.lit(".md"))
     return fx.table("events").select("event_id", C.base_name(path).alias("name"), C.below(path, F.lit("/w/a/")).alias("below"), C.media_type(path).alias("media"))
+
+
+# --- bundles
+
+_H = "CASE WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN 'same' ELSE 'other' END"
+_STORE = "CASE WHEN conv_id % 3 = 0 AND conv_id % 2 = 1 THEN tool || ':b:' || id || '#2' ELSE id END"
+
+
+@query("M11_J16_merged", f"""+ s AS (SELECT id, conv_id, tool, {_STORE} AS store_id, parent_session_id FROM fx_sessions)
+  SELECT s.store_id AS id, s.id AS source_record_id, CASE WHEN s.conv_id % 3 = 0 THEN s.id END AS copy_of_session_id, p.store_id AS parent_session_id, m.n AS messages FROM s LEFT JOIN s p ON p.id = s.parent_session_id LEFT JOIN (SELECT session_id, count(*) AS n FROM fx_messages GROUP BY 1) m ON m.session_id = s.id WHERE NOT (s.conv_id % 3 = 0 AND s.conv_id % 2 = 0)""")
+def _(fx):
+    s, text = fx.sessions, F.lit(None).cast("string")
+    own = s.filter("conv_id % 3 = 0").select("id", F.lit("ns:a").alias("source_namespace"), F.lit("same").alias("content_sha256"), text.alias("copy_of_session_id"), text.alias("source_record_id"))
+    new = s.select("id", "tool", F.when((F.col("conv_id") % 3 == 0) & (F.col("conv_id") % 2 == 0), "same").otherwise("other").alias("content_sha256"), "parent_session_id")
+    sessions, messages, _ = A.merged(own, fx.messages.limit(0), new, fx.messages, "ns:b")
+    counts = messages.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("messages"))
+    return sessions.join(counts, "id", "left").select("id", "source_record_id", "copy_of_session_id", "parent_session_id", "messages")
+
+
+@query("M11_merged_memory", """+ m AS (SELECT id, lower(title) AS a, body, kind, coalesce(scope_project, '') AS p, coalesce(scope_tool, '') AS t FROM fx_memory), o AS (SELECT * FROM m WHERE id % 2 = 0), f AS (SELECT min(id) AS id FROM m WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.a = m.a AND o.body = m.body AND o.kind = m.kind AND o.p = m.p AND o.t = m.t) GROUP BY a, body, kind, p, t)
+  SELECT (SELECT max(id) FROM o) + row_number() OVER (ORDER BY f.id) AS id, sha256(fx_memory.body) AS body FROM f JOIN fx_memory USING (id)""")
+def _(fx):
+    return A.merged_memory(fx.memory.filter("id % 2 = 0"), fx.memory).select("id", F.sha2("body", 256).alias("body"))
+
+
+@query("K09_K10_D08_damage", "SELECT * FROM (VALUES ('deleted', 'missing'), ('ignored', 'not listed'), ('memory', 'fields'), ('messages', 'count'), ('sessions', 'content')) t(name, problem)")
+def _(fx):
+    tables = {"sessions": fx.sessions, "messages": fx.messages, "memory": fx.memory, "tags": fx.tags}
+    manifest = sinks.described(tables | {"deleted": fx.deleted})
+    found = tables | {"ignored": fx.ignored, "sessions": fx.sessions.withColumn("title", F.when(F.col("conv_id") == 3, "other").otherwise(F.col("title"))), "messages": fx.messages.filter("conv_id <> 3"), "memory": fx.memory.drop("kind")}
+    return A.problems(found, manifest)

@@ -177,3 +177,27 @@ def test_the_rules_query_has_no_limit(spark):
 
     plan = QUERIES["P07_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan and "Aggregate" in plan
+
+
+def test_checks_fail_as_they_should(spark):
+    from heddle.operators import archive as A
+
+    assert S.checked_id("codex:two:b#2") == "codex:two:b#2" and S.checked_query(" a\0b ") == "ab"
+    for bad in ("", "../x", "a/b", None):
+        with pytest.raises(ValueError, match="no session id"):
+            S.checked_id(bad)
+    with pytest.raises(ValueError, match="at most"):
+        S.checked_query("x" * 501)
+    files = lambda *rows: spark.createDataFrame(list(rows), "path string, mtime_ns long")
+    A.assert_fresh(files(("a", 10)), files(("a", 1_000_000_010)))
+    with pytest.raises(ValueError, match=r"b \(new\)"):
+        A.assert_fresh(files(("a", 10)), files(("a", 10), ("b", 1)))
+    with pytest.raises(ValueError, match="no such source"):
+        A.union_of({"codex": files()}, ["cursor"])
+
+
+def test_sums_before(spark):
+    rows = [(i * 7 % 50, i) for i in range(50)]
+    out = O.with_sums_before(spark.createDataFrame(rows, "k int, v int"), "k", ["v"], 7).collect()
+    assert sorted((r.k, r.v_before) for r in out) == [(k, sum(v for j, v in rows if j < k)) for k in range(50)]
+    assert O.with_sums_before(spark.createDataFrame([], "k int, v int"), "k", ["v"]).collect() == []
