@@ -275,3 +275,14 @@ def slug(text: Column, most: int = 60) -> Column:
 
 def masked_uuids(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "[uuid]")
+
+
+def json_or_null(text: Column) -> Column:
+    """text if it is JSON, else null."""
+    return F.when(F.try_parse_json(text).isNotNull(), text)
+
+
+def json_capped(text: Column, most: int) -> Column:
+    """JSON text of most characters at most; of a longer one a stub that tells its length and digest."""
+    stub = F.to_json(F.struct(F.lit(True).alias("truncated"), F.length(text).alias("chars"), F.sha2(text, 256).alias("sha256")))
+    return F.when(F.length(text) > most, stub).otherwise(text)

@@ -219,3 +219,18 @@ def index_summary(sessions: DataFrame, shown: DataFrame) -> DataFrame:
     hidden = one.join(F.broadcast(total)).select(F.lit("hidden").alias("part"), F.lit("").alias("key"), (F.col("total") - F.col("n")).alias("n"))  # one row each
     by_tool = shown.groupBy("tool").agg(F.count("*").alias("n")).select(F.lit("tool").alias("part"), F.col("tool").alias("key"), "n")
     return one.select(F.lit("shown").alias("part"), F.lit("").alias("key"), "n").unionAll(hidden).unionAll(by_tool)
+
+
+def home(sessions: DataFrame) -> DataFrame:
+    """(part, rank, key, id, title): the 6 newest sessions, the 12 projects last worked on with their newest title, and of the last 7 days the 3 newest sessions each."""
+    own = sessions.withColumn("moment", F.coalesce("updated", "created"))
+    newest = [F.desc("moment"), F.asc("id")]
+    row = lambda part, key: (F.lit(part).alias("part"), "rank", key.alias("key"), "id", "title")
+    page = Window.partitionBy(F.lit(0)).orderBy(*newest)  # of six and of twelve rows
+    recent = own.orderBy(*newest).limit(6).withColumn("rank", F.row_number().over(page)).select(*row("recent", F.lit("")))
+    projects = top_per_group(own.withColumn("key", F.coalesce("project", F.lit("Unassigned"))), ["key"], newest, 1).drop("rank").orderBy(*newest).limit(12)
+    projects = projects.withColumn("rank", F.row_number().over(page)).select(*row("project", F.col("key")))
+    own = own.withColumn("day", F.to_date("moment"))
+    days = own.select("day").distinct().orderBy(F.desc("day")).limit(7)
+    by_day = top_per_group(own.join(F.broadcast(days), "day", "left_semi"), ["day"], newest, 3).select(*row("day", F.col("day").cast("string")))
+    return recent.unionByName(projects).unionByName(by_day)

@@ -166,6 +166,17 @@ def occurrences(rows: DataFrame, key: list[str], text: str, needle: str) -> Data
     return each.select(*key, (F.col("k") - 1).alias("ordinal"), place.cast("int").alias("place"))
 
 
+def found_in_session(rows: DataFrame, key: str, order: str, text: str, needle: str, per_page: int = 40, chars: int = 160, most: int = 200) -> DataFrame:
+    """The first matches of a session's visible texts in order: (key, order, ordinal, place, page, snippet); page counts texts from 1, snippet is what stands around a match, with ellipses where it is cut."""
+    own = occurrences(rows, [key, order, text], text, needle).withColumn("n", F.length(text))
+    start = F.greatest(F.lit(0), F.col("place") - max(0, (chars - len(needle)) // 2))
+    end = F.least(F.col("n"), start + chars)
+    start = F.when((end - start < chars) & (start > 0), F.greatest(F.lit(0), end - chars)).otherwise(start)
+    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(text, start + 1, end - start), F.when(end < F.col("n"), "…").otherwise(""))
+    own = own.select(key, order, "ordinal", "place", (F.floor(F.col(order) / per_page) + 1).cast("int").alias("page"), F.translate(cut, "<>", "").alias("snippet"))
+    return own.orderBy(key, order, "place").limit(most)
+
+
 def snippet(words: list[str], hits: set[int], size: int) -> str:
     """The window of so many words with most hits, hits in marks, cut ends as an ellipsis."""
     if len(words) <= size:

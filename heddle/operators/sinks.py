@@ -112,3 +112,8 @@ def opened(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFr
     """The tables of a snapshot by name, and its manifest; a folder without a manifest is no snapshot, and fails."""
     manifest = spark.read.parquet(f"{path}/manifest")
     return {r["name"]: spark.read.parquet(f"{path}/{r['name']}") for r in manifest.select("name").collect()}, manifest  # one row for each table
+
+
+def json_store(rows: DataFrame, path: str, key: str) -> None:
+    """Rows as JSON lines below path, in order of a key, in place of what was there."""
+    rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").json(path)

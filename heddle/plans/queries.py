@@ -175,19 +175,6 @@ def _(fx):
     return G.threads_overview(fx.sessions)
 
 
-@query("G16_home_days", """+ r AS (SELECT CAST(updated AS DATE) AS day, id, title, row_number() OVER (PARTITION BY CAST(updated AS DATE) ORDER BY updated DESC, id) AS rank FROM fx_sessions)
-  SELECT day, id, title, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3 AND day IN (SELECT DISTINCT CAST(updated AS DATE) AS d FROM fx_sessions ORDER BY d DESC LIMIT 7)""")
-def _(fx):
-    own = fx.sessions.withColumn("day", F.to_date("updated"))
-    days = own.select("day").distinct().orderBy(F.desc("day")).limit(7)
-    return G.top_per_group(own.join(F.broadcast(days), "day", "left_semi"), ["day"], [F.desc("updated"), F.asc("id")], 3).select("day", "id", "title", "rank")
-
-
-def _(fx):
-    words = fx.sessions.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("([a-z0-9]+)")))).alias("word"))
-    return words.unionAll(fx.tags.select("tag")).groupBy("word").agg(F.count("*").alias("score"))
-
-
 @query("G18_tag_counts", "SELECT tag, count(DISTINCT session_id) AS sessions FROM fx_tags GROUP BY tag")
 def _(fx):
     return G.tag_counts(fx.tags)

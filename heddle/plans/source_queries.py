@@ -27,11 +27,17 @@ from heddle.sources import jsonl as J
 _OWN = "SELECT 'c' || conv_id AS session_id, conv_id, CAST(turn AS INTEGER) AS seq, role, text AS content FROM conversations WHERE role IN ('user', 'assistant')"
 
 
-def written(fx: Fixtures, put: Callable[[str, int, list[tuple[int, str, str]]], None]) -> str:
-    """A folder in which put(folder, conv_id, messages of turn, role and text) has written each conversation."""
+def shared_folder(fx: Fixtures) -> str:
+    """A new folder that driver and tasks see: below spark.checkpoint.dir, or on one machine a temporary one."""
     base = (fx.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://").removeprefix("file:")
     folder = f"{base.rstrip('/')}/heddle-source-{uuid.uuid4().hex}"
     os.makedirs(folder)
+    return folder
+
+
+def written(fx: Fixtures, put: Callable[[str, int, list[tuple[int, str, str]]], None]) -> str:
+    """A folder in which put(folder, conv_id, messages of turn, role and text) has written each conversation."""
+    folder = shared_folder(fx)
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("turn")

@@ -10,6 +10,7 @@ from heddle.functions.html import visible_text
 from heddle.functions.redact import placeholder, redact_value
 from heddle.operators import aggregates as G
 from heddle.operators import analytics as P
+from heddle.operators import archive as A
 from heddle.operators import memory as M
 from heddle.operators import ordered as O
 from heddle.operators import search as X
@@ -19,6 +20,7 @@ from heddle.operators import vectors as V
 from heddle.operators import visibility as S
 from heddle.plans.queries import query
 from heddle.plans.rule_queries import one_of, sql_list
+from heddle.plans.source_queries import shared_folder
 from heddle.streaming import ingest as I
 
 # --- text
@@ -250,3 +252,56 @@ def _(fx):
 def _(fx):
     text = F.when(F.col("event_id") % 2 == 0, "a a a b word c words d d word e").otherwise("a word")
     return X.with_snippets(fx.table("events").select("event_id", text.alias("t")), "t", X.parse("word", stemmed=False), 4, stemmed=False).select("event_id", "snippet")
+
+
+# --- home, jobs, repairs and stores
+
+
+@query("G16_home", """+ s AS (SELECT *, coalesce(updated, created) AS moment FROM fx_sessions), a AS (SELECT 'recent' AS part, row_number() OVER (ORDER BY moment DESC, id) AS rank, '' AS key, id, title FROM s), p AS (SELECT *, coalesce(project, 'Unassigned') AS key, row_number() OVER (PARTITION BY coalesce(project, 'Unassigned') ORDER BY moment DESC, id) AS k FROM s),
+  b AS (SELECT 'project' AS part, row_number() OVER (ORDER BY moment DESC, id) AS rank, key, id, title FROM p WHERE k = 1), d AS (SELECT 'day' AS part, row_number() OVER (PARTITION BY CAST(moment AS DATE) ORDER BY moment DESC, id) AS rank, CAST(CAST(moment AS DATE) AS VARCHAR) AS key, id, title, dense_rank() OVER (ORDER BY CAST(moment AS DATE) DESC) AS n FROM s)
+  SELECT part, CAST(rank AS INTEGER) AS rank, key, id, title FROM (SELECT * FROM a WHERE rank <= 6 UNION ALL SELECT * FROM b WHERE rank <= 12 UNION ALL SELECT part, rank, key, id, title FROM d WHERE n <= 7 AND rank <= 3)""")
+def _(fx):
+    return G.home(fx.sessions)
+
+
+@query("I07_due_jobs", """SELECT id AS job, CASE conv_id % 7 WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE 0 END AS failures FROM fx_sessions WHERE conv_id % 7 IN (0, 2, 4)""")
+def _(fx):
+    # never run; stamp seen; another stamp seen long ago; seen just now; two failures long ago; three failures too lately; run too often today
+    k = F.col("conv_id") % 7
+    jobs = fx.sessions.select(F.col("id").alias("job"), F.lit(10).alias("backoff_minutes"), F.lit(4).alias("daily_cap"))
+    run = lambda when, at, stamp, ok: fx.sessions.filter(when).select(F.col("id").alias("job"), F.lit(at).cast("timestamp_ntz").alias("at"), F.lit(stamp).alias("stamp"), F.lit(ok).alias("ok"))
+    log = run(k == 1, "2026-01-01 08:00:00", "s2", True).unionAll(run(k == 2, "2026-01-01 08:00:00", "s1", True)).unionAll(run(k == 3, "2026-01-01 11:55:00", "s1", True))
+    for n, minute in enumerate(("10", "20", "30")):
+        log = log.unionAll(run((k == 5) | ((k == 4) & F.lit(n < 2)), f"2026-01-01 {'10' if n < 2 else '11'}:{minute}:00", "s2", False))
+    for hour in ("00", "01", "02", "03"):
+        log = log.unionAll(run(k == 6, f"2026-01-01 {hour}:00:00", "s1", True))
+    return I.due(jobs, log, "s2", "2026-01-01 12:00:00").select("job", F.col("failures").cast("int").alias("failures"))
+
+
+@query("M12_repaired_places", "SELECT session_id || '/' || seq AS link_id, seq + 1000 AS was, (SELECT min(m.seq) FROM fx_messages m WHERE m.session_id = x.session_id AND m.content = x.content) AS seq FROM fx_messages x WHERE seq % 2 = 1")
+def _(fx):
+    seq = F.col("seq")
+    links = fx.messages.select(F.concat_ws("/", "session_id", seq.cast("string")).alias("link_id"), "session_id", F.when(seq % 2 == 1, seq + 1000).otherwise(seq).alias("seq"), F.lit(None).cast("string").alias("native_id"), F.sha2("content", 256).alias("sha256"))
+    return A.repaired_places(links, fx.messages)
+
+
+@query("K12_json_store", "SELECT id, title, total_tokens FROM fx_sessions")
+def _(fx):
+    path = f"{shared_folder(fx)}/store"
+    sinks.json_store(fx.sessions.select("id", "title", "total_tokens"), path, "id")
+    return fx.spark.read.schema("id string, title string, total_tokens bigint").json(path)
+
+
+@query("T02_T19_json", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN props END AS parsed, CASE WHEN length(props) > 7 THEN '{"truncated":true,"chars":' || length(props) || ',"sha256":"' || sha256(props) || '"}' ELSE props END AS capped, sha256('=' || event_id || chr(31) || CASE WHEN event_id % 2 = 0 THEN '=' || event_type ELSE '!' END) AS digest FROM events""")
+def _(fx):
+    props = F.col("props")
+    broken = F.when(F.col("event_id") % 2 == 0, props).otherwise(F.concat(F.lit("{"), props))
+    own = C.canonical_json(F.col("event_id"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")))
+    return fx.table("events").select("event_id", C.json_or_null(broken).alias("parsed"), C.json_capped(props, 7).alias("capped"), F.sha2(own, 256).alias("digest"))
+
+
+@query("X16_L10_find_in_session", """+ p AS (SELECT session_id, seq, content, length(content) AS n, string_split(lower(content), 'tion') AS parts FROM fx_messages), e AS (SELECT *, unnest(range(1, len(parts))) AS k FROM p), o AS (SELECT *, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * 4 AS BIGINT) AS place FROM e),
+  b AS (SELECT *, greatest(0, place - 78) AS s0 FROM o), c AS (SELECT *, least(n, s0 + 160) AS z FROM b), d AS (SELECT *, CASE WHEN z - s0 < 160 AND s0 > 0 THEN greatest(0, z - 160) ELSE s0 END AS s FROM c)
+  SELECT session_id, seq, CAST(k - 1 AS INTEGER) AS ordinal, CAST(place AS INTEGER) AS place, CAST(seq // 2 + 1 AS INTEGER) AS page, replace(replace(CASE WHEN s > 0 THEN '…' ELSE '' END || substr(content, s + 1, z - s) || CASE WHEN z < n THEN '…' ELSE '' END, '<', ''), '>', '') AS snippet FROM d ORDER BY session_id, seq, place LIMIT 200""")
+def _(fx):
+    return X.found_in_session(fx.messages, "session_id", "seq", "content", "Tion", per_page=2)

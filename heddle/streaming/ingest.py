@@ -118,3 +118,18 @@ def job_states(log: DataFrame) -> DataFrame:
     chunks = log.groupBy("job_id", "chunk").agg(F.min_by("status", order).alias("status"))
     state = F.when(F.count_if(F.col("status") != "complete") == 0, "complete").when(F.count_if(F.col("status") == "failed") > 0, "failed").otherwise("running")
     return chunks.groupBy("job_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("status") == "complete").alias("complete"), state.alias("state"), F.min(F.when(F.col("status") == "pending", F.col("chunk"))).alias("next_chunk"))
+
+
+def due(jobs: DataFrame, runs: DataFrame, stamp: str, now: str) -> DataFrame:
+    """Jobs (job, backoff_minutes, daily_cap) that are to run: the store's stamp differs from the one of their last success, their last run lies far enough back, and they haven't run too often on this day.
+
+    runs: an append-only log (job, at, stamp, ok); each failure since the last success doubles the wait.
+    """
+    moment = F.lit(now).cast("timestamp_ntz")
+    good = runs.filter("ok").groupBy("job").agg(F.max_by("stamp", "at").alias("seen"), F.max("at").alias("good_at"))
+    own = runs.join(good, "job", "left")
+    state = own.groupBy("job").agg(F.max("at").alias("last"), F.count_if(F.to_date("at") == F.to_date(moment)).alias("today"), F.count_if(~F.col("ok") & (F.col("good_at").isNull() | (F.col("at") > F.col("good_at")))).alias("failures"), F.first("seen").alias("seen"))
+    out = jobs.join(state, "job", "left")
+    waited = (F.unix_micros(moment.cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / 60_000_000
+    ready = F.col("last").isNull() | (waited >= F.col("backoff_minutes") * F.pow(F.lit(2), F.col("failures")))
+    return out.filter(~F.col("seen").eqNullSafe(F.lit(stamp)) & ready & (F.coalesce("today", F.lit(0)) < F.col("daily_cap"))).select("job", F.coalesce("failures", F.lit(0)).alias("failures"))
