@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heddle import schemas
 from heddle.constants import FUSION_WINDOW, RECALL_FLOOR, SESSION_CUTOFF
-from heddle.operators import aggregates, analytics, archive, memory, ordered, search, sinks, vectors, visibility
+from heddle.operators import aggregates, analytics, archive, memory, ordered, search, sessions, sinks, vectors, visibility
 from heddle.streaming.ingest import Snapshots
 
 _TABLES = {"sessions": schemas.SESSIONS, "messages": schemas.MESSAGES, "memory": schemas.MEMORY, "vectors": schemas.VECTORS}
@@ -79,6 +79,17 @@ class Archive:
         fused = vectors.fuse([hits.orderBy("score", "id").limit(window), near], "id", [[F.asc("score"), F.asc("id")], [F.asc("distance"), F.asc("id")]])
         return fused.offset(offset).limit(limit)
 
+    def search_page(self, text: str, limit: int = 20, offset: int = 0, **options) -> DataFrame:
+        """(id, tool, project, title, score, snippet) of the hits of search, each with the best stretch of its body; bodies are read for this page only."""
+        hits = self.search(text, limit, offset, **options)
+        parsed = search.parse(text)
+        shown = hits.join(self.table("sessions").select("id", "tool", "project", "title"), "id")
+        own = self.table("messages").join(F.broadcast(hits.select(F.col("id").alias("session_id"))), "session_id", "left_semi")  # a page at most
+        out = shown.join(sessions.body_text(own).withColumnRenamed("session_id", "id"), "id", "left")
+        out = out.withColumn("snippet", F.lit("")) if parsed is None else search.with_snippets(out, "text", parsed)
+        order = F.asc("score") if options.get("vector") is None else F.desc("score")
+        return out.select("id", "tool", "project", "title", "score", "snippet").orderBy(order, "id")
+
     def search_messages(self, text: str, limit: int = 20) -> DataFrame:
         index = self.table("postings")
         return search.search_messages(self.table("messages").join(self.visible().select(F.col("id").alias("session_id")), "session_id", "left_semi"), index, search.parse(text), *search.statistics(index), limit)
@@ -139,10 +150,10 @@ class Archive:
         self.store("memory").upsert(schemas.with_defaults(checked.filter("reason is null"), schemas.MEMORY), "id")
         return checked.filter("reason is not null")
 
-    def merge(self, sessions: DataFrame, namespace: str) -> DataFrame:
+    def merge(self, incoming: DataFrame, namespace: str) -> DataFrame:
         """Outcome of merging another archive's sessions (id, tool, content_sha256, ...) into this one; divergent copies get ids of their own. Nothing is stored."""
         own = self.table("sessions").select("id", "content_sha256", F.col("source_namespace").alias("namespace"), F.col("copy_of_session_id").alias("copy_of"), F.col("source_record_id").alias("record_id"))
-        return archive.resolved(sessions.select("id", "tool", "content_sha256", F.lit(namespace).alias("namespace")), own)
+        return archive.resolved(incoming.select("id", "tool", "content_sha256", F.lit(namespace).alias("namespace")), own)
 
     def bundle(self, path: str) -> DataFrame:
         """Writes all tables of the archive below path; gives the manifest."""
@@ -163,7 +174,7 @@ class Archive:
     def import_bundle(self, path: str, namespace: str) -> DataFrame:
         """Merges a bundle of another archive into this one: sessions with their messages, memory, tags and hidden ids; gives (outcome, n)."""
         own = self._opened(path)
-        sessions, messages, outcome = archive.merged(self.table("sessions"), self.table("messages"), own["sessions"], own["messages"], namespace)
+        new, messages, outcome = archive.merged(self.table("sessions"), self.table("messages"), own["sessions"], own["messages"], namespace)
         report = outcome.groupBy("outcome").agg(F.count("*").alias("n")).collect()  # seven outcomes at most
         stored = self.table("messages").join(messages.select("session_id").distinct(), "session_id", "left_anti").unionByName(messages)
         self.store("messages").replace(stored)
@@ -172,7 +183,7 @@ class Archive:
         self.store("tags").replace(memory.tag_changes(self.table("tags"), own["tags"], self.table("tags").limit(0)))
         for name in ("deleted", "ignored"):
             self.store(name).replace(self.table(name).union(own[name]).distinct())
-        self.store("sessions").upsert(schemas.with_defaults(sessions, schemas.SESSIONS), "id")
+        self.store("sessions").upsert(schemas.with_defaults(new, schemas.SESSIONS), "id")
         return self.spark.createDataFrame([(r["outcome"], r["n"]) for r in report], "outcome string, n long")
 
     def tag(self, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:

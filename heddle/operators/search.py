@@ -135,7 +135,8 @@ def in_scope(messages: DataFrame, query: Query, roles: list[str] | None = None,
 
 def search_messages(messages: DataFrame, index: DataFrame, query: Query, n: int, mean: float, limit: int, stemmed: bool = True) -> DataFrame:
     """Messages of the best sessions, scored by statistics of those sessions' messages only: (session_id, seq, score)."""
-    sessions = best(matches(index, query, n, mean), max(CANDIDATE_SESSIONS, 5 * limit)).select(F.col("doc").alias("session_id"))
+    found = matches(index, query, n, mean).filter(~F.col("doc").startswith("memory:"))  # an index may hold memory entries too
+    sessions = best(found, max(CANDIDATE_SESSIONS, 5 * limit)).select(F.col("doc").alias("session_id"))
     own = messages.join(F.broadcast(sessions), "session_id", "left_semi")  # a page of sessions at most
     local = postings(own.withColumn("_doc", F.concat_ws("#m", "session_id", F.col("seq").cast("string"))), "_doc", F.col("content"), stemmed)
     hits = best(matches(local, query, *statistics(local)), limit)

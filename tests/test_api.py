@@ -44,6 +44,12 @@ def test_search_filters_before_limits(filled):
     assert [(r.session_id, r.seq) for r in filled.search_messages("fix").collect()] == [("a", 0), ("a", 1)]
 
 
+def test_a_page_of_hits_has_snippets(filled):
+    (hit,) = filled.search_page("build").collect()
+    assert (hit.id, hit.tool, hit.title) == ("a", "codex", "Build fix") and hit.snippet.startswith("fix the «build» The «build» is fixed.")
+    assert filled.search_page(" ").collect() == []
+
+
 def test_overviews(filled):
     assert filled.digest("2026-01-01", "2026-01-02").first().sessions == 2
     assert {r.key for r in filled.digest("2026-01-01", "2026-01-31", "tool").collect()} == {"codex"}
