@@ -86,6 +86,12 @@ def statistics(index: DataFrame, n_docs: int | None = None) -> tuple[int, float]
     return n, (row["s"] or 0) / max(1, n)
 
 
+def text_statistics(docs: DataFrame, text: Column) -> tuple[int, float]:
+    """(documents, mean length) of texts themselves, without stemming and without an index: one pass and no shuffle of tokens."""
+    row = docs.agg(F.count("*").alias("n"), F.sum(F.size(token_column(text))).alias("s")).first()
+    return row["n"], (row["s"] or 0) / max(1, row["n"])
+
+
 def bm25(tf: Column, dl: Column, df: Column, n: int, mean: float) -> Column:
     """The score of one term, the less the better; terms in most documents count next to nothing."""
     raw = F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5))

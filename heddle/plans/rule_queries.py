@@ -461,10 +461,9 @@ def _recalled(fx, semantic, limit=15):
     memory = fx.memory.select(F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("doc"), F.concat_ws(" ", "title", "body").alias("text"))
     docs = memory.unionAll(R.body_text(fx.messages.withColumn("content", F.coalesce("content", F.lit(""))), 1 << 30, " "))
     index = X.postings(docs, "doc", F.col("text"), stemmed=False)
-    n = docs.count()
     vectors = fx.vectors.select(F.col("key").alias("id"), "embedding")
     vector = fx.vectors.filter("key = 100").first()["embedding"]
-    return M.recalled(fx.memory, index, "der und", *X.statistics(index, n), limit=limit, vectors=vectors, vector=vector, semantic=semantic, stemmed=False, floor=0.1, kind="lesson")
+    return M.recalled(fx.memory, index, "der und", *X.text_statistics(docs, F.coalesce("text", F.lit(""))), limit=limit, vectors=vectors, vector=vector, semantic=semantic, stemmed=False, floor=0.1, kind="lesson")
 
 
 @query("X13_J02_memory_recall", _RECALL + " SELECT id, score FROM k")
