@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import alignment, bpe, decontaminate, licenses, secrets, sharding, simhash, suffix_dedup, topk, toxicity, warc
+from heddle.llm import alignment, bpe, decontaminate, licenses, quality, secrets, sharding, simhash, spelling, suffix_dedup, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +81,17 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(_table(spark, sf_dir, "documents"), *paths)[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_bpe, op4_secrets, op5_simhash, op6_toxicity, op7_warc, op8_licenses, op9_suffix_dedup, op10_topk, op11_alignment)}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the frequent words one edit away."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and distances from the language's references for all documents."""
+    return quality.judged(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_bpe, op4_secrets, op5_simhash, op6_toxicity, op7_warc, op8_licenses, op9_suffix_dedup, op10_topk, op11_alignment, op12_spelling, op13_quality)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
