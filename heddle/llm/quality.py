@@ -40,7 +40,7 @@ SHARE, LANGUAGES = 500, 256
 #: Least code points and words of a text that is judged; least words of the texts that make a reference.
 LEAST_CHARS, LEAST_JUDGED, LEAST_REFERENCE = 150, 40, 5000
 #: Distances (square roots of divergences in bits) that are too far.
-CHARS_FAR, WORDS_FAR = 0.2, 0.45
+CHARS_FAR, WORDS_FAR = 0.25, 0.27
 #: The language of all that have no reference of their own.
 OTHERS = "*"
 CLASSES = ("upper", "lower", "letter", "digit", "space", "mark", "other")
