@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -66,9 +67,9 @@ def brute(libraries, texts):
 
 def texts():
     rng = random.Random(3)
-    bits = ["the", "The", " ", "  ", "\n", "\t", "é", "naïve", "ﬁ", "中文", "😀", "<|endoftext|>", "<s>", "<unk>", "▁", "don't", "12345", "...", "tion", "thandea", "́"]
+    bits = ["the", "The", " ", "  ", "\n", "\t", "é", "naïve", "ﬁ", "中文", "😀", "<|endoftext|>", "<s>", "<unk>", "▁", "don't", "12345", "...", "a;\r\n", "\r", "}\r x", "\u2003", "\x85", "\xa0", "\x1c", "\x1f", "\u00ad", "²½", "ªº", "’s", "'ll", "ſ", "ß", "ѝ", "ΐ", "\u0483", "tion", "thandea", "́"]
     out = [None, "", " ", "a", "a", "a ", " a", "\x00", "▁x", "é", "x" * 500]
-    return out + ["".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(60)] + [" ".join(rng.choices(bits[:1] + bits[7:10], k=30)) for _ in range(20)]
+    return out + ["".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(150)] + [" ".join(rng.choices(bits[:1] + bits[7:10], k=30)) for _ in range(20)]
 
 
 def test_all_columns_against_brute_force(spark, libraries):
@@ -81,13 +82,34 @@ def test_all_columns_against_brute_force(spark, libraries):
     assert {(r.a_id, r.b_id): r.n for r in pairs.collect()} == dict(total)
 
 
-def test_stretches_change_nothing(libraries, monkeypatch):
-    monkeypatch.setattr(alignment, "STRETCH", 7)
+def test_segments_are_encoded_as_in_the_whole_text(libraries):
     both = alignment.Pair(A, B)
+    assert both.cuttable
     for text in texts():
         a, b = encoded(libraries, text)
-        got = both.encode(text)
-        assert [x.tolist() for x in got] == [[i for i, _ in a], [i for i, _ in b]], text
+        segments = both.segments(text) if text else []
+        assert "".join(segments) == (" " + text if text else "")
+        ids, sizes, bad = both.encode_segments(segments)
+        if a:
+            assert not bad.any(), text
+        if not bad.any():
+            assert ids == [[i for i, _ in a], [i for i, _ in b]] and [int(n.sum()) for n in sizes] == [len(a), len(b)], text
+            for k, table in enumerate((both.bytes_a, both.bytes_b)):
+                ends = [0, *sizes[k].cumsum().tolist()]
+                assert ["".join(s) for s in segments] == [b"".join(table[i] for i in ids[k][x:y]).decode() for x, y in zip(ends, ends[1:], strict=False)]
+
+
+def test_texts_that_cannot_be_cut_are_encoded_whole(spark, libraries, monkeypatch):
+    both = alignment.Pair(A, B)
+    monkeypatch.setattr(both, "cuttable", False)
+    for text in texts()[8:20]:
+        assert both.segments(text) == [" " + text]
+    none = lambda own: ([[], []], [np.zeros(len(own), np.int64)] * 2, np.ones(len(own), bool))
+    monkeypatch.setattr(both, "encode_segments", none)
+    row = alignment._block(both, ["one text", None], [np.array([0, 1], np.uint32), np.zeros(0, np.uint32)], {" one": 0, " text": 1})
+    own = alignment._Segments(both, dict(zip(("n", "segments", "na", "nb", "a", "b"), (c[0].as_py() for c in row), strict=True)))
+    assert row[0][0].as_py() == [1, 0] and own.sequence.tolist() == [2] and own.na.tolist()[:2] == [0, 0]
+    assert own.a.tolist() == [i for i, _ in encoded(libraries, "one text")[0]]
 
 
 def test_empty_tables_and_string_ids(spark):
@@ -96,3 +118,15 @@ def test_empty_tables_and_string_ids(spark):
     assert {(r.doc_id, r.n_groups > 0) for r in found.collect()} == {("x", True), (None, False)}
     found, pairs = aligned(docs.limit(0), A, B)
     assert found.count() == 0 and pairs.count() == 0
+
+
+def test_the_fast_way_is_taken_and_equal_to_the_library(libraries):
+    both = alignment.Pair(A, B)
+    assert both._ranked is not None
+    for code in range(0x500):
+        for text in (f" a{chr(code)}b", f" {chr(code)}{chr(code)} x", f" 1{chr(code)} {chr(code)}"):
+            assert both._ranked(text) == libraries[0].encode(text, add_special_tokens=False).ids, repr(text)
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(chr(rng.randrange(0x500)) if rng.random() < 0.3 else rng.choice("abcdefghi  \n.,'s") for _ in range(60))
+        assert both._ranked(text) == libraries[0].encode(text, add_special_tokens=False).ids, repr(text)
