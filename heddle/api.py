@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 
 from heddle import schemas
 from heddle.constants import FUSION_WINDOW, RECALL_FLOOR, SESSION_CUTOFF
-from heddle.operators import aggregates, analytics, archive, memory, ordered, search, sessions, sinks, vectors, visibility
-from heddle.streaming.ingest import Snapshots
+from heddle.operators import aggregates, analytics, archive, memory, ordered, search, sinks, vectors, visibility
+from heddle.operators import sessions as sessions_
+from heddle.operators.text_index import TextIndex
+from heddle.sources import files, jsonl
+from heddle.streaming.ingest import Snapshots, changed
 
 _TABLES = {"sessions": schemas.SESSIONS, "messages": schemas.MESSAGES, "memory": schemas.MEMORY, "vectors": schemas.VECTORS}
 _SMALL = {
@@ -18,15 +22,21 @@ _SMALL = {
     "deleted": "id string",
     "ignored": "id string",
     "feedback": "memory_id bigint, rater string, score int, created timestamp",
-    "postings": "doc string, term string, positions array<int>, tf bigint, dl int",
 }
 
 
+_PASSED = "path string, mtime bigint, parser_version int"
+
+
 class Archive:
-    """Tables below a path, each a series of snapshots. Every method gives a DataFrame and runs nothing by itself."""
+    """Tables below a path, each a series of snapshots, and an index of their texts.
+
+    What changes the archive runs at once; a question gives a DataFrame, and runs nothing but reads of the tables' logs.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.index = TextIndex(spark, f"{self.path}/index")
 
     def store(self, name: str) -> Snapshots:
         return Snapshots(self.spark, f"{self.path}/{name}")
@@ -41,6 +51,7 @@ class Archive:
         """Temporary views of all tables, for SQL."""
         for name in (*_TABLES, *_SMALL):
             self.table(name).createOrReplaceTempView(name)
+        self.index.postings().createOrReplaceTempView("postings")
 
     def visible(self, include_automated: bool = False) -> DataFrame:
         return visibility.visible(self.table("sessions"), self.table("deleted"), self.table("ignored"), include_automated)
@@ -53,24 +64,88 @@ class Archive:
     def session(self, id_: str) -> DataFrame:
         return self.table("messages").filter(F.col("session_id") == id_).orderBy("seq")
 
+    def _texts(self, sessions: DataFrame, messages: DataFrame) -> DataFrame:
+        """(doc, text) of sessions: title and messages."""
+        bodies = sessions_.body_text(messages)
+        return sessions.join(bodies, F.col("id") == F.col("session_id"), "left").select(F.col("id").alias("doc"), F.concat_ws("\n", "title", bodies["text"]).alias("text"))
+
+    def _memory_texts(self, entries: DataFrame) -> DataFrame:
+        return entries.select(F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("doc"), F.concat_ws("\n", "title", "body").alias("text"))
+
+    def _all_texts(self) -> DataFrame:
+        return self._texts(self.table("sessions"), self.table("messages")).unionByName(self._memory_texts(self.table("memory")))
+
     def reindex(self) -> None:
-        """Postings of the titles and bodies of sessions and memory entries, written once, in buckets of terms."""
-        text = self.table("messages").groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), "\n").alias("body"))
-        docs = self.table("sessions").join(text, F.col("id") == F.col("session_id"), "left")
-        docs = docs.select("id", F.concat_ws("\n", "title", "body").alias("text"))
-        entries = self.table("memory").select(F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("id"), F.concat_ws("\n", "title", "body").alias("text"))
-        self.store("postings").replace(search.postings(docs.unionByName(entries), "id", F.col("text")), "term")
+        """Builds the index of the titles and bodies of sessions and memory entries anew."""
+        self.index.rebuild(self._all_texts())
+
+    def sync(self, sessions: DataFrame, messages: DataFrame) -> DataFrame:
+        """Stores parsed sessions with their messages; gives (id, outcome).
+
+        Of several parses of a session the newest counts, and none replaces a newer one that is stored. All messages of a
+        session that is added or replaced are replaced: those that are gone are gone, and so is their text in the index. The
+        sessions are stored last and decide what is new, so that after a crash the same call does again what is missing.
+        Where a batch may hold several parses of a session, source_path of sessions and messages tells them apart.
+        """
+        newest = ordered.keep_best(schemas.with_defaults(sessions, schemas.SESSIONS), ["id"], [F.desc_nulls_last(c) for c in archive.PARSE] + [F.asc("source_path")])
+        on = [c for c in ("session_id", "source_path") if c in messages.columns]
+        own = messages.join(newest.withColumnRenamed("id", "session_id").select(*on), on, "left_semi")
+        own = ordered.keep_best(schemas.with_defaults(own, schemas.MESSAGES), ["session_id", "seq"], [F.asc(F.xxhash64("role", "content"))])
+        batch = f"{self.path}/syncs/{uuid.uuid4().hex}"
+        own.write.parquet(f"{batch}/messages")
+        own = self.spark.read.schema(schemas.MESSAGES).parquet(f"{batch}/messages")
+        fresh = archive.counted(newest, own)
+        archive.synced(self.table("sessions"), fresh).write.parquet(f"{batch}/sessions")
+        outcome = self.spark.read.parquet(f"{batch}/sessions")
+        changed = outcome.filter(F.col("outcome").isin("added", "replaced"))
+        if changed.head(1):
+            keys = changed.select(F.col("id").alias("session_id"))
+            self.store("messages").replace_groups(own, keys, "session_id")
+            if self.index.exists():
+                self.index.update(self._texts(changed, own.join(keys, "session_id", "left_semi")))
+            self.store("sessions").upsert(changed.drop("outcome"), "id")
+        return outcome.select("id", "outcome")
+
+    def pull(self, path: str, fmt: jsonl.Format, most: int = 10_000) -> dict[str, int]:
+        """Syncs the transcripts below path that are new, changed, or read by an older parser; gives how many sessions had which outcome.
+
+        Listing reads no file; files are read in rounds of `most`, those changed first before others.
+        """
+        outcomes: dict[str, int] = {}
+        while True:
+            listing = files.listed(self.spark, path, fmt.glob)
+            due = changed(listing, self._passed(), fmt.parser_version).orderBy("mtime", "path").limit(most).collect()  # a round's paths
+            if not due:
+                return outcomes
+            rows = jsonl.read(self.spark, [r["path"] for r in due])
+            sessions, messages = jsonl.sessions_of(rows, fmt), jsonl.messages_of(rows, fmt)
+            sessions = sessions.withColumn("source_mtime_ns", F.unix_micros(F.col("modified").cast("timestamp")) * 1000)
+            found = self.sync(sessions, jsonl.with_calls(messages).withColumnRenamed("file", "source_path"))
+            for r in found.groupBy("outcome").count().collect():  # four outcomes
+                outcomes[r["outcome"]] = outcomes.get(r["outcome"], 0) + r["count"]
+            seen = self.spark.createDataFrame([(r["path"], r["mtime"], fmt.parser_version) for r in due], _PASSED)
+            self.store("passed").upsert(seen, "path")
+
+    def _passed(self) -> DataFrame:
+        """Files that were read, also those that brought no session."""
+        own = self.store("passed").current()
+        return own if own is not None else self.spark.createDataFrame([], _PASSED)
 
     def search(self, text: str, limit: int = 20, offset: int = 0, vector: Sequence[float] | None = None, roles: list[str] | None = None, **filters) -> DataFrame:
-        """(id, score) of sessions, best first; with a vector both ways of searching are fused; filters come before limits."""
+        """(id, score) of sessions, best first; with a vector both ways of searching are fused; filters come before limits.
+
+        Without an index the texts are read and tokenized for this search.
+        """
         parsed = search.parse(text)
         own = visibility.listed(self.visible(), **filters).select("id")
         if parsed is None:
             return own.limit(0).withColumn("score", F.lit(0.0))
-        index = self.table("postings")
-        hits = search.matches(index, parsed, *search.statistics(index)).withColumnRenamed("doc", "id").join(own, "id", "left_semi")
+        hits = self._matches(parsed).withColumnRenamed("doc", "id").join(own, "id", "left_semi")
         if roles:
-            return hits.join(search.in_scope(self.table("messages"), parsed, roles).select(F.col("session_id").alias("id")).distinct(), "id", "left_semi").orderBy("score", "id").offset(offset).limit(limit)
+            # messages of the sessions that have all terms anywhere: no others can have them in one message
+            of_hits = self.table("messages").join(hits.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+            hits = hits.join(search.in_scope(of_hits, parsed, roles).select(F.col("session_id").alias("id")).distinct(), "id", "left_semi")
+            return hits.orderBy("score", "id").offset(offset).limit(limit)
         if vector is None or parsed.kind == "phrase":
             return hits.orderBy("score", "id").offset(offset).limit(limit)
         window = max(FUSION_WINDOW, limit + offset)
@@ -85,20 +160,32 @@ class Archive:
         parsed = search.parse(text)
         shown = hits.join(self.table("sessions").select("id", "tool", "project", "title"), "id")
         own = self.table("messages").join(F.broadcast(hits.select(F.col("id").alias("session_id"))), "session_id", "left_semi")  # a page at most
-        out = shown.join(sessions.body_text(own).withColumnRenamed("session_id", "id"), "id", "left")
+        out = shown.join(sessions_.body_text(own).withColumnRenamed("session_id", "id"), "id", "left")
         out = out.withColumn("snippet", F.lit("")) if parsed is None else search.with_snippets(out, "text", parsed)
         order = F.asc("score") if options.get("vector") is None else F.desc("score")
         return out.select("id", "tool", "project", "title", "score", "snippet").orderBy(order, "id")
 
+    def _index(self) -> tuple[DataFrame, int, float]:
+        """(postings, documents, mean length): those of the index, or without one those of the texts as they are now."""
+        if self.index.exists():
+            return self.index.postings(), *self.index.statistics()
+        texts = self._all_texts()
+        own = search.postings(texts, "doc", F.col("text"))
+        return own, *search.statistics(own, texts.count())
+
+    def _matches(self, parsed: search.Query) -> DataFrame:
+        own, n, mean = self._index()
+        return search.matches(own, parsed, n, mean)
+
     def search_messages(self, text: str, limit: int = 20) -> DataFrame:
-        index = self.table("postings")
-        return search.search_messages(self.table("messages").join(self.visible().select(F.col("id").alias("session_id")), "session_id", "left_semi"), index, search.parse(text), *search.statistics(index), limit)
+        own, n, mean = self._index()
+        shown = self.table("messages").join(self.visible().select(F.col("id").alias("session_id")), "session_id", "left_semi")
+        return search.search_messages(shown, own, search.parse(text), n, mean, limit)
 
     def recall_text(self, text: str, vector: Sequence[float] | None = None, semantic: bool | None = None, limit: int = 10, **filters) -> DataFrame:
         """(id, score) of memory entries by keywords, similarity or both (see memory.recalled); postings have entries as memory:id."""
-        index = self.table("postings")
         near = self.table("vectors").filter("entity_type = 'memory'").select(F.col("entity_key").cast("bigint").alias("id"), "embedding")
-        return memory.recalled(self.table("memory"), index, text, *search.statistics(index), limit=limit, vectors=near, vector=vector, semantic=semantic, **filters)
+        return memory.recalled(self.table("memory"), self._matches, text, limit=limit, vectors=near, vector=vector, semantic=semantic, **filters)
 
     def search_message_vectors(self, vector: Sequence[float], limit: int = 20) -> DataFrame:
         own = self.table("vectors").filter("entity_type = 'message'").withColumn("_k", F.split("entity_key", "#m"))
@@ -147,7 +234,10 @@ class Archive:
     def add_memory(self, entries: DataFrame) -> DataFrame:
         """Stores the valid entries; gives the others with the reason."""
         checked = entries.withColumn("reason", memory.invalid_reason())
-        self.store("memory").upsert(schemas.with_defaults(checked.filter("reason is null"), schemas.MEMORY), "id")
+        good = schemas.with_defaults(checked.filter("reason is null"), schemas.MEMORY)
+        self.store("memory").upsert(good, "id")
+        if self.index.exists():
+            self.index.update(self._memory_texts(ordered.keep_best(good, ["id"], [F.desc_nulls_last("updated"), F.asc("title"), F.asc("body")])))
         return checked.filter("reason is not null")
 
     def merge(self, incoming: DataFrame, namespace: str) -> DataFrame:
@@ -157,7 +247,7 @@ class Archive:
 
     def bundle(self, path: str) -> DataFrame:
         """Writes all tables of the archive below path; gives the manifest."""
-        return sinks.snapshot({name: self.table(name) for name in (*_TABLES, *_SMALL) if name != "postings"}, path)
+        return sinks.snapshot({name: self.table(name) for name in (*_TABLES, *_SMALL)}, path)
 
     def _opened(self, path: str) -> dict[str, DataFrame]:
         tables, manifest = sinks.opened(self.spark, path)
@@ -167,17 +257,18 @@ class Archive:
         return tables
 
     def restore(self, path: str) -> None:
-        """Puts a bundle's tables in place of this archive's, after they are held against the manifest."""
+        """Puts a bundle's tables in place of this archive's, after they are held against the manifest; an index is built anew."""
         for name, df in self._opened(path).items():
-            self.store(name).replace(df)
+            self.store(name).replace(df, {"sessions": "id", "messages": "session_id", "memory": "id"}.get(name))
+        if self.index.exists():
+            self.reindex()
 
     def import_bundle(self, path: str, namespace: str) -> DataFrame:
         """Merges a bundle of another archive into this one: sessions with their messages, memory, tags and hidden ids; gives (outcome, n)."""
         own = self._opened(path)
         new, messages, outcome = archive.merged(self.table("sessions"), self.table("messages"), own["sessions"], own["messages"], namespace)
         report = outcome.groupBy("outcome").agg(F.count("*").alias("n")).collect()  # seven outcomes at most
-        stored = self.table("messages").join(messages.select("session_id").distinct(), "session_id", "left_anti").unionByName(messages)
-        self.store("messages").replace(stored)
+        self.store("messages").replace_groups(messages, new.select(F.col("id").alias("session_id")), "session_id")
         memories = archive.merged_memory(self.table("memory"), own["memory"])
         self.store("memory").upsert(schemas.with_defaults(memories, schemas.MEMORY), "id")
         self.store("tags").replace(memory.tag_changes(self.table("tags"), own["tags"], self.table("tags").limit(0)))
@@ -202,4 +293,4 @@ class Archive:
 
     def health(self) -> DataFrame:
         entries = self.table("memory").select(F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("id"))
-        return archive.index_health(self.table("sessions").select("id").unionByName(entries), self.table("postings").select(F.col("doc").alias("id")).distinct())
+        return archive.index_health(self.table("sessions").select("id").unionByName(entries), self.index.documents().select(F.col("doc").alias("id")))

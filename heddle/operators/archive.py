@@ -129,6 +129,38 @@ def upserted(stored: DataFrame, fresh: DataFrame, key: str, version: str | None
     return keep_best(both, [key], order).drop("_from")
 
 
+def regrouped(stored: DataFrame, fresh: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Tables with many rows for a key: stored rows of other keys than these, and the fresh rows of these keys."""
+    these = keys.select(key).distinct()
+    return stored.join(these, key, "left_anti").unionByName(fresh.join(these, key, "left_semi"), allowMissingColumns=True)
+
+
+def counted(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """Sessions with messages_count, prompt_count and content_sha256 of their messages, and messages_synced set."""
+    prompt = (F.col("role") == "user") & (F.col("kind") == "text") & F.col("content").rlike(r"\S")
+    counts = messages.groupBy(F.col("session_id").alias("id")).agg(F.count("*").cast("int").alias("n"), F.count_if(prompt).cast("int").alias("p"))
+    out = sessions.join(counts, "id", "left").withColumns({"messages_count": F.coalesce("n", F.lit(0)), "prompt_count": F.coalesce("p", F.lit(0)), "messages_synced": F.lit(True)})
+    return out.drop("n", "p", "content_sha256").join(content_hash(messages, sessions), "id").select(sessions.columns)
+
+
+#: What decides between two parses of a session, the later the better.
+PARSE = ("parser_version", "source_mtime_ns", "updated")
+
+
+def synced(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The newest parse of each session of a batch, with outcome: added, replaced, unchanged (the same parse of the same content), or older (what is stored stays)."""
+    newest = keep_best(fresh, ["id"], [F.desc_nulls_last(c) for c in PARSE] + [F.asc("content_sha256"), F.asc("source_path")])
+    have = stored.select("id", F.lit(True).alias("_there"), F.col("content_sha256").alias("_sha"), *(F.col(c).alias(f"_{c}") for c in PARSE))
+    out, older, same = newest.join(have, "id", "left"), F.lit(False), F.lit(True)
+    for c in PARSE:  # compared from left to right
+        mine, theirs = F.coalesce(F.col(c).cast("string"), F.lit("")), F.coalesce(F.col(f"_{c}").cast("string"), F.lit(""))
+        less = F.coalesce(F.col(c) < F.col(f"_{c}"), F.col(c).isNull() & F.col(f"_{c}").isNotNull())
+        older, same = older | (same & less), same & (mine == theirs)
+    same = same & F.col("content_sha256").eqNullSafe(F.col("_sha"))
+    outcome = F.when(F.col("_there").isNull(), "added").when(older, "older").when(same, "unchanged").otherwise("replaced")
+    return out.withColumn("outcome", outcome).select(*fresh.columns, "outcome")
+
+
 def unobserved(prior: DataFrame, observed: DataFrame, *hidden: DataFrame) -> DataFrame:
     """Prior rows that were neither seen again nor hidden."""
     out = prior

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.constants import CONTEXT_KINDS, MEMORY_KINDS, PRIOR_WEIGHT, RECALL_FLOOR, RRF_K
+from heddle.constants import CONTEXT_KINDS, DUPLICATE_FLOOR, MEMORY_KINDS, PRIOR_WEIGHT, RECALL_FLOOR, RRF_K
 from heddle.operators.aggregates import feedback_weight
 from heddle.operators.ordered import keep_best
-from heddle.operators.search import Query, matches, parse
+from heddle.operators.search import Query, parse
+from heddle.operators.similarity import similar_between
 from heddle.operators.vectors import fuse, most_similar
 from heddle.operators.visibility import path_tier, retired
 
@@ -93,11 +96,16 @@ def invalid_reason() -> Column:
     )
 
 
-def promoted(candidates: DataFrame, known: DataFrame, per_session: int, overall: int) -> DataFrame:
-    """Candidates (id, session_id, title, body) with outcome: invalid, duplicate, already_known, capped or added."""
+def promoted(candidates: DataFrame, known: DataFrame, per_session: int, overall: int, similar: DataFrame | None = None) -> DataFrame:
+    """Candidates (id, session_id, title, body) with outcome: invalid, duplicate, already_known, capped or added.
+
+    similar: the ids of candidates that mean what a known entry says (see similar_known); they are already known too.
+    """
     own = candidates.withColumns({"text": normal_text(F.concat_ws(" ", "title", "body")), "bad": F.coalesce(F.trim("title"), F.lit("")) == ""})
     seen = known.select(normal_text(F.concat_ws(" ", "title", "body")).alias("text")).distinct().withColumn("_known", F.lit(1))
     own = own.join(seen, "text", "left")
+    if similar is not None:
+        own = own.join(similar.select("id").distinct().withColumn("_near", F.lit(1)), "id", "left").withColumn("_known", F.coalesce("_known", "_near")).drop("_near")
     own = own.withColumn("copy", F.row_number().over(Window.partitionBy("text").orderBy("id")))
     ok = ~F.col("bad") & F.col("_known").isNull() & (F.col("copy") == 1)
     good = own.filter(ok).withColumn("in_session", F.row_number().over(Window.partitionBy("session_id").orderBy("id"))).filter(F.col("in_session") <= per_session)
@@ -106,18 +114,27 @@ def promoted(candidates: DataFrame, known: DataFrame, per_session: int, overall:
     return out.select("id", F.when(F.col("bad"), "invalid").when(F.col("_known").isNotNull(), "already_known").when(F.col("copy") > 1, "duplicate").when(F.col("_added").isNull(), "capped").otherwise("added").alias("outcome"))
 
 
-def searched(memory: DataFrame, index: DataFrame, query: Query, n: int, mean: float, limit: int, kind: str | None = None, project: str | None = None, status: str | None = "confirmed", include_superseded: bool = False) -> DataFrame:
-    """Entries by keywords, best first: the filters run before the limit. index: postings whose documents are memory:id, among those of sessions."""
-    hits = matches(index, query, n, mean).filter(F.col("doc").startswith("memory:")).select(F.substring_index("doc", ":", -1).cast("bigint").alias("id"), "score")
+def similar_known(candidates: DataFrame, known: DataFrame, floor: float = DUPLICATE_FLOOR) -> DataFrame:
+    """(id, known_id, similarity) of candidates and known entries (id, scope_project, scope_tool, embedding) of the same scope whose vectors are at the floor or above."""
+    scope = lambda df, to: df.select(F.col("id").alias(to), F.col("scope_project").alias(f"{to}_p"), F.col("scope_tool").alias(f"{to}_t"))
+    pairs = similar_between(candidates.withColumnRenamed("id", "key"), known.withColumnRenamed("id", "key"), floor)
+    out = pairs.join(scope(candidates, "a"), "a").join(scope(known, "b"), "b")
+    same = F.col("a_p").eqNullSafe(F.col("b_p")) & F.col("a_t").eqNullSafe(F.col("b_t"))
+    return out.filter(same).select(F.col("a").alias("id"), F.col("b").alias("known_id"), "similarity")
+
+
+def searched(memory: DataFrame, hits: DataFrame, limit: int, kind: str | None = None, project: str | None = None, status: str | None = "confirmed", include_superseded: bool = False) -> DataFrame:
+    """Entries among hits (doc, score), best first: the filters run before the limit. Documents of entries are named memory:id, others may be among them."""
+    found = hits.filter(F.col("doc").startswith("memory:")).select(F.substring_index("doc", ":", -1).cast("bigint").alias("id"), "score")
     own = memory if status is None else memory.filter(F.col("status") == status)
     own = own if include_superseded else own.filter(F.col("superseded_by").isNull())
     own = own if kind is None else own.filter(F.col("kind") == kind)
     own = own if project is None else own.filter(F.col("scope_project") == project)
-    return own.join(hits, "id").orderBy("score", "id").limit(limit)
+    return own.join(found, "id").orderBy("score", "id").limit(limit)
 
 
-def recalled(memory: DataFrame, index: DataFrame, text: str, n: int, mean: float, limit: int = 10, vectors: DataFrame | None = None, vector: list[float] | None = None, semantic: bool | None = None, stemmed: bool = True, floor: float = RECALL_FLOOR, **filters) -> DataFrame:
-    """(id, score) of entries for a query, best first.
+def recalled(memory: DataFrame, find: Callable[[Query], DataFrame], text: str, limit: int = 10, vectors: DataFrame | None = None, vector: list[float] | None = None, semantic: bool | None = None, stemmed: bool = True, floor: float = RECALL_FLOOR, **filters) -> DataFrame:
+    """(id, score) of entries for a query, best first. find: gives the hits (doc, score) of a query.
 
     A blank query lists the newest. semantic False: keywords only. True: similarity only, without a floor, and keywords where
     there is no vector. None: keywords fused with what is similar from the floor on, but keywords only for a phrase.
@@ -133,7 +150,7 @@ def recalled(memory: DataFrame, index: DataFrame, text: str, n: int, mean: float
     near = None if vectors is None or vector is None else own.select("id").join(vectors, "id")
     if semantic and near is not None:
         return most_similar(near, vector, limit, -1.0, key="id").select("id", F.col("similarity").alias("score"))
-    words = searched(memory, index, query, n, mean, limit, **filters).select("id", "score")
+    words = searched(memory, find(query), limit, **filters).select("id", "score")
     if semantic is not None or query.kind == "phrase" or near is None:
         return words
     near = most_similar(near, vector, limit, floor, key="id").select("id", "similarity")

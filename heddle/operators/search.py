@@ -53,22 +53,49 @@ def token_column(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(text), *_folding()), F.lit(r"([\p{L}\p{N}]+)"))
 
 
-def scanned(docs: DataFrame, doc: str, text: Column, query: Query, limit: int) -> DataFrame:
-    """(doc, score) of the best documents without an index and without stemming: one pass for the statistics, one for the scores, no shuffle of tokens."""
-    toks = docs.select(F.col(doc).cast("string").alias("doc"), token_column(text).alias("tokens"))
+def _frequencies(query: Query):
+    """What tells the length of a list of tokens and how often each part of the query is in it."""
     if query.kind == "phrase":
-        line, phrase = F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" ")), " " + "  ".join(query.terms) + " "
-        freq = [((F.length(line) - F.length(F.replace(line, F.lit(phrase), F.lit("")))) / len(phrase)).cast("long")]
+        phrase = " " + "  ".join(query.terms) + " "
+
+        def parts(tokens: Column) -> list[Column]:
+            line = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
+            return [((F.length(line) - F.length(F.replace(line, F.lit(phrase), F.lit("")))) / len(phrase)).cast("long")]
+
     else:
         begins = lambda term: lambda token: token.startswith(term)
-        freq = [F.size(F.filter("tokens", begins(term))).cast("long") for term in query.terms]
-    rows = toks.select("doc", F.size("tokens").alias("dl"), *(f.alias(f"tf{i}") for i, f in enumerate(freq)))
-    stats = rows.agg(F.count("*").alias("n"), F.sum("dl").alias("s"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(freq)))).first()
+
+        def parts(tokens: Column) -> list[Column]:
+            return [F.size(F.filter(tokens, begins(term))).cast("long") for term in query.terms]
+
+    return lambda tokens: F.struct(F.size(tokens).alias("dl"), *(f.alias(f"tf{i}") for i, f in enumerate(parts(tokens))))
+
+
+def scan_hits(docs: DataFrame, doc: str, text: Column, query: Query) -> DataFrame:
+    """(doc, score) of documents that satisfy the query, without an index and without stemming: one pass for the statistics, one for the scores, no shuffle of tokens.
+
+    A text is tokenized once in a pass, and in the second only if it holds the terms as plain strings.
+    """
+    n_parts = 1 if query.kind == "phrase" else len(query.terms)
+    rows = docs.select(F.col(doc).cast("string").alias("doc"), F.translate(F.lower(text), *_folding()).alias("folded"))
+    measured = F.transform(F.array(F.regexp_extract_all("folded", F.lit(r"([\p{L}\p{N}]+)"))), _frequencies(query))
+    # inline is where filters stop, so that the tokens of a text are worked out once
+    counts = lambda df: df.select("doc", F.inline(measured))
+    stats = counts(rows).agg(F.count("*").alias("n"), F.sum("dl").alias("s"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n_parts))).first()
     n, mean = stats["n"], (stats["s"] or 0) / max(1, stats["n"])
-    score = sum((bm25(F.col(f"tf{i}"), F.col("dl"), F.lit(stats[f"df{i}"]), n, mean) for i in range(len(freq))), F.lit(0.0))
-    for i in range(len(freq)):
-        rows = rows.filter(F.col(f"tf{i}") > 0)
-    return best(rows.select("doc", score.alias("score")), limit)
+    likely = rows
+    for term in query.terms:
+        likely = likely.filter(F.col("folded").contains(term))
+    hits = counts(likely)
+    for i in range(n_parts):
+        hits = hits.filter(F.col(f"tf{i}") > 0)
+    score = sum((bm25(F.col(f"tf{i}"), F.col("dl"), F.lit(stats[f"df{i}"]), n, mean) for i in range(n_parts)), F.lit(0.0))
+    return hits.select("doc", score.alias("score"))
+
+
+def scanned(docs: DataFrame, doc: str, text: Column, query: Query, limit: int) -> DataFrame:
+    """The best of scan_hits."""
+    return best(scan_hits(docs, doc, text, query), limit)
 
 
 def postings(docs: DataFrame, doc: str, text: Column, stemmed: bool = True) -> DataFrame:

@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def shared_path(spark: SparkSession) -> str:
+    """A path of our own that driver and tasks see: below spark.checkpoint.dir, or on one machine, where that is unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/heddle-{uuid.uuid4().hex}"
+
+
 _TOOLS = ("claude-code", "codex", "cursor", "gemini-cli", "aider")
 
 

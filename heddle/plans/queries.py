@@ -71,15 +71,6 @@ def _(fx):
     return fx.table("conversations").select("conv_id", "turn", S.retired(F.col("text")).alias("retired"))
 
 
-def _(fx):
-    return fx.memory.select("id", S.path_tier(F.concat(F.lit("/w/"), "scope_project"), "/w/src3").alias("tier"))
-
-
-def _(fx):
-    own = S.visible(fx.sessions, fx.deleted, fx.ignored).filter((F.col("prompt_count") >= 3) & (F.col("updated") <= F.lit("2024-01-04 12:00:00").cast("timestamp_ntz")))
-    return own.orderBy(F.desc("updated"), "id").limit(20).select("id", "updated")
-
-
 # --- aggregates
 
 
@@ -117,11 +108,6 @@ def _(fx):
     return G.token_costs(fx.sessions)
 
 
-def _(fx):
-    week = F.col("updated") >= F.lit("2023-12-28 00:00:00").cast("timestamp_ntz")
-    return fx.sessions.agg(F.count("*").alias("sessions"), F.bround(F.avg("messages_count"), 1).alias("mean_messages"), F.min(F.to_date("created")).alias("first_day"), F.max(F.to_date("updated")).alias("last_day"), F.count_if(week).alias("last_week"))
-
-
 @query("G06_session_tokens", """SELECT session_id, CASE WHEN sum(length(content)) = 0 THEN NULL ELSE CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(content) ELSE length(content) + 1 END), 0) AS BIGINT) END AS total_tokens FROM fx_messages GROUP BY 1""")
 def _(fx):
     n = F.length("content").cast("bigint")
@@ -201,16 +187,6 @@ def _(fx):
     return G.feedback_weight(fx.feedback)
 
 
-def _(fx):
-    return fx.messages.groupBy("session_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
-
-
-def _(fx):
-    a = fx.sessions.filter("conv_id % 2 = 0").groupBy("tool").agg(F.count("*").alias("a"))
-    b = fx.sessions.filter("conv_id % 5 < 4").groupBy("tool").agg(F.count("*").alias("b"))
-    return a.join(b, "tool", "full_outer").select("tool", F.coalesce("a", F.lit(0)).alias("indexed"), F.coalesce("b", F.lit(0)).alias("live"))
-
-
 @query("G27_best_threshold", """+ p AS (SELECT CAST(quality * 10 + doc_id % 13 AS DOUBLE) AS score, quality = 1 AS related FROM labels), s AS (SELECT DISTINCT score FROM p),
   a AS (SELECT s.score, round_even((count(*) FILTER (related AND p.score >= s.score) / count(*) FILTER (related) + count(*) FILTER (NOT related AND p.score < s.score) / count(*) FILTER (NOT related)) / 2, 6) AS accuracy FROM s, p GROUP BY 1)
   SELECT score, accuracy FROM a ORDER BY accuracy DESC, score LIMIT 1""")
@@ -226,16 +202,6 @@ def _(fx):
     return fx.sessions.select("id").join(A.latest_of(fx.messages, "session_id", "seq", ["seq", "role"]), F.col("id") == F.col("session_id"), "left").select("id", "seq", "role")
 
 
-def _(fx):
-    own = fx.feedback.groupBy("memory_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rater", "score"))), lambda x: x["score"].cast("string")), ",").alias("s"))
-    return fx.memory.join(own, F.col("id") == F.col("memory_id"), "left").select("id", "kind", F.coalesce("n", F.lit(0)).alias("votes"), F.coalesce("s", F.lit("")).alias("scores"))
-
-
-def _(fx):
-    p = fx.sessions.select(F.col("id").alias("parent"), F.col("title").alias("parent_title"))
-    return fx.sessions.join(p, F.col("parent_session_id") == F.col("parent")).select("id", "parent", "parent_title")
-
-
 @query("J18_prior_and_fresh", """SELECT coalesce(f.id, p.id) AS id, coalesce(f.title, p.title) AS title FROM (SELECT id, title FROM fx_sessions WHERE conv_id % 2 = 0) p FULL JOIN (SELECT id, title || '!' AS title FROM fx_sessions WHERE conv_id % 3 = 0) f ON p.id = f.id""")
 def _(fx):
     fresh = fx.sessions.filter("conv_id % 3 = 0").withColumn("title", F.concat("title", F.lit("!")))
@@ -254,28 +220,16 @@ def _(fx):
     return A.unobserved(fx.sessions.select("id"), fx.sessions.filter("conv_id % 3 = 0"), fx.deleted, fx.ignored)
 
 
-def _(fx):
-    return fx.deleted.union(fx.ignored).distinct()
-
-
 @query("L01_L02_second_page", f"SELECT id, updated FROM fx_sessions WHERE {_VISIBLE} ORDER BY coalesce(updated, created) DESC, id LIMIT 10 OFFSET 10")
 def _(fx):
     return S.page(S.visible(fx.sessions, fx.deleted, fx.ignored), S.newest_first(), 2, 10).select("id", "updated")
 
 
-def _(fx):
-    return fx.messages.filter((F.col("session_id") == "c000003") & F.col("seq").between(1, 3)).select("session_id", "seq", "role")
-
-
 @query("L06_memory_listing", "SELECT id, updated FROM fx_memory WHERE superseded_by IS NULL AND status = 'confirmed' ORDER BY updated DESC, id DESC LIMIT 50")
 def _(fx):
     return M.listing(M.active(fx.memory), 50).select("id", "updated")
 
 
-def _(fx):
-    return M.context(fx.memory, fx.feedback, "src4", 40).select("id", "kind", "tier", "weight")
-
-
 # --- ordered groups
 
 _TURNS = "SELECT *, CAST(sum(CASE WHEN role = 'user' AND kind = 'text' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS turn FROM fx_messages"
@@ -300,14 +254,6 @@ def _(fx):
     return O.ranges(fx.messages.filter("role <> 'system' and (seq + conv_id) % 5 <> 0"), ["session_id"])
 
 
-def _(fx):
-    from pyspark.sql import Window
-
-    own = fx.sessions.orderBy(*S.newest_first()).limit(60).select("id", "updated", F.to_date("updated").alias("day"))
-    w = Window.orderBy(F.desc("updated"), "id")  # one page of 60 rows
-    return own.select("id", "day", F.coalesce(F.col("day") != F.lag("day").over(w), F.lit(True)).alias("header"))
-
-
 @query("W11_budget", """+ s AS (SELECT session_id, seq, sum(ceil(length(content) / 4)) OVER (PARTITION BY session_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS spent, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS place FROM fx_messages)
   SELECT session_id, seq, CAST(spent AS BIGINT) AS spent FROM s WHERE spent <= 300 OR place = 1""")
 def _(fx):
@@ -358,41 +304,16 @@ def _(fx):
 # --- derived columns
 
 
-def _(fx):
-    prompt = O.is_prompt() & F.col("content").rlike(r"\S")
-    return fx.messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.count_if(prompt).alias("prompts"), F.count_if(F.col("role") == "assistant").alias("answers"))
-
-
 @query("C11_display_titles", "SELECT id, CASE WHEN trim(coalesce(title, '')) = '' THEN left(id, 12) WHEN count(*) OVER (PARTITION BY lower(trim(title))) > 1 THEN title || ' · ' || left(id, 8) ELSE title END AS shown FROM fx_sessions")
 def _(fx):
     return fx.sessions.select("id", C.display_title(F.col("title"), F.col("id")).alias("shown"))
 
 
-def _(fx):
-    own = fx.messages.filter("seq < 30").groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), " ").alias("t"))
-    return fx.sessions.join(own, F.col("id") == F.col("session_id")).select("id", F.substring(F.lower(F.concat_ws(" ", "title", "t")), 1, 20_000).alias("search_text"))
-
-
-def _(fx):
-    own = fx.messages.filter("content <> ''").groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), "\n").alias("t"))
-    return own.select("session_id", F.sha2("t", 256).alias("body_sha"))
-
-
 @query("C18_C19_labels", "SELECT id, coalesce(string_split(project, '/')[-1], '') AS label, '/session/' || id || '/m/' || messages_count AS link FROM fx_sessions")
 def _(fx):
     return fx.sessions.select("id", F.coalesce(C.project_label(F.col("project")), F.lit("")).alias("label"), C.permalink(F.col("id"), F.col("messages_count")).alias("link"))
 
 
-def _(fx):
-    return fx.tool_events.select("event_id", C.tool_state(F.col("status"), F.col("is_error")).alias("state"))
-
-
-def _(fx):
-    names = fx.tool_events.groupBy("session_id", "name").agg(F.count("*").alias("n"), F.count_if("is_error").alias("bad"))
-    own = names.groupBy("session_id").agg(F.sum("n").alias("calls"), F.sum("bad").alias("failures"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "name"))), 1, 3).alias("top"))
-    return own.select("session_id", "calls", "failures", F.array_join(F.transform("top", lambda x: F.concat(x["name"], F.lit("="), (-x["k"]).cast("string"))), ",").alias("top"))
-
-
 @query("T01_T03_T07_scalars", """SELECT conv_id, turn, sha256(text) AS sha, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, greatest(1, length(text) // 4) AS other, CASE WHEN length(text) > 300 THEN left(text, 120) || chr(10) || '[+' || (length(text) - 200) || ' chars elided]' || chr(10) || right(text, 80) ELSE text END AS brief FROM conversations""")
 def _(fx):
     t = F.col("text")
@@ -409,12 +330,6 @@ def _(fx):
 _TOKENS = r"SELECT CAST(doc_id AS VARCHAR) AS doc, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS toks FROM documents"
 
 
-def _(fx):
-    docs = fx.table("documents")
-    index = X.postings(docs, "doc_id", F.col("text"), stemmed=False)
-    return X.best(X.matches(index, X.parse("the inti", stemmed=False), *X.statistics(index, docs.count())), 50)
-
-
 @query("X01_phrase", r"""+ d AS (SELECT CAST(doc_id AS VARCHAR) AS doc, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents) SELECT doc FROM d WHERE contains(t, ' all rights reserved ')""")
 def _(fx):
     index = X.postings(fx.table("documents"), "doc_id", F.col("text"), stemmed=False)
@@ -471,17 +386,6 @@ def _(fx):
 # --- identity, mutation, health
 
 
-def _(fx):
-    return A.content_hash(fx.messages)
-
-
-def _(fx):
-    s = fx.sessions
-    incoming = s.filter("conv_id % 2 = 0").select("id", F.sha2(F.concat("title", (F.col("conv_id") % 4).cast("string")), 256).alias("content_sha256"), F.when(F.col("conv_id") % 5 == 0, "a").otherwise("b").alias("namespace"))
-    stored = s.filter("conv_id % 6 = 0").select("id", F.sha2(F.concat("title", F.lit("0")), 256).alias("content_sha256"), F.lit("a").alias("namespace"))
-    return A.resolved(incoming, stored)
-
-
 @query("M01_I06_upsert", "SELECT id, CASE WHEN conv_id % 2 = 0 AND conv_id % 3 >= conv_id % 4 THEN title || '*' ELSE title END AS title FROM fx_sessions")
 def _(fx):
     stored = fx.sessions.select("id", "title", (F.col("conv_id") % 4).alias("parser_version"))
@@ -503,21 +407,12 @@ def _(fx):
     return A.captured(docs.filter("captured_at >= 300"), log).select("identity", "sha256", "captured_at", "revision")
 
 
-def _(fx):
-    links = fx.messages.select(F.concat_ws("/", "session_id", F.col("seq").cast("string")).alias("link_id"), "session_id", F.when(F.col("seq") % 3 == 0, F.col("seq")).otherwise(F.col("seq") + 1000).alias("seq"), F.sha2("content", 256).alias("sha256"))
-    return A.evidence(links, fx.messages)
-
-
 @query("H01_J06_index_health", "SELECT 'missing' AS problem, id FROM fx_memory WHERE id % 9 = 0 UNION ALL SELECT 'orphan', id + 1000000 FROM fx_memory WHERE id % 50 = 0")
 def _(fx):
     index = fx.memory.filter("id % 9 <> 0").select("id").unionAll(fx.memory.filter("id % 50 = 0").select(F.col("id") + 1_000_000))
     return A.index_health(fx.memory, index)
 
 
-def _(fx):
-    return fx.tool_events.groupBy(F.window("ts", "1 hour").alias("w"), "name").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total")).select(F.col("w.start").alias("start"), "name", "n", "total")
-
-
 # --- analytics and exports
 
 
@@ -582,12 +477,6 @@ def _(fx):
     return sinks.handoff(fx.messages, 3).withColumn("body", F.sha2("body", 256))
 
 
-def _(fx):
-    from heddle.operators import sinks
-
-    return sinks.redacted_copy(fx.messages).select("session_id", "seq", "redactions", F.sha2("content", 256).alias("sha"))
-
-
 @query("X17_visible_text")
 def _(fx):
     from heddle.functions.html import visible_text
@@ -595,21 +484,3 @@ def _(fx):
     return fx.table("pages").select("page_id", F.sha2(visible_text(F.col("html")), 256).alias("sha"))
 
 
-def _(fx):
-    own = fx.messages.filter("seq < 20").groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), " ").alias("t"))
-    return fx.sessions.join(own, F.col("id") == F.col("session_id")).select("id", F.array_join(C.keywords(F.col("title"), F.col("t")), ",").alias("keywords"))
-
-
-def _(fx):
-    title = C.inferred_title(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("tool"), F.col("created"), F.col("id"))
-    return fx.sessions.select("id", F.when(title.rlike(r"^[A-Z][A-Za-z ]+ \d{4}-\d{2}-\d{2} • .{7,8}$"), "x").otherwise(title).alias("shape"))
-
-
-def _(fx):
-    from pyspark.sql import Window
-
-    from heddle.operators import analytics
-
-    own = M.context(fx.memory, fx.feedback, "src4", 40)
-    order = [F.asc("tier"), F.desc("weight"), F.desc("updated"), F.asc("kind_rank"), F.asc("id")]
-    return analytics.context_text(own.withColumn("place", F.row_number().over(Window.orderBy(*order))), 2000)

@@ -277,10 +277,10 @@ def _(fx):
     return A.evidence(links, m)
 
 
-@query("J11_message_identity", "SELECT session_id, seq, CAST(NULL AS VARCHAR) AS native_id, sha256(content) AS sha256, 'r-' || session_id AS source_record_id, 'ns' AS source_namespace FROM fx_messages WHERE seq % 2 = 0")
+@query("J11_message_identity", "SELECT session_id, seq, CAST(NULL AS VARCHAR) AS native_id, sha256(content) AS sha256, 'r-' || session_id AS source_record_id, 'ns' AS source_namespace FROM fx_messages")
 def _(fx):
     s = fx.sessions.withColumns({"source_record_id": F.concat(F.lit("r-"), "id"), "source_namespace": F.lit("ns")})
-    return R.message_identity(fx.messages.filter("seq % 2 = 0").select("session_id", "seq"), fx.messages, s)
+    return R.message_identity(fx.messages.select("session_id", "seq"), fx.messages, s)
 
 
 @query("M12_repaired_index", "SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE 'old' END AS body FROM fx_memory UNION ALL SELECT -1, 'x' WHERE false")
@@ -460,10 +460,9 @@ _RECALL = rf"""+ d AS (SELECT 'memory:' || id AS doc, {_TOKS.format("title || '
 def _recalled(fx, semantic, limit=15):
     memory = fx.memory.select(F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("doc"), F.concat_ws(" ", "title", "body").alias("text"))
     docs = memory.unionAll(R.body_text(fx.messages.withColumn("content", F.coalesce("content", F.lit(""))), 1 << 30, " "))
-    index = X.postings(docs, "doc", F.col("text"), stemmed=False)
     vectors = fx.vectors.select(F.col("key").alias("id"), "embedding")
     vector = fx.vectors.filter("key = 100").first()["embedding"]
-    return M.recalled(fx.memory, index, "der und", *X.text_statistics(docs, F.coalesce("text", F.lit(""))), limit=limit, vectors=vectors, vector=vector, semantic=semantic, stemmed=False, floor=0.1, kind="lesson")
+    return M.recalled(fx.memory, lambda query: X.scan_hits(docs, "doc", F.coalesce("text", F.lit("")), query), "der und", limit=limit, vectors=vectors, vector=vector, semantic=semantic, stemmed=False, floor=0.1, kind="lesson")
 
 
 @query("X13_J02_memory_recall", _RECALL + " SELECT id, score FROM k")

@@ -31,10 +31,6 @@ def _(fx):
     return S.listed(fx.sessions, tool=R.tool_name("Claude")).select("id", one_of(F.col("origin"), ("interactive", "subagent"), "unknown").alias("origin"))
 
 
-def _(fx):
-    return R.outline(fx.messages)
-
-
 @query("C22_canonical_calls", """+ e AS (SELECT session_id, CAST(event_id // 40 AS BIGINT) AS seq, event_id AS n, name, status FROM fx_tool_events),
   c AS (SELECT session_id, seq, name, row_number() OVER (PARTITION BY session_id, seq, name ORDER BY n) AS k FROM e WHERE n % 3 > 0), v AS (SELECT session_id, seq, name, status, row_number() OVER (PARTITION BY session_id, seq, name ORDER BY n) AS k FROM e WHERE n % 2 = 0)
   SELECT session_id, seq, name, CAST(k AS INTEGER) AS k, c_.called IS NOT NULL AS called, v.status FROM (SELECT *, true AS called FROM c) c_ FULL JOIN v USING (session_id, seq, name, k)""")
@@ -43,15 +39,6 @@ def _(fx):
     return R.canonical_calls(own.filter("n % 3 > 0").drop("status"), own.filter("n % 2 = 0"))
 
 
-def _(fx):
-    return fx.messages.filter("kind = 'injected_context'").select("session_id", "seq", R.injected_display(F.col("content")).alias("shown"))
-
-
-def _(fx):
-    own = fx.table("documents").select("doc_id", F.col("source").alias("key"), F.col("lang").alias("line"))
-    return R.diff_rows(own.filter("doc_id % 2 = 0"), own.filter("doc_id % 3 = 0"))
-
-
 @query("F14_prune_candidates", "SELECT id FROM fx_sessions WHERE prompt_count <= 2 AND origin NOT IN ('exec', 'cron', 'subagent')")
 def _(fx):
     return S.visible(fx.sessions).filter("prompt_count <= 2").select("id")
@@ -79,14 +66,6 @@ def _(fx):
     return own.join(fx.sessions, F.col("doc") == F.col("id")).select("id", "title", "n")
 
 
-def _(fx):
-    return fx.memory.select("id").join(fx.vectors.select(F.col("key").alias("id")), "id", "left_anti")
-
-
-def _(fx):
-    return fx.sessions.select("id").join(fx.ignored, "id", "left_anti")
-
-
 @query("J17_first_wins", "SELECT source AS id, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def _(fx):
     return O.keep_best(fx.table("documents").select(F.col("source").alias("id"), "doc_id"), ["id"], [F.asc("doc_id")])
@@ -112,10 +91,6 @@ def _(fx):
     return R.recall_at(hits, labels, 2)
 
 
-def _(fx):
-    return A.store_fingerprint(fx.sessions)
-
-
 @query("W04_tool_steps", """+ r AS (SELECT *, role IN ('tool', 'system') AS tool FROM fx_messages), c AS (SELECT *, CASE WHEN tool IS NOT DISTINCT FROM lag(tool) OVER (PARTITION BY session_id ORDER BY seq) THEN 0 ELSE 1 END AS c FROM r),
   g AS (SELECT *, CAST(sum(c) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS step FROM c) SELECT session_id, step, tool, count(*) AS messages, min(seq) AS first, max(seq) AS last FROM g GROUP BY 1, 2, 3""")
 def _(fx):
@@ -136,34 +111,12 @@ def _(fx):
     return O.numbered(own, ["source"], [F.asc("text_sha")], F.lit(1)).withColumnRenamed("revision", "n")
 
 
-def _(fx):
-    return fx.sessions.filter("project = '/work/p2'").orderBy(*S.newest_first()).limit(3).select("id")
-
-
-def _(fx):
-    return fx.vectors.filter("key % 2 = 0").select("key").subtract(fx.table("documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("key")))
-
-
 @query("X06_hit_count", rf"SELECT count(*) AS hits FROM (SELECT doc_id FROM documents WHERE len(list_filter({_TERMS}, lambda w: starts_with(w, 'tio'))) > 0)")
 def _(fx):
     index = X.postings(fx.table("documents"), "doc_id", F.col("text"), stemmed=False)
     return X.matches(index, X.parse("tio", stemmed=False), 1, 1.0).agg(F.count("*").alias("hits"))
 
 
-def _(fx):
-    docs = fx.messages.groupBy("session_id").agg(F.concat_ws(" ", F.collect_list("content")).alias("t"))
-    index = X.postings(docs, "session_id", F.col("t"))
-    return X.search_messages(fx.messages, index, X.parse("the inti"), *X.statistics(index), 20)
-
-
-def _(fx):
-    docs = fx.table("documents")
-    index = X.postings(docs, "doc_id", F.col("text"))
-    words = X.best(X.matches(index, X.parse("the inti"), *X.statistics(index)), 200).select(F.col("doc").cast("long").alias("key"), "score")
-    near = V.nearest(fx.vectors, fx.vectors.filter("key = 100").first()["embedding"], 200).select("key", "distance")
-    return V.fuse([words, near], "key", [[F.asc("score"), F.asc("key")], [F.asc("distance"), F.asc("key")]], 50)
-
-
 @query("D03_resolved_ids", """SELECT w AS wanted, CASE WHEN p = 'i' THEN id WHEN conv_id % 2 = 0 AND p = 'b' THEN id || '#2' END AS id, CASE WHEN p = 'i' THEN 'id' WHEN conv_id % 2 = 0 AND p = 'b' THEN 'base' END AS how
   FROM (SELECT id, conv_id, p, CASE p WHEN 'i' THEN id ELSE 'x' || id END AS w FROM fx_sessions, (SELECT unnest(['i', 'b']) AS p)) JOIN (SELECT 1) ON true""".replace("id || '#2'", "'x' || id || '#2'"))
 def _(fx):
@@ -173,11 +126,11 @@ def _(fx):
     return R.resolve_ids(wanted, own)
 
 
-@query("D07_promotion", """+ c AS (SELECT doc_id AS id, source AS session_id, lower(left(text, 12)) AS t FROM documents WHERE doc_id < 300 AND regexp_matches(left(text, 12), '^[a-zA-Z0-9 ]+$') AND trim(left(text, 12)) <> ''),
+@query("D07_promotion", """+ c AS (SELECT doc_id AS id, source AS session_id, lower(left(text, 12)) AS t FROM documents WHERE regexp_matches(left(text, 12), '^[a-zA-Z0-9 ]+$') AND trim(left(text, 12)) <> ''),
   r AS (SELECT *, row_number() OVER (PARTITION BY trim(t) ORDER BY id) AS copy FROM c), g AS (SELECT id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS k FROM r WHERE copy = 1), a AS (SELECT id FROM g WHERE k <= 2 ORDER BY id LIMIT 15)
   SELECT id, CASE WHEN copy > 1 THEN 'duplicate' WHEN id IN (SELECT id FROM a) THEN 'added' ELSE 'capped' END AS outcome FROM r""")
 def _(fx):
-    own = fx.table("documents").filter("doc_id < 300").select(F.col("doc_id").alias("id"), F.col("source").alias("session_id"), F.substring("text", 1, 12).alias("title")).filter(F.col("title").rlike("^[a-zA-Z0-9 ]+$") & (F.trim("title") != ""))
+    own = fx.table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("session_id"), F.substring("text", 1, 12).alias("title")).filter(F.col("title").rlike("^[a-zA-Z0-9 ]+$") & (F.trim("title") != ""))
     own = own.withColumn("body", F.lit(None).cast("string"))
     return M.promoted(own, own.limit(0), 2, 15)
 
@@ -188,10 +141,6 @@ def _(fx):
     return O.chunks(blocks.select("session_id", F.col("block").cast("int").alias("block"), "chars"), "session_id", 12_000).groupBy("session_id").agg(F.count("*").alias("blocks"))
 
 
-def _(fx):
-    return P.recommendations(fx.messages.withColumn("content", F.concat(F.lit("You should always check this first. "), "content")), fx.sessions)
-
-
 @query("H05_retention", "SELECT count(*) FILTER (date_diff('day', CAST(updated AS DATE), DATE '2024-01-31') BETWEEN 27 AND 29) AS due, count(*) AS files FROM fx_sessions")
 def _(fx):
     return R.near_deletion(fx.sessions.select(F.col("updated").alias("modified")), "2024-01-31", 30, 3)

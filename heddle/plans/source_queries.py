@@ -10,15 +10,13 @@ import json
 import os
 import sqlite3
 import struct
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.plans.fixtures import Fixtures
+from heddle.plans.fixtures import Fixtures, shared_path
 from heddle.plans.queries import query
 from heddle.sources import files as S
 from heddle.sources import jsonl as J
@@ -28,9 +26,10 @@ _OWN = "SELECT 'c' || conv_id AS session_id, conv_id, CAST(turn AS INTEGER) AS s
 
 
 def shared_folder(fx: Fixtures) -> str:
-    """A new folder that driver and tasks see: below spark.checkpoint.dir, or on one machine a temporary one."""
-    base = (fx.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://").removeprefix("file:")
-    folder = f"{base.rstrip('/')}/heddle-source-{uuid.uuid4().hex}"
+    """A new folder that driver and tasks see, made by the file system of this machine: sources are written as their tools write them."""
+    folder = shared_path(fx.spark).removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError("the tools' files are written by this machine, which needs a shared folder with a local path")
     os.makedirs(folder)
     return folder
 

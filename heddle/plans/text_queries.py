@@ -181,16 +181,16 @@ def _(fx):
     return M.rated(log).select("memory_id", "rater", "score")
 
 
-@query("D06_semantic_duplicates", """+ v AS (SELECT key, CAST(embedding AS DOUBLE[]) AS e FROM fx_vectors WHERE key < 60) SELECT key, list_cosine_similarity(e, (SELECT e FROM v WHERE key = 7)) AS similarity FROM v WHERE list_cosine_similarity(e, (SELECT e FROM v WHERE key = 7)) >= 0.85 ORDER BY similarity DESC, key LIMIT 10""")
+@query("D06_semantic_duplicates", """+ v AS (SELECT key, CAST(embedding AS DOUBLE[]) AS e FROM fx_vectors) SELECT key, list_cosine_similarity(e, (SELECT e FROM v WHERE key = 7)) AS similarity FROM v WHERE list_cosine_similarity(e, (SELECT e FROM v WHERE key = 7)) >= 0.2 ORDER BY similarity DESC, key LIMIT 10""")
 def _(fx):
-    return V.most_similar(fx.vectors.filter("key < 60"), fx.vectors.filter("key = 7").first()["embedding"], 10).select("key", "similarity")
+    return V.most_similar(fx.vectors, fx.vectors.filter("key = 7").first()["embedding"], 10, 0.2).select("key", "similarity")
 
 
-@query("V01_V12_Y02_embedded", "SELECT conv_id * 100 + turn AS key, 'm' AS model, sha256(text) AS content_hash, CAST(length(text) AS DOUBLE) AS first FROM conversations WHERE turn % 2 = 0")
+@query("V01_V12_Y02_embedded", "SELECT conv_id * 100 + turn AS key, 'm' AS model, sha256(text) AS content_hash, CAST(length(text) AS DOUBLE) AS first FROM conversations")
 def _(fx):
     own = fx.table("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), F.col("text").alias("content"), F.sha2("text", 256).alias("hash"), "turn")
     lengths = lambda texts: [[float(len(t)), 1.0] if t else None for t in texts]  # noqa: E731 - stands for a model
-    return V.embedded(own.filter("turn % 2 = 0"), lengths, "key", "m").select("key", "model", "content_hash", F.col("embedding")[0].cast("double").alias("first"))
+    return V.embedded(own, lengths, "key", "m").select("key", "model", "content_hash", F.col("embedding")[0].cast("double").alias("first"))
 
 
 @query("P09_context_text", """+ m AS (SELECT id, title, kind FROM fx_memory WHERE scope_project = 'src4' AND superseded_by IS NULL AND status = 'confirmed'), r AS (SELECT *, row_number() OVER (ORDER BY id) AS place, '- [' || kind || '] T' || id || ': Sentence ' || id || '.' AS line FROM m), s AS (SELECT *, sum(ceil(length(line) / 4)) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS spent FROM r)

@@ -25,6 +25,12 @@ def binary(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select(F.col("path").alias("file"), "content")
 
 
+def listed(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, mtime in nanoseconds) of files below path; none is read."""
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return own.select("path", (F.unix_micros("modificationTime") * 1000).alias("mtime"))
+
+
 # The queries that each SQLite store answers for messages, and for sessions (id, title, project, parent).
 STORES = {
     "goose": ("sessions.db", "SELECT session_id, role, content_json AS content, created_timestamp AS timestamp FROM messages ORDER BY session_id, timestamp, rowid"),

@@ -63,10 +63,22 @@ def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return own.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
 
 
+def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, modified, value) of these files, each whole; of none an empty table."""
+    if not paths:
+        return spark.createDataFrame([], "file string, modified timestamp, value string")
+    own = spark.read.text(paths, wholetext=True)
+    return own.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
+
+
+def lines_of(own: DataFrame) -> DataFrame:
+    """(file, modified, line, value) of the non-blank lines of files."""
+    return own.select("file", "modified", F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).filter(F.col("value").rlike(r"\S"))
+
+
 def lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(file, modified, line, value) of non-blank lines."""
-    own = files(spark, path, glob).select("file", "modified", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return own.filter(F.col("value").rlike(r"\S"))
+    return lines_of(files(spark, path, glob))
 
 
 def _truthy(value: Column, paths: tuple[str, ...]) -> Column:
@@ -91,8 +103,13 @@ def subagent() -> Column:
 
 def messages(spark: SparkSession, path: str, fmt: Format) -> DataFrame:
     """One row for each message: file, session_id, seq, role, content, reasoning, tool_calls and the rest of the canonical columns."""
+    return messages_of(files(spark, path, fmt.glob), fmt)
+
+
+def messages_of(own: DataFrame, fmt: Format) -> DataFrame:
+    """The messages of files (file, modified, value)."""
     value = F.col("value")
-    rows = lines(spark, path, fmt.glob).withColumns({"kind_": F.get_json_object("value", fmt.kind), "raw": first_of(value, fmt.content), "sid": first_of(value, fmt.session)})
+    rows = lines_of(own).withColumns({"kind_": F.get_json_object("value", fmt.kind), "raw": first_of(value, fmt.content), "sid": first_of(value, fmt.session)})
     stem = F.regexp_extract("file", r"([^/]+)/[^/]+$" if fmt.by_folder else r"([^/]+?)(\.jsonl?(\.\w+)?)?$", 1)
     named = F.first("sid", True).over(Window.partitionBy("file"))
     rows = rows.withColumn("session_id", F.when(subagent(), F.concat_ws(":", named, stem)).otherwise(F.coalesce(named, stem)))
@@ -124,14 +141,27 @@ def tool_calls(own: DataFrame) -> DataFrame:
 
 def sessions(spark: SparkSession, path: str, fmt: Format) -> DataFrame:
     """One row for each session; of several files with the same session id the one with the newer last message."""
-    own = messages(spark, path, fmt)
+    return sessions_of(files(spark, path, fmt.glob), fmt).drop("modified")
+
+
+def with_calls(own: DataFrame) -> DataFrame:
+    """Messages with tool_calls in the canonical form, results attached."""
+    calls = tool_calls(own).withColumn("call", F.struct("id", "tool", "input", "output", F.when(F.col("is_error"), "error").otherwise("completed").alias("status"), F.lit(False).alias("truncated"), "is_error", F.lit(None).cast("double").alias("duration_ms"), F.lit(None).cast("map<string,string>").alias("extra")))
+    calls = calls.groupBy("file", "session_id", "seq").agg(F.map_from_entries(F.collect_list(F.struct("n", "call"))).alias("calls_"))
+    listed = F.transform(F.array_sort(F.map_keys("calls_")), lambda n: F.col("calls_")[n])
+    return own.drop("calls", "results").join(calls, ["file", "session_id", "seq"], "left").withColumn("tool_calls", listed).drop("calls_")
+
+
+def sessions_of(rows: DataFrame, fmt: Format) -> DataFrame:
+    """The sessions of files (file, modified, value), with modified."""
+    own = messages_of(rows, fmt)
     prompt = (F.col("role") == "user") & (F.col("kind") == "text") & F.col("content").rlike(r"\S")
     at = F.when(F.col("timed"), F.col("timestamp"))
     out = own.groupBy("file", "session_id").agg(
         F.min(at).alias("created"), F.max(at).alias("updated"), F.max("modified").cast("timestamp_ntz").alias("modified"), F.count("*").cast("int").alias("messages_count"), F.count_if(prompt).cast("int").alias("prompt_count"),
         F.min_by("content", F.when(prompt, F.col("seq"))).alias("outline"),
     )
-    meta = lines(spark, path, fmt.glob).groupBy("file").agg(
+    meta = lines_of(rows).groupBy("file").agg(
         F.first(first_of(F.col("value"), fmt.project), True).alias("project"),
         F.coalesce(*(F.last(F.when(F.get_json_object("value", "$.type") == kind, F.get_json_object("value", p)), True) for kind, p in fmt.titles), F.lit(None).cast("string")).alias("native_title"),
     )
@@ -140,7 +170,7 @@ def sessions(spark: SparkSession, path: str, fmt: Format) -> DataFrame:
     child = F.col("session_id").rlike(":agent-[^:]+$")
     out = out.withColumns({"origin": F.when(child, "subagent").otherwise("unknown"), "relation": F.when(child, "subagent").otherwise("none"), "parent_session_id": F.when(child, F.regexp_replace("session_id", ":agent-[^:]+$", ""))})
     newest = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("updated"), F.desc("file")))
-    return out.withColumn("n", newest).filter("n = 1").drop("n", "modified").withColumnsRenamed({"session_id": "id", "file": "source_path"})
+    return out.withColumn("n", newest).filter("n = 1").drop("n").withColumnsRenamed({"session_id": "id", "file": "source_path"})
 
 
 def skipped(spark: SparkSession, path: str, fmt: Format) -> DataFrame:
