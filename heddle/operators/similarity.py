@@ -3,7 +3,7 @@
 The angle between vectors is a metric, so two vectors at an angle of t at most have angles to any pivot that differ by t at
 most. Vectors are put into cells by ranges of their angles to two pivots, ranges being t wide: a pair within t lies in the
 same cell or in neighbouring ones. Cells are cut into blocks of bounded size, and a pair of blocks that may hold a pair meets
-in one group; there the angles to a third pivot cut the products down further, and what is left is multiplied and compared.
+in one group; there the angles to further pivots cut the products down, and what is left is multiplied and compared.
 In many dimensions angles to a pivot crowd around a right angle, so how much is pruned depends on the data: scored_pairs
 tells. Only what can be skipped for certain is skipped.
 
@@ -23,10 +23,12 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from heddle.constants import DUPLICATE_FLOOR
 
-#: Rows of a block; rows that are multiplied at a time.
-BLOCK, STEP = 4096, 512
+#: Rows of a block; rows of one side that are multiplied at a time.
+BLOCK, STEP = 4096, 16
 #: Vectors that pivots are chosen among: the first by a hash of their keys.
 SAMPLE = 512
+#: Pivots: two for cells, the others within blocks.
+PIVOTS = 18
 #: Ranges of an angle at most, however small the angle of a floor is: cells are the square of it at most.
 RANGES = 64
 _SLACK = 1e-9
@@ -41,7 +43,7 @@ def _units(vectors: DataFrame, key: str, col: str) -> DataFrame:
     return own.select("key", F.size("v").alias("size"), F.transform("v", lambda x: x / F.col("norm")).alias("unit"))
 
 
-def pivots(units: DataFrame, count: int = 3) -> list[list[float]]:
+def pivots(units: DataFrame, count: int = PIVOTS) -> list[list[float]]:
     """Pivots far from each other, of a bounded sample: each is the vector farthest from those before it."""
     rows = units.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("unit").collect()
     if not rows:
@@ -63,9 +65,9 @@ def _angle(pivot: list[float]) -> Column:
 
 
 def _dealt(units: DataFrame, at: list[list[float]], width: float) -> DataFrame:
-    """units with their cell (x, y) and the angle z to the third pivot."""
+    """units with their cell (x, y)."""
     cell = lambda k: F.floor(_angle(at[k]) / width).cast("int")
-    return units.select("key", "size", "unit", cell(0).alias("x"), cell(1).alias("y"), _angle(at[2]).alias("z"))
+    return units.select("key", "size", "unit", cell(0).alias("x"), cell(1).alias("y"))
 
 
 def _blocks(dealt: DataFrame, block: int) -> dict[tuple[int, int], int]:
@@ -91,40 +93,41 @@ def _sent(dealt: DataFrame, mine: dict, others: dict, left: bool, self_join: boo
         same = (F.col("other.x") == F.col("x")) & (F.col("other.y") == F.col("y"))
         own = own.filter(~same | ((F.col("b") >= F.col("block")) if left else (F.col("b") <= F.col("block"))))
     here, there = F.concat_ws(",", "x", "y", "block"), F.concat_ws(",", "other.x", "other.y", "b")
-    return own.select(F.concat_ws(";", *((here, there) if left else (there, here))).alias("u"), "key", "size", "unit", "z")
+    return own.select(F.concat_ws(";", *((here, there) if left else (there, here))).alias("u"), "key", "size", "unit")
 
 
-def _matrix(side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """(vectors filled up to one width, sizes, third angles, keys), in order of the third angle."""
-    z = side.column("z").to_numpy()
-    order = np.argsort(z, kind="stable")
-    sizes = side.column("size").to_numpy()[order]
+def _matrix(side: pa.Table, at: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """(vectors filled up to the width of the pivots or more, sizes, angles to the pivots, keys), those in the same ranges of all angles next to each other."""
+    sizes = side.column("size").to_numpy()
     lists = side.column("unit").combine_chunks()
     flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    out = np.zeros((len(order), int(sizes.max(initial=0))))
+    out = np.zeros((len(sizes), max(at.shape[1], int(sizes.max(initial=0)))))
     for size in np.unique(sizes).tolist():
         rows = np.flatnonzero(sizes == size)
-        out[rows, :size] = flat[starts[order[rows]][:, None] + np.arange(size)]
-    return out, sizes, z[order], side.column("key").take(pa.array(order)).to_pylist()
+        out[rows, :size] = flat[starts[rows][:, None] + np.arange(size)]
+    z = np.arccos(np.clip(out[:, : at.shape[1]] @ at.T, -1, 1))
+    order = np.lexsort(np.floor(z / reach).T)
+    return out[order], sizes[order], z[order], side.column("key").take(pa.array(order)).to_pylist()
 
 
-def _compared(floor: float, reach: float, self_join: bool, report: bool):
+def _compared(floor: float, reach: float, pivots: np.ndarray, self_join: bool, report: bool):
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found, scored = [], 0
         if left.num_rows and right.num_rows:
-            (a, size_a, z_a, key_a), (b, size_b, z_b, key_b) = _matrix(left), _matrix(right)
+            (a, size_a, z_a, key_a), (b, size_b, z_b, key_b) = _matrix(left, pivots, reach), _matrix(right, pivots, reach)
             width = max(a.shape[1], b.shape[1])
             a, b = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
             for at in range(0, len(a), STEP):
                 to = min(len(a), at + STEP)
-                first, last = np.searchsorted(z_b, z_a[at] - reach, "left"), np.searchsorted(z_b, z_a[to - 1] + reach, "right")
-                scored += (to - at) * int(last - first)
-                if first < last:
-                    product = a[at:to] @ b[first:last].T
-                    i, j = np.nonzero((product >= floor - _SLACK) & (size_a[at:to, None] == size_b[None, first:last]))
+                low, high = z_a[at:to].min(0) - reach, z_a[at:to].max(0) + reach
+                some = np.flatnonzero(((z_b >= low) & (z_b <= high)).all(1))
+                scored += (to - at) * len(some)
+                if len(some):
+                    product = a[at:to] @ b[some].T
+                    i, j = np.nonzero((product >= floor - _SLACK) & (size_a[at:to, None] == size_b[None, some]))
                     # once more in one order of terms, so that a pair's value doesn't depend on its neighbours
-                    exact = np.einsum("ij,ij->i", a[at:to][i], b[first:last][j])
-                    found += [(key_a[at + k], key_b[first + m], s) for k, m, s in zip(i.tolist(), j.tolist(), exact.tolist(), strict=True) if s >= floor]
+                    exact = np.einsum("ij,ij->i", a[at:to][i], b[some[j]])
+                    found += [(key_a[at + k], key_b[m], s) for k, m, s in zip(i.tolist(), some[j].tolist(), exact.tolist(), strict=True) if s >= floor]
             if self_join:
                 same = left.column("key").equals(right.column("key")) if left.num_rows == right.num_rows else False
                 found = [(min(p, q), max(p, q), s) for p, q, s in found if p != q and (not same or p < q)]
@@ -157,7 +160,7 @@ def _joined(left: DataFrame, right: DataFrame | None, floor: float, key: str, co
     if not theirs:
         return left.sparkSession.createDataFrame([], spec)
     one, two = _sent(mine, blocks, theirs, True, self_join), _sent(others, theirs, blocks, False, self_join)
-    return one.groupBy("u").cogroup(two.groupBy("u")).applyInArrow(_compared(floor, reach, self_join, report), spec)
+    return one.groupBy("u").cogroup(two.groupBy("u")).applyInArrow(_compared(floor, reach, np.array(at[2:]), self_join, report), spec)
 
 
 def similar_pairs(vectors: DataFrame, floor: float = DUPLICATE_FLOOR, key: str = "key", col: str = "embedding", block: int = BLOCK) -> DataFrame:

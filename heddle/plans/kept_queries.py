@@ -150,6 +150,11 @@ def _(fx):
     return similarity.similar_pairs(fx.vectors, _FLOOR)
 
 
+@query("D06_semantic_links", """+ v AS (SELECT key, CAST(embedding AS DOUBLE[]) AS e FROM fx_vectors) SELECT p.key AS a, q.key AS b, list_cosine_similarity(p.e, q.e) AS similarity FROM v p JOIN v q ON p.key < q.key WHERE list_cosine_similarity(p.e, q.e) >= 0.4""")
+def _(fx):
+    return similarity.similar_pairs(fx.vectors, 0.4)  # the test tables' vectors are scattered: above, there are few pairs
+
+
 @query("D06_V08_similar_known", f"""+ v AS (SELECT m.id, scope_project, scope_tool, status, CAST(embedding AS DOUBLE[]) AS e FROM fx_memory m JOIN fx_vectors ON key = m.id)
   SELECT p.id, q.id AS known_id, list_cosine_similarity(p.e, q.e) AS similarity FROM v p JOIN v q ON p.scope_project IS NOT DISTINCT FROM q.scope_project AND p.scope_tool IS NOT DISTINCT FROM q.scope_tool WHERE p.status = 'candidate' AND q.status = 'confirmed' AND list_cosine_similarity(p.e, q.e) >= 0.3""")
 def _(fx):
