@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from heddle import schemas
 from heddle.constants import FUSION_WINDOW, RECALL_FLOOR, SESSION_CUTOFF
-from heddle.operators import aggregates, analytics, archive, memory, ordered, search, sinks, vectors, visibility
+from heddle.operators import aggregates, analytics, archive, markdown, memory, ordered, search, sinks, vectors, visibility
 from heddle.operators import sessions as sessions_
 from heddle.operators.text_index import TextIndex
 from heddle.sources import files, jsonl
@@ -288,7 +288,7 @@ class Archive:
         self.store(name).replace(self.table(name).union(ids.select("id")).distinct())
 
     def export(self, path: str, form: str = "markdown") -> None:
-        texts = {"markdown": sinks.markdown, "html": sinks.html}[form](self.visible(), self.table("messages"))
+        texts = {"markdown": markdown.markdown, "html": sinks.html}[form](self.visible(), self.table("messages"))
         sinks.write_texts(texts, path)
 
     def health(self) -> DataFrame:

@@ -29,14 +29,6 @@ def _joined(rows: DataFrame, key: str, order: str, line: Column) -> DataFrame:
     return rows.groupBy(key).agg(own.alias("body"))
 
 
-def markdown(sessions: DataFrame, messages: DataFrame) -> DataFrame:
-    """(id, text): a session as Markdown, one heading for each message."""
-    line = F.concat(F.lit("## "), F.initcap("role"), F.lit(" · "), F.date_format("timestamp", "yyyy-MM-dd HH:mm"), F.lit("\n\n"), F.when(F.col("role") == "tool", fenced(F.col("content"))).otherwise(F.col("content")))
-    body = _joined(messages, "session_id", "seq", line)
-    head = F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("title", "id")), F.lit(""), F.concat(F.lit("- Tool: "), "tool"), F.concat(F.lit("- Project: "), F.coalesce("project", F.lit("Unassigned"))), F.concat(F.lit("- Messages: "), F.col("messages_count").cast("string")))
-    return sessions.join(body, F.col("id") == F.col("session_id")).select("id", F.concat(head, F.lit("\n\n"), "body", F.lit("\n")).alias("text"))
-
-
 def html(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     line = F.concat(F.lit('<section class="'), "role", F.lit('"><h2>'), F.initcap("role"), F.lit("</h2><pre>"), escaped(F.col("content")), F.lit("</pre></section>"))
     body = _joined(messages, "session_id", "seq", line)

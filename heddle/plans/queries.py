@@ -454,12 +454,19 @@ def _(fx):
     return analytics.uncited(own, fx.messages)
 
 
-@query("K04_markdown", """+ b AS (SELECT session_id, string_agg('## ' || upper(left(role, 1)) || substr(role, 2) || ' · ' || strftime(timestamp, '%Y-%m-%d %H:%M') || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY seq) AS body FROM fx_messages GROUP BY 1)
-  SELECT id, sha256('# ' || title || chr(10) || chr(10) || '- Tool: ' || tool || chr(10) || '- Project: ' || coalesce(project, 'Unassigned') || chr(10) || '- Messages: ' || messages_count || chr(10) || chr(10) || body || chr(10)) AS text FROM fx_sessions JOIN b ON session_id = id""")
+_ESCAPED = "replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query("K04_markdown", f"""+ t AS (SELECT *, {_ESCAPED} AS x FROM ({_TURNS})), g AS (SELECT session_id, turn, CAST(min(timestamp) AS DATE) AS day, min(seq) AS first_seq FROM t GROUP BY 1, 2), n AS (SELECT *, coalesce(day <> lag(day) OVER (PARTITION BY session_id ORDER BY turn), true) AS new_day FROM g),
+  a AS (SELECT *, sum(CASE WHEN role = 'assistant' AND content <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, turn ORDER BY seq ROWS UNBOUNDED PRECEDING) AS answers FROM t),
+  p AS (SELECT session_id, turn, first_seq AS seq, 0 AS part, '*' || strftime(day, '%A, %b %-d, %Y') || '*' || chr(10) AS text FROM n WHERE new_day UNION ALL SELECT session_id, turn, seq, 2, CASE WHEN role = 'user' AND kind = 'text' THEN '### Prompt ' || turn || ' · ' || strftime(timestamp, '%Y-%m-%d %H:%M') || chr(10) || chr(10) || x || chr(10)
+    WHEN role = 'assistant' AND content <> '' THEN CASE WHEN answers = 1 THEN '**Assistant**' || chr(10) || chr(10) ELSE '' END || x || chr(10) WHEN role = 'system' AND content <> '' THEN '**System:** ' || x || chr(10) END FROM a),
+  b AS (SELECT session_id, string_agg(text, chr(10) ORDER BY turn, seq, part) AS body FROM p WHERE text IS NOT NULL GROUP BY 1)
+  SELECT id, sha256('# ' || title || chr(10) || chr(10) || '- Tool: ' || tool || chr(10) || '- Project: ' || coalesce(project, 'Unassigned') || chr(10) || '- Messages: ' || messages_count || chr(10) || chr(10) || body) AS text FROM fx_sessions JOIN b ON session_id = id""")
 def _(fx):
-    from heddle.operators import sinks
+    from heddle.operators import markdown
 
-    return sinks.markdown(fx.sessions, fx.messages).withColumn("text", F.sha2("text", 256))
+    return markdown.markdown(fx.sessions, fx.messages).withColumn("text", F.sha2("text", 256))
 
 
 @query("K06_changed_exports", """SELECT id, title FROM fx_sessions WHERE conv_id % 3 <> 0""")

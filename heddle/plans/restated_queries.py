@@ -1,0 +1,225 @@
+"""Named queries of text, time and label rules over the texts, times and addresses of the tables; the SQL restates each rule. Cases that the tables don't have are in tests/test_cases.py."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from heddle.functions import columns as C
+from heddle.operators import analytics as P
+from heddle.operators import archive as A
+from heddle.operators import markdown as MD
+from heddle.operators import memory as M
+from heddle.operators import sessions as R
+from heddle.operators import sinks
+from heddle.operators import visibility as S
+from heddle.plans.queries import query
+from heddle.streaming import ingest as I
+
+_LINE = r"trim(regexp_replace({}, '[\s\p{{Z}}\x85]+', ' ', 'g'))"
+
+
+def cleaned_sql(text: str) -> str:
+    """A title without tool results, fenced code, tags and backticks, on one line."""
+    for pattern, how in ((r"\[Tool Result\].*", "gs"), ("```.*?```", "gs"), ("<[^>]+>", "g"), ("`", "g")):
+        text = f"regexp_replace({text}, '{pattern}', ' ', '{how}')"
+    return _LINE.format(text)
+
+
+def low_sql(text: str) -> str:
+    """Whether a title says nothing."""
+    low = f"regexp_replace(trim(lower(coalesce({text}, ''))), '^<[^>]*>', '')"
+    plain = f"regexp_replace({low}, '^[^a-z0-9]+', '')"
+    starts = " OR ".join([f"starts_with({plain}, '{p}')" for p in C.LOW_PREFIXES] + [f"contains({plain}, '{f}')" for f in C.LOW_FRAGMENTS])
+    word, called = rf"regexp_extract({low}, '^([\w-]+)\s+/\S+', 1)", rf"regexp_replace(regexp_extract({low}, '^[\w-]+\s+(/\S+)', 1), '^/+|\.+$', '', 'g')"
+    echo = f"({word} <> '' AND (starts_with({word}, {called}) OR starts_with({called}, split_part({word}, '-', 1))))"
+    return rf"({low} = '' OR {starts} OR {echo} OR length({low}) < 8 OR length(regexp_replace({low}, '[^\p{{L}}]', '', 'g')) < greatest(3, length({low}) // 6))"
+
+
+# --- titles and labels
+
+
+@query("C06_clean_titles", f"SELECT page_id, sha256({cleaned_sql('html')}) AS title FROM pages UNION ALL SELECT -1 - doc_id, sha256({cleaned_sql('text')}) FROM documents")
+def _(fx):
+    pages = fx.table("pages").select("page_id", F.sha2(C.clean_title(F.col("html")), 256).alias("title"))
+    return pages.unionAll(fx.table("documents").select(-1 - F.col("doc_id"), F.sha2(C.clean_title(F.col("text")), 256)))
+
+
+@query("C07_C08_titles", rf"""+ d AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id, source AS tool, split_part(text, chr(10), 1) AS native, split_part(text, chr(10), 2) AS o, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 500 AS INTEGER)) AS created FROM documents),
+  t AS (SELECT *, {cleaned_sql('native')} AS n, {cleaned_sql('o')} AS b FROM d), q AS (SELECT *, {low_sql('n')} AS low_n, {low_sql('b')} AS low_b FROM t)
+  SELECT doc_id, CASE WHEN NOT low_n THEN left(n, 80) WHEN NOT low_b THEN left(b, 64) || ' · ' || right(id, 8) ELSE upper(tool[1]) || tool[2:] || ' ' || strftime(created, '%Y-%m-%d') || ' • ' || right(id, 8) END AS title FROM q""")
+def _(fx):
+    lines, created = F.split("text", "\n"), F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("doc_id") % 500).cast("int"))
+    title = C.inferred_title(lines[0], F.coalesce(F.get(lines, 1), F.lit("")), F.col("source"), created, F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    return fx.table("documents").select("doc_id", title.alias("title"))
+
+
+@query("C20_T18_labels", r"""+ e AS (SELECT event_id, ts AS t, TIMESTAMP '2024-01-31 12:00:00' AS now, CAST(floor(value * 10000) AS BIGINT) AS n FROM events), d AS (SELECT *, (epoch_us(now) - epoch_us(t)) // 1000000 AS ago, date_diff('day', CAST(t AS DATE), CAST(now AS DATE)) AS days FROM e)
+  SELECT event_id, CASE WHEN ago < 60 THEN 'just now' WHEN ago < 3600 THEN (ago // 60) || ' min ago' WHEN ago < 86400 THEN (ago // 3600) || ' h ago' WHEN days = 1 THEN 'Yesterday' WHEN days < 7 THEN strftime(t, '%b %-d') ELSE strftime(t, '%Y-%m-%d') END AS relative,
+  CASE WHEN days = 0 THEN 'Today' WHEN days = 1 THEN 'Yesterday' WHEN days <= 7 THEN strftime(t, '%A, %b %-d') ELSE strftime(t, '%b %-d') END AS header,
+  CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 100000 THEN regexp_replace(printf('%.1fk', n / 1000), '\.0k$', 'k') WHEN n < 1000000 THEN (n // 1000) || 'k' WHEN n < 100000000 THEN regexp_replace(printf('%.1fM', n / 1000000), '\.0M$', 'M') ELSE (n // 1000000) || 'M' END AS tokens FROM d""")
+def _(fx):
+    now, n = F.lit("2024-01-31 12:00:00").cast("timestamp_ntz"), F.floor(F.col("value") * 10000).cast("long")
+    return fx.table("events").select("event_id", C.relative_time(F.col("ts"), now).alias("relative"), C.day_label(F.to_date("ts"), F.to_date(now)).alias("header"), C.compact_count(n).alias("tokens"))
+
+
+# --- tool calls
+
+
+@query("C21_normalised_calls", """SELECT event_id, CASE WHEN event_type = 'view' THEN 'tool' WHEN event_type = 'click' THEN 'CLICK' ELSE event_type END AS tool, CASE WHEN value < 100 THEN '{}' ELSE props END AS input, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS output, event_type AS status, value > 300 AS truncated FROM events""")
+def _(fx):
+    kind = F.col("event_type")
+    own = fx.table("events").select("event_id", F.when(kind == "view", "").when(kind != "click", kind).alias("tool"), F.when(kind == "click", F.upper(kind)).alias("name"), F.when(F.col("value") > 200, F.col("props")).alias("input"), F.when(F.col("value") >= 100, F.col("props")).alias("arguments"), kind.alias("status"), (F.col("value") > 300).alias("truncated"))
+    return R.normalised_calls(own).select("event_id", "tool", "input", "id", "output", "status", "truncated")
+
+
+_STATES = "CASE WHEN bad THEN 'failed' WHEN x IN ('ok', 'success', 'succeeded', 'complete', 'completed', 'done') THEN 'ok' WHEN x IN ('failed', 'fail', 'error', 'errored', 'failure') THEN 'failed' WHEN x IN ('pending', 'queued', 'waiting') THEN 'pending' WHEN x IN ('running', 'in_progress', 'started') THEN 'running' WHEN x IN ('cancelled', 'canceled', 'aborted') THEN 'cancelled' WHEN x IN ('unmatched', 'orphaned') THEN 'unmatched' ELSE 'unknown' END"
+
+
+@query("C23_tool_states", rf"""+ e AS (SELECT event_id AS key, event_type AS s, value > 400 AS bad FROM events UNION ALL SELECT -1 - (conv_id * 1000 + turn), regexp_extract(text, '(\S+)\s*$', 1), false FROM conversations UNION ALL SELECT 1000000000 + doc_id, left(lang, 1) || 'k', n_chars > 5000 FROM documents), w AS (SELECT *, replace(replace(lower(trim(s)), '-', '_'), ' ', '_') AS x FROM e) SELECT key, {_STATES} AS state FROM w""")
+def _(fx):
+    events = fx.table("events").select(F.col("event_id").alias("key"), F.col("event_type").alias("s"), (F.col("value") > 400).alias("bad"))
+    last = fx.table("conversations").select(-1 - (F.col("conv_id") * 1000 + F.col("turn")), F.regexp_extract("text", r"(\S+)\s*$", 1), F.lit(False))
+    docs = fx.table("documents").select(F.col("doc_id") + 1_000_000_000, F.concat(F.left("lang", F.lit(1)), F.lit("k")), F.col("n_chars") > 5000)
+    return events.unionAll(last).unionAll(docs).select("key", C.tool_state(F.col("s"), F.col("bad")).alias("state"))
+
+
+@query("C24_tool_targets", rf"""+ o AS (SELECT doc_id AS key, list_filter(string_split(trim(text, chr(10) || ' '), chr(10)), lambda x: regexp_matches(x, '\S') AND NOT regexp_matches(x, '^\s*(`{{3,}}|~{{3,}})[\w+-]*\s*$'))[1] AS t FROM documents UNION ALL SELECT -1 - page_id, url FROM pages UNION ALL SELECT 1000000000 + event_id, '' FROM events), l AS (SELECT key, {_LINE.format("coalesce(t, '')")} AS t FROM o)
+  SELECT key, CASE WHEN length(t) > 96 THEN left(t, 93) || '...' ELSE t END AS target FROM l""")
+def _(fx):
+    pages = fx.table("pages").select(-1 - F.col("page_id"), F.to_json(F.struct(F.lit(" ").alias("command"), "url", F.col("page_id").alias("path"))))
+    own = fx.table("documents").select(F.col("doc_id").alias("key"), F.col("text").alias("args")).unionAll(pages).unionAll(fx.table("events").select(F.col("event_id") + 1_000_000_000, "props"))
+    return own.select("key", C.tool_target(F.col("args")).alias("target"))
+
+
+@query("C25_tool_heuristics", r"""+ d AS (SELECT doc_id, lower(split_part(text, ' ', 1)) AS n, text AS x, lower(text) AS low FROM documents)
+  SELECT doc_id, CASE WHEN regexp_matches(n, 'bash|shell|terminal') THEN '⚡' WHEN contains(n, 'read') THEN '📄' WHEN regexp_matches(n, 'write|edit') THEN '🛠' WHEN regexp_matches(n, 'search|grep|glob') THEN '🔎' WHEN regexp_matches(n, 'web|fetch|http') THEN '🌐' ELSE '🔧' END AS icon,
+  CASE WHEN regexp_matches(n, 'bash|shell|write|edit|apply_patch|deploy|commit|delete|migrate|sql') THEN 'major' ELSE 'minor' END AS importance,
+  CASE WHEN starts_with(ltrim(x), '*** Begin Patch') OR contains(x, '@@') OR contains(low, 'diff --git') THEN 'diff' WHEN regexp_matches(n, 'bash|shell') THEN 'bash' WHEN contains(n, 'python') OR contains(low, 'python') THEN 'python' WHEN contains(n, 'json') OR starts_with(trim(low), '{') THEN 'json' WHEN contains(low, 'sql') THEN 'sql' ELSE 'plaintext' END AS language FROM d""")
+def _(fx):
+    name, text = F.split("text", " ")[0], F.col("text")
+    return fx.table("documents").select("doc_id", C.tool_icon(name).alias("icon"), C.tool_importance(name).alias("importance"), C.guessed_language(name, text).alias("language"))
+
+
+# --- injected text and noise
+
+
+@query("C26_Y05_injected_display", r"""+ m AS (SELECT conv_id, turn, role, turn % 4 AS k, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)
+  SELECT conv_id, turn, CASE WHEN k = 1 OR (k = 2 AND role = 'user') THEN CASE WHEN k = 1 THEN 'event' ELSE 'slash_prompt' END ELSE 'prompt' END AS kind, CASE WHEN k = 1 THEN 'System reminder' ELSE '' END AS label, CASE WHEN k = 2 AND role = 'user' THEN '/' || role || ' ' || t ELSE '' END AS title, 'prompt' AS switched_off FROM m""")
+def _(fx):
+    k, text = F.col("turn") % 4, F.col("text")
+    own = F.when(k == 1, F.concat(F.lit(" <system-reminder>"), text, F.lit("</system-reminder>\n"))).when(k == 2, F.concat(F.lit("<command-name>/"), "role", F.lit("</command-name> <command-args>"), text, F.lit("</command-args>"))).otherwise(text)
+    off = R.injected_display(own, F.col("role"), F.lit("codex"), {"session_classify_injected_events": False})["kind"]
+    return fx.table("conversations").select("conv_id", "turn", R.injected_display(own, F.col("role"), F.lit("codex")).alias("x"), off.alias("switched_off")).select("conv_id", "turn", "x.*", "switched_off")
+
+
+@query("F16_noise", r"""+ d AS (SELECT doc_id, text, string_split(text, chr(10))[-1] AS last FROM documents), n AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN text ELSE '[command: ' || last || ']' || chr(10) || chr(10) || '[exit]' END AS x FROM d), l AS (SELECT *, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(y)), lambda y: y <> '') AS ls, lower(trim(CASE WHEN n_words < 20 THEN 'OK ' ELSE x END)) AS c FROM (SELECT *, len(string_split(text, ' ')) AS n_words FROM n))
+  SELECT doc_id, len(ls) > 0 AND len(list_filter(ls, lambda y: NOT regexp_full_match(y, '(?i)(\[command:[^\]]*\]|\[/?[a-z0-9_-]+\]|\(\s*\))'))) = 0 AS command, c IN ('', 'prompt', '[tool result]', 'tool result', 'no files found', 'ok', 'done') OR starts_with(c, '<local-command-') AS contents FROM l""")
+def _(fx):
+    last = F.element_at(F.split("text", "\n"), -1)
+    text = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("[command: "), last, F.lit("]\n\n[exit]")))
+    short = F.when(F.size(F.split("text", " ")) < 20, "OK ").otherwise(text)
+    return fx.table("documents").select("doc_id", C.command_noise(text).alias("command"), C.contents_noise(short).alias("contents"))
+
+
+@query("F13_low_value", """SELECT id, (prompt_count <= 1) OR (prompt_count <= 2 AND messages_count <= 3 AND length(trim(coalesce(t, ''))) < 24 AND length(trim(title)) < 200) AS low FROM fx_sessions LEFT JOIN (SELECT session_id, arg_min(left(content, 30), seq) AS t FROM fx_messages WHERE role = 'user' GROUP BY 1) ON session_id = id""")
+def _(fx):
+    first = fx.messages.filter("role = 'user'").groupBy("session_id").agg(F.min_by(F.left("content", F.lit(30)), "seq").alias("t"))
+    return fx.sessions.join(first, F.col("id") == F.col("session_id"), "left").select("id", S.low_value(F.col("prompt_count"), F.col("messages_count"), F.col("t"), F.col("title")).alias("low"))
+
+
+# --- ingest and memory
+
+
+@query("I07_due_jobs", """+ r AS (SELECT user_id AS job, ts AS moment, props AS stamp, event_type NOT IN ('error', 'view') AS ok FROM events), g AS (SELECT job, arg_max(stamp, moment) AS seen, max(moment) AS good_at FROM r WHERE ok GROUP BY 1), s AS (SELECT r.job, max(moment) AS last, count(*) FILTER (CAST(moment AS DATE) = DATE '2024-01-30') AS today, count(*) FILTER (NOT ok AND (good_at IS NULL OR moment > good_at)) AS failures, any_value(seen) AS seen FROM r LEFT JOIN g USING (job) GROUP BY 1),
+  j AS (SELECT DISTINCT user_id AS job, 30 AS b, 2 AS c FROM events) SELECT job, CAST(coalesce(failures, 0) AS INTEGER) AS failures FROM j LEFT JOIN s USING (job) WHERE seen IS DISTINCT FROM '{"k": 7}' AND (last IS NULL OR (epoch_us(TIMESTAMP '2024-01-30 23:58:00') - epoch_us(last)) / 60000000.0 >= b * power(2, failures)) AND coalesce(today, 0) < c""")
+def _(fx):
+    runs = fx.table("events").select(F.col("user_id").alias("job"), F.col("ts").alias("at"), F.col("props").alias("stamp"), (~F.col("event_type").isin("error", "view")).alias("ok"))
+    jobs = runs.select("job", F.lit(30).alias("backoff_minutes"), F.lit(2).alias("daily_cap")).distinct()
+    return I.due(jobs, runs, '{"k": 7}', "2024-01-30 23:58:00").select("job", F.col("failures").cast("int").alias("failures"))
+
+
+@query("I10_D09_freshness", """+ a AS (SELECT CAST(user_id AS VARCHAR) AS path, epoch_us(max(ts)) * 1000 AS m FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT CAST(user_id AS VARCHAR) AS path, epoch_us(max(ts)) * 1000 AS m FROM events WHERE event_type IN ('click', 'error') AND value > 5 GROUP BY 1)
+  SELECT * FROM (SELECT path, CASE WHEN a.m IS NULL THEN 'new' WHEN b.m IS NULL THEN 'missing' WHEN abs(b.m - a.m) > 2000000000 THEN 'changed' END AS reason FROM a FULL JOIN b USING (path)) WHERE reason IS NOT NULL""")
+def _(fx):
+    listing = lambda df: df.groupBy(F.col("user_id").cast("string").alias("path")).agg((F.unix_micros(F.max("ts").cast("timestamp")) * 1000).alias("mtime_ns"))
+    events = fx.table("events")
+    return A.freshness(listing(events.filter("event_type = 'click'")), listing(events.filter("event_type in ('click', 'error') and value > 5")))
+
+
+@query("M02_validation", """+ m AS (SELECT doc_id AS id, CASE WHEN n_chars % 11 = 0 THEN '  ' ELSE replace(left(text, CAST(n_chars // 4 AS INTEGER)), chr(10), ' ') END AS title, repeat(text, CASE WHEN n_chars % 7 = 0 THEN 40 ELSE 1 END) AS body, CASE WHEN lang = 'en' THEN 'fact' WHEN lang = 'de' THEN 'lesson' ELSE lang END AS kind FROM documents)
+  SELECT id, CASE WHEN trim(title) = '' THEN 'title is empty' WHEN length(title) > 512 THEN 'title is too long' WHEN length(body) > 64000 THEN 'body is too long' WHEN kind NOT IN ('fact', 'lesson') THEN 'kind is unknown' END AS reason FROM m""")
+def _(fx):
+    title = F.when(F.col("n_chars") % 11 == 0, "  ").otherwise(F.replace(F.substring("text", F.lit(1), F.floor(F.col("n_chars") / 4).cast("int")), F.lit("\n"), F.lit(" ")))
+    body = F.repeat("text", F.when(F.col("n_chars") % 7 == 0, 40).otherwise(1))
+    kind = F.when(F.col("lang") == "en", "fact").when(F.col("lang") == "de", "lesson").otherwise(F.col("lang"))
+    return fx.table("documents").select(F.col("doc_id").alias("id"), title.alias("title"), body.alias("body"), kind.alias("kind")).select("id", M.invalid_reason().alias("reason"))
+
+
+@query("M04_claims", "SELECT id, CASE WHEN superseded_by IS NOT NULL THEN 'superseded' WHEN status IN ('rejected', 'confirmed') THEN status WHEN scope_tool <> 'en' THEN left(body, 9) ELSE 'observation' END AS state FROM fx_memory")
+def _(fx):
+    claim = F.when(F.col("scope_tool") != "en", F.to_json(F.struct(F.left("body", F.lit(9)).alias("claim_type"))))
+    return fx.memory.withColumn("metadata", claim).select("id", M.claim_state().alias("state"))
+
+
+# --- text and time
+
+
+@query("T09_stripped", r"SELECT conv_id, turn, trim(role || ': ' || text || ' ' || text) AS t FROM conversations")
+def _(fx):
+    own = F.concat(F.lit("\x1b[1;31m"), "role", F.lit("\x1b[0m: <local-command-stdout>"), "text", F.lit("</local-command-stdout> \x1b[2K"), "text")
+    return fx.table("conversations").select("conv_id", "turn", P.stripped(own).alias("t"))
+
+
+@query("T11_fences", """+ p AS (SELECT page_id, html, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM pages)
+  SELECT page_id, repeat('`', CASE WHEN page_id % 3 = 0 THEN 5 ELSE 3 END) AS fence, sha256(replace(e, '"', '&quot;')) AS escaped, sha256(e || chr(10) || '~~~~ html' || chr(10) || html || chr(10) || '~~~' || chr(10) || '```' || chr(10) || html || chr(10) || '~~~~' || chr(10) || e || chr(10) || '```' || chr(10) || html) AS outside FROM p""")
+def _(fx):
+    page = F.col("html")
+    mixed = F.concat(page, F.lit("\n~~~~ html\n"), page, F.lit("\n~~~\n```\n"), page, F.lit("\n~~~~\n"), page, F.lit("\n```\n"), page)
+    code = F.when(F.col("page_id") % 3 == 0, F.concat(page, F.lit("\n````\n"))).otherwise(page)
+    own = fx.table("pages").select("page_id", F.regexp_extract(sinks.fenced(code), "^(`+)", 1).alias("fence"), F.sha2(sinks.escaped(page), 256).alias("escaped"), F.sha2(MD.escaped_outside_fences(mixed), 256).alias("outside"))
+    return own
+
+
+@query("T15_timestamps", """SELECT event_id, CASE event_id % 5 WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN date_trunc('millisecond', ts) WHEN 3 THEN ts - INTERVAL 2 HOUR WHEN 4 THEN CASE WHEN value > 250 THEN ts ELSE TIMESTAMP '1970-01-01 00:00:00' END ELSE ts END AS t FROM events""")
+def _(fx):
+    k, at = F.col("event_id") % 5, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    text = F.when(k == 0, F.concat(at, F.lit("789Z"))).when(k == 1, F.floor(micros / 1_000_000).cast("string")).when(k == 2, F.floor(micros / 1000).cast("string")).when(k == 3, F.concat(F.replace(at, F.lit("T"), F.lit(" ")), F.lit("+02:00"))).otherwise(F.when(F.col("value") > 250, at).otherwise(F.col("event_type")))
+    return fx.table("events").select("event_id", C.timestamp_of(text).cast("timestamp_ntz").alias("t"))
+
+
+@query("T16_local_times", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN ts + INTERVAL 1 HOUR WHEN 1 THEN ts - INTERVAL 1 HOUR WHEN 2 THEN ts END AS t FROM events""")
+def _(fx):
+    k, at = F.col("event_id") % 4, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = F.when(k == 0, F.concat(at, F.lit("Z"))).when(k == 1, F.concat(at, F.lit("+02:00"))).when(k == 2, at).otherwise(F.col("event_type"))
+    return fx.table("events").select("event_id", C.local_naive(text, "Europe/Berlin").alias("t"))
+
+
+@query("T22_paths", r"""+ p AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS f FROM pages)
+  SELECT page_id, regexp_extract(f, '([^/]*)/*$', 1) AS name, f = 'blog' OR starts_with(f, 'blog.') AND split_part(f, '/', 2) = 'en' AS below, CASE lower(regexp_extract(f, '\.([A-Za-z0-9]+)$', 1)) WHEN 'json' THEN 'application/json' WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' ELSE 'application/octet-stream' END AS media FROM p""")
+def _(fx):
+    path = F.regexp_extract("url", r"^https?://([^?#]*)", 1)
+    folder = F.concat(F.split(path, "/")[0], F.lit("/en/"))
+    return fx.table("pages").select("page_id", C.base_name(path).alias("name"), (C.below(path, folder) & path.startswith("blog.")).alias("below"), C.media_type(path).alias("media"))
+
+
+@query("X08_X09_snippets", r"""+ d AS (SELECT doc_id, text, split_part(text, ' ', 1) AS w FROM documents), s AS (SELECT *, left(text, 200) AS cut FROM d)
+  SELECT doc_id, '«' || replace(replace(w, '«', '‹'), '»', '›') || '»' || replace(replace(substr(cut, length(w) + 1), '«', '‹'), '»', '›') AS shown, length(""" + _LINE.format("cut") + ") < length(" + _LINE.format("text") + ") OR " + _LINE.format("cut") + " = '' AS elided FROM s WHERE NOT contains(text, '…') AND length(w) <= 200")
+def _(fx):
+    own = fx.table("documents").filter(~F.col("text").contains("…")).withColumns({"w": F.split("text", " ")[0], "cut": F.left("text", F.lit(200))}).filter(F.length("w") <= 200)
+    raw = F.concat(F.lit("\x02"), "w", F.lit("\x03"), F.substring("cut", F.length("w") + 1, F.lit(200)))
+    return own.select("doc_id", C.marked_snippet(raw).alias("shown"), C.elided_excerpt(raw, F.col("text")).alias("elided"))
+
+
+# --- how messages are shown
+
+
+@query("P10_displayed", r"""+ d AS (SELECT doc_id, lang, regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\r', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t, least(5, 1 + n_chars % 12) AS n FROM documents),
+  s AS (SELECT *, list_transform(range(1, n + 1), lambda i: i) AS ops FROM d), x AS (SELECT *, array_to_string(list_transform(ops, lambda i: 'The file src/' || lang || i || '.py has been updated.'), chr(10)) AS all_ops, array_to_string(list_transform(ops, lambda i: '- updated: `src/' || lang || i || '.py`'), chr(10)) AS listed, regexp_replace(t, '\s+', ' ', 'g') AS one FROM s)
+  SELECT doc_id, sha256(CASE WHEN n < 3 THEN all_ops || chr(10) || one ELSE 'File operations summary (collapsed):' || chr(10) || listed || CASE WHEN one <> '' THEN chr(10) || chr(10) || one ELSE '' END || chr(10) || chr(10) || '<details><summary>Show all ' || n || ' file operations</summary>' || chr(10) || chr(10) || '```text' || chr(10) || all_ops || chr(10) || one || chr(10) || '```' || chr(10) || chr(10) || '</details>' END) AS shown FROM x""")
+def _(fx):
+    n = F.least(F.lit(5), 1 + F.col("n_chars") % 12).cast("int")
+    changed = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("\x1b[32mThe file src/"), "lang", i.cast("string"), F.lit(".py has been updated.\x1b[0m"))), "\r\n")
+    one = F.trim(F.regexp_replace(F.regexp_replace("text", r"\s+", " "), r"^\s+|\s+$", ""))
+    text = F.concat(changed, F.lit("\n"), one, F.lit("\n\n\n\n"))
+    return fx.table("documents").select("doc_id", F.sha2(MD.displayed(text, F.lit("cursor"), F.lit("assistant"), {"operations": True}), 256).alias("shown"))

@@ -25,59 +25,8 @@ def one_of(values: list[str | None], by: str) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.expr(by) % len(values)).cast("int") + 1)
 
 
-def sql_list(values: list[str | None], by: str) -> str:
-    """The same for DuckDB."""
-    text = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
-    return f"([{text}]::VARCHAR[])[CAST(({by}) % {len(values)} AS INTEGER) + 1]"
-
-
 # --- tool calls
 
-_STATUS = [
-    "ok", "success", "succeeded", "complete", "completed", "done", "failed", "fail", "error", "errored", "failure", "pending", "queued", "waiting", "running", "in_progress", "started",
-    "cancelled", "canceled", "aborted", "unmatched", "orphaned", "In-Progress", " IN PROGRESS ", "denied", "", "  ", None, "OK",
-]
-
-
-@query("C23_tool_states", f"""+ e AS (SELECT event_id, event_id % 31 = 3 AS bad, {sql_list(_STATUS, 'event_id')} AS s FROM events), w AS (SELECT *, replace(replace(lower(trim(s)), '-', '_'), ' ', '_') AS x FROM e)
-  SELECT event_id, CASE WHEN bad THEN 'failed' WHEN x IN ('ok', 'success', 'succeeded', 'complete', 'completed', 'done') THEN 'ok' WHEN x IN ('failed', 'fail', 'error', 'errored', 'failure') THEN 'failed'
-  WHEN x IN ('pending', 'queued', 'waiting') THEN 'pending' WHEN x IN ('running', 'in_progress', 'started') THEN 'running' WHEN x IN ('cancelled', 'canceled', 'aborted') THEN 'cancelled'
-  WHEN x IN ('unmatched', 'orphaned') THEN 'unmatched' ELSE 'unknown' END AS state FROM w""")
-def _(fx):
-    return fx.table("events").select("event_id", C.tool_state(one_of(_STATUS, "event_id"), F.col("event_id") % 31 == 3).alias("state"))
-
-
-_ARGS = [
-    '{"command": "ls  -l", "path": "/x"}', '{"cmd": "make"}', '{"path": "/p", "file_path": "/f"}', '{"notebook_path": "/n.ipynb"}', '{"url": "u", "pattern": "a+"}', '{"prompt": "do", "description": "why"}', '{"command": "  ", "query": "q"}',
-    '{"command": 5, "url": "http://h"}', '{"other": "x"}', '{broken', "```bash\nls -l\n```", "\n\n~~~\nsecond line", "", None, '  {"command": "' + "long word " * 20 + '"}', '["a"]',
-]
-_TARGETS = ["ls -l", "make", "/f", "/n.ipynb", "a+", "why", "q", "http://h", "", "{broken", "ls -l", "second line", "", "", ("long word " * 20)[:93] + "...", '["a"]']
-
-
-@query("C24_tool_targets", f"SELECT event_id, {sql_list(_TARGETS, 'event_id')} AS target FROM events")
-def _(fx):
-    return fx.table("events").select("event_id", C.tool_target(one_of(_ARGS, "event_id")).alias("target"))
-
-
-_TOOLS = ["Bash", "run_shell_command", "Read", "MultiEdit", "apply_patch", "Grep", "WebFetch", "glob_files", "Task", "sqlite_query", "git_commit", None]
-
-
-@query("C25_tool_heuristics", f"""+ e AS (SELECT event_id, {sql_list(_TOOLS, 'event_id')} AS t, CASE event_id % 5 WHEN 0 THEN '@@ -1 +1 @@' WHEN 1 THEN '  {{"a": 1}}' WHEN 2 THEN 'import python' WHEN 3 THEN 'select 1 -- SQL' ELSE 'plain' END AS x FROM events), l AS (SELECT *, lower(t) AS n FROM e)
-  SELECT event_id, CASE WHEN regexp_matches(n, 'bash|shell|terminal') THEN '⚡' WHEN contains(n, 'read') THEN '📄' WHEN regexp_matches(n, 'write|edit') THEN '🛠' WHEN regexp_matches(n, 'search|grep|glob') THEN '🔎' WHEN regexp_matches(n, 'web|fetch|http') THEN '🌐' ELSE '🔧' END AS icon,
-  CASE WHEN regexp_matches(coalesce(n, ''), 'bash|shell|write|edit|apply_patch|deploy|commit|delete|migrate|sql') THEN 'major' ELSE 'minor' END AS importance,
-  CASE WHEN event_id % 5 = 0 THEN 'diff' WHEN regexp_matches(n, 'bash|shell') THEN 'bash' WHEN event_id % 5 = 2 THEN 'python' WHEN event_id % 5 = 1 THEN 'json' WHEN event_id % 5 = 3 THEN 'sql' ELSE 'plaintext' END AS language FROM l""")
-def _(fx):
-    t, x = one_of(_TOOLS, "event_id"), one_of(["@@ -1 +1 @@", '  {"a": 1}', "import python", "select 1 -- SQL", "plain"], "event_id")
-    return fx.table("events").select("event_id", C.tool_icon(t).alias("icon"), C.tool_importance(t).alias("importance"), C.guessed_language(t, x).alias("language"))
-
-
-@query("C21_normalised_calls", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' WHEN 2 THEN 'Edit' ELSE 'tool' END AS tool, CASE event_id % 3 WHEN 0 THEN '{"a":1}' WHEN 1 THEN '{"b":2}' ELSE '{}' END AS input,
-  CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS output, event_type AS status, false AS truncated FROM events""")
-def _(fx):
-    tool, name = F.when(F.col("event_id") % 4 == 0, "Read").when(F.col("event_id") % 4 == 1, ""), F.when(F.col("event_id") % 4 == 1, "Bash").when(F.col("event_id") % 4 == 2, "Edit").when(F.col("event_id") % 4 == 0, "not this")
-    own = fx.table("events").select("event_id", tool.alias("tool"), name.alias("name"), F.when(F.col("event_id") % 3 == 0, '{"a":1}').alias("input"), F.when(F.col("event_id") % 3 < 2, '{"b":2}').alias("arguments"), F.col("event_type").alias("status"))
-    return R.normalised_calls(own).select("event_id", "tool", "input", "id", "output", "status", "truncated")
-
 
 @query("C27_P11_at_a_glance", """+ c AS (SELECT 'c' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS session_id, event_id AS n, event_type AS tool, CASE WHEN event_id % 3 = 0 THEN '/f' || (event_id % 12) ELSE '' END AS path, event_type = 'error' AS bad FROM events),
   t AS (SELECT session_id, tool, count(*) AS k, min(n) AS since FROM c GROUP BY 1, 2), tr AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY k DESC, since) AS r FROM t), ts AS (SELECT session_id, list(tool || '=' || k ORDER BY r) AS tools_used FROM tr WHERE r <= 6 GROUP BY 1),
@@ -94,35 +43,6 @@ def _(fx):
 
 # --- titles and labels
 
-_TITLES = [
-    "Fix the parser of dates", "session 12 of many", "short", "<local-command-caveat>Caveat: the messages below were generated by x", "a sandbox for the new code", "needs approval from the owner", "deploy-site /deploy-site now please", "x /y then more of it",
-    "12345678901234567890 ab", "", None, "  `Code` and <b>tags</b> stay readable ", "[Tool Result] all of this goes", "shared workflow of the team", "a" * 100,
-]
-_SHOWN = ["Fix the parser of dates", None, None, None, None, None, None, "x /y then more of it", None, None, None, "Code and tags stay readable", None, None, "a" * 80]
-
-
-@query("C07_C08_titles", f"""+ t AS (SELECT id, tool, created, {sql_list(_SHOWN, 'conv_id')} AS native, CASE WHEN conv_id % 2 = 0 THEN 'outline of session ' || (conv_id % 3) || ' with more words than fit into the sixty-four characters of it' END AS o FROM fx_sessions)
-  SELECT id, CASE WHEN native IS NOT NULL THEN native WHEN o IS NOT NULL THEN left(o, 64) || ' · ' || right(id, 8)
-  ELSE array_to_string(list_transform(string_split(tool, '-'), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || strftime(created, '%Y-%m-%d') || ' • ' || right(id, 8) END AS title FROM t""")
-def _(fx):
-    outline = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("outline of session "), (F.col("conv_id") % 3).cast("string"), F.lit(" with more words than fit into the sixty-four characters of it")))
-    return fx.sessions.select("id", C.inferred_title(one_of(_TITLES, "conv_id"), outline, F.col("tool"), F.col("created"), F.col("id")).alias("title"))
-
-
-_LONG = [1, 59, 60, 61, 119, 3599, 3600, 3660, 86399, 86400, 90000, 200000]
-_SECONDS = ", ".join(map(str, _LONG))
-
-
-@query("C20_T18_labels", f"""+ e AS (SELECT event_id, ([{_SECONDS}])[CAST(event_id % 12 AS INTEGER) + 1] AS s, TIMESTAMP '2024-03-15 12:00:00' AS now FROM events), m AS (SELECT *, now - to_seconds(s * (1 + event_id % 7)) AS t, s * (1 + event_id % 7) AS ago FROM e), d AS (SELECT *, date_diff('day', CAST(t AS DATE), CAST(now AS DATE)) AS days FROM m)
-  SELECT event_id, CASE WHEN ago < 60 THEN 'just now' WHEN ago < 3600 THEN (ago // 60) || ' min ago' WHEN ago < 86400 THEN (ago // 3600) || ' h ago' WHEN days = 1 THEN 'Yesterday' WHEN days < 7 THEN strftime(t, '%b %-d') ELSE strftime(t, '%Y-%m-%d') END AS relative,
-  CASE WHEN days = 0 THEN 'Today' WHEN days = 1 THEN 'Yesterday' WHEN days <= 7 THEN strftime(t, '%A, %b %-d') ELSE strftime(t, '%b %-d') END AS header,
-  CASE WHEN ago * 997 < 1000 THEN CAST(ago * 997 AS VARCHAR) WHEN ago * 997 < 100000 THEN regexp_replace(printf('%.1fk', ago * 997 / 1000), '\\.0k$', 'k') WHEN ago * 997 < 1000000 THEN (ago * 997 // 1000) || 'k' WHEN ago * 997 < 100000000 THEN regexp_replace(printf('%.1fM', ago * 997 / 1000000), '\\.0M$', 'M') ELSE (ago * 997 // 1000000) || 'M' END AS tokens FROM d""".replace("\\\\", "\\"))
-def _(fx):
-    ago = F.element_at(F.lit(_LONG), (F.col("event_id") % 12).cast("int") + 1) * (1 + F.col("event_id") % 7)
-    now = F.lit("2024-03-15 12:00:00").cast("timestamp_ntz")
-    t = F.timestamp_seconds(F.lit(1710504000) - ago).cast("timestamp_ntz")
-    return fx.table("events").select("event_id", C.relative_time(t, now).alias("relative"), C.day_label(F.to_date(t), F.to_date(now)).alias("header"), C.compact_count(ago * 997).alias("tokens"))
-
 
 @query("C04_message_counts", "SELECT session_id, count(*) AS messages, count(*) FILTER (role = 'user' AND kind = 'text' AND trim(content) <> '') AS prompts, count(*) FILTER (role = 'assistant') AS answers FROM fx_messages GROUP BY 1")
 def _(fx):
@@ -156,38 +76,6 @@ def _(fx):
 
 # --- injected text and noise
 
-_INJECTED = [
-    ("user", "codex", "plain words", "prompt", "", ""), ("user", "x", "", "prompt", "", ""),
-    ("user", "x", "<command-name>/clear</command-name>", "slash_prompt", "", "/clear"), ("user", "x", "<command-message>m</command-message> <command-name> /fix </command-name><command-args>all of it</command-args>", "slash_prompt", "", "/fix all of it"),
-    ("user", "x", "<command-name>/a</command-name> and words", "prompt", "", ""), ("assistant", "x", "<command-name>/clear</command-name>", "prompt", "", ""),
-    ("user", "x", "Base directory for this skill: /home/u/skills/review/", "event", "Skill loaded: review", ""), ("user", "x", "Stop hook feedback: no", "event", "Hook feedback", ""),
-    ("user", "x", "<task-notification>done</task-notification>", "event", "Task notification", ""), ("user", "x", "abcdef12 toolu_01X ended", "event", "Task notification", ""),
-    ("assistant", "x", " <System-Reminder>be kind</system-reminder> ", "event", "System reminder", ""), ("user", "x", "<system-reminder>be kind</system-reminder> more", "prompt", "", ""),
-    ("user", "x", "<local-command-stdout>out</local-command-stdout>", "event", "Local command", ""), ("user", "codex", "<environment_context>x</environment_context>", "event", "System context", ""),
-    ("user", "x", "<environment_context>x</environment_context>", "prompt", "", ""), ("system", "codex", "# AGENTS.md instructions for /w <INSTRUCTIONS>x</INSTRUCTIONS>", "event", "AGENTS instructions", ""),
-    ("user", "codex", "<!-- BEGIN AGENTS --> x <!-- END AGENTS -->", "event", "System prompt", ""), ("assistant", "codex", "<user_action>x</user_action>", "prompt", "", ""),
-]
-
-
-def _column(k: int) -> list[str]:
-    return [row[k] for row in _INJECTED]
-
-
-@query("C26_Y05_injected_display", f"SELECT event_id, {sql_list(_column(3), 'event_id')} AS kind, {sql_list(_column(4), 'event_id')} AS label, {sql_list(_column(5), 'event_id')} AS title, 'prompt' AS switched_off FROM events")
-def _(fx):
-    role, tool, text = (one_of(_column(k), "event_id") for k in range(3))
-    off = R.injected_display(text, role, tool, {"session_classify_injected_events": False, "unknown": 3})["kind"]
-    return fx.table("events").select("event_id", R.injected_display(text, role, tool).alias("x"), off.alias("switched_off")).select("event_id", "x.*", "switched_off")
-
-
-_NOISE = ["[command: /exit]\n[exit]\n()", "[command: /exit]\nwords", "", "  \n", "(  )", "No files found", " OK ", "<local-command-stdout>x", "done it", "[Tool Result]"]
-
-
-@query("F16_noise", f"SELECT event_id, {sql_list(['1', '0', '0', '0', '1', '0', '0', '0', '0', '0'], 'event_id')} = '1' AS command, {sql_list(['0', '0', '1', '1', '0', '1', '1', '1', '0', '1'], 'event_id')} = '1' AS contents FROM events")
-def _(fx):
-    text = one_of(_NOISE, "event_id")
-    return fx.table("events").select("event_id", C.command_noise(text).alias("command"), C.contents_noise(F.regexp_replace(text, r"\s+$", "")).alias("contents"))
-
 
 @query("C28_text_diff", """+ m AS (SELECT conv_id, turn, CAST(turn % 12 + 1 AS INTEGER) AS k FROM conversations),
   l AS (SELECT conv_id, turn, k, i FROM m, (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS i)),
@@ -296,14 +184,6 @@ def _(fx):
     return A.refreshed(stored, fresh, ["title", "branch"]).select("id", "title", "branch")
 
 
-@query("I10_D09_freshness", "SELECT id AS path, CASE conv_id % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'missing' ELSE 'changed' END AS reason FROM fx_sessions WHERE conv_id % 5 IN (0, 1, 2)")
-def _(fx):
-    k, ns = F.col("conv_id") % 5, 1_000_000_000
-    stored = fx.sessions.filter(k != 0).select(F.col("id").alias("path"), F.lit(10 * ns).alias("mtime_ns"))
-    current = fx.sessions.filter(k != 1).select(F.col("id").alias("path"), F.when(k == 2, 13 * ns).when(k == 3, 12 * ns).otherwise(10 * ns).alias("mtime_ns"))
-    return A.freshness(stored, current)
-
-
 @query("U01_U06_union", "SELECT id, CASE WHEN conv_id % 2 = 0 THEN 'codex' ELSE 'aider' END AS tool, CASE WHEN conv_id % 2 = 0 THEN title END AS title FROM fx_sessions")
 def _(fx):
     even, odd, none = fx.sessions.filter("conv_id % 2 = 0").select("id", "title"), fx.sessions.filter("conv_id % 2 = 1").select("id"), fx.sessions.select("id")
@@ -357,14 +237,6 @@ def _(fx):
     return S.tagged_or_keyword(own, fx.tags, "review").select("id")
 
 
-@query("F13_low_value", """SELECT id, CASE conv_id % 6 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN false ELSE true END AS low FROM fx_sessions""")
-def _(fx):
-    # no counts; one prompt; two prompts that say little; the same in a longer session; two prompts with a long outline; no prompts, one message
-    k = F.col("conv_id") % 6
-    prompts, messages = F.when(k == 1, 1).when(k.isin(2, 3, 4), 2), F.when(k == 1, 9).when(k.isin(2, 4), 3).when(k == 3, 4).when(k == 5, 1)
-    return fx.sessions.select("id", S.low_value(prompts, messages, F.when(k == 4, "an outline of many characters"), F.lit("x")).alias("low"))
-
-
 @query("F21_F22_summary_candidates", "SELECT id, updated FROM fx_sessions WHERE origin NOT IN ('exec', 'cron', 'subagent') AND id NOT IN (SELECT id FROM fx_deleted) AND prompt_count >= 3 AND conv_id % 2 = 0 AND updated <= TIMESTAMP '2024-01-04 11:30:00' ORDER BY updated DESC, id LIMIT 20")
 def _(fx):
     return S.idle_candidates(fx.sessions.withColumn("messages_synced", F.col("conv_id") % 2 == 0), fx.deleted, "2024-01-04 12:00:00", limit=20).select("id", "updated")
@@ -496,13 +368,6 @@ def _(fx):
     return V.nearest_messages(own, fx.messages, S.visible(fx.sessions, ignored=fx.ignored), fx.vectors.filter("key = 100").first()["embedding"], 20, 1.5)
 
 
-@query("X08_X09_snippets", """SELECT event_id, '‹a› «' || event_type || '» b' AS shown, event_id % 2 = 1 AS elided FROM events""")
-def _(fx):
-    raw = F.concat(F.lit("«a» \x02"), "event_type", F.lit("\x03 b"))
-    body = F.concat(F.lit("«a»\n "), "event_type", F.when(F.col("event_id") % 2 == 1, " b and more").otherwise("  b"))
-    return fx.table("events").select("event_id", C.marked_snippet(raw).alias("shown"), C.elided_excerpt(raw, body).alias("elided"))
-
-
 # --- memory and reviews
 
 
@@ -575,17 +440,6 @@ def _(fx):
     return fx.table("events").select("event_id", redacted(text).alias("r")).select("event_id", F.col("r.text").alias("text"), F.col("r.count").alias("n"))
 
 
-@query("T16_local_times", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN TIMESTAMP '2024-07-01 14:00:00' WHEN 1 THEN TIMESTAMP '2024-01-01 09:30:00' WHEN 2 THEN TIMESTAMP '2024-01-01 12:00:00' END AS t FROM events""")
-def _(fx):
-    return fx.table("events").select("event_id", C.local_naive(one_of(["2024-07-01T12:00:00Z", "2024-01-01 10:30:00+02:00", "2024-01-01T12:00:00", "soon"], "event_id"), "Europe/Berlin").alias("t"))
-
-
-@query("T22_paths", "SELECT event_id, 'f' || event_id || '.md' AS name, event_id % 2 = 0 AS below, 'text/markdown' AS media FROM events")
-def _(fx):
-    path = F.concat(F.when(F.col("event_id") % 2 == 0, "/w/a/").otherwise("/w/ab/"), F.lit("f"), F.col("event_id").cast("string"), F.lit(".md"))
-    return fx.table("events").select("event_id", C.base_name(path).alias("name"), C.below(path, F.lit("/w/a/")).alias("below"), C.media_type(path).alias("media"))
-
-
 # --- bundles
 
 _H = "CASE WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN 'same' ELSE 'other' END"

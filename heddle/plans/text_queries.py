@@ -12,29 +12,18 @@ from heddle.operators import aggregates as G
 from heddle.operators import analytics as P
 from heddle.operators import archive as A
 from heddle.operators import memory as M
-from heddle.operators import ordered as O
 from heddle.operators import search as X
 from heddle.operators import sessions as R
 from heddle.operators import sinks
 from heddle.operators import vectors as V
 from heddle.operators import visibility as S
 from heddle.plans.queries import query
-from heddle.plans.rule_queries import one_of, sql_list
 from heddle.plans.source_queries import shared_folder
 from heddle.streaming import ingest as I
 
 # --- text
 
 
-_RAW_TITLES = ["<b>Fix</b> `the` parser", "a ```code\nblock``` b", "[Tool Result] gone", "  many \n blanks  ", "plain"]
-_CLEANED = ["Fix the parser", "a b", "", "many blanks", "plain"]
-
-
-@query("C06_clean_titles", f"SELECT event_id, {sql_list(_CLEANED, 'event_id')} AS title FROM events")
-def _(fx):
-    return fx.table("events").select("event_id", C.clean_title(one_of(_RAW_TITLES, "event_id")).alias("title"))
-
-
 @query("C09_first_words", r"""+ w AS (SELECT conv_id, turn, array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:10], ' ') AS t FROM conversations) SELECT conv_id, turn, CASE WHEN length(t) > 80 THEN left(t, 77) || '...' ELSE t END AS title FROM w""")
 def _(fx):
     return fx.table("conversations").select("conv_id", "turn", C.first_words(F.col("text")).alias("title"))
@@ -69,23 +58,6 @@ def _(fx):
     return P.artifacts(fx.tool_events.select("session_id", F.col("event_id").alias("seq"), F.concat(F.lit("first\n"), line).alias("content")))
 
 
-@query("T09_stripped", "SELECT event_id, 'red ' || event_type || ' done' AS t FROM events")
-def _(fx):
-    return fx.table("events").select("event_id", P.stripped(F.concat(F.lit("\x1b[1;31mred\x1b[0m <local-command-stdout>"), "event_type", F.lit("</local-command-stdout> done "))).alias("t"))
-
-
-@query("T11_fences", "SELECT event_id, repeat('`', CASE event_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 6 END) AS fence, '&lt;b&gt; &amp; &quot;' || event_type || '&quot;' AS escaped FROM events")
-def _(fx):
-    text = one_of(["a\n``b``", "```\nb\n```", "x\n`````y"], "event_id")
-    return fx.table("events").select("event_id", F.element_at(F.split(sinks.fenced(text), "\n"), 1).alias("fence"), sinks.escaped(F.concat(F.lit('<b> & "'), "event_type", F.lit('"'))).alias("escaped"))
-
-
-@query("T15_timestamps", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN TIMESTAMP '2026-01-02 03:04:05.123456' WHEN 1 THEN TIMESTAMP '2026-01-02 03:04:05' WHEN 2 THEN TIMESTAMP '2026-01-02 03:04:05' WHEN 3 THEN TIMESTAMP '2026-01-02 01:04:05' WHEN 4 THEN TIMESTAMP '2026-01-02 03:04:05' ELSE TIMESTAMP '1970-01-01 00:00:00' END AS t FROM events")
-def _(fx):
-    text = one_of(["2026-01-02T03:04:05.123456789Z", "1767323045", "1767323045000", "2026-01-02 03:04:05+02:00", "2026-01-02 03:04:05", "soon"], "event_id")
-    return fx.table("events").select("event_id", C.timestamp_of(text).cast("timestamp_ntz").alias("t"))
-
-
 @query("T14_T17_F15_since", "SELECT id FROM fx_sessions WHERE created >= TIMESTAMP '2024-01-03 00:00:00' - INTERVAL 36 HOUR AND created <= TIMESTAMP '2024-01-03 23:59:59.999999' AND project = '/work/p3'")
 def _(fx):
     since = S.parse_bound("2024-01-03") - C.parse_duration("36h")
@@ -161,20 +133,6 @@ def _(fx):
     return I.job_states(log)
 
 
-@query("M02_validation", "SELECT id, CASE id % 5 WHEN 0 THEN 'title is empty' WHEN 1 THEN 'title is too long' WHEN 2 THEN 'body is too long' WHEN 3 THEN 'kind is unknown' END AS reason FROM fx_memory")
-def _(fx):
-    k = F.col("id") % 5
-    own = fx.memory.select("id", F.when(k == 0, "  ").when(k == 1, F.repeat(F.lit("t"), F.lit(513))).otherwise("T").alias("title"), F.when(k == 2, F.repeat(F.lit("b"), F.lit(64_001))).otherwise("b").alias("body"), F.when(k == 3, "other").otherwise("fact").alias("kind"))
-    return own.select("id", M.invalid_reason().alias("reason"))
-
-
-@query("M04_claims", "SELECT id, CASE WHEN id % 5 = 0 THEN 'superseded' WHEN id % 5 = 1 THEN 'rejected' WHEN id % 5 = 2 THEN 'confirmed' WHEN id % 5 = 3 THEN 'decision' ELSE 'observation' END AS state FROM fx_memory")
-def _(fx):
-    k = F.col("id") % 5
-    own = fx.memory.select("id", F.when(k == 0, 1).alias("superseded_by"), F.when(k == 1, "rejected").when(k.isin(0, 2), "confirmed").otherwise("candidate").alias("status"), F.when(k == 3, '{"claim_type": "decision"}').alias("metadata"))
-    return own.select("id", M.claim_state().alias("state"))
-
-
 @query("M05_ratings", "SELECT memory_id, rater, CASE WHEN rater = 1 THEN 5 ELSE score END AS score FROM fx_feedback")
 def _(fx):
     log = fx.feedback.withColumn("created", F.lit(1)).unionByName(fx.feedback.filter("rater = 1").withColumns({"score": F.lit(5), "created": F.lit(2)})).unionByName(fx.feedback.filter("rater = 0").withColumns({"score": F.lit(1), "created": F.lit(0)}))
@@ -264,20 +222,6 @@ def _(fx):
     return G.home(fx.sessions)
 
 
-@query("I07_due_jobs", """SELECT id AS job, CASE conv_id % 7 WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE 0 END AS failures FROM fx_sessions WHERE conv_id % 7 IN (0, 2, 4)""")
-def _(fx):
-    # never run; stamp seen; another stamp seen long ago; seen just now; two failures long ago; three failures too lately; run too often today
-    k = F.col("conv_id") % 7
-    jobs = fx.sessions.select(F.col("id").alias("job"), F.lit(10).alias("backoff_minutes"), F.lit(4).alias("daily_cap"))
-    run = lambda when, at, stamp, ok: fx.sessions.filter(when).select(F.col("id").alias("job"), F.lit(at).cast("timestamp_ntz").alias("at"), F.lit(stamp).alias("stamp"), F.lit(ok).alias("ok"))
-    log = run(k == 1, "2026-01-01 08:00:00", "s2", True).unionAll(run(k == 2, "2026-01-01 08:00:00", "s1", True)).unionAll(run(k == 3, "2026-01-01 11:55:00", "s1", True))
-    for n, minute in enumerate(("10", "20", "30")):
-        log = log.unionAll(run((k == 5) | ((k == 4) & F.lit(n < 2)), f"2026-01-01 {'10' if n < 2 else '11'}:{minute}:00", "s2", False))
-    for hour in ("00", "01", "02", "03"):
-        log = log.unionAll(run(k == 6, f"2026-01-01 {hour}:00:00", "s1", True))
-    return I.due(jobs, log, "s2", "2026-01-01 12:00:00").select("job", F.col("failures").cast("int").alias("failures"))
-
-
 @query("M12_repaired_places", "SELECT session_id || '/' || seq AS link_id, seq + 1000 AS was, (SELECT min(m.seq) FROM fx_messages m WHERE m.session_id = x.session_id AND m.content = x.content) AS seq FROM fx_messages x WHERE seq % 2 = 1")
 def _(fx):
     seq = F.col("seq")

@@ -180,13 +180,39 @@ def skipped(spark: SparkSession, path: str, fmt: Format) -> DataFrame:
     return own.groupBy("file").agg(F.count_if(F.col("json").isNull()).alias("malformed"), F.count_if(F.col("json").isNotNull() & ~F.coalesce(kind.isin(*fmt.roles), F.lit(False))).alias("unknown"))
 
 
-def active_branch(own: DataFrame) -> DataFrame:
+def active_branch(own: DataFrame, tips: DataFrame | None = None) -> DataFrame:
     """Messages on the way from the last message of a file to its root by parent ids; of equal native ids the last counts.
 
-    The walk is over one file's records, which are one row.
+    By doubling: in each round every record knows those up to twice as far above it, and what the tip reaches by then is on
+    the branch, for all files at once. A chain of n records takes as many rounds as n has bits; a ring of parents ends when
+    nothing new is reached. tips (file, native_id): where branches end, in place of each file's last message. Rounds are cut
+    by checkpoints where the session has a folder for them.
     """
     last = own.withColumn("n", F.row_number().over(Window.partitionBy("file", "native_id").orderBy(F.desc("seq")))).filter("n = 1").drop("n")
-    tree = last.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("native_id", "parent_id"))).alias("parents"), F.max_by("native_id", "seq").alias("tip"), F.count("*").alias("size"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.col("size")), F.array(F.col("tip")), lambda path, _: F.when(F.element_at("parents", F.element_at(path, -1)).isNull() | F.element_at(path, -1).isNull(), path).otherwise(F.concat(path, F.array(F.element_at("parents", F.element_at(path, -1))))))
-    on = tree.select("file", F.explode(F.array_distinct(walk)).alias("native_id"))
+    spark, reliable = own.sparkSession, bool(own.sparkSession.sparkContext.getCheckpointDir())
+    cut = lambda df: df.checkpoint() if reliable else df.persist()
+    known = last.select("file", "native_id", "parent_id")
+    ends = known.join(last.groupBy("file").agg(F.max_by("native_id", "seq").alias("native_id")) if tips is None else tips, ["file", "native_id"], "left_semi")
+    # links lead 2 ** k steps up; the parents of records that aren't there lead nowhere
+    links = cut(known.join(known.select("file", F.col("native_id").alias("parent_id")), ["file", "parent_id"], "left_semi").select("file", "native_id", F.col("parent_id").alias("up")))
+    on, size = cut(ends.select("file", "native_id")), -1
+    while (n := on.count()) > size:
+        size = n
+        above = on.join(links, ["file", "native_id"]).select("file", F.col("up").alias("native_id"))
+        on = cut(on.union(above).distinct())
+        links = cut(links.join(links.select("file", F.col("native_id").alias("up"), F.col("up").alias("further")), ["file", "up"]).select("file", "native_id", F.col("further").alias("up")))
     return last.join(on, ["file", "native_id"], "left_semi")
+
+
+def context_edits(spark: SparkSession, path: str, fmt: Format) -> DataFrame:
+    """(file, native_id, replacement) of records that edit another record of their file; a null replacement takes it out of the context. The last edit counts."""
+    rows = lines(spark, path, fmt.glob).filter(F.get_json_object("value", "$.type") == "context_edit")
+    rows = rows.select("file", "line", F.coalesce(F.get_json_object("value", "$.targetId"), F.get_json_object("value", "$.target")).alias("native_id"), F.get_json_object("value", "$.replacement").alias("replacement"))
+    return rows.groupBy("file", "native_id").agg(F.max_by("replacement", "line").alias("replacement"))
+
+
+def edited(own: DataFrame, edits: DataFrame) -> DataFrame:
+    """Messages with their edits: content replaced, or kept and active = false where the replacement is null."""
+    out = own.join(edits.withColumn("_edited", F.lit(True)), ["file", "native_id"], "left")
+    out = out.withColumn("active", F.col("_edited").isNull() | F.col("replacement").isNotNull())
+    return out.withColumn("content", F.coalesce("replacement", "content")).drop("_edited", "replacement")

@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from heddle.plans import kept_queries, rule_queries, session_queries, source_queries, text_queries  # noqa: F401
+from heddle.plans import kept_queries, restated_queries, rule_queries, session_queries, source_queries, text_queries  # noqa: F401
 from heddle.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
