@@ -196,7 +196,7 @@ def _(fx):
 
 
 @query("T22_paths", r"""+ p AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS f FROM pages)
-  SELECT page_id, regexp_extract(f, '([^/]*)/*$', 1) AS name, f = 'blog' OR starts_with(f, 'blog.') AND split_part(f, '/', 2) = 'en' AS below, CASE lower(regexp_extract(f, '\.([A-Za-z0-9]+)$', 1)) WHEN 'json' THEN 'application/json' WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' ELSE 'application/octet-stream' END AS media FROM p""")
+  SELECT page_id, regexp_extract(f, '([^/]*)/*$', 1) AS name, f = 'blog' OR starts_with(f, 'blog.') AND split_part(f, '/', 2) = 'en' AS below, CASE lower(regexp_extract(f, '\.([A-Za-z0-9]+)$', 1)) WHEN 'json' THEN 'application/json' WHEN 'html' THEN 'text/html' WHEN 'htm' THEN 'text/html' WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' ELSE 'application/octet-stream' END AS media FROM p""")
 def _(fx):
     path = F.regexp_extract("url", r"^https?://([^?#]*)", 1)
     folder = F.concat(F.split(path, "/")[0], F.lit("/en/"))
