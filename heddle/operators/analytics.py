@@ -88,6 +88,53 @@ def uncited(summaries: DataFrame, messages: DataFrame) -> DataFrame:
     return wrong.groupBy("id").agg(F.array_sort(F.collect_set("seq")).alias("wrong"))
 
 
+#: Share of a context's budget that recent sessions may take, and tokens kept for the line that tells what was cut.
+RECENT_SHARE, FOOTER = 4, 16
+RECENT_HEADER = "Recently in this project:"
+
+
+def _fitting(rows: DataFrame, cost: Column, budget: Column) -> DataFrame:
+    """The first rows (by place) whose costs together stay within the budget; the first that doesn't fit ends it. Rows are a page: one task."""
+    w = Window.partitionBy(F.lit(1)).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("spent", F.sum(cost).over(w)).withColumn("fits", F.col("spent") <= budget)
+    return own.withColumn("fits", F.min("fits").over(w)).filter("fits").drop("fits")
+
+
+def context(entries: DataFrame, recent: DataFrame, budget: int) -> DataFrame:
+    """One row (text, json, entries, cut, recents): ranked entries (place, id, kind, title, body) and recent sessions (place, date, tool, title, summary) under one budget of tokens.
+
+    Recents get a quarter at most, newest first. What they leave goes to the entries, of which the best fit, less a reserve
+    for the line that tells how many were cut, where any are. What doesn't fit is left out whole. Both are pages: bounded by
+    the limits with which the caller selects them.
+    """
+    cost = lambda c: F.length(c) + 1  # noqa: E731 - characters with the line end
+    about = F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(": "), "summary")).otherwise("")
+    named = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit(' "'), "title", F.lit('"'))).otherwise("")
+    told = recent.withColumn("line", F.concat(F.lit("- "), "date", F.lit(" "), "tool", named, about))
+    told = _fitting(told, cost(F.col("line")), F.lit(4 * (budget // RECENT_SHARE) - len(RECENT_HEADER)))
+    kept = told.agg(F.array_sort(F.collect_list(F.struct("place", "line", "date", "tool", "title"))).alias("recents"))
+    spent = F.aggregate("recents", F.lit(0), lambda s, r: s + F.length(r["line"]) + 1) + F.when(F.size("recents") > 0, len(RECENT_HEADER) + 1).otherwise(0)
+    left = kept.select("recents", (F.lit(4 * budget) - spent).alias("left"))
+    line = F.concat(F.lit("- ["), "kind", F.lit("] "), "title", F.lit(": "), C.first_sentence(F.col("body")))
+    own = entries.withColumn("line", line).crossJoin(F.broadcast(left))  # left is one row
+    whole = own.agg(F.sum(cost(F.col("line"))).alias("whole"), F.count("*").alias("n"))
+    own = own.crossJoin(F.broadcast(whole))  # one row
+    room = F.col("left") - F.when(F.col("whole") > F.col("left"), 4 * FOOTER).otherwise(0)
+    own = _fitting(own, cost(F.col("line")), room)
+    best = own.agg(F.array_sort(F.collect_list(F.struct("place", "line", "id", "kind", "title"))).alias("entries"))
+    out = left.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(whole))  # one row each
+    cut = F.col("n") - F.size("entries")
+    foot = F.when(cut > 0, F.array(F.concat(F.lit("… and "), cut.cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    lines = lambda c: F.transform(c, lambda x: x["line"])
+    first = F.array_join(F.concat(lines("entries"), foot), "\n")
+    second = F.when(F.size("recents") > 0, F.concat(F.lit(RECENT_HEADER + "\n"), F.array_join(lines("recents"), "\n"))).otherwise("")
+    text = F.array_join(F.filter(F.array(first, second), lambda x: x != ""), "\n\n")
+    listed = F.transform("entries", lambda e: F.struct(e["id"].alias("id"), e["kind"].alias("kind"), e["title"].alias("title")))
+    recents = F.transform("recents", lambda r: F.struct(r["date"].alias("date"), r["tool"].alias("tool"), r["title"].alias("title")))
+    body = F.to_json(F.struct(listed.alias("entries"), cut.alias("cut"), recents.alias("recent_sessions")))
+    return out.select(text.alias("text"), body.alias("json"), F.size("entries").alias("entries"), cut.alias("cut"), F.size("recents").alias("recents"))
+
+
 def context_text(entries: DataFrame, budget: int) -> DataFrame:
     """Ranked entries (place, kind, title, body) as one text within a token budget."""
     line = F.concat(F.lit("- ["), "kind", F.lit("] "), "title", F.lit(": "), C.first_sentence(F.col("body")))

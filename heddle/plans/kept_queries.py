@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heddle.api import Archive
+from heddle.operators import analytics as P
 from heddle.operators import memory as M
 from heddle.operators import search as X
 from heddle.operators import similarity
@@ -173,6 +175,27 @@ def _(fx):
     return M.promoted(candidates, candidates.limit(0), 3, 20, M.similar_known(fresh, own.filter("status = 'confirmed'"), 0.3))
 
 
+# --- context under a budget
+
+
+@query("P09_context_budgets", """+ b AS (SELECT unnest([60, 200, 1000]) AS budget), r AS (SELECT row_number() OVER (ORDER BY updated DESC, id) AS place, '- ' || strftime(updated, '%Y-%m-%d') || ' ' || tool || ' "' || title || '"' AS line FROM fx_sessions WHERE project = '/work/p3' ORDER BY updated DESC, id LIMIT 5),
+  rs AS (SELECT *, sum(length(line) + 1) OVER (ORDER BY place) AS spent FROM r), rk AS (SELECT budget, count(place) AS n, coalesce(sum(length(line) + 1), 0) + CASE WHEN count(place) > 0 THEN 26 ELSE 0 END AS used FROM b LEFT JOIN rs ON spent <= 4 * (budget // 4) - 25 GROUP BY 1),
+  e AS (SELECT row_number() OVER (ORDER BY updated DESC, id DESC) AS place, '- [' || kind || '] Entry ' || id || ': Short text ' || id || '.' AS line FROM fx_memory WHERE superseded_by IS NULL AND status = 'confirmed' AND scope_project = 'src4' ORDER BY updated DESC, id DESC LIMIT 40),
+  es AS (SELECT *, sum(length(line) + 1) OVER (ORDER BY place) AS spent, sum(length(line) + 1) OVER () AS whole, count(*) OVER () AS m FROM e), ek AS (SELECT budget, any_value(rk.n) AS recents, count(*) FILTER (spent <= 4 * budget - used - CASE WHEN whole > 4 * budget - used THEN 64 ELSE 0 END) AS entries, any_value(m) AS m FROM rk, es GROUP BY 1)
+  SELECT budget, CAST(entries AS INTEGER) AS entries, m - entries AS cut, CAST(recents AS INTEGER) AS recents FROM ek""")
+def _(fx):
+    place = lambda *by: F.row_number().over(Window.orderBy(*by))  # noqa: E731 - numbers a page
+    recent = fx.sessions.filter("project = '/work/p3'").orderBy(F.desc("updated"), "id").limit(5)
+    recent = recent.select(place(F.desc("updated"), "id").alias("place"), F.date_format("updated", "yyyy-MM-dd").alias("date"), "tool", "title", F.lit(None).cast("string").alias("summary"))
+    own = M.listing(M.active(fx.memory, project="src4"), 40)
+    own = own.select(place(F.desc("updated"), F.desc("id")).alias("place"), "id", "kind", F.concat(F.lit("Entry "), F.col("id").cast("string")).alias("title"), F.concat(F.lit("Short text "), F.col("id").cast("string"), F.lit(". More.")).alias("body"))
+    out = None
+    for budget in (60, 200, 1000):
+        row = P.context(own, recent, budget).select(F.lit(budget).alias("budget"), "entries", "cut", "recents")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 # --- streams
 
 _GAPS = """+ e AS (SELECT session_id, event_id, name, ts, duration_ms, CASE WHEN ts < lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM fx_tool_events),

@@ -132,6 +132,35 @@ def _(fx):
     return shown(J.messages(fx.spark, written(fx, put), J.FORMATS["codex"]))
 
 
+@query("S02_J19_codex_calls", f"""SELECT session_id, seq * 3 + 2 AS seq, 'k' || seq AS id, CASE WHEN seq % 2 = 0 THEN 'shell' ELSE 'apply_patch' END AS tool, CASE WHEN seq % 2 = 0 THEN '{{"command":"' || role || '"}}' ELSE left(content, 30) END AS input, content AS output FROM ({_OWN}) WHERE role = 'assistant'""")
+def _(fx):
+    def put(folder, c, rows):
+        records = [{"type": "session_meta", "timestamp": _time(0), "payload": {"id": f"c{c}", "cwd": "/w"}}]
+        for n, r, t in rows:
+            item = lambda payload, n=n: {"type": "response_item", "timestamp": _time(n), "payload": payload}
+            records += [{"broken": True}] * (n * 3 + 1 - len(records))
+            records.append(item({"type": "message", "role": r, "content": [{"type": "text", "text": t}]}))
+            if r == "assistant":
+                own = {"type": "function_call", "name": "shell", "arguments": json.dumps({"command": r}, separators=(",", ":"))} if n % 2 == 0 else {"type": "custom_tool_call", "name": "apply_patch", "input": t[:30]}
+                records.append(item(own | {"call_id": f"k{n}"}))
+                records.append(item({"type": "function_call_output" if n % 2 == 0 else "custom_tool_call_output", "call_id": f"k{n}", "output": t}))
+        save_lines(f"{folder}/2026/rollout-{c}.jsonl", records)
+
+    own = J.messages(fx.spark, written(fx, put), J.FORMATS["codex"])
+    return J.tool_calls(own).select("session_id", "seq", "id", "tool", "input", "output")
+
+
+@query("S02_codex_titles", f"""+ t AS (SELECT DISTINCT conv_id, session_id FROM ({_OWN})) SELECT session_id AS id, CASE WHEN conv_id % 3 = 0 THEN 'Thread ' || conv_id WHEN conv_id % 3 = 1 THEN 'First ' || conv_id END AS title FROM t WHERE conv_id % 3 < 2""")
+def _(fx):
+    folder = written(fx, lambda folder, c, rows: save_lines(f"{folder}/sessions/rollout-{c}.jsonl", [{"type": "session_meta", "payload": {"id": f"c{c}"}}, *({"type": "response_item", "timestamp": _time(n), "payload": {"type": "message", "role": r, "content": [{"text": t, "type": "text"}]}} for n, r, t in rows)]))
+    ids = [r[0] for r in fx.table("conversations").select("conv_id").distinct().collect()]  # the store of one tool, written as it writes it
+    threads = [(f"c{c}" if c % 2 else "other", f"/home/u/.codex/sessions/rollout-{c}.jsonl", f"Thread {c}" if c % 3 == 0 else "  ", f"First {c}") for c in ids if c % 3 < 2]
+    save_db(f"{folder}/state_5.sqlite", "CREATE TABLE threads (id TEXT, rollout_path TEXT, title TEXT, first_user_message TEXT)", threads=threads)
+    own = J.sessions(fx.spark, f"{folder}/sessions", J.FORMATS["codex"])
+    titles = S.codex_titles(fx.spark, folder).filter("key <> 'other'")
+    return J.titled(own, titles).select("id", "title").filter(F.substring("id", 2, 20).try_cast("long") % 3 < 2)
+
+
 @query("S11_antigravity", f"SELECT session_id, seq, role, content FROM ({_OWN})")
 def _(fx):
     kinds = {"user": "USER_INPUT", "assistant": "PLANNER_RESPONSE", "system": "CHECKPOINT"}
@@ -185,6 +214,22 @@ def _(fx):
 # --- JSON trees and logs
 
 
+@query("S06_vscode_log", f"""+ m AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM ({_OWN})), a AS (SELECT session_id, g, string_agg(content, chr(10) ORDER BY seq) AS content FROM m WHERE role = 'assistant' GROUP BY 1, 2)
+  SELECT session_id, CAST(2 * g AS INTEGER) AS seq, role, trim(content) AS content FROM m WHERE role = 'user' UNION ALL SELECT session_id, CAST(2 * g + 1 AS INTEGER), 'assistant', content FROM a""")
+def _(fx):
+    def put(folder, c, rows):
+        records = [{"kind": 0, "v": {"sessionId": f"c{c}", "creationDate": 1}}, "{broken"]
+        for n, r, t in rows:
+            if r == "user":
+                records += [{"kind": 2, "v": [{"requestId": f"r{n}", "message": {"text": t}, "timestamp": 1000 * n}]}, {"kind": 1, "v": "state"}]
+            elif r == "assistant":
+                head, _, tail = t.partition("\n")  # an answer in pieces, over two records
+                records += [{"kind": 2, "v": [{"kind": "thinking", "value": "hm"}, {"value": head}]}, {"kind": 2, "v": [{"value": tail}] if tail else []}]
+        save_lines(f"{folder}/x/chatSessions/{c}.jsonl", records)
+
+    return shown(S.vscode_log(fx.spark, written(fx, put)))
+
+
 @query("S06_vscode", f"""+ m AS (SELECT *, row_number() OVER (PARTITION BY session_id, role ORDER BY seq) - 1 AS k FROM ({_OWN})), p AS (SELECT u.session_id, u.k, u.content AS q, a.content AS t FROM m u JOIN m a ON a.session_id = u.session_id AND a.k = u.k AND a.role = 'assistant' WHERE u.role = 'user')
   SELECT session_id, CAST(2 * k AS INTEGER) AS seq, 'user' AS role, q AS content FROM p UNION ALL SELECT session_id, CAST(2 * k + 1 AS INTEGER), 'assistant', t || chr(10) || 'and more' FROM p""")
 def _(fx):

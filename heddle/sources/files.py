@@ -196,6 +196,54 @@ def cline(spark: SparkSession, path: str) -> DataFrame:
     return flattened(own.filter(F.col("raw").isNotNull()), "raw", blocks.ANTHROPIC)
 
 
+def codex_titles(spark: SparkSession, path: str) -> DataFrame:
+    """(key, title) of the thread tables below path: by thread id and by the rollout's file name; a blank title gives way to the first message."""
+    rows = queried(spark, path, "state_5.sqlite", "SELECT id, rollout_path, substr(title, 1, 200), substr(first_user_message, 1, 200) FROM threads", ["id", "rollout", "title", "first"])
+    text = F.coalesce(*(F.when(F.col(c).rlike(r"\S"), F.trim(c)) for c in ("title", "first")))
+    keys = F.array("id", F.regexp_extract("rollout", r"([^/]+)$", 1))
+    return rows.filter("problem is null").select(F.explode(keys).alias("key"), text.alias("title")).filter("key <> '' and title is not null")
+
+
+def vscode_log(spark: SparkSession, path: str) -> DataFrame:
+    """Chat logs of one record a line: a header (kind 0), and lists (kind 2) of requests and of pieces of answers, which belong to the request before them.
+
+    Pieces without a kind are text; what a record of kind 1 says of the editor's state isn't part of the chat.
+    """
+    rows = lines(spark, path, "*.jsonl").withColumn("kind", F.get_json_object("value", "$.kind"))
+    named = F.coalesce(F.first(F.when(F.col("kind") == "0", F.get_json_object("value", "$.v.sessionId")), True).over(Window.partitionBy("file")), F.regexp_extract("file", r"([^/]+?)(\.jsonl)?$", 1))
+    own = rows.withColumn("session_id", named).filter("kind = '2'")
+    own = own.select("file", "session_id", "line", F.posexplode(blocks.items(F.get_json_object("value", "$.v"))).alias("n", "p"))
+    part = lambda name: F.get_json_object("p", f"$.{name}")
+    asks = part("requestId").isNotNull() & part("message").isNotNull()
+    w = Window.partitionBy("file").orderBy("line", "n")
+    own = own.withColumn("asks", asks).withColumn("g", F.sum(F.col("asks").cast("int")).over(w)).withColumn("timestamp", F.last(F.when(F.col("asks"), part("timestamp")), True).over(w))
+    asked = own.filter("asks").select("file", "session_id", (F.col("g") * 2).alias("seq"), F.lit("user").alias("role"), F.trim(part("message.text")).alias("content"), "timestamp")
+    text = F.when(~F.col("asks") & part("kind").isNull(), part("value"))
+    told = own.withColumn("text", text).filter("text <> ''").groupBy("file", "session_id", "g").agg(F.sort_array(F.collect_list(F.struct("line", "n", "text"))).alias("parts"), F.first("timestamp").alias("timestamp"))
+    joined = F.regexp_replace(F.array_join(F.transform("parts", lambda x: x["text"]), "\n"), r"^\s+|\s+$", "")
+    told = told.select("file", "session_id", (F.col("g") * 2 + 1).alias("seq"), F.lit("assistant").alias("role"), joined.alias("content"), "timestamp")
+    return asked.unionByName(told).filter("content <> ''")
+
+
+# Where tools keep their transcripts below a home folder, and under which names.
+HOMES = {
+    "claude-code": (".claude/projects", "*.jsonl"), "codex": (".codex/sessions", "*.jsonl*"), "gemini-cli": (".gemini/tmp", "session-*.json*"), "copilot-cli": (".copilot/session-state", "*.jsonl"), "qwen": (".qwen/projects", "*.jsonl"),
+    "factory-droid": (".factory/sessions", "*.jsonl"), "command-code": (".commandcode/projects", "[!.]*.jsonl"), "pi": (".pi/agent/sessions", "*.jsonl"), "cursor-agent": (".cursor/projects", "*.jsonl"), "vscode-copilot": (".config/Code/User/workspaceStorage", "*.json*"), "antigravity": (".gemini/antigravity/brain", "transcript*.jsonl"),
+    "goose": (".local/share/goose/sessions", "sessions.db"), "hermes": (".hermes", "state.db"), "opencode": (".local/share/opencode", "opencode.db"), "zed": (".local/share/zed/threads", "threads.db"), "cursor": (".config/Cursor/User/globalStorage", "state.vscdb"),
+}
+
+
+def discovered(spark: SparkSession, homes: list[str], tools: list[str] | None = None) -> DataFrame:
+    """(tool, path, mtime) of the transcripts below home folders, of all tools or of these; a tool whose folder isn't there has none, and nothing is read."""
+    out = spark.createDataFrame([], "tool string, path string, mtime bigint")
+    for home in homes:
+        for tool, (folder, glob) in HOMES.items():
+            root = spark._jvm.org.apache.hadoop.fs.Path(f"{home.rstrip('/')}/{folder}")
+            if (tools is None or tool in tools) and root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+                out = out.unionByName(listed(spark, f"{home.rstrip('/')}/{folder}", glob).select(F.lit(tool).alias("tool"), "path", "mtime"))
+    return out
+
+
 def vscode(spark: SparkSession, path: str) -> DataFrame:
     """Each request is a prompt and its answer, of which all parts count."""
     own = files(spark, path, "*.json").select("file", F.regexp_extract("file", r"([^/]+?)(\.json)?$", 1).alias("session_id"), F.posexplode(blocks.items(F.get_json_object("value", "$.requests"))).alias("n", "r"))

@@ -35,6 +35,8 @@ class Format:
     tokens: dict[str, str] = field(default_factory=lambda: {"input_tokens": "$.message.usage.input_tokens", "output_tokens": "$.message.usage.output_tokens"})
     native_id: tuple[str, ...] = ("$.uuid", "$.id")
     parent: tuple[str, ...] = ("$.parentUuid", "$.parentId")
+    call_types: tuple[str, ...] = ()  # kinds of records ($.payload.type) that are calls of a tool, and that are results of one
+    result_types: tuple[str, ...] = ()
     parser_version: int = 1
     by_folder: bool = False  # a session is a folder rather than a file
 
@@ -46,7 +48,7 @@ FORMATS = {
     "qwen": Format("qwen", "*.jsonl", content=("$.message.parts", "$.message.content"), titles=(("custom_title", "$.systemPayload.customTitle"),), tokens={"total": "$.usageMetadata.totalTokenCount"}),
     "factory-droid": Format("factory-droid", "*.jsonl", kind="$.message.role", session=("$.session_id", "$.sessionId"), titles=(("session_start", "$.title"),)),
     "command-code": Format("command-code", "*.jsonl", kind="$.message.role", tokens={"total": "$.message.usage.total"}, parser_version=1),
-    "codex": Format("codex", "*.jsonl*", kind="$.payload.role", content=("$.payload.content",), session=("$.payload.id",), model=("$.payload.model",), project=("$.payload.cwd",), tokens={"session_total": "$.payload.info.total_token_usage.total_tokens"}),
+    "codex": Format("codex", "*.jsonl*", kind="$.payload.role", content=("$.payload.content",), session=("$.payload.id",), model=("$.payload.model",), project=("$.payload.cwd",), tokens={"session_total": "$.payload.info.total_token_usage.total_tokens"}, call_types=("function_call", "custom_tool_call"), result_types=("function_call_output", "custom_tool_call_output"), parser_version=2),
     "antigravity": Format("antigravity", "transcript*.jsonl", roles={"USER_INPUT": "user", "PLANNER_RESPONSE": "assistant", "SYSTEM_MESSAGE": "system"}, content=("$.content",), time=("$.created_at",), native_id=("$.step_index",), parser_version=2, by_folder=True),
     "cursor-agent": Format("cursor-agent", "*.jsonl", kind="$.role", content=("$.message.content", "$.content")),
     "pi": Format("pi", "*.jsonl", kind="$.message.role", content=("$.message.content",), native_id=("$.id",), parent=("$.parentId",), tokens={"total": "$.message.usage.totalTokens"}),
@@ -106,6 +108,20 @@ def messages(spark: SparkSession, path: str, fmt: Format) -> DataFrame:
     return messages_of(files(spark, path, fmt.glob), fmt)
 
 
+def _with_call_records(rows: DataFrame, fmt: Format) -> DataFrame:
+    """Rows whose records are calls or results as messages of one block: of the assistant, or of a tool."""
+    if not fmt.call_types:
+        return rows
+    field = lambda *names: F.coalesce(*(F.get_json_object("value", f"$.payload.{n}") for n in names))
+    kind = field("type")
+    call = F.to_json(F.array(F.struct(F.lit("tool_use").alias("type"), field("call_id", "id").alias("id"), field("name").alias("name"), field("arguments", "input").alias("input"))))
+    result = F.to_json(F.array(F.struct(F.lit("tool_result").alias("type"), field("call_id", "id").alias("tool_use_id"), field("output").alias("content"))))
+    is_call, is_result = F.coalesce(kind.isin(*fmt.call_types), F.lit(False)), F.coalesce(kind.isin(*fmt.result_types), F.lit(False))
+    raw = F.when(is_call, call).when(is_result, result).otherwise(F.col("raw"))
+    first = next(k for k, role in fmt.roles.items() if role == "assistant")
+    return rows.withColumns({"raw": raw, "kind_": F.when(is_call, first).when(is_result, "tool").otherwise(F.col("kind_"))})
+
+
 def messages_of(own: DataFrame, fmt: Format) -> DataFrame:
     """The messages of files (file, modified, value)."""
     value = F.col("value")
@@ -113,7 +129,8 @@ def messages_of(own: DataFrame, fmt: Format) -> DataFrame:
     stem = F.regexp_extract("file", r"([^/]+)/[^/]+$" if fmt.by_folder else r"([^/]+?)(\.jsonl?(\.\w+)?)?$", 1)
     named = F.first("sid", True).over(Window.partitionBy("file"))
     rows = rows.withColumn("session_id", F.when(subagent(), F.concat_ws(":", named, stem)).otherwise(F.coalesce(named, stem)))
-    rows = rows.filter(F.col("kind_").isin(*fmt.roles) & F.col("raw").isNotNull())
+    rows = _with_call_records(rows, fmt)
+    rows = rows.filter(F.col("kind_").isin(*fmt.roles, "tool") & F.col("raw").isNotNull())
     blocks = F.when(F.col("raw").startswith("["), F.from_json("raw", _BLOCKS))
     calls = F.transform(F.filter("blocks", lambda b: b["type"].isin("tool_use", "toolCall")), lambda b: F.struct(b["id"].alias("id"), b["name"].alias("tool"), F.coalesce(b["input"], b["arguments"]).alias("input")))
     results = F.transform(F.filter("blocks", lambda b: b["type"].isin("tool_result", "toolResult")), lambda b: F.struct(F.coalesce(b["tool_use_id"], b["toolCallId"]).alias("id"), F.coalesce(b["content"], b["output"]).alias("output"), F.coalesce(b["is_error"], F.lit(False)).alias("is_error")))
@@ -144,6 +161,14 @@ def sessions(spark: SparkSession, path: str, fmt: Format) -> DataFrame:
     return sessions_of(files(spark, path, fmt.glob), fmt).drop("modified")
 
 
+def titled(sessions: DataFrame, titles: DataFrame) -> DataFrame:
+    """Sessions with the titles (key, title) that a side table keeps for their ids or the names of their files; the id's goes first."""
+    own = titles.groupBy("key").agg(F.min("title").alias("title"))
+    by = lambda name, key: own.select(F.col("key").alias(key), F.col("title").alias(name))
+    out = sessions.withColumn("_file", F.regexp_extract("source_path", r"([^/]+)$", 1)).join(by("_by_id", "id"), "id", "left").join(by("_by_file", "_file"), "_file", "left")
+    return out.withColumn("title", F.coalesce("_by_id", "_by_file", "title")).select(sessions.columns)
+
+
 def with_calls(own: DataFrame) -> DataFrame:
     """Messages with tool_calls in the canonical form, results attached."""
     calls = tool_calls(own).withColumn("call", F.struct("id", "tool", "input", "output", F.when(F.col("is_error"), "error").otherwise("completed").alias("status"), F.lit(False).alias("truncated"), "is_error", F.lit(None).cast("double").alias("duration_ms"), F.lit(None).cast("map<string,string>").alias("extra")))

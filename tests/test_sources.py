@@ -81,3 +81,14 @@ def test_messagepack(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(data)
     rows = sorted((r.n, r.record) for r in S.messagepack(spark, str(tmp_path)).collect())
     assert rows[0] == (0, '{"a": [1, -1, 1.5], "b": null}') and rows[3] == (3, '"0102"')
+
+
+def test_transcripts_below_a_home_are_found(spark, tmp_path):
+    from heddle.sources import files as S
+
+    for name in (".claude/projects/p/a.jsonl", ".claude/projects/p/note.txt", ".codex/sessions/2026/01/rollout-x.jsonl", ".config/Cursor/User/globalStorage/state.vscdb", "other/b.jsonl"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    found = {(r.tool, r.path.rsplit("/", 1)[1]) for r in S.discovered(spark, [str(tmp_path)]).collect()}
+    assert found == {("claude-code", "a.jsonl"), ("codex", "rollout-x.jsonl"), ("cursor", "state.vscdb")}
+    assert [r.tool for r in S.discovered(spark, [str(tmp_path), str(tmp_path / "none")], ["codex"]).collect()] == ["codex"]
