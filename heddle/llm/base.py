@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, IntegralType, StructType
 
 #: Text bytes that one vectorised step works on; a single longer text makes a longer step.
 SLAB_BYTES = 2_000_000
@@ -63,6 +65,17 @@ def free_names(taken: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def arrow_type(id_type: str | DataType) -> pa.DataType:
+    """The Arrow type of an id column of any type, given as it is or by its name."""
+    return to_arrow_type(StructType.fromDDL(f"x {id_type}")["x"].dataType if isinstance(id_type, str) else id_type)
+
+
+def whole_ids(docs: DataFrame, id_col: str) -> None:
+    """ValueError unless the ids are whole numbers."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} has to hold whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
+
+
 def powers(n: int, base: int = _ODD) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     out = np.full(max(n, 1), np.uint64(base | 1), np.uint64)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.base import parts
+from heddle.llm.base import arrow_type, parts
 
 #: Words that a task's memory of encodings holds, and the longest word that goes there.
 MEMO_WORDS, MEMO_LENGTH = 300_000, 48
@@ -240,11 +240,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """One row for each row of docs: doc_id, n_tokens, with digests ids_sha256 and decoded_sha256, with full ids, with decoded (by default as full) the decoded text.
 
     path: the tokenizer file, on every executor. A null text counts as empty: no tokens. Repeated documents are
-    separate rows; other columns are ignored; texts are encoded whole, and nothing is shuffled.
+    separate rows; ids may have any type; other columns are ignored; texts are encoded whole, and nothing is shuffled.
     """
     decoded = full if decoded is None else decoded
     id_type = docs.schema[id_col].dataType.simpleString()
-    arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = ", ids_sha256 string, decoded_sha256 string" * digests + ", ids array<int>" * full + ", decoded string" * decoded
-    return rows.mapInArrow(_encode(path, arrow_id, full, digests, decoded), f"doc_id {id_type}, n_tokens long{own}")
+    return rows.mapInArrow(_encode(path, arrow_type(id_type), full, digests, decoded), f"doc_id {id_type}, n_tokens long{own}")

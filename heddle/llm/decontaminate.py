@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.base import free_names, grams, member, mixed, parts, slabs, words_of, written
+from heddle.llm.base import arrow_type, free_names, grams, member, mixed, parts, slabs, words_of, written
 
 #: Words of a window, words of a hashed gram, words of items that one broadcast holds, words of one piece of an item, ways that a
 #: hash is salted, pieces of items that a text meets at a time.
@@ -193,7 +193,7 @@ def _joined(rows: DataFrame, pieces: DataFrame, id_type: str) -> DataFrame:
     pieces = written(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     n = (F.octet_length("words") / 8).cast("int")
     short = sorted(r["n"] for r in pieces.filter(n < WINDOW).select(n.alias("n")).distinct().collect())  # WINDOW - 1 numbers at most
-    marked = written(rows.mapInArrow(_marked(short, _arrow(id_type)), f"row long, doc_id {id_type}, n_words long, marks array<long>"), "marks")
+    marked = written(rows.mapInArrow(_marked(short, arrow_type(id_type)), f"row long, doc_id {id_type}, n_words long, marks array<long>"), "marks")
     of_items = pieces.mapInArrow(_marked_pieces, "piece long, marks array<long>").select("piece", F.explode("marks").alias("mark"))
     of_items = of_items.select("piece", "mark", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     of_docs = marked.select("row", F.explode("marks").alias("mark")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
@@ -238,11 +238,7 @@ def _found(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col:
     if total > 8 * BLOCK_WORDS:
         return _joined(rows, pieces, id_type)
     index = spark.sparkContext.broadcast(_Index([(r["item"], bytes(r["words"])) for r in pieces.collect()]))  # BLOCK_WORDS words at most
-    return rows.mapInArrow(_scan(index, _arrow(id_type)), _FOUND.format(id=id_type))
-
-
-def _arrow(id_type: str) -> pa.DataType:
-    return pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
+    return rows.mapInArrow(_scan(index, arrow_type(id_type)), _FOUND.format(id=id_type))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -256,7 +252,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, starts array<int>, ends array<int>, items array<string>"
-    return _found(rows, benchmark, item_col, item_text_col).drop("row").mapInArrow(_summed(_arrow(id_type)), schema)
+    return _found(rows, benchmark, item_col, item_text_col).drop("row").mapInArrow(_summed(arrow_type(id_type)), schema)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

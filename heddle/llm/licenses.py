@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.base import grams, parts, slabs, words_of, written
+from heddle.llm.base import arrow_type, grams, parts, slabs, words_of, written
 
 #: Words of a gram; diagonals at most this far apart are merged; share of a template's words that a span must cover.
 K, MERGE, COVER = 3, 2, 0.8
@@ -168,10 +168,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"row long, doc_id {id_type}, n_words long, n_base long, first_word long, last_word long, base array<string>, gram array<long>"
-    scanned = rows.mapInArrow(_scan(arrow_id), schema)
+    scanned = rows.mapInArrow(_scan(arrow_type(id_type)), schema)
     # a first entry without a gram stands for the document itself, with its columns; the templates are a constant of this module, so broadcasting them is bounded
     own = F.struct("doc_id", "n_words", "n_base", "first_word", "last_word", "base")
     each = scanned.select("row", own.alias("own"), F.posexplode(F.concat(F.array(F.lit(None).cast("long")), "gram")).alias("at", "gram"))

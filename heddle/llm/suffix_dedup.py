@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.base import mixed, powers, written
+from heddle.llm.base import mixed, powers, whole_ids, written
 
 #: Bytes of a passage and of an anchor's K-gram (a power of two).
 LENGTH, K = 50, 16
@@ -367,11 +367,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts count as UTF-8 bytes; a byte goes if LENGTH bytes around it also start in a document with a smaller id, as
     the texts came in. A null text counts as empty. Rows with a null id are left whole and take nothing from others.
-    Rows with equal ids take nothing from each other. Other columns are ignored; an empty table gives no rows. Rows are
+    Rows with equal ids take nothing from each other. Ids are whole numbers, others are refused. Other columns are ignored; an empty table gives no rows. Rows are
     numbered once, in a written table: a scan that is planned again may be cut into other partitions and would number
     them otherwise.
     """
     spark = docs.sparkSession
+    whole_ids(docs, id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(rows.mapInArrow(_numbered, "row long, batch long, doc_id long, text string"), "docs")
     total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.base import new_path, written
+from heddle.llm.base import new_path, whole_ids, written
 
 #: Equal payloads of so many bytes or more become revisits; payload bytes of one archive; index rows of one range; payloads
 #: that hold this share of the pages or more are common (so there are at most as many of them as the share's inverse).
@@ -227,8 +227,9 @@ def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     One row for each row of pages: page_id, payload_bytes, payload_digest, record_type, refers_to, and the capture's
     place (run, urlkey, ts, offset, length, range_no, range_pos). A null html is an empty payload, a null url has an
     empty host; places are in the unzipped archive. Repeated rows with the smallest page_id of their payload are all responses. A null page_id counts as
-    larger than any other. Other columns are ignored; an empty table gives no rows.
+    larger than any other; ids are whole numbers, others are refused. Other columns are ignored; an empty table gives no rows.
     """
+    whole_ids(pages, id_col)
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     mean = pages.agg(F.avg(F.octet_length(html_col)).alias("mean")).first()["mean"] or 0

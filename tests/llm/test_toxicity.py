@@ -134,3 +134,65 @@ def test_an_id_with_many_rows_does_not_go_to_the_driver_whole(spark, monkeypatch
     T.fit(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL))
     (texts, kinds), = got
     assert sum(kinds) == 8 and len(kinds) == 8 + 3 and len(set(texts)) == len(texts)
+
+
+def plain_score(net, text):
+    """Score and first word of the worst window, word by word in plain Python."""
+    import math
+
+    from heddle.llm.base import words_of
+    from heddle.llm.toxicity import HIDDEN, STRIDE, WINDOW, word_inputs
+
+    p = {k: v.astype(float).tolist() for k, v in net.p.items() if k not in ("words", "chars")}
+    h, s, e = words_of(text or b"")
+    vectors = []
+    for i in range(len(h)):
+        one, two, grams, _ = word_inputs(text, s[i : i + 1], e[i : i + 1], h[i : i + 1])
+        chars = [net.p["chars"][g].astype(float) for g in grams.tolist()]
+        vectors.append([float(a) + float(b) + sum(float(c[k]) for c in chars) / len(chars) for k, (a, b) in enumerate(zip(net.p["words"][one[0]], net.p["words"][two[0]], strict=True))])
+    times = lambda v, m: [sum(v[i] * m[i][j] for i in range(len(v))) for j in range(len(m[0]))]
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(xs, d):
+        out, state = [], [0.0] * HIDDEN
+        for x in xs if d == "f" else xs[::-1]:
+            a, b = [y + z for y, z in zip(times(x, p["W" + d]), p["b" + d], strict=True)], times(state, p["U" + d])
+            z = [sig(a[k] + b[k]) for k in range(HIDDEN)]
+            r = [sig(a[k] + b[k]) for k in range(HIDDEN, 2 * HIDDEN)]
+            new = [math.tanh(a[2 * HIDDEN + k] + r[k] * b[2 * HIDDEN + k]) for k in range(HIDDEN)]
+            state = [new[k] + z[k] * (state[k] - new[k]) for k in range(HIDDEN)]
+            out.append(state)
+        return out if d == "f" else out[::-1]
+
+    def logit(xs):
+        if not xs:
+            return p["c"][0]
+        own = [f + b for f, b in zip(states(xs, "f"), states(xs, "b"), strict=True)]
+        told = [sum(v * math.tanh(x) for v, x in zip(p["v"], times(t, p["A"]), strict=True)) for t in own]
+        top = max(told)
+        weights = [math.exp(t - top) for t in told]
+        pooled = [sum(w * t[k] for w, t in zip(weights, own, strict=True)) / sum(weights) for k in range(2 * HIDDEN)]
+        return sum(a * b for a, b in zip(pooled, p["u"], strict=True)) + p["c"][0]
+
+    n = len(vectors)
+    starts = [0] if n <= WINDOW else sorted({*range(0, n - WINDOW, STRIDE), n - WINDOW})
+    found = [(logit(vectors[a : a + WINDOW]), a) for a in starts]
+    best = max(v for v, _ in found)
+    return sig(best), next(a for v, a in found if v == best), len(found)
+
+
+def test_scores_against_plain_python():
+    import numpy as np
+
+    from heddle.llm.toxicity import Network, scores
+
+    rng = np.random.default_rng(3)
+    net = Network(5)
+    net.p["words"] = rng.normal(size=net.p["words"].shape).astype(np.float32) * np.float32(0.5)
+    net.p["c"][:] = 0.3
+    words = ["the", "idiot", "été", "and", "x", "thandea", "12"]
+    texts = [" ".join(rng.choice(words, n)).encode() for n in (1, 5, 31, 32, 33, 47, 48, 49, 100, 161)] + [None, b"", b" . "]
+    got, where = scores(net, texts)
+    for text, score, place in zip(texts, got, where, strict=True):
+        want, at, _ = plain_score(net, text)
+        assert abs(score - want) < 1e-4 and (place == at or not text), text
