@@ -291,6 +291,25 @@ class Archive:
         texts = {"markdown": markdown.markdown, "html": sinks.html}[form](self.visible(), self.table("messages"))
         sinks.write_texts(texts, path)
 
+    def export_library(self, path: str | None = None, per_page: int = 1000) -> dict[str, int]:
+        """Keeps the table library (page, text) of index, project and day pages and of one page a session; gives how many pages changed and went.
+
+        Only pages that differ are stored, and with a path also written there as files; without changes nothing is.
+        """
+        shown = self.visible()
+        own = markdown.markdown(shown, self.table("messages")).select(F.concat(F.lit("Sessions/"), "id").alias("page"), "text")
+        pages = sinks.library(shown, per_page).unionByName(own)
+        stored = self.store("library").current()
+        stored = self.spark.createDataFrame([], "page string, text string") if stored is None else stored
+        changed_, gone = sinks.page_changes(pages, stored)
+        keys = changed_.select("page").union(gone)
+        counts = {"changed": changed_.count(), "gone": gone.count()}
+        if any(counts.values()):
+            self.store("library").replace_groups(pages, keys, "page")
+            if path:
+                sinks.write_texts(self.store("library").current().join(changed_.select("page"), "page", "left_semi").withColumn("page", F.translate("page", "/ ", "--")), path, "page")
+        return counts
+
     def health(self) -> DataFrame:
         entries = self.table("memory").select(F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("id"))
         return archive.index_health(self.table("sessions").select("id").unionByName(entries), self.index.documents().select(F.col("doc").alias("id")))

@@ -109,18 +109,45 @@ def paired(calls: DataFrame, results: DataFrame, keys: list[str], by: str = "seq
     return number(calls).join(number(results).select(*keys, "n", F.col(by).alias("result_at")), [*keys, "n"], "left")
 
 
-def with_sums_before(rows: DataFrame, by: str, columns: list[str], parts: int = 64) -> DataFrame:
+#: Rows that a range of an order holds, about; ranges at most.
+RANGE_ROWS, RANGES = 100_000, 4096
+
+
+def _cuts(rows: DataFrame, by: str, parts: int | None) -> list:
+    """Values of a number that cut its order into ranges of like size: as many as the rows ask for."""
+    parts = max(1, min(RANGES, -(-rows.count() // RANGE_ROWS))) if parts is None else parts
+    found = rows.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10 * parts).alias("c")).first()["c"] if parts > 1 else None
+    return sorted(set(found or []))
+
+
+def _range(by: str, cuts: list) -> Column:
+    return F.size(F.filter(F.lit(cuts), lambda c: c < F.col(by))) if cuts else F.lit(0)
+
+
+def with_sums_before(rows: DataFrame, by: str, columns: list[str], parts: int | None = None) -> DataFrame:
     """rows with, for each of the columns, its sum over all rows before them in the order of a number, as column_before.
 
-    Quantiles of the number (parts of them) cut the order into ranges: sums of ranges, and running sums within a range, never
-    all rows in one task. Rows with the same number have to be in one range, and are ordered within it as they come.
+    Quantiles of the number cut the order into ranges: sums of ranges, and running sums within a range, never all rows in
+    one task. Rows with the same number have to be in one range, and are ordered within it as they come.
     """
-    cuts = rows.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)]).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    own = rows.withColumn("_part", F.size(F.filter(F.lit(cuts), lambda c: c < F.col(by))) if cuts else F.lit(0))
-    totals = own.groupBy("_part").agg(*(F.sum(c).alias(f"_{c}") for c in columns))  # as many rows as parts
+    own = rows.withColumn("_part", _range(by, _cuts(rows, by, parts)))
+    totals = own.groupBy("_part").agg(*(F.sum(c).alias(f"_{c}") for c in columns))  # as many rows as ranges
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_part", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns))
     within = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     out = own.join(F.broadcast(totals), "_part")
     return out.withColumns({f"{c}_before": F.col(f"_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns}).drop("_part", *(f"_{c}" for c in columns))
+
+
+def numbered_within(rows: DataFrame, key: str, by: str, tie: str, parts: int | None = None) -> DataFrame:
+    """rows with number (from 1) within their key in the order of a whole number, the largest first, and of tie downwards, and with the key's total.
+
+    A key's rows are numbered range by range of the number, so that a key that holds most rows is no single task.
+    """
+    own = rows.withColumn("_part", _range(by, _cuts(rows, by, parts)))
+    counts = own.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key).orderBy(F.desc("_part"))
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("_n").over(Window.partitionBy(key))})
+    place = F.row_number().over(Window.partitionBy(key, "_part").orderBy(F.desc(by), F.desc(tie)))
+    out = own.withColumn("_place", place).join(counts.drop("_n"), [key, "_part"])
+    return out.withColumn("number", F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")

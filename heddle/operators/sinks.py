@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import columns as C
 from heddle.functions.redact import redacted
+from heddle.operators.ordered import numbered_within
 
 _HTML = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
 
@@ -49,14 +50,35 @@ def to_export(sessions: DataFrame, manifest: DataFrame) -> DataFrame:
     return fingerprints(sessions).join(manifest.select("id", "fingerprint"), ["id", "fingerprint"], "left_anti").select("id").join(sessions, "id")
 
 
-def library(sessions: DataFrame) -> DataFrame:
-    """(page, text): index pages by project and by day with links to sessions, automated children left out."""
+def library(sessions: DataFrame, per_page: int = 1000) -> DataFrame:
+    """(page, text): an index of all pages, and pages by project and by day with links to sessions, newest first, automated children left out.
+
+    A page has so many links at most; what is more goes to pages of the same name with a number, each linked from the one before.
+    """
     own = sessions.filter((F.coalesce("origin", F.lit("")) != "subagent") & ~F.col("id").contains(":agent-"))
     link = F.concat(F.lit("- [["), "id", F.lit("|"), F.coalesce("title", "id"), F.lit("]]"))
-    pages = F.array(F.concat(F.lit("Projects/"), C.slug(F.coalesce("project", F.lit("Unassigned")))), F.concat(F.lit("Days/"), F.date_format("updated", "yyyy-MM-dd")))
-    rows = own.select(F.explode(pages).alias("page"), F.struct("updated", "id").alias("at"), link.alias("link"))
-    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "link")), asc=False), lambda x: x["link"]), "\n")
-    return rows.groupBy("page").agg(F.concat(F.lit("# "), F.first("page"), F.lit("\n\n"), lines).alias("text"))
+    names = F.array(F.concat(F.lit("Projects/"), C.slug(F.coalesce("project", F.lit("Unassigned")))), F.concat(F.lit("Days/"), F.date_format("updated", "yyyy-MM-dd")))
+    rows = own.select(F.explode(names).alias("name"), F.coalesce(F.unix_micros(F.col("updated").cast("timestamp")), F.lit(0)).alias("at"), "id", link.alias("link")).filter("name is not null")
+    counts = rows.groupBy("name").agg(F.count("*").alias("n"))
+    listed = counts.select(F.lit("Index").alias("name"), F.lit(0).cast("long").alias("at"), F.col("name").alias("id"), F.concat(F.lit("- [["), "name", F.lit("]] ("), F.col("n").cast("string"), F.lit(")")).alias("link"))
+    return _paged(rows, per_page).unionByName(_paged(listed, per_page))
+
+
+def _paged(rows: DataFrame, per_page: int) -> DataFrame:
+    """(page, text) of rows (name, at, id, link)."""
+    own = numbered_within(rows, "name", "at", "id").withColumn("sheet", F.floor((F.col("number") - 1) / per_page).cast("int"))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "link"))), lambda x: x["link"]), "\n")
+    pages = own.groupBy("name", "sheet", "total").agg(lines.alias("lines"))
+    name = lambda n: F.when(n == 0, F.col("name")).otherwise(F.concat("name", F.lit(" ("), (n + 1).cast("string"), F.lit(")")))
+    more = F.when(F.col("total") > (F.col("sheet") + 1) * per_page, F.concat(F.lit("\n\n[["), name(F.col("sheet") + 1), F.lit("|Next]]"))).otherwise("")
+    return pages.select(name(F.col("sheet")).alias("page"), F.concat(F.lit("# "), name(F.col("sheet")), F.lit("\n\n"), "lines", more).alias("text"))
+
+
+def page_changes(pages: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages that are new or differ, names of stored pages that are gone); stored: page, text."""
+    digest = lambda df: df.select("page", F.sha2("text", 256).alias("sha"))
+    new = digest(pages).join(digest(stored), ["page", "sha"], "left_anti").select("page")
+    return pages.join(new, "page", "left_semi"), stored.select("page").join(pages.select("page"), "page", "left_anti")
 
 
 def handoff(messages: DataFrame, last: int) -> DataFrame:

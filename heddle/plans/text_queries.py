@@ -94,10 +94,12 @@ def _(fx):
     return sinks.html(fx.sessions, fx.messages).withColumn("text", F.sha2("text", 256))
 
 
-@query("K06_library_pages", """+ s AS (SELECT *, '- [[' || id || '|' || title || ']]' AS link FROM fx_sessions WHERE origin <> 'subagent'), p AS (SELECT CASE WHEN project IS NULL THEN 'Projects/unassigned' ELSE 'Projects/work-' || split_part(project, '/', 3) END AS page, updated, id, link FROM s UNION ALL SELECT 'Days/' || strftime(updated, '%Y-%m-%d'), updated, id, link FROM s)
-  SELECT page, sha256('# ' || page || chr(10) || chr(10) || string_agg(link, chr(10) ORDER BY updated DESC, id DESC)) AS text FROM p GROUP BY 1""")
+@query("K06_library_pages", """+ s AS (SELECT *, '- [[' || id || '|' || title || ']]' AS link FROM fx_sessions WHERE origin <> 'subagent'), p AS (SELECT CASE WHEN project IS NULL THEN 'Projects/unassigned' ELSE 'Projects/work-' || split_part(project, '/', 3) END AS name, updated, id, link FROM s UNION ALL SELECT 'Days/' || strftime(updated, '%Y-%m-%d'), updated, id, link FROM s),
+  i AS (SELECT * FROM p UNION ALL SELECT 'Index', TIMESTAMP '2024-01-01 00:00:00', name, '- [[' || name || ']] (' || count(*) || ')' FROM p GROUP BY name), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY updated DESC, id DESC) AS k, count(*) OVER (PARTITION BY name) AS total FROM i), h AS (SELECT *, (k - 1) // 8 AS sheet FROM n),
+  g AS (SELECT name || CASE WHEN sheet = 0 THEN '' ELSE ' (' || (sheet + 1) || ')' END AS page, '[[' || name || ' (' || (sheet + 2) || ')|Next]]' AS next, total > (sheet + 1) * 8 AS more, string_agg(link, chr(10) ORDER BY k) AS lines FROM h GROUP BY name, sheet, total)
+  SELECT page, sha256('# ' || page || chr(10) || chr(10) || lines || CASE WHEN more THEN chr(10) || chr(10) || next ELSE '' END) AS text FROM g""")
 def _(fx):
-    return sinks.library(fx.sessions).withColumn("text", F.sha2("text", 256))
+    return sinks.library(fx.sessions, 8).withColumn("text", F.sha2("text", 256))
 
 
 @query("K11_payloads", """SELECT id, json_extract_string(j, '$.tool') AS tool, CAST(json_extract(j, '$.messages_count') AS INTEGER) AS n, json_extract_string(j, '$.origin') AS origin FROM (SELECT id, to_json({'tool': tool, 'messages_count': messages_count, 'origin': origin}) AS j FROM fx_sessions)""")

@@ -149,3 +149,21 @@ def test_files_are_pulled_when_they_change(spark, tmp_path):
     write("s3", "four")
     assert own.pull(str(folder), fmt) == {"replaced": 1, "added": 1}
     assert sorted(r.content for r in own.table("messages").collect()) == ["four", "one", "three"]
+
+
+def test_the_library_is_kept_by_difference(spark, tmp_path):
+    own = Archive(spark, str(tmp_path / "archive"))
+    rows = [(f"s{i:02d}", "codex", f"T{i}", f"/f{i}", 1, 1, datetime(2026, 1, 1 + i % 2, i)) for i in range(12)]
+    messages = spark.createDataFrame([(r[0], 0, "user", f"text {r[0]}", r[3]) for r in rows], MSG)
+    own.sync(spark.createDataFrame(rows, SES), messages)
+    first = own.export_library(str(tmp_path / "out"), per_page=5)
+    pages = {r.page: r.text for r in own.store("library").current().collect()}
+    assert first == {"changed": len(pages), "gone": 0}
+    assert set(pages) == {"Index", "Projects/unassigned", "Projects/unassigned (2)", "Projects/unassigned (3)", "Days/2026-01-01", "Days/2026-01-01 (2)", "Days/2026-01-02", "Days/2026-01-02 (2)"} | {f"Sessions/{r[0]}" for r in rows}
+    assert pages["Projects/unassigned"].endswith("- [[s03|T3]]\n\n[[Projects/unassigned (2)|Next]]") and pages["Projects/unassigned (3)"] == "# Projects/unassigned (3)\n\n- [[s02|T2]]\n- [[s00|T0]]"
+    version = own.store("library").version()
+    assert own.export_library(per_page=5) == {"changed": 0, "gone": 0} and own.store("library").version() == version
+    own.hide(spark.createDataFrame([("s00",), ("s02",)], "id string"))
+    assert own.export_library(per_page=5) == {"changed": 3, "gone": 4}
+    left = {r.page for r in own.store("library").current().collect()}
+    assert not left & {"Sessions/s00", "Sessions/s02", "Projects/unassigned (3)", "Days/2026-01-01 (2)"} and "Projects/unassigned (2)" in left
