@@ -96,6 +96,12 @@ class Snapshots:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.log = Log(spark, f"{self.path}/log")
 
+    def _last(self) -> tuple[int, dict | None]:
+        return self.log.last()
+
+    def _commit(self, version: int, entry: dict) -> None:
+        self.log.append(version, entry)
+
     def _bucket(self, key: str):
         return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.buckets))
 
@@ -114,22 +120,22 @@ class Snapshots:
         return {n.removeprefix("_bucket="): folder for n in names if n.startswith("_bucket=")}
 
     def current(self) -> DataFrame | None:
-        entry = self.log.last()[1]
+        entry = self._last()[1]
         return None if entry is None else self._read(entry)
 
     def version(self) -> int:
-        return self.log.last()[0]
+        return self._last()[0]
 
     def _store(self, version: int, key: str | None, schema: StructType, folders: dict[str, str]) -> None:
-        self.log.append(version, {"key": key, "buckets": self.buckets, "schema": schema.jsonValue(), "folders": folders})
+        self._commit(version, {"key": key, "buckets": self.buckets, "schema": schema.jsonValue(), "folders": folders})
 
     def replace(self, df: DataFrame, key: str | None = None) -> None:
-        version = self.log.last()[0]
+        version = self._last()[0]
         self._store(version + 1, key, df.schema, self._written(df, key))
 
     def _changed(self, keys: DataFrame, key: str, change: Callable[[DataFrame], DataFrame], fresh: DataFrame) -> None:
         """Stores what change makes of the buckets that keys fall into."""
-        number, entry = self.log.last()
+        number, entry = self._last()
         if entry is None or entry["key"] != key or entry["buckets"] != self.buckets:
             out = change(self._read(entry) if entry else fresh.limit(0))
             self._store(number + 1, key, out.schema, self._written(out, key))
