@@ -15,7 +15,8 @@ from pyspark.sql import SparkSession
 HEADLINE = (
     "G02_digest_by_day", "G04_token_costs", "G13_projects_overview", "G09_failure_rate", "W01_W02_turns", "W03_folded_bursts", "W15_D05_duplicates", "X04_X05_bm25", "X16_find", "X13_J02_memory_recall", "V03_V04_nearest",
     "D01_content_hash", "P04_W05_W06_compressed_blocks", "K04_markdown", "M01_I06_upsert",
-    "op1_sharding", "op2_decontamination", "op3_bpe", "op4_secrets", "op5_simhash", "op6_toxicity", "op7_warc", "op8_licenses", "op9_suffix_dedup", "op10_topk",
+    "op1_sharding", "op2_decontamination", "op3_bpe", "op4_secrets", "op5_simhash", "op6_toxicity", "op7_warc", "op8_licenses", "op9_suffix_dedup", "op10_topk", "op11_alignment", "op12_spelling", "op13_quality",
+    "X18_search", "X03_I05_postings_kept", "D06_semantic_join", "K01_M01_session_replaced",
 )
 
 
