@@ -23,6 +23,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from heddle.llm.base import written
 from heddle.llm.bpe import _byte_chars
 
 #: Code points of text in a block.
-BLOCK = 16_000_000
+BLOCK = 6_000_000
 #: Segments that the libraries encode in one call.
 _BATCH = 500
 #: Salts of the first sum of a pair's counts.
@@ -121,9 +122,9 @@ class Pair:
         a, b = self._ids_a(text), self.b.encode("\n" + text)  # behind a line feed B adds no space
         return (a, b[lead:]) if b[:lead] == self._lead and self._same(text.encode("utf-8", "surrogatepass"), a, b[lead:]) else None
 
-    def encode_segments(self, segments: list[str]) -> tuple[list[list[int]], list[np.ndarray], np.ndarray]:
+    def encode_segments(self, segments: list[str]) -> tuple[list[array], list[np.ndarray], np.ndarray]:
         """(ids of all segments under A and under B, how many each segment has under A and under B, which segments have none as their bytes are others)."""
-        ids, sizes, bad = ([], []), (np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64)), np.zeros(len(segments), bool)
+        ids, sizes, bad = (array("H"), array("H")), (np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64)), np.zeros(len(segments), bool)
         at = 0
         while at < len(segments):
             to = at
@@ -236,7 +237,7 @@ def _block(both: Pair, texts: list[str | None], parts: list[np.ndarray], known:
                 parts[i] = np.array([len(known) + len(whole[0])] if own else [], np.uint32)
                 for k in (0, 1):
                     whole[k].extend([own[k]] if own else [])
-    joined = lambda k: np.array([*ids[k], *(i for w in whole[k] for i in w)], np.uint16)
+    joined = lambda k: np.concatenate([np.array(x, np.uint16) for x in (ids[k], *whole[k])])
     counts = lambda k: np.array([*sizes[k], *map(len, whole[k])], np.uint32)
     sequence = np.concatenate([np.zeros(0, np.uint32), *parts])
     binary = [_packed(x) for x in (sequence, counts(0), counts(1), joined(0), joined(1))]

@@ -93,7 +93,7 @@ def test_segments_are_encoded_as_in_the_whole_text(libraries):
         if a:
             assert not bad.any(), text
         if not bad.any():
-            assert ids == [[i for i, _ in a], [i for i, _ in b]] and [int(n.sum()) for n in sizes] == [len(a), len(b)], text
+            assert [x.tolist() for x in ids] == [[i for i, _ in a], [i for i, _ in b]] and [int(n.sum()) for n in sizes] == [len(a), len(b)], text
             for k, table in enumerate((both.bytes_a, both.bytes_b)):
                 ends = [0, *sizes[k].cumsum().tolist()]
                 assert ["".join(s) for s in segments] == [b"".join(table[i] for i in ids[k][x:y]).decode() for x, y in zip(ends, ends[1:], strict=False)]
