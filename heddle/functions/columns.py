@@ -101,7 +101,7 @@ def compact_count(n: Column) -> Column:
     """Tokens as 999, 1.2k, 120k, 1.2M; nothing for no count."""
 
     def scaled(by: int, unit: str) -> Column:
-        short = F.regexp_replace(F.format_string(f"%.1f{unit}", n / by), rf"\.0{unit}$", unit)
+        short = F.concat(F.regexp_replace(F.format_number(n / by, 1), r"\.0$", ""), F.lit(unit))  # format_string rounds 1.25 up, this as C and Python do
         return F.when(n >= 100 * by, F.concat(F.floor(n / by).cast("string"), F.lit(unit))).otherwise(short)
 
     return F.when(n.isNull() | (n < 0), "").when(n < 1000, n.cast("string")).when(n < 1_000_000, scaled(1000, "k")).otherwise(scaled(1_000_000, "M"))

@@ -91,6 +91,12 @@ def test_times(spark):
     assert [str(t) for t in local] == ["2024-07-01 14:00:00", "2024-01-01 09:30:00", "2024-01-01 12:00:00", "None"]
 
 
+def test_compact_counts(spark):
+    counts = [None, -1, 0, 999, 1000, 1050, 1150, 1250, 1350, 1950, 9_999, 12_250, 99_949, 99_950, 99_999, 100_000, 999_999, 1_000_000, 1_250_000, 1_350_000, 1_450_000, 1_550_000, 99_950_000, 100_000_000, 1_234_567_890]
+    want = ["", "", "0", "999"] + [f"{n / 1000:.1f}k".replace(".0k", "k") for n in counts[4:15]] + ["100k", "999k"] + [f"{n / 1e6:.1f}M".replace(".0M", "M") for n in counts[17:23]] + ["100M", "1234M"]
+    assert results(spark, counts, C.compact_count, "long") == want and want[5:8] == ["1.1k", "1.1k", "1.2k"]
+
+
 def test_memory_rules(spark):
     rows = spark.createDataFrame([("  ", "b", "fact"), ("t" * 513, "b", "fact"), ("T", "b" * 64_001, "fact"), ("T", "b", "other"), ("T", "b", "fact")], "title string, body string, kind string")
     assert [r[0] for r in rows.select(M.invalid_reason()).collect()] == ["title is empty", "title is too long", "body is too long", "kind is unknown", None]
