@@ -44,7 +44,7 @@ def noise_rules(configured: dict | None) -> dict[str, bool]:
 
 def injected_display(text: Column, role: Column, tool: Column, rules: dict | None = None) -> Column:
     """kind (prompt, slash_prompt or event), label and title of text that a tool may have put into a transcript."""
-    own = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    own = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))  # evaluated in each branch, so no pattern
     user = role == "user"
     shown = lambda kind, label="", title="": F.struct(F.lit(kind).alias("kind"), (F.lit(label) if isinstance(label, str) else label).alias("label"), (F.lit(title) if isinstance(title, str) else title).alias("title"))
     if not noise_rules(rules)["session_classify_injected_events"]:

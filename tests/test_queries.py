@@ -44,3 +44,16 @@ def test_query(spark, duck, name):
         names = [d[0] for d in result.description]
         assert sorted(names) == cols
         assert got == sorted([plain(r[names.index(c)]) for c in cols] for r in result.fetchall())
+
+
+def test_injected_display_covers_all_rows_and_rules(spark, duck):
+    rows = QUERIES["C26_Y05_injected_display"](spark, DIR).collect()
+    seen = {(r.source, r.id, r.turn) for r in rows}
+    turns, events = duck.execute("select (select count(*) from conversations), (select count(*) from events)").fetchall()[0]
+    assert len(seen) == turns + events and len(rows) == turns * len(restated_queries.INJECTED_FORMS) + events
+    labels = {"", "Hook feedback", "Task notification", "System reminder", "Local command", "System context", "AGENTS instructions", "System prompt", "Skill loaded: user"}
+    for source in ("turn", "event"):
+        own = [r for r in rows if r.source == source]
+        assert {r.kind for r in own} == {"prompt", "slash_prompt", "event"} and {r.switched_off for r in own} == {"prompt"}
+        assert labels - {r.label for r in own} <= ({"Skill loaded: user"} if source == "event" else set())
+        assert {r.form for r in own} == set(range(len(restated_queries.INJECTED_FORMS)))
