@@ -7,8 +7,8 @@ its least K-gram hash, at a place that the window's bytes alone decide. So equal
     of them, in the order of ids, get sorted (a suffix array), are scanned against the levels so far (all of smaller
     ids) and become a level; levels of like size merge;
  3. each document gets its matches back.
-Documents travel in batches cut by running bytes. Within a batch equal anchors and equal windows are counted once, so
-copies don't pile up in one task; windows around anchors that many batches share (HOT) go out one by one, by a hash of
+Documents travel in batches cut by running bytes. Within a batch equal anchors and equal runs of windows are counted
+once, and where batches meet equal runs once more, so copies don't pile up in one task; windows around anchors that many batches share (HOT) go out one by one, by a hash of
 their own bytes, so a common anchor doesn't either. Partitions grow in number with the bytes.
 """
 
@@ -24,17 +24,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.base import mixed, powers, whole_ids, written
+from heddle.llm.base import member, mixed, powers, whole_ids, written
 
 #: Bytes of a passage and of an anchor's K-gram (a power of two).
 LENGTH, K = 50, 16
 #: Bytes from which a batch of documents is full and most rows of it; suffixes of one batch of the index; bytes of
 #: documents for each partition; batches from which on an anchor is hot.
 BATCH_BYTES, BATCH_ROWS, SUFFIXES, PARTITION_BYTES, HOT = 4 << 20, 4096, 1 << 15, 16 << 20, 4096
-#: Bytes that are looked at for anchors at a time.
-_PIECE = 1 << 20
+#: Bytes that are looked at for anchors at a time (less than 1 << 28), few enough for a processor's cache.
+_PIECE = 1 << 16
 _PLACES = LENGTH - K + 1
 _LOW = np.uint64((1 << 28) - 1)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def runs_of(data: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -43,24 +45,23 @@ def runs_of(data: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data) - LENGTH + 1
     if n <= 0:
         return none, none, none, np.zeros(0, np.uint64)
-    g, size = mixed(data.astype(np.uint64) + np.uint64(1)), 1
+    g, size = _BYTES[data], 1
     while size < K:
         by = powers(size + 1)[-1]
         g, size = g[:-size] * by + g[size:], 2 * size
     g = mixed(g)
-    key = (g & ~_LOW) | (_LOW - np.arange(len(g), dtype=np.uint64) % _LOW)  # equal hashes: the later place is less
-    least, size = key, 1
+    least, size = (g & ~_LOW) | (_LOW - np.arange(len(g), dtype=np.uint64)), 1  # equal hashes: the later place is less
     while 2 * size <= _PLACES:
         least, size = np.minimum(least[:-size], least[size:]), 2 * size
     least = np.minimum(least[:n], least[_PLACES - size : _PLACES - size + n])
-    anchor = (_LOW - (least & _LOW)).astype(np.int64)
-    start = np.flatnonzero(np.arange(n) + LENGTH <= owner_end[:n])
-    if not len(start):
-        return none, none, none, np.zeros(0, np.uint64)
-    own = anchor[start]
-    first = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
-    count = np.diff(np.append(first, len(start)))
-    return start[first], count, own[first], g[own[first]]
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = np.arange(LENGTH, n + LENGTH) <= owner_end[:n]
+    step = np.ones(n + 1, bool)
+    step[1:-1] = least[1:] != least[:-1]
+    first = np.flatnonzero(inside[1:-1] & (step[:-1] | ~inside[:-2]))
+    last = np.flatnonzero(inside[1:-1] & (step[1:] | ~inside[2:]))
+    anchor = (_LOW - (least[first] & _LOW)).astype(np.int64)
+    return first, last - first + 1, anchor, g[anchor]
 
 
 class _Texts:
@@ -76,8 +77,9 @@ class _Texts:
         parts = []
         for lo in range(0, len(self.data), _PIECE):  # windows that start in a piece, for small temporaries
             hi = min(len(self.data), lo + _PIECE + LENGTH - 1)
-            end = self.edge[np.searchsorted(self.edge, np.arange(lo, hi), "right")]
-            s, n, p, h = runs_of(self.data[lo:hi], end - lo)
+            a, b = np.searchsorted(self.edge, lo, "right") - 1, np.searchsorted(self.edge, hi)
+            end = np.repeat(self.edge[a + 1 : b + 1] - lo, np.diff(self.edge[a : b + 1].clip(lo, hi)))
+            s, n, p, h = runs_of(self.data[lo:hi], end)
             parts.append((s + lo, n, p + lo, h))
         none = np.zeros(0, np.int64)
         self.start, self.count, self.anchor, self.hash = (np.concatenate([*x, none.astype(t)]) for x, t in zip(zip(*parts, strict=True) if parts else [[]] * 4, (np.int64, np.int64, np.int64, np.uint64), strict=True))
@@ -99,6 +101,53 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
 
+def _grouped(key: np.ndarray) -> np.ndarray:
+    """An order by key that keeps the order within a key."""
+    return np.argsort(key.astype(np.uint16) if len(key) and 0 <= key.min() and key.max() < 1 << 16 else key, kind="stable")  # 16 bits: by radix
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values start."""
+    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+
+
+def _repeated(h: np.ndarray, id_: np.ndarray) -> np.ndarray:
+    """Which of the values are there under more than one id."""
+    out = np.zeros(len(h), bool)
+    if len(h):
+        order = np.argsort(h)
+        first, own = _starts(h[order]), id_[order]
+        more = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
+        out[order] = np.repeat(more, np.diff(np.append(first, len(h))))
+    return out
+
+
+def _eights(data: np.ndarray, at: np.ndarray, n: int = 1) -> np.ndarray:
+    """n numbers of the 8 * n bytes at each of these places."""
+    return np.ndarray(len(data) - 8 * n + 1, f"V{8 * n}", data, strides=(1,))[at].view("<u8").reshape(len(at), n)
+
+
+def _firsts(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, id_: np.ndarray) -> np.ndarray:
+    """Runs of windows without those whose bytes and place of the anchor a run of a smaller id surely has."""
+    first = np.ones(len(begin), bool)
+    if len(begin):
+        like = (place * 2 * LENGTH + size).astype(np.uint64)
+        for at in (begin, begin + place, begin + size - 8):
+            like = mixed(like ^ _eights(data, at)[:, 0])
+        own = np.flatnonzero(_repeated(like, id_))
+        own = own[np.lexsort((id_[own], like[own]))]
+        start = _starts(like[own])
+        least = np.repeat(own[start], np.diff(np.append(start, len(own))))
+        same = (id_[own] > id_[least]) & (size[own] == size[least]) & (place[own] == place[least])
+        own, least = own[same], least[same]
+        same = np.ones(len(own), bool)
+        for k in range(0, LENGTH + _PLACES, 8):
+            at = np.minimum(k, size[own] - 8)
+            same &= (_eights(data, begin[own] + at) == _eights(data, begin[least] + at))[:, 0]
+        first[own[same]] = False
+    return first
+
+
 def _slices(key: np.ndarray) -> Iterator[tuple[int, slice]]:
     cut = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else []
     for a, b in zip(cut, [*cut[1:], len(key)][: len(cut)], strict=True):
@@ -131,14 +180,14 @@ def _anchors(buckets: int):
             out = ([], [], [])
             for b, own in _slices(batch.column("batch").to_numpy(zero_copy_only=False)):
                 t = _Texts(texts[own], ids[own])
-                order = np.lexsort((t.id, t.hash))
+                order = np.argsort(t.hash)
                 h, i = t.hash[order], t.id[order]
-                first = np.flatnonzero(np.diff(h, prepend=h[:1] - np.uint64(1)))
-                last = np.append(first[1:], len(h)) - 1
-                h, lo, hi = h[first], i[first] if len(first) else i, i[last] if len(first) else i
-                order = np.argsort(_bucket(h, buckets), kind="stable")
-                h, lo, hi = h[order], lo[order], hi[order]
-                for k, part in _slices(_bucket(h, buckets)):
+                first = _starts(h)
+                h, lo, hi = h[first], np.minimum.reduceat(i, first) if len(first) else i, np.maximum.reduceat(i, first) if len(first) else i
+                key = _bucket(h, buckets)
+                order = _grouped(key)
+                h, lo, hi, key = h[order], lo[order], hi[order], key[order]
+                for k, part in _slices(key):
                     out[0].append(k)
                     out[1].append(b)
                     out[2].append(_pressed(h[part], lo[part], hi[part] - lo[part]))
@@ -158,8 +207,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     h, lo, hi = (np.concatenate([p[k] for p in parts]) for k in range(3))
     lo, hi = lo.view(np.int64), (lo + hi).view(np.int64)
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.diff(h[order], prepend=h[order][:1] - np.uint64(1)))
+    order = np.argsort(h)
+    first = _starts(h[order])
     more = np.minimum.reduceat(lo[order], first) < np.maximum.reduceat(hi[order], first)
     keep = np.zeros(len(h), bool)
     times = np.diff(np.append(first, len(h)))
@@ -193,10 +242,9 @@ def _windows(buckets: int):
             texts, ids, rows = left.column("text").cast(pa.binary()).to_pylist(), left.column("doc_id").to_pylist(), left.column("row").to_numpy()
             b = left.column("batch")[0].as_py()
             t = _Texts(texts, ids)
-            wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("hashes").to_pylist()]))
-            hot = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("hot").to_pylist()]))
-            own = np.flatnonzero(np.isin(t.hash, wanted))
-            many = np.isin(t.hash[own], hot)
+            wanted, hot = (np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in right.column(c).to_pylist()])) for c in ("hashes", "hot"))
+            own = np.flatnonzero(member(t.hash, wanted)[0])
+            many = member(t.hash[own], hot)[0]
             times = np.where(many, t.count[own], 1)  # runs at hot anchors become single windows
             own, many = np.repeat(own, times), np.repeat(many, times)
             step = np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
@@ -206,13 +254,7 @@ def _windows(buckets: int):
             run["id"], run["row"] = t.id[own], rows[t.which[doc]] if len(own) else 0
             run["start"], run["count"], run["anchor"] = begin - t.edge[doc], count, t.anchor[own] - begin
             size = count + LENGTH - 1
-            raw = t.data.tobytes()
-            seen: dict[tuple, int] = {}
-            first = np.zeros(len(own), bool)
-            for i in np.argsort(run["id"], kind="stable").tolist():  # the least id of equal runs goes on
-                at = int(begin[i])
-                least = seen.setdefault((int(run["anchor"][i]), raw[at : at + int(size[i])]), int(run["id"][i]))
-                first[i] = least == run["id"][i]
+            first = _firsts(t.data, begin, size, t.anchor[own] - begin, t.id[own])  # the least id of equal runs goes on
             again = np.zeros(int((~first).sum()), _HIT)
             again["row"], again["start"], again["end"] = run["row"][~first], run["start"][~first], run["start"][~first] + size[~first]
             if len(again):
@@ -226,7 +268,7 @@ def _windows(buckets: int):
                 window = t.data[begin[i][:, None] + np.arange(LENGTH)[None, :]].astype(np.uint64) + np.uint64(1)
                 meet[i] = mixed((window * powers(LENGTH)).sum(1, dtype=np.uint64))
             key = _bucket(meet, buckets)
-            go = go[np.argsort(key[go], kind="stable")]
+            go = go[_grouped(key[go])]
             for k, part in _slices(key[go]):
                 i = go[part]
                 out[0].append(k)
@@ -272,15 +314,27 @@ def _merge_scanned(level: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
 
 
 def _matched(data: np.ndarray, at: np.ndarray, id_: np.ndarray) -> np.ndarray:
-    """Which of the suffixes at these places of data also belong to a smaller id."""
+    """Which of the suffixes at these places of data also belong to a smaller id.
+
+    Equal suffixes have equal sums of their bytes, so only those whose sum more than one id has get sorted and scanned.
+    """
     hit, index = np.zeros(len(at), bool), SuffixIndex()
-    order = np.argsort(id_, kind="stable")
+    total = np.zeros(len(at), np.uint64)
+    for a in range(0, len(at), _PIECE):
+        own = at[a : a + _PIECE]
+        h = _eights(data, own + LENGTH - 8)[:, 0]
+        for part in _eights(data, own, LENGTH // 8).T:
+            h = (h ^ (h >> np.uint64(29))) * _MIX + part
+        total[a : a + _PIECE] = mixed(h)
+    order = np.flatnonzero(_repeated(total, id_))
+    order = order[np.argsort(id_[order], kind="stable")]
+    ordered, suffixes = id_[order], np.ndarray(max(0, len(data) - LENGTH + 1), f"S{LENGTH}", data, strides=(1,))
     a = 0
     while a < len(order):
         b = min(len(order), a + SUFFIXES)
-        b = int(np.searchsorted(id_[order], id_[order[b - 1]], "right"))  # all of an id in one batch
+        b = int(np.searchsorted(ordered, ordered[b - 1], "right"))  # all of an id in one batch
         own = order[a:b]
-        text = np.ascontiguousarray(data[at[own][:, None] + np.arange(LENGTH)[None, :]]).view(f"S{LENGTH}").ravel()
+        text = suffixes[at[own]]
         array = np.lexsort((id_[own], text))
         text, ids = text[array], id_[own][array]
         first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
@@ -309,26 +363,30 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             where.append(np.full(n, b))
     if runs:
         run, data, where = np.concatenate(runs), np.frombuffer(b"".join(raw), np.uint8), np.concatenate(where)
-        size = run["count"].astype(np.int64) + LENGTH - 1
+        size, most, ids = run["count"].astype(np.int64) + LENGTH - 1, run["anchor"].astype(np.int64), run["id"].copy()
         base = np.cumsum(size) - size
+        go = _firsts(data, base, size, most, ids)
+        again = np.flatnonzero(~go)
+        less = np.where(go, most - run["count"], most)  # runs that others have need no look at their windows
         hits = []
         for place in range(_PLACES):  # windows with different places of the anchor differ
-            i = np.flatnonzero((run["anchor"] >= place) & (run["anchor"] - run["count"] < place))
+            i = np.flatnonzero((most >= place) & (less < place))
             if len(i):
-                shift = run["anchor"][i].astype(np.int64) - place
-                h = _matched(data, base[i] + shift, run["id"][i])
+                shift = most[i] - place
+                h = _matched(data, base[i] + shift, ids[i])
                 hits.append(np.stack([i[h], run["start"][i][h] + shift[h]]))
         which, start = np.concatenate(hits, axis=1) if hits else (np.zeros(0, np.int64),) * 2
         order = np.lexsort((start, which))
         which, start = which[order], start[order]
         first = np.flatnonzero((np.diff(which, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
         last = np.append(first[1:], len(which)) - 1 if len(first) else first
-        hit = np.zeros(len(first), _HIT)
-        if len(first):
-            hit["row"], hit["start"], hit["end"] = run["row"][which[first]], start[first], start[last] + LENGTH
-            at = where[which[first]]
-            order = np.argsort(at, kind="stable")
-            out += [(b, hit[order][part].tobytes()) for b, part in _slices(at[order])]
+        hit = np.zeros(len(first) + len(again), _HIT)
+        of = np.concatenate((which[first], again))
+        hit["row"] = run["row"][of]
+        hit["start"], hit["end"] = np.concatenate((start[first], run["start"][again])), np.concatenate((start[last] + LENGTH, (run["start"] + size)[again]))
+        at = where[of]
+        order = np.argsort(at, kind="stable")
+        out += [(b, hit[order[part]].tobytes()) for b, part in _slices(at[order])]
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["batch", "hits"])
 
 
@@ -339,9 +397,10 @@ def _removed(left: pa.Table, right: pa.Table) -> pa.Table:
     hits = np.concatenate([np.frombuffer(x, _HIT) for x in right.column("hits").to_pylist()] or [np.zeros(0, _HIT)])
     hits = hits[np.lexsort((hits["start"], hits["row"]))]
     n_bytes, n_removed, digests, starts, ends = [], [], [], [], []
-    for row, text in zip(rows, texts, strict=True):
+    at = hits["row"].copy()
+    for text, low, high in zip(texts, np.searchsorted(at, rows), np.searchsorted(at, rows, "right"), strict=True):
         text = text or b""
-        own = hits[np.searchsorted(hits["row"], row) : np.searchsorted(hits["row"], row, "right")]
+        own = hits[low:high]
         s, e = own["start"].astype(np.int64), np.maximum.accumulate(own["end"].astype(np.int64))
         cut = np.flatnonzero(s[1:] > e[:-1]) + 1
         s, e = s[np.concatenate(([0], cut))] if len(s) else s, e[np.append(cut - 1, len(e) - 1)] if len(e) else e
