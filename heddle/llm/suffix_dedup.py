@@ -8,8 +8,9 @@ its least K-gram hash, at a place that the window's bytes alone decide. So equal
     ids) and become a level; levels of like size merge;
  3. each document gets its matches back.
 Documents travel in batches cut by running bytes. Within a batch equal anchors and equal runs of windows are counted
-once, and where batches meet equal runs once more, so copies don't pile up in one task; windows around anchors that many batches share (HOT) go out one by one, by a hash of
-their own bytes, so a common anchor doesn't either. Partitions grow in number with the bytes.
+once, and where batches meet equal runs once more, so copies don't pile up in one task; windows around anchors that many
+batches share (HOT) go out one by one, by a hash of their own bytes, so a common anchor doesn't either. Partitions grow
+in number with the bytes.
 """
 
 from __future__ import annotations
