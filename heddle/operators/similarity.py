@@ -35,12 +35,12 @@ _SLACK = 1e-9
 
 
 def _units(vectors: DataFrame, key: str, col: str) -> DataFrame:
-    """(key, size, unit) of the vectors that can be similar to any."""
+    """(key, size, v, unit) of the vectors that can be similar to any: v as it is, unit of length 1."""
     own = vectors.select(F.col(key).alias("key"), F.transform(col, lambda x: x.cast("double")).alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     own = own.filter((F.size("v") > 0) & fine).withColumn("norm", norm).filter((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    return own.select("key", F.size("v").alias("size"), F.transform("v", lambda x: x / F.col("norm")).alias("unit"))
+    return own.select("key", F.size("v").alias("size"), "v", F.transform("v", lambda x: x / F.col("norm")).alias("unit"))
 
 
 def pivots(units: DataFrame, count: int = PIVOTS) -> list[list[float]]:
@@ -65,9 +65,9 @@ def _angle(pivot: list[float]) -> Column:
 
 
 def _dealt(units: DataFrame, at: list[list[float]], width: float) -> DataFrame:
-    """units with their cell (x, y)."""
+    """(key, size, v) with their cell (x, y)."""
     cell = lambda k: F.floor(_angle(at[k]) / width).cast("int")
-    return units.select("key", "size", "unit", cell(0).alias("x"), cell(1).alias("y"))
+    return units.select("key", "size", "v", cell(0).alias("x"), cell(1).alias("y"))
 
 
 def _blocks(dealt: DataFrame, block: int) -> dict[tuple[int, int], int]:
@@ -93,43 +93,67 @@ def _sent(dealt: DataFrame, mine: dict, others: dict, left: bool, self_join: boo
         same = (F.col("other.x") == F.col("x")) & (F.col("other.y") == F.col("y"))
         own = own.filter(~same | ((F.col("b") >= F.col("block")) if left else (F.col("b") <= F.col("block"))))
     here, there = F.concat_ws(",", "x", "y", "block"), F.concat_ws(",", "other.x", "other.y", "b")
-    return own.select(F.concat_ws(";", *((here, there) if left else (there, here))).alias("u"), "key", "size", "unit")
+    return own.select(F.concat_ws(";", *((here, there) if left else (there, here))).alias("u"), "key", "size", "v")
 
 
-def _matrix(side: pa.Table, at: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """(vectors filled up to the width of the pivots or more, sizes, angles to the pivots, keys), those in the same ranges of all angles next to each other."""
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the rows of a with those of b, summed up from the first component to the last."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def _similarities(a: np.ndarray, b: np.ndarray, square_a: np.ndarray, square_b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of a with those of b as SQL works them out, bit by bit where components are floats: the product by the root of the product of both squares, from -1 to 1."""
+    with np.errstate(over="ignore", under="ignore"):
+        squares = square_a * square_b
+    fine = np.isfinite(squares) & (squares >= np.finfo(float).tiny)
+    out = np.empty(len(a))
+    out[fine] = _products(a[fine], b[fine]) / np.sqrt(squares[fine])
+    rest = ~fine  # too large or too small to be multiplied, so by unit vectors
+    out[rest] = _products(a[rest] / np.sqrt(square_a[rest])[:, None], b[rest] / np.sqrt(square_b[rest])[:, None])
+    return np.clip(out, -1, 1)
+
+
+def _matrix(side: pa.Table, at: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """(vectors filled up to the width of the pivots or more, their squares, sizes, angles to the pivots, keys), those in the same ranges of all angles next to each other."""
     sizes = side.column("size").to_numpy()
-    lists = side.column("unit").combine_chunks()
+    lists = side.column("v").combine_chunks()
     flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     out = np.zeros((len(sizes), max(at.shape[1], int(sizes.max(initial=0)))))
     for size in np.unique(sizes).tolist():
         rows = np.flatnonzero(sizes == size)
         out[rows, :size] = flat[starts[rows][:, None] + np.arange(size)]
-    z = np.arccos(np.clip(out[:, : at.shape[1]] @ at.T, -1, 1))
+    squares = _products(out, out)
+    z = np.arccos(np.clip(out[:, : at.shape[1]] @ at.T / np.sqrt(squares)[:, None], -1, 1))
     order = np.lexsort(np.floor(z / reach).T)
-    return out[order], sizes[order], z[order], side.column("key").take(pa.array(order)).to_pylist()
+    return out[order], squares[order], sizes[order], z[order], side.column("key").take(pa.array(order)).to_pylist()
 
 
 def _compared(floor: float, reach: float, pivots: np.ndarray, self_join: bool, report: bool):
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+    def compare(unit: tuple[pa.Scalar], left: pa.Table, right: pa.Table) -> pa.Table:
         found, scored = [], 0
         if left.num_rows and right.num_rows:
-            (a, size_a, z_a, key_a), (b, size_b, z_b, key_b) = _matrix(left, pivots, reach), _matrix(right, pivots, reach)
+            (a, square_a, size_a, z_a, key_a), (b, square_b, size_b, z_b, key_b) = _matrix(left, pivots, reach), _matrix(right, pivots, reach)
             width = max(a.shape[1], b.shape[1])
             a, b = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
+            unit_a, unit_b = a / np.sqrt(square_a)[:, None], b / np.sqrt(square_b)[:, None]
             for at in range(0, len(a), STEP):
                 to = min(len(a), at + STEP)
                 low, high = z_a[at:to].min(0) - reach, z_a[at:to].max(0) + reach
                 some = np.flatnonzero(((z_b >= low) & (z_b <= high)).all(1))
                 scored += (to - at) * len(some)
                 if len(some):
-                    product = a[at:to] @ b[some].T
+                    product = unit_a[at:to] @ unit_b[some].T
                     i, j = np.nonzero((product >= floor - _SLACK) & (size_a[at:to, None] == size_b[None, some]))
-                    # once more in one order of terms, so that a pair's value doesn't depend on its neighbours
-                    exact = np.einsum("ij,ij->i", a[at:to][i], b[some[j]])
-                    found += [(key_a[at + k], key_b[m], s) for k, m, s in zip(i.tolist(), some[j].tolist(), exact.tolist(), strict=True) if s >= floor]
+                    # once more in SQL's order, so that a pair's value doesn't depend on its neighbours
+                    i, j = at + i, some[j]
+                    exact = _similarities(a[i], b[j], square_a[i], square_b[j])
+                    found += [(key_a[k], key_b[m], s) for k, m, s in zip(i.tolist(), j.tolist(), exact.tolist(), strict=True) if s >= floor]
             if self_join:
-                same = left.column("key").equals(right.column("key")) if left.num_rows == right.num_rows else False
+                here, there = unit[0].as_py().split(";")
+                same = here == there  # a block with itself; both sides' rows can come in different orders
                 found = [(min(p, q), max(p, q), s) for p, q, s in found if p != q and (not same or p < q)]
         if report:
             return pa.table({"scored": pa.array([scored], pa.int64())})
