@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,13 @@ from heddle.functions import columns as C
 from heddle.operators.ordered import in_order, islands, upto, with_turns
 
 # How lines tell of a file that was changed, and of a variable that isn't set; what opens a fence.
-_CHANGED = (r"(?i)^the file\s+(.+?)\s+has been\s+(updated|created|deleted|modified)\.?$", r"(?i)^(updated|created|deleted|modified)\s+file\s*:?\s+(.+?)\.?$")
-_UNSET = r"(?i)^([A-Z][A-Z0-9_]{2,})\s*:\s*not set\s*$"
+_CHANGED = (r"(?id)^the file\s+(.+?)\s+has been\s+(updated|created|deleted|modified)\.?$", r"(?id)^(updated|created|deleted|modified)\s+file\s*:?\s+(.+?)\.?$")
+_UNSET = r"(?id)^([A-Z][A-Z0-9_]{2,})\s*:\s*not set\s*$"
 _FENCE = r"^\s*(`{3,}|~{3,})"
 _ANSI = r"\x1b\[[0-?]*[ -/]*[@-~]"
-_NOISE = (r"(?i)\[Tool Result\]", r"(?im)^\s*Prompt\s*$", r"(?im)^\s*No files found\s*$")
+_NOISE = (r"(?i)\[Tool Result\]", r"(?imd)^\s*Prompt\s*$", r"(?imd)^\s*No files found\s*$")
+# White space at the ends; other line ends than \n have no part in it.
+_ENDS = r"^[ \t\n\f\r]+|[ \t\n\f\r]+\z"
 _CAVEAT = "caveat: the messages below were generated by the user"
 #: Operations and variables that are listed, and how many it takes to sum them up.
 OPERATIONS, LEAST_OPERATIONS, VARIABLES, LEAST_VARIABLES = 8, 3, 10, 4
@@ -54,11 +58,18 @@ def escaped_outside_fences(text: Column) -> Column:
 def tidy(text: Column) -> Column:
     """Line ends of one kind, no more than one empty line in a row, none at the ends."""
     own = F.regexp_replace(text, "\r\n?", "\n")
-    return F.regexp_replace(F.regexp_replace(own, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(own, "\n{3,}", "\n\n"), _ENDS, "")
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: as an element of an array."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _own_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+def _own_lines(text: Column, told: Callable[[Column], Column]) -> Column:
+    """The lines with anything on them as (told, others): those for which told holds, and those for which it doesn't."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, _ENDS, "")), lambda x: x != "")
+    return _once(lines, lambda own: F.struct(F.filter(own, told).alias("told"), F.filter(own, lambda x: ~told(x)).alias("others")))
 
 
 def _details(label: Column, text: Column) -> Column:
@@ -69,30 +80,42 @@ def summed_operations(text: Column) -> Column:
     """A message that tells of three changed files or more: the first eight as a list, the text itself behind a fold. Others stay."""
     path = lambda x: F.regexp_replace(x, "^[` ]+|[` ]+$", "")
     first, second = _CHANGED
-    lines = _own_lines(text)
     hit = lambda x: x.rlike(first) | x.rlike(second)
     action = lambda x: F.when(x.rlike(first), F.lower(F.regexp_extract(x, first, 2))).otherwise(F.lower(F.regexp_extract(x, second, 1)))
     name = lambda x: path(F.when(x.rlike(first), F.regexp_extract(x, first, 1)).otherwise(F.regexp_extract(x, second, 2)))
-    changed, others = F.filter(lines, hit), F.filter(lines, lambda x: ~hit(x))
-    n = F.size(changed)
-    shown = F.transform(F.slice(changed, 1, OPERATIONS), lambda x: F.concat(F.lit("- "), action(x), F.lit(": `"), name(x), F.lit("`")))
-    more = F.when(n > OPERATIONS, F.concat(F.lit("\n- ... and "), (n - OPERATIONS).cast("string"), F.lit(" more file operations"))).otherwise("")
-    rest = F.when(F.size(others).between(1, 3), F.concat(F.lit("\n\n"), F.array_join(others, "\n"))).otherwise("")
-    out = F.concat(F.lit("File operations summary (collapsed):\n"), F.array_join(shown, "\n"), more, rest, _details(F.concat(n.cast("string"), F.lit(" file operations")), text))
-    return F.when((n < LEAST_OPERATIONS) | text.contains("File operations summary (collapsed):"), text).otherwise(tidy(out))
+
+    def summed(lines: Column) -> Column:
+        changed, others = lines["told"], lines["others"]
+        n = F.size(changed)
+        shown = F.transform(F.slice(changed, 1, OPERATIONS), lambda x: F.concat(F.lit("- "), action(x), F.lit(": `"), name(x), F.lit("`")))
+        more = F.when(n > OPERATIONS, F.concat(F.lit("\n- ... and "), (n - OPERATIONS).cast("string"), F.lit(" more file operations"))).otherwise("")
+        rest = F.when(F.size(others).between(1, 3), F.concat(F.lit("\n\n"), F.array_join(others, "\n"))).otherwise("")
+        out = F.concat(F.lit("File operations summary (collapsed):\n"), F.array_join(shown, "\n"), more, rest, _details(F.concat(n.cast("string"), F.lit(" file operations")), text))
+        return F.when((n < LEAST_OPERATIONS) | text.contains("File operations summary (collapsed):"), text).otherwise(tidy(out))
+
+    return _once(_own_lines(text, hit), summed)
 
 
 def summed_variables(text: Column) -> Column:
     """A message that tells of four variables or more that aren't set: their names in one line, the text itself behind a fold. Others stay."""
-    lines = _own_lines(text)
-    keys, others = F.filter(lines, lambda x: x.rlike(_UNSET)), F.filter(lines, lambda x: ~x.rlike(_UNSET))
-    n = F.size(keys)
-    shown = F.array_join(F.transform(F.slice(keys, 1, VARIABLES), lambda x: F.upper(F.regexp_extract(x, _UNSET, 1))), ", ")
-    more = F.when(n > VARIABLES, F.concat(F.lit(", +"), (n - VARIABLES).cast("string"), F.lit(" more"))).otherwise("")
-    rest = F.when(F.size(others).between(1, 2), F.concat(F.lit("\n"), F.array_join(others, "\n"))).otherwise("")
-    out = F.concat(F.lit("Unset environment variables ("), n.cast("string"), F.lit("): "), shown, more, rest, _details(F.concat(n.cast("string"), F.lit(" unset variables")), text))
-    there = text.contains("Unset environment variables (") & text.contains("<details>")
-    return F.when((n < LEAST_VARIABLES) | there, text).otherwise(tidy(out))
+
+    def summed(lines: Column) -> Column:
+        keys, others = lines["told"], lines["others"]
+        n = F.size(keys)
+        shown = F.array_join(F.transform(F.slice(keys, 1, VARIABLES), lambda x: F.upper(F.regexp_extract(x, _UNSET, 1))), ", ")
+        more = F.when(n > VARIABLES, F.concat(F.lit(", +"), (n - VARIABLES).cast("string"), F.lit(" more"))).otherwise("")
+        rest = F.when(F.size(others).between(1, 2), F.concat(F.lit("\n"), F.array_join(others, "\n"))).otherwise("")
+        out = F.concat(F.lit("Unset environment variables ("), n.cast("string"), F.lit("): "), shown, more, rest, _details(F.concat(n.cast("string"), F.lit(" unset variables")), text))
+        there = text.contains("Unset environment variables (") & text.contains("<details>")
+        return F.when((n < LEAST_VARIABLES) | there, text).otherwise(tidy(out))
+
+    return _once(_own_lines(text, lambda x: x.rlike(_UNSET)), summed)
+
+
+def _without_commands(text: Column) -> Column:
+    for tag, a, b in (("command-name", "[command: ", "]"), ("command-message", "[", "]"), ("command-args", "(", ")")):
+        text = F.regexp_replace(text, f"(?s)<{tag}>(.*?)</{tag}>", f"{a}$1{b}")
+    return _once(tidy(text), lambda x: F.when(C.command_noise(x), "").otherwise(x))
 
 
 def displayed(text: Column, tool: Column, role: Column, rules: dict[str, bool] | None = None) -> Column:
@@ -107,18 +130,14 @@ def displayed(text: Column, tool: Column, role: Column, rules: dict[str, bool] |
         own = F.regexp_replace(own, pattern, "")
     own = tidy(own)
     if on["commands"]:
-        marked = own
-        for tag, a, b in (("command-name", "[command: ", "]"), ("command-message", "[", "]"), ("command-args", "(", ")")):
-            marked = F.regexp_replace(marked, f"(?s)<{tag}>(.*?)</{tag}>", f"{a}$1{b}")
-        marked = tidy(marked)
-        own = F.when(tool == "claude-code", F.when(C.command_noise(marked), "").otherwise(marked)).otherwise(own)
+        own = _once(own, lambda x: F.when(tool == "claude-code", _without_commands(x)).otherwise(x))
     if on["caveat"]:
-        at = F.instr(F.lower(own), _CAVEAT)
-        own = F.when(tool.isin("opencode", "claude-code") & (role == "user") & (at > 0), tidy(F.substring(own, at + len(_CAVEAT), F.length(own)))).otherwise(own)
+        after = lambda x: tidy(F.substring(x, F.instr(F.lower(x), _CAVEAT) + len(_CAVEAT), F.length(x)))
+        own = _once(own, lambda x: F.when(tool.isin("opencode", "claude-code") & (role == "user") & F.lower(x).contains(_CAVEAT), after(x)).otherwise(x))
     if on["operations"]:
-        own = F.when(role == "assistant", summed_operations(own)).otherwise(own)
+        own = _once(own, lambda x: F.when(role == "assistant", summed_operations(x)).otherwise(x))
     if on["variables"]:
-        own = F.when(tool == "opencode", summed_variables(own)).otherwise(own)
+        own = _once(own, lambda x: F.when(tool == "opencode", summed_variables(x)).otherwise(x))
     return tidy(own)
 
 
