@@ -19,6 +19,8 @@ from heddle.sources.jsonl import files, first_of, lines
 
 #: What the store readers give for each message.
 MESSAGE = "file string, session_id string, seq int, role string, content string, timestamp string"
+#: Bytes of SQLite files whose rows go on together.
+TOGETHER = 4 << 20
 
 
 def binary(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -63,14 +65,16 @@ def decoded(value) -> str | None:
     return None if value is None else str(value)
 
 
-def queried(spark: SparkSession, path: str, glob: str, sql: str, names: list[str]) -> DataFrame:
-    """file, place, the named columns as text, and problem: the rows of a query over each SQLite file below path.
+def answered(stores: DataFrame, sql: str, names: list[str]) -> DataFrame:
+    """file, place, the named columns as text, and problem: the rows of a query over each SQLite file of stores (file, content).
 
     The files are read as binaries and opened from memory, so they can lie in any store that Spark reads. A file that
     can't answer the query gives one row with the problem and nulls.
     """
+    columns = ["file", "place", *names, "problem"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0  # rows of small files go on together
         for batch in batches:
             for file, content in zip(batch["file"], batch["content"], strict=True):
                 con, problem = sqlite3.connect(":memory:"), None
@@ -80,19 +84,26 @@ def queried(spark: SparkSession, path: str, glob: str, sql: str, names: list[str
                 except sqlite3.Error as e:
                     rows, problem = [(None,) * len(names)], str(e)
                 con.close()
-                own = pd.DataFrame(rows, columns=names, dtype=object).map(decoded)
-                own.insert(0, "file", file)
-                own.insert(1, "place", range(len(own)))
-                own["problem"] = problem
-                yield own
+                held += [(file, place, *map(decoded, row), problem) for place, row in enumerate(rows)]
+                size += len(content)
+                if size >= TOGETHER:
+                    yield pd.DataFrame(held, columns=columns)
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns)
 
     schema = ", ".join(f"{n} string" for n in names)
-    return binary(spark, path, glob).mapInPandas(work, f"file string, place int, {schema}, problem string")
+    return stores.mapInPandas(work, f"file string, place int, {schema}, problem string")
+
+
+def queried(spark: SparkSession, path: str, glob: str, sql: str, names: list[str]) -> DataFrame:
+    """The rows of a query over each SQLite file below path, as answered gives them."""
+    return answered(binary(spark, path, glob), sql, names)
 
 
-def sqlite_rows(spark: SparkSession, path: str, glob: str, sql: str) -> DataFrame:
-    """Messages that a query gives over each SQLite file below path, numbered by session in the query's order; files with problems give none (see problems)."""
-    own = queried(spark, path, glob, sql, ["session_id", "role", "content", "timestamp"]).filter(F.col("problem").isNull())
+def stored_messages(stores: DataFrame, sql: str) -> DataFrame:
+    """Messages that a query gives over each SQLite file of stores (file, content), numbered by session in the query's order; files with problems give none (see problems)."""
+    own = answered(stores, sql, ["session_id", "role", "content", "timestamp"]).filter(F.col("problem").isNull())
     seq = F.row_number().over(Window.partitionBy("file", "session_id").orderBy("place")) - 1
     return own.select("file", "session_id", seq.alias("seq"), "role", "content", "timestamp")
 
@@ -105,7 +116,8 @@ def problems(spark: SparkSession, path: str, tool: str) -> DataFrame:
 
 def store(spark: SparkSession, path: str, tool: str) -> DataFrame:
     """A tool's messages as its store has them; where contents are lists of blocks, read has them as text."""
-    return sqlite_rows(spark, path, *STORES[tool])
+    glob, sql = STORES[tool]
+    return stored_messages(binary(spark, path, glob), sql)
 
 
 def store_sessions(spark: SparkSession, path: str, tool: str) -> DataFrame:
@@ -130,16 +142,27 @@ def crush(spark: SparkSession, path: str) -> DataFrame:
 
 
 def opencode(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of the JSON tree (message/<session>/msg_*.json with part/<message>/prt_*.json) and of the database; the database wins where a session is in both."""
-    head = files(spark, path, "msg_*.json").select("file", *(F.get_json_object("value", f"$.{k}").alias(n) for k, n in (("id", "message"), ("sessionID", "session_id"), ("role", "role"), ("time.created", "timestamp"))))
-    head = head.withColumn("session_id", F.coalesce("session_id", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)))
-    body = files(spark, path, "prt_*.json").select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("message"), F.regexp_extract("file", r"([^/]+)$", 1).alias("name"), "value")
-    body = body.groupBy("message").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "value"))), lambda x: x["value"]), ","), F.lit("]")).alias("raw"))
-    tree = head.join(body, "message").withColumn("seq", F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("timestamp").cast("double"), "message")) - 1)
-    tree = tree.select("file", "session_id", "seq", "role", "raw", "timestamp")
-    held = store(spark, path, "opencode").withColumnRenamed("content", "raw")
-    tree = tree.join(held.select("session_id").distinct(), "session_id", "left_anti")
-    return flattened(tree.unionByName(held), "raw", blocks.OPENCODE)
+    """Messages of the JSON tree (message/<session>/msg_*.json with part/<message>/prt_*.json) and of the database; the database wins where a session is in both.
+
+    The tree has a file for each message and each part, so it is listed once and read once, many files in a task.
+    """
+    glob, sql = STORES["opencode"]
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{msg_*.json,prt_*.json,{glob}}}").load(path)
+    name, few = F.col("_metadata.file_name"), 4 * spark.sparkContext.defaultParallelism
+    # filters on a file's name are applied to the listing: neither side reads the other's files
+    stores = own.filter(name == glob).select(F.col("path").alias("file"), "content").coalesce(few)
+    rows = own.filter(name != glob).select(F.col("_metadata.file_path").alias("file"), name.alias("name"), F.col("content").cast("string").alias("value")).coalesce(few)
+    is_head, folder = F.col("name").startswith("msg_"), F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)
+    head = F.struct("file", F.coalesce(F.get_json_object("value", "$.sessionID"), folder).alias("session_id"), *(F.get_json_object("value", p).alias(n) for n, p in (("role", "$.role"), ("timestamp", "$.time.created"))))
+    rows = rows.withColumns({"message": F.when(is_head, F.get_json_object("value", "$.id")).otherwise(folder), "head": F.when(is_head, head), "part": F.when(~is_head, F.struct("name", "value"))})
+    rows = rows.filter("message is not null").groupBy("message").agg(F.collect_list("head").alias("heads"), F.sort_array(F.collect_list("part")).alias("parts")).filter(F.size("parts") > 0)
+    raw = F.concat(F.lit("["), F.array_join(F.transform("parts", lambda x: x["value"]), ","), F.lit("]"))
+    tree = rows.select("message", raw.alias("raw"), F.inline("heads")).select("file", "session_id", F.lit(None).cast("int").alias("seq"), "role", "raw", "timestamp", "message", F.lit(False).alias("held"))
+    held = stored_messages(stores, sql).withColumnRenamed("content", "raw").select("*", F.lit(None).cast("string").alias("message"), F.lit(True).alias("held"))
+    session = Window.partitionBy("session_id")
+    both = tree.unionByName(held).withColumn("stored", F.max("held").over(session)).filter("held = stored")
+    seq = F.coalesce("seq", F.row_number().over(session.orderBy(F.col("timestamp").cast("double"), "message")) - 1)
+    return flattened(both.select("file", "session_id", seq.alias("seq"), "role", "raw", "timestamp"), "raw", blocks.OPENCODE)
 
 
 def zed(spark: SparkSession, path: str) -> DataFrame:

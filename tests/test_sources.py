@@ -75,6 +75,47 @@ def test_trees_and_logs(spark, tmp_path):
     assert [(r.title, r.kind, r.body) for r in S.memory_files(spark, str(tmp_path / "n")).collect()] == [("A lesson", "lesson", "Body text")]
 
 
+def opencode_tree(folder, sessions, messages):
+    for c in range(sessions):
+        for n in range(messages):
+            write(folder / f"message/s{c}/msg_{c}_{n}.json", {"id": f"msg_{c}_{n}", "sessionID": f"s{c}", "role": "user", "time": {"created": messages - n}})
+            for k in range(2):
+                write(folder / f"part/msg_{c}_{n}/prt_{k}.json", {"type": "text", "text": f"{c} {n} {k}"})
+
+
+def test_opencode_tree_and_database(spark, tmp_path):
+    opencode_tree(tmp_path, 3, 2)
+    write(tmp_path / "message/s9/msg_without_parts.json", {"id": "msg_without_parts", "role": "user"})
+    write(tmp_path / "part/msg_without_head/prt_0.json", {"type": "text", "text": "x"})
+    write(tmp_path / "message/s8/msg_8.json", {"id": "msg_0_0", "role": "assistant"})  # a session by its folder, and a message that two sessions have
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "opencode.db").write_bytes(b"no database")
+    con = sqlite3.connect(tmp_path / "opencode.db")
+    con.executescript("create table message (id, session_id, time_created, data); create table part (id, message_id, data)")
+    con.executemany("insert into message values (?, ?, ?, ?)", [("a", "s1", 2, '{"role": "user"}'), ("b", "s1", 1, '{"role": "user"}'), ("c", "only", 1, '{"role": "user"}')])
+    con.executemany("insert into part values (?, ?, ?)", [(m, m, json.dumps({"type": "text", "text": f"db {m}"})) for m in "abc"])
+    con.commit()
+    con.close()
+    got = sorted((r.session_id, r.seq, r.role, r.content) for r in S.opencode(spark, str(tmp_path)).collect())
+    own = [(f"s{c}", n, "user", f"{c} {1 - n} 0\n{c} {1 - n} 1") for c in (0, 2) for n in (0, 1)]
+    assert got == sorted([*own, ("s8", 0, "assistant", "0 0 0\n0 0 1"), ("s1", 0, "user", "db b"), ("s1", 1, "user", "db a"), ("only", 0, "user", "db c")])
+
+
+def test_opencode_reads_many_small_files_in_few_tasks(spark, tmp_path):
+    opencode_tree(tmp_path, 4, 30)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # then each file is a partition of the scan
+    try:
+        own = S.opencode(spark, str(tmp_path))
+        spark.sparkContext.setJobGroup("opencode", "")
+        assert own.count() == 120
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("opencode") for s in told.getJobInfo(j).stageIds}
+    assert stages and max(i.numTasks for s in stages if (i := told.getStageInfo(s))) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_messagepack(spark, tmp_path):
     data = b"\x82\xa1a\x93\x01\xff\xcb" + struct.pack(">d", 1.5) + b"\xa1b\xc0" + b"\xd9\x03xyz" + b"\xcd\x01\x00" + b"\xc4\x02\x01\x02"
     assert S.unpack(data) == [{"a": [1, -1, 1.5], "b": None}, "xyz", 256, b"\x01\x02"]
