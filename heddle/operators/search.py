@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,6 +107,44 @@ def postings(docs: DataFrame, doc: str, text: Column, stemmed: bool = True) -> D
     return each.groupBy("doc", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+#: Postings that go on together, or as many as one document has.
+TOGETHER = 1 << 16
+
+
+def _inverted(stemmed: bool):
+    """Documents (doc, said) as postings; said is the text, or its tokens if they aren't to be stemmed."""
+
+    def table(rows: list[tuple[str, int, dict[str, list[int]]]]) -> pa.RecordBatch:
+        tf = [len(p) for _, _, at in rows for p in at.values()]
+        places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tf)]), pa.int32()), pa.array([k for _, _, at in rows for p in at.values() for k in p], pa.int32()))
+        columns = [pa.array([doc for doc, _, at in rows for _ in at], pa.string()), pa.array([t for _, _, at in rows for t in at], pa.string()), places, pa.array(tf, pa.int64()), pa.array([dl for _, dl, at in rows for _ in at], pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "term", "positions", "tf", "dl"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = [], 0
+        for batch in batches:
+            for doc, said in zip(batch.column("doc"), batch.column("said"), strict=True):
+                own = tokens(said.as_py()) if stemmed else said.as_py() or []
+                at: dict[str, list[int]] = {}
+                for k, term in enumerate(own):
+                    at.setdefault(term, []).append(k)
+                rows.append((doc.as_py(), len(own), at))
+                n += len(at)
+                if n >= TOGETHER:
+                    yield table(rows)
+                    rows, n = [], 0
+        if n:
+            yield table(rows)
+
+    return work
+
+
+def own_postings(docs: DataFrame, doc: str, text: Column, stemmed: bool = True) -> DataFrame:
+    """postings of documents that are a row each: worked out in that row, without a shuffle."""
+    rows = docs.select(F.col(doc).cast("string").alias("doc"), (text if stemmed else token_column(text)).alias("said"))
+    return rows.mapInArrow(_inverted(stemmed), "doc string, term string, positions array<int>, tf bigint, dl int")
+
+
 def statistics(index: DataFrame, n_docs: int | None = None) -> tuple[int, float]:
     """(documents, mean length); n_docs counts documents without tokens too."""
     row = index.groupBy("doc").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.sum("dl").alias("s")).first()

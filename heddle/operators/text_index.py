@@ -12,17 +12,25 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.operators.search import postings
+from heddle.operators.search import own_postings
 from heddle.streaming.ingest import Log
 
 #: So many segments of a size class are merged into one; sizes of a class differ by this factor at most.
 FAN = 4
 #: Bytes of a row group of postings: the least that a search reads of a file.
 ROW_GROUP = 8 << 20
+#: Postings that a task sorts, so few that they stay in memory; tasks of a pass at least, and passes at most.
+SORTED, TASKS, PASSES = 1 << 19, 8, 8
+#: Terms that the bounds of passes are drawn from, about.
+SAMPLE = 20_000
+#: Whether Spark removes the shuffle files of a query when it ends, rather than when the driver happens to collect its garbage.
+_REMOVED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _POSTINGS = "doc string, term string, positions array<int>, tf bigint, dl int"
 
 
@@ -77,11 +85,32 @@ class TextIndex:
         """(doc, dl) of the documents as they are now, those without tokens too."""
         return self._live(self._state()[1], "lengths", "doc string, dl int").drop("segment")
 
-    def _segment(self, number: int, rows: DataFrame, lengths: DataFrame) -> dict:
-        """Writes postings sorted by term, and lengths; gives the segment's entry."""
+    @contextmanager
+    def _little_disk(self) -> Iterator[None]:
+        """Queries that run in here leave no shuffle files."""
+        before = self.spark.conf.get(_REMOVED, "false")
+        self.spark.conf.set(_REMOVED, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_REMOVED, before)
+
+    def _ranges(self, rows: DataFrame, n: int) -> list[tuple[int, Column]]:
+        """(tasks, condition) of the passes that n rows are sorted in: ranges of terms of about the same number of rows, which hold all terms."""
+        tasks = math.ceil(max(1, n) / SORTED)
+        passes = max(1, min(PASSES, tasks // TASKS))
+        drawn = sorted(r["term"] for r in rows.select("term").sample(min(1.0, SAMPLE / n), seed=1).collect()) if passes > 1 else []
+        bounds = sorted({drawn[k * len(drawn) // passes] for k in range(1, passes)}) if drawn else []
+        above = [F.lit(True), *(F.col("term") > t for t in bounds)]
+        upto = [*(F.col("term") <= t for t in bounds), F.lit(True)]
+        return [(math.ceil(tasks / len(above)), x & y) for x, y in zip(above, upto, strict=True)]
+
+    def _segment(self, number: int, rows: DataFrame, n: int, lengths: DataFrame) -> dict:
+        """Writes postings (n or fewer) sorted by term, one range of terms after another, so that one range's shuffle is on disk at a time; and lengths. Gives the segment's entry."""
         folder = f"s-{uuid.uuid4().hex}"
-        own = rows.select("doc", "term", "positions", "tf", "dl").repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
-        own.write.option("parquet.block.size", self.row_group).parquet(f"{self.path}/{folder}/postings")
+        for tasks, these in self._ranges(rows, n):
+            own = rows.filter(these).select("doc", "term", "positions", "tf", "dl").repartitionByRange(tasks, "term", "doc").sortWithinPartitions("term", "doc")
+            own.write.mode("append").option("parquet.block.size", self.row_group).option("compression", "zstd").parquet(f"{self.path}/{folder}/postings")
         lengths.select("doc", "dl").write.parquet(f"{self.path}/{folder}/lengths")
         n = self.spark.read.parquet(f"{self.path}/{folder}/postings").count()  # from the files' footers
         return {"folder": folder, "number": number, "rows": n}
@@ -96,7 +125,7 @@ class TextIndex:
             if full is None:
                 return entry
             part = entry | {"segments": full}
-            new = self._segment(max(s["number"] for s in full), self._live(part, "postings", _POSTINGS), self._live(part, "lengths", "doc string, dl int"))
+            new = self._segment(max(s["number"] for s in full), self._live(part, "postings", _POSTINGS), sum(s["rows"] for s in full), self._live(part, "lengths", "doc string, dl int"))
             left = sorted([s for s in entry["segments"] if s not in full] + [new], key=lambda s: s["number"])
             entry = entry | {"segments": left}
             kept = self._withdrawn(entry).filter(F.col("before") > left[0]["number"])
@@ -107,22 +136,24 @@ class TextIndex:
     def update(self, docs: DataFrame, removed: DataFrame | None = None) -> None:
         """Puts docs (doc, text), each once, in place of what was indexed under these names, and takes removed (doc) out."""
         number, entry = self._state()
-        self._update(number + 1, entry, docs, removed)
+        with self._little_disk():
+            self._update(number + 1, entry, docs, removed)
 
     def rebuild(self, docs: DataFrame) -> None:
         """Puts docs (doc, text), each once, in place of all that was indexed."""
-        self._update(self._state()[0] + 1, {"segments": [], "withdrawn": [], "documents": 0, "tokens": 0}, docs, None)
+        with self._little_disk():
+            self._update(self._state()[0] + 1, {"segments": [], "withdrawn": [], "documents": 0, "tokens": 0}, docs, None)
 
     def _update(self, number: int, entry: dict, docs: DataFrame, removed: DataFrame | None) -> None:
         own = docs.select(F.col("doc").cast("string").alias("doc"), "text")
         folder = f"s-{uuid.uuid4().hex}"
-        rows = postings(own, "doc", F.col("text"), self.stemmed)
+        rows = own_postings(own, "doc", F.col("text"), self.stemmed)
         draft = f"{self.path}/{folder}/draft"
-        rows.write.parquet(draft)
+        rows.write.option("compression", "zstd").parquet(draft)
         rows = self.spark.read.schema(_POSTINGS).parquet(draft)
         tokens = rows.groupBy("doc").agg(F.first("dl").alias("dl"))
         lengths = own.select("doc").join(tokens, "doc", "left").select("doc", F.coalesce("dl", F.lit(0)).alias("dl"))
-        segment = self._segment(number, rows, lengths)
+        segment = self._segment(number, rows, rows.count(), lengths)  # the number from the files' footers
         lengths = self.spark.read.schema("doc string, dl int").parquet(f"{self.path}/{segment['folder']}/lengths")
         gone = lengths.select("doc") if removed is None else lengths.select("doc").union(removed.select(F.col("doc").cast("string"))).distinct()
         before = self._live(entry, "lengths", "doc string, dl int").join(gone, "doc", "left_semi")

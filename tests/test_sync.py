@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.api import Archive
-from heddle.operators import search
+from heddle.operators import search, text_index
 from heddle.operators.text_index import FAN, TextIndex
 from heddle.sources import jsonl
 from heddle.streaming.ingest import Log, Snapshots
@@ -167,3 +167,31 @@ def test_the_library_is_kept_by_difference(spark, tmp_path):
     assert own.export_library(per_page=5) == {"changed": 3, "gone": 4}
     left = {r.page for r in own.store("library").current().collect()}
     assert not left & {"Sessions/s00", "Sessions/s02", "Projects/unassigned (3)", "Days/2026-01-01 (2)"} and "Projects/unassigned (2)" in left
+
+
+def shuffle_files(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    files = env.blockManager().diskBlockManager().getAllFiles()
+    return {f for k in range(files.size()) if (f := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_an_index_is_sorted_by_ranges_and_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "SORTED", 16)
+    words = ["build", "test", "x", "the", "épée", "zeta", "10", "Running"]
+    docs = spark.createDataFrame([(f"d{i}", " ".join(words[(i * k) % 8] for k in range(i % 23)) if i % 19 else None) for i in range(300)], "doc string, text string").repartition(3)
+    for stemmed in (True, False):
+        before, index = shuffle_files(spark), TextIndex(spark, str(tmp_path / str(stemmed)), stemmed)
+        index.rebuild(docs)
+        deadline = time.time() + 20
+        while shuffle_files(spark) - before and time.time() < deadline:
+            time.sleep(0.2)  # they are removed beside
+        assert not shuffle_files(spark) - before
+        want = {(r.doc, r.term, tuple(r.positions), r.tf, r.dl) for r in search.postings(docs, "doc", F.col("text"), stemmed).collect()}
+        rows = [(r.doc, r.term, tuple(r.positions), r.tf, r.dl) for r in index.postings().collect()]
+        assert len(rows) == len(want) > 500 and set(rows) == want and index.statistics()[0] == 300
+        passes = index._ranges(index.postings(), len(rows))
+        assert 1 < len(passes) <= text_index.PASSES and sum(index.postings().filter(these).count() for _, these in passes) == len(rows)
+        spans = sorted(tuple(r) for r in index.postings().groupBy(F.input_file_name()).agg(F.min(F.struct("term", "doc")).alias("a"), F.max(F.struct("term", "doc")).alias("b")).select("a", "b").collect())
+        assert len(spans) > len(passes) and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert "Exchange" not in search.own_postings(spark.range(3).selectExpr("id", "'a' as text"), "id", F.col("text"))._jdf.queryExecution().executedPlan().toString()
