@@ -107,8 +107,8 @@ def postings(docs: DataFrame, doc: str, text: Column, stemmed: bool = True) -> D
     return each.groupBy("doc", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-#: Postings that go on together, or as many as one document has.
-TOGETHER = 1 << 16
+#: Postings that are sorted by term and go on together, or as many as one document has.
+TOGETHER = 1 << 18
 
 
 def _inverted(stemmed: bool):
@@ -118,7 +118,7 @@ def _inverted(stemmed: bool):
         tf = [len(p) for _, _, at in rows for p in at.values()]
         places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tf)]), pa.int32()), pa.array([k for _, _, at in rows for p in at.values() for k in p], pa.int32()))
         columns = [pa.array([doc for doc, _, at in rows for _ in at], pa.string()), pa.array([t for _, _, at in rows for t in at], pa.string()), places, pa.array(tf, pa.int64()), pa.array([dl for _, dl, at in rows for _ in at], pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "term", "positions", "tf", "dl"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "term", "positions", "tf", "dl"]).sort_by("term")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
@@ -140,7 +140,7 @@ def _inverted(stemmed: bool):
 
 
 def own_postings(docs: DataFrame, doc: str, text: Column, stemmed: bool = True) -> DataFrame:
-    """postings of documents that are a row each: worked out in that row, without a shuffle."""
+    """postings of documents that are a row each: worked out in that row, without a shuffle. They are sorted in pieces, so that of a table of them a range of terms is read by pages."""
     rows = docs.select(F.col(doc).cast("string").alias("doc"), (text if stemmed else token_column(text)).alias("said"))
     return rows.mapInArrow(_inverted(stemmed), "doc string, term string, positions array<int>, tf bigint, dl int")
 
